@@ -6,19 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup
+from . import binary_out, decontam, near_dup, packing, quality, token_scan
 from .common import table
 
 NEAR_SHINGLE, NEAR_PERCENT = 4, 80
+#: Sequence length and end id of the packer; end id and id width of the packed files; end id of the flat files.
+SEQUENCE, PACK_END = 2048, 0
+BYTE_END, BYTE_BITS = 2, 16
+WORD_END = 49407
+
+
+def tokenizer_file(name: str) -> str:
+    """Where the public vocabulary file is; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_grouping_ga(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), False, PACK_END, SEQUENCE)
+
+
+def op4_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_scan.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), False, WORD_END)
+    return found.select("doc_id", "n_tokens")
 
 
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=NEAR_SHINGLE, percent=NEAR_PERCENT)
 
 
+def op9_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_out.packed_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), True, BYTE_END, BYTE_BITS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_superminhash": op8_superminhash}
+    return {f.__name__: f for f in (op1_winnowing, op3_grouping_ga, op4_isolation_forest, op5_separator_scan, op8_superminhash, op9_bit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_winnowing": decontam.ORACLE_SQL}
