@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_out, decontam, near_dup, packing, quality, token_scan
+from . import binary_out, decontam, html_text, near_dup, packing, quality, sharding, token_scan, url_rules, warc
 from .common import table
 
 NEAR_SHINGLE, NEAR_PERCENT = 4, 80
@@ -14,6 +14,8 @@ NEAR_SHINGLE, NEAR_PERCENT = 4, 80
 SEQUENCE, PACK_END = 2048, 0
 BYTE_END, BYTE_BITS = 2, 16
 WORD_END = 49407
+SHARDS = 40
+SHARD_BYTES = 8 << 20
 
 
 def tokenizer_file(name: str) -> str:
@@ -27,6 +29,10 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"), shard_bytes=SHARD_BYTES)
+
+
 def op3_grouping_ga(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), False, PACK_END, SEQUENCE)
 
@@ -40,6 +46,14 @@ def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens")
 
 
+def op6_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op7_max_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=NEAR_SHINGLE, percent=NEAR_PERCENT)
 
@@ -48,8 +62,12 @@ def op9_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_out.packed_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), True, BYTE_END, BYTE_BITS)
 
 
+def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placed(table(spark, sf_dir, "documents"), SHARDS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_winnowing, op3_grouping_ga, op4_isolation_forest, op5_separator_scan, op8_superminhash, op9_bit_packing)}
+    return {f.__name__: f for f in (op1_winnowing, op2_warc, op3_grouping_ga, op4_isolation_forest, op5_separator_scan, op6_association_rules, op7_max_subsequence, op8_superminhash, op9_bit_packing, op10_virtual_slots)}
 
 
 def oracle_sql() -> dict[str, str]:
