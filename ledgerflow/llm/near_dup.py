@@ -1,10 +1,16 @@
 """MinHash near-duplicate groups: SuperMinHash signatures, banding, verification on full sets, connected components.
 
 A text's set is its distinct shingles of ``shingle`` words (the whole sequence as one shingle if it has fewer
-words); texts with equal sets form one class, and classes are the nodes from there on. Classes that share a band
-are compared through a pivot of their bucket, never all with all: links that a pivot confirms join components, and
-only pairs of a bucket that still lie in different components are looked at again. So no link that banding
-finds is lost, while a large group of near copies costs one comparison a member.
+words); texts with equal sets form one class, and classes are the nodes from there on. Each bucket of a band has a hub,
+the class that shares most with others, and its other classes are compared with the hub alone, never all with all.
+
+Links between classes that lie in different components after that are looked for among the classes of one hub: in
+small groups pair by pair; in large ones by their differences from the hub. Let x have d shingles of the hub c not
+and a more, and e = 100 d + t a for a similarity of t per cent. Then x and y are linked if and only if
+(100 + t) o >= e(x) + e(y) - (100 - t) |c|, with o the number of shingles in which their differences agree. Without
+any agreement both are linked to the hub, so pairs need shared differences: these are indexed, those that only one
+class has dropped, and of the others only as many of the rarest as such a pair can't avoid (prefix filter). Nothing is
+capped: no link that banding finds is lost, and a large group of near copies costs about one comparison a member.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing and are kept; repeated rows
 give a row each; rows with a null id are grouped like others but never name a component unless all ids in it are null.
@@ -24,9 +30,8 @@ from . import hashing as H
 from .common import session, written
 
 BANDS, ROWS = 30, 5
-#: Cross-component pairs per class that are expanded at once; above that, another pivot round comes first.
-PAIRS_PER_CLASS = 4
-PIVOT_ROUNDS = 6
+#: Classes of one hub up to which pairs in different components are compared directly.
+SMALL = 32
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -141,6 +146,37 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b")
 
 
+def _across(met: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, close) -> DataFrame:
+    """Pairs (a, b) of classes of one hub that are in different components and may be linked."""
+    of = labels.select(F.col("node").alias("cls"), "label")
+    own = met.select("hub", "cls", "n").union(met.select("hub", F.col("hub").alias("cls"), F.col("hn").alias("n")).distinct())
+    own = written(own.join(of, "cls", "left").select("hub", "cls", "n", F.coalesce("label", "cls").alias("label")), "near-own")
+    groups = own.groupBy("hub").agg(F.count("*").alias("g"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    groups = written(groups.select("hub", "g"), "near-mixed")
+    few = own.where("cls != hub").join(groups.where(F.col("g") <= SMALL).select("hub"), "hub")
+    left, right = few.select("hub", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), few.select("hub", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    direct = left.join(right, "hub").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & close("na", "nb")).select("a", "b")
+
+    many = own.join(groups.where(F.col("g") > SMALL).select("hub"), "hub").join(sets.select("cls", F.col("items").alias("x")), "cls").join(sets.select(F.col("cls").alias("hub"), F.col("items").alias("c")), "hub")
+    many = many.select("hub", "cls", "label", F.array_except("c", "x").alias("d"), F.array_except("x", "c").alias("a"), (F.size("c") * (100 - percent)).alias("limit"))
+    many = written(many.select("hub", "cls", "label", "limit", (F.size("d") * 100 + F.size("a") * percent).alias("e"), F.concat("d", "a").alias("differ")), "near-differ")
+    token = many.select("hub", "cls", F.explode("differ").alias("t"))
+    frequent = written(token.groupBy("hub", "t").agg(F.count("*").alias("f")).where("f > 1"), "near-frequent")
+    held = token.join(frequent, ["hub", "t"]).groupBy("hub", "cls").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("rare"))
+    held = written(held.join(many.drop("differ"), ["hub", "cls"]).withColumn("s", F.size("rare")), "near-held")
+    per = 100 + percent
+    linked = F.col("e") <= F.col("limit")
+    # one of a pair is not linked to the hub; if the other is, it must agree in more than its own e allows
+    held = held.withColumn("need", F.when(linked, F.floor(F.col("e") / per) + 1))
+    nearest = held.groupBy("hub").agg(F.coalesce(F.min(F.when(F.col("need") <= F.col("s"), F.col("e"))), F.min("limit")).alias("nearest"))
+    held = held.join(nearest, "hub").withColumn("need", F.coalesce("need", F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("nearest") - F.col("limit")) / per)))).where("need <= s")
+    index = held.select("hub", "cls", "label", "limit", "e", "s", F.explode(F.slice("rare", F.lit(1), (F.col("s") - F.col("need") + 1).cast("int"))["t"]).alias("t"))
+    index = written(index, "near-index")
+    left, right = (index.select("hub", "t", F.col("cls").alias(k), F.col("label").alias(f"l{k}"), F.col("e").alias(f"e{k}"), F.col("s").alias(f"s{k}"), *(["limit"] if k == "a" else [])) for k in "ab")
+    shared = left.join(right, ["hub", "t"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("sa", "sb") * per >= F.col("ea") + F.col("eb") - F.col("limit")))
+    return direct.union(shared.select("a", "b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row a row of ``docs``: id, n_shingles, component_id (smallest id reachable over links), kept (id = component_id).
 
@@ -152,54 +188,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = written(docs.mapInArrow(lambda it: _signed(it, shingle, bands, rows), f"id {kind}, n long, cls binary, bands array<long>"), "near-signed")
     classes = written(signed.where("n > 0").groupBy("cls").agg(F.min(F.struct("id", "bands")).alias("m"), F.min("id").alias("least"), F.max("n").alias("n")).select("cls", "least", "n", F.col("m.bands").alias("bands")), "near-classes")
     dealt = classes.select("cls", "n", F.explode("bands").alias("bucket"))
-    shared = written(dealt.groupBy("bucket").agg(F.min(F.struct("cls", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1"), "near-buckets")
-    placed = written(dealt.join(shared.select("bucket", "hub"), "bucket"), "near-placed")
+    buckets = written(dealt.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "near-buckets")
+    placed = written(dealt.join(buckets, "bucket"), "near-placed")
+    central = written(placed.groupBy("cls").agg(F.sum("c").alias("score")), "near-central")
+    hubs = written(placed.join(central, "cls").groupBy("bucket").agg(F.max(F.struct("score", "cls", "n")).alias("hub")), "near-hubs")
+    met = placed.join(hubs, "bucket").select(F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hn"), "cls", "n").where("cls != hub").distinct()
+    met = written(met, "near-met")
+    wanted = docs.join(central.join(classes, "cls").select("least").distinct(), F.col("id").eqNullSafe(F.col("least")), "left_semi")
+    sets = written(wanted.select("text").mapInArrow(lambda it: _full_sets(it, shingle), "cls binary, items array<long>").groupBy("cls").agg(F.first("items").alias("items")), "near-sets")
 
     def close(a: str, b: str) -> F.Column:  # sizes that can reach the similarity
         return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-    pairs = placed.where((F.col("cls") != F.col("hub.cls")) & close("n", "hub.n")).select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct()
-    tested = written(pairs, "near-pairs")
-    used = placed.select("cls").distinct().join(classes.select("cls", "least"), "cls")
-    wanted = docs.join(used.select("least").distinct(), F.col("id").eqNullSafe(F.col("least")), "left_semi")
-    sets = written(wanted.select("text").mapInArrow(lambda it: _full_sets(it, shingle), "cls binary, items array<long>").groupBy("cls").agg(F.first("items").alias("items")), "near-sets")
-    edges = written(_links(tested, sets, percent), "near-links")
+    edges = written(_links(met.where(close("n", "hn")).select(F.col("hub").alias("a"), F.col("cls").alias("b")), sets, percent), "near-links")
     labels = components(edges)
-    size = None
-    for turn in range(PIVOT_ROUNDS + 1):
-        at = placed.select("bucket", "cls", "n").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        # another pivot each turn, from the smallest component that a bucket holds
-        drawn = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "n"))
-        mixed = at.groupBy("bucket", "label").agg(F.count("*").alias("c"), drawn.alias("pivot")).groupBy("bucket")
-        mixed = mixed.agg(F.sum("c").alias("all_"), F.sum(F.col("c") * F.col("c")).alias("same"), F.min(F.struct("c", "pivot"))["pivot"].alias("pivot"))
-        mixed = written(mixed.where("all_ * all_ > same"), "near-mixed")
-        total = mixed.agg(F.sum((F.col("all_") * F.col("all_") - F.col("same")) / 2)).first()[0] or 0
-        if not total:
-            break
-        size = size or placed.select("cls").distinct().count()
-        last = total <= PAIRS_PER_CLASS * size or turn == PIVOT_ROUNDS
-        if last:
-            # the pairs of a bucket that are in different components still; large buckets are dealt over salts
-            parts = F.ceil(F.col("all_") / 2000).cast("int")
-            left = at.join(mixed.select("bucket", parts.alias("k")), "bucket").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
-            right = at.join(mixed.select("bucket", parts.alias("k")), "bucket").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-            left = left.select("bucket", "salt", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            right = right.select("bucket", "salt", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            found = left.join(right, ["bucket", "salt"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & close("na", "nb")).select("a", "b")
-        else:
-            found = at.join(mixed.select("bucket", "pivot"), "bucket").join(labels.select(F.col("node").alias("pn"), F.col("label").alias("pl")), F.col("pivot.cls") == F.col("pn"), "left")
-            found = found.where((F.coalesce("pl", F.col("pivot.cls")) != F.col("label")) & close("n", "pivot.n")).select(F.least("cls", F.col("pivot.cls")).alias("a"), F.greatest("cls", F.col("pivot.cls")).alias("b"))
-        new = written(found.distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "near-pairs")
-        if new.limit(1).count():
-            tested = tested.union(new)
-            linked = written(_links(new, sets, percent), "near-links")
-            if linked.limit(1).count():
-                edges = edges.union(linked)
-                labels = components(edges)
-        if last:
-            break
+    more = _across(met, labels, sets, percent, close)
+    if (more := written(_links(more, sets, percent), "near-links")).limit(1).count():
+        labels = components(edges.union(more))
     grouped = written(labels.join(classes.select(F.col("cls").alias("node"), "least"), "node"), "near-grouped")
     lowest = written(grouped.groupBy("label").agg(F.min("least").alias("component")), "near-lowest")
     named = written(classes.select("cls", "least").join(grouped.join(lowest, "label").select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", F.coalesce("component", "least").alias("component")), "near-named")
     out = signed.select("id", "n", "cls").join(named, "cls", "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 80 * (a.n + b.n - i)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT x AS doc_id, min(y) AS low FROM r GROUP BY x)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, least(doc_id, coalesce(low, doc_id)) = doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
