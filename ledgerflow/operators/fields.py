@@ -125,18 +125,21 @@ def credit_limit(body: Column) -> Column:
 
 
 def currency(body: Column) -> Column:
-    """A code before an amount (no month), a sign on a digit, a currency's name; INR without any."""
-    code = F.upper(F.regexp_extract(body, r"(?i)\b([a-z]{3})\s*\d[\d,]*(?:\.\d+)?\s*(?:spent|debited|credited|paid|charged|was|has)?", 1))
-    out = F.when(body.rlike(r"(?i)(?:\brs\.?|\binr|₹)\s*\d"), "INR").when(code.isin(*CODES), code)
+    """A code before an amount (no month), a sign on a digit, a currency's name; INR without any. Few patterns, then lookups."""
+    def looked_up(pattern: str, table: tuple[tuple[str, str], ...]) -> Column:
+        return F.try_element_at(F.create_map(*[F.lit(x) for pair in table for x in pair]), F.upper(F.regexp_extract(body, pattern, 1)))
+
     lead = F.upper(F.regexp_extract(body, r"(?i)\b([a-z]{3})\s*\d[\d,.]*\s+spent\b", 1))
-    out = out.when((lead != "") & ~lead.isin(*MONTHS), lead)
-    for sign, iso in SIGNS:
-        out = out.when(body.rlike(sign.replace("$", r"\$") + r"\s?\d"), iso)
-    for name, iso in NAMES:
-        out = out.when(body.rlike(rf"(?i)\d\s*{name}\b"), iso)
-    for iso in CODES:
-        out = out.when(body.rlike(rf"(?i)\b{iso}\s*\d"), iso)
-    return out.otherwise("INR")
+    signs = "|".join(s.replace("$", r"\$") for s, _ in SIGNS)
+    names = tuple((n.replace("?", "").upper(), c) for n, c in NAMES) + tuple((n.replace("s?", "").upper(), c) for n, c in NAMES if "s?" in n)
+    return F.coalesce(
+        F.when(body.rlike(r"(?i)(?:\brs\.?|\binr|₹)\s*\d"), "INR"),
+        F.when((lead != "") & ~lead.isin(*MONTHS), lead),
+        looked_up(rf"(?i)\b({'|'.join(CODES)})\s*\d", tuple((c, c) for c in CODES)),
+        looked_up(rf"({signs})\s?\d", SIGNS),
+        looked_up(rf"(?i)\d\s*({'|'.join(n for n, _ in NAMES)})\b", names),
+        F.lit("INR"),
+    )
 
 
 def txn_id(sender: Column, value: Column, body: Column, user: Column | None = None, ts: Column | None = None) -> Column:

@@ -85,7 +85,7 @@ def is_merchant(c: Column) -> Column:
     bad = (
         lower.isin(*STOP_WORDS)
         | F.contains(lower, F.lit("@"))
-        | lower.rlike(r"^(?:a/c|acct|account|card)\b")
+        | lower.rlike(r"^(?:a/c|acct|account|card|your|my)\b")
         | lower.rlike(r"^[x*]+\d+$")
         | lower.rlike(r"^\d+\s+(?:minutes?|mins?|hours?|hrs?|days?)$")
         | lower.rlike(r"^\d{1,4}[-/.](?:\d{1,2}|[a-z]{3})[-/.]\d{1,4}$")
