@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_winnowing": decontam.ORACLE_SQL}
+    return {"op1_winnowing": decontam.ORACLE_SQL, "op8_superminhash": near_dup.ORACLE_SQL}

@@ -15,13 +15,14 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-_A = "A-Za-z0-9À-ÖØ-öø-ɏ"  # letters and digits of Latin scripts
+# Letters and digits of Latin scripts, but for the one (U+0130) that lower-casing makes a letter and a mark.
+_A = "A-Za-z0-9" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x12F), (0x131, 0x24F)))
 _P = r"!-&(-/:-@\[-`{-~"
 _W = r" \t-\r"
 _LEADING = re.compile(rf" ?[{_A}]+(?=[{_W}{_P}']|\Z)| ?[{_P}]+(?=[{_A}{_W}]|\Z)| ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
 _PLAIN = re.compile(rf"[{_A}]+(?=[{_W}{_P}']|\Z)|[{_P}]+(?=[{_A}{_W}]|\Z)|[^{_W}]+")
 _ODD = re.compile("[" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
-_NOT_LATIN = re.compile("[^\x00-ɏ]")
+_NOT_LATIN = re.compile(f"[^{chr(0)}-{chr(0x24F)}]")
 _CONTROL = re.compile("[\x1c-\x1f]")
 #: Cached chunks; beyond that, those met once since the last clearing go.
 CACHED = 400_000
