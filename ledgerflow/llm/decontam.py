@@ -19,7 +19,11 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, session, written
 
 WINDOW, GRAM = 10, 5
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Word characters are all but these, each named alone: Java's regexes look single characters up in a table, ranges not.
+_NO_LETTER = [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
+ANY_WORD = "[^" + "".join(f"\\x{c:02X}" for c in _NO_LETTER) + "]+"
+#: The same after A-Z lower-casing.
+WORD = "[^" + "".join(f"\\x{c:02X}" for c in [*_NO_LETTER, *range(0x41, 0x5B)]) + "]+"
 #: Rows of benchmark windows up to which they are broadcast (at some 200 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -34,13 +38,17 @@ def _shape(length: int, gram: int) -> tuple[int, int]:
     return k, length - k + 1
 
 
-def _with_hashes(rows: DataFrame, k: int, least: int) -> DataFrame:
-    """Adds the k-gram hashes of ``words``; rows of fewer than ``least`` words go."""
-    rows = rows.where(F.size("words") >= least)
-    grams = F.transform(F.sequence(F.lit(1), F.size("words") - k + 1), lambda i: F.xxhash64(F.slice("words", i, k)))
+def _with_hashes(rows: DataFrame, k: int) -> DataFrame:
+    """Adds the hashes of all k-grams of ``folded``, the hashes of single words."""
+    grams = F.transform(F.sequence(F.lit(1), F.size("folded") - k + 1), lambda i: F.xxhash64(F.slice("folded", i, k)))
     return rows.withColumn("hashes", grams)
 
 
+def _folded(words: Column) -> Column:
+    """Hashes of words without case: equal for words that are equal after A-Z lower-casing, at times for more."""
+    return F.transform(words, lambda x: F.xxhash64(F.lower(x)))
+
+
 def _winnowed(w: int) -> Column:
     """The smallest of every w hashes, each once. (``hashes`` is named twice, so that it stays a column of its own.)"""
     if w == 1:
@@ -62,19 +70,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spans = items.select("item", "length", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("length") + 1), lambda i: F.array_join(F.slice("words", i, F.col("length")), " "))).alias("span"))
     spans = written(spans.groupBy("length", "span").agg(F.collect_set("item").alias("items")), "decontam-spans")
     lengths = sorted(r[0] for r in spans.select("length").distinct().collect())  # at most ``window`` numbers
-    texts = rows.select("id", "tag", words_of(F.col("text")).alias("words"))
+    any_words = F.regexp_extract_all("text", F.lit(ANY_WORD), F.lit(0))
+    texts = rows.select("id", "tag", _folded(any_words).alias("folded"))
     hits = None
     for length in lengths:
         k, w = _shape(length, gram)
         # an item's fingerprints: one for each of its windows
-        marks = spans.where(F.col("length") == length).select(F.split("span", " ").alias("words"))
-        marks = _with_hashes(marks, k, length).select(F.array_min("hashes").alias("mark")).distinct()
+        marks = spans.where(F.col("length") == length).select(_folded(F.split("span", " ")).alias("folded"))
+        marks = _with_hashes(marks, k).select(F.array_min("hashes").alias("mark")).distinct()
         marks = _bounded(written(marks, "decontam-marks"))
-        own = _with_hashes(texts, k, length).select("id", "tag", F.explode(_winnowed(w)).alias("mark"))
+        own = _with_hashes(texts.where(F.size("folded") >= length), k).select("id", "tag", F.explode(_winnowed(w)).alias("mark"))
         found = own.join(marks, "mark", "left_semi").groupBy("id", "tag").agg(F.collect_set("mark").alias("marks"))
         found = written(found.withColumnsRenamed({"id": "fid", "tag": "ftag"}), "decontam-found")
         near = rows.join(found, F.col("id").eqNullSafe(F.col("fid")) & F.col("tag").eqNullSafe(F.col("ftag")))
-        near = _with_hashes(near.select("id", "tag", "marks", words_of(F.col("text")).alias("words")), k, length)
+        near = _with_hashes(near.select("id", "tag", "marks", words_of(F.col("text")).alias("words"), _folded(any_words).alias("folded")), k)
         # extend every hit to the windows that it can lie in
         at = F.filter(F.sequence(F.lit(1), F.size("hashes")), lambda i: F.array_contains(F.col("marks"), F.element_at("hashes", i)))
         near = near.select("id", "tag", "words", at.alias("at"), F.size("words").alias("n"))
@@ -83,7 +92,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         near = near.select("id", "tag", F.explode(F.transform("starts", lambda s: F.struct(s.alias("start"), F.array_join(F.slice("words", s, length), " ").alias("span")))).alias("x"))
         near = near.select("id", "tag", F.lit(length).alias("length"), "x.start", "x.span").join(_bounded(spans), ["length", "span"]).select("id", "tag", "length", "start", "items")
         hits = near if hits is None else hits.union(near)
-    counted = rows.select("id", "tag", F.coalesce(F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    counted = rows.select("id", "tag", F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     if hits is None:
         out = counted.withColumn("n_hit", F.lit(0).cast("long")).withColumn("all_items", none)
