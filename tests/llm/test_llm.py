@@ -531,3 +531,15 @@ def test_stages_over_odd_rows(spark, docs, sf_dir):
         for _, stage in P.STAGES:
             out = stage(spark, rows.select("doc_id", "text", "lang", "source", "n_chars"), sf_dir)
             assert out.count() <= 20 * rows.count() + 2000 and (rows.count() or not out.count())
+
+
+@pytest.mark.parametrize("away", [
+    "<div class='cookieBanner'>we use cookies on this site and so on and on</div>", "<div id='sidebar2'><p>old posts of many kinds, all about nothing</p></div>", "<div role='navigation'><ul><li>One</li><li>Two</li></ul></div>", "<div class='ad-slot'>buy this now for less than ever before</div>", "<div class='post-comments'><p>so nice, I read all of it twice today</p></div>", "<ul class='social-share'><li>Tweet</li></ul>",
+    "<form><label>Name</label><input name=q><button>Go</button></form>", "<noscript>enable it</noscript><svg><text>x</text></svg>", "<div style='display:none'>not seen by anyone at all</div>", "<dialog>sign up for the weekly letter of the editors</dialog>",
+])
+@pytest.mark.parametrize("frame", ["<body>{away}<div class='entry-content'>{body}</div>{away}</body>", "<body><main>{away}{body}{away}</main></body>", "<body>{away}<article>{body}{away}</article></body>", "<body>{away}<div>{body}</div>{away}</body>"])
+def test_html_frames(frame, away):
+    weights = {"in p": 1.5, "in h1": 0.5, "in li": -1.0, "in a": -1.0, "in div": -0.5, "tag p": -0.1, "tag div": -1.0}
+    body = "<h1>Head line of it</h1><p>A paragraph with quite a number of words in it.</p><ul><li>first point made</li></ul><p>The last paragraph, which is long enough as well.</p>"
+    got = html_text.extract(frame.format(away=away, body=body), weights)
+    assert got == "Head line of it A paragraph with quite a number of words in it. first point made The last paragraph, which is long enough as well."
