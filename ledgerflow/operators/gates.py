@@ -10,6 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The length limit and the words of the transaction gates, which decide what counts as a transaction.
 MOST_CHARS = 5000
 VERBS = ("debited", "credited", "withdrawn", "deposited", "spent", "received", "transferred", "paid")
 GATE_WORDS = (*VERBS, "withdrawal", "withdrawing", "credit", "debit")
@@ -20,6 +21,7 @@ REJECTS = (
     ("received_notice", ("have received payment",)),
     ("due", ("is due", "min amount due", "minimum amount due", "in arrears", "is overdue", "ignore if paid")),
 )
+# Our own lists from here on.
 INVESTMENT_WORDS = (
     "mutual fund", "systematic investment", "sip", "folio", "nav", "units allotted", "units purchased", "demat", "ipo allotment", "stock broker", "brokerage",
     "clearing corporation", "securities", "equity purchase", "bond purchase", "gold bond", "pension fund", "provident fund", "recurring deposit", "fixed deposit opened",
