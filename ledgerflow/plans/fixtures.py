@@ -5,9 +5,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schema
+
 K, C = "o_orderkey", "o_custkey"
 MACROS = {
     "AMT": "cast(cast(o_totalprice as decimal(18,2)) as {S})",
@@ -98,6 +104,20 @@ def _from(orders: DataFrame, body: str) -> DataFrame:
     return orders.selectExpr(USER.replace("{S}", "string") + " AS user_id", MESSAGE.replace("{S}", "string") + " AS msg_id", SENDER + " AS sender", body + " AS body", "o_orderdate AS ts")
 
 
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, made: Callable[[], DataFrame]) -> DataFrame:
+    """The message table as Parquet in the shared folder, written once a session: messages are read, as they are elsewhere."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerflow-")
+        path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        made().repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
+        _written[key] = path
+    return spark.read.schema(schema.MESSAGE).parquet(_written[key])
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six shapes: debit, credit, card spend, one-time code, balance notice, mandate event."""
     mandate = (
@@ -105,13 +125,13 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         + MACROS["SERVICE"].replace("{S}", "string") + ", ' for ', " + MACROS["AMT"].replace("{S}", "string") + ", ' from A/c XX', " + MACROS["TAIL"].replace("{S}", "string") + ", '. UMN:', substring(sha2(cast(o_custkey as string),256),1,16), '@abc')"
     )
     whens = " ".join(f"when {i} then {expand(t, 'string')}" for i, t in enumerate(SHAPES))
-    return _from(_orders(spark, sf_dir), f"case o_orderkey % 6 {whens} else {mandate} end")
+    return _stored(spark, sf_dir, "messages", lambda: _from(_orders(spark, sf_dir), f"case o_orderkey % 6 {whens} else {mandate} end"))
 
 
 def rich(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shapes of ``RICH``."""
     whens = " ".join(f"when {i} then {expand(t, 'string')}" for i, t in enumerate(RICH))
-    return _from(_orders(spark, sf_dir), f"case o_orderkey % {len(RICH)} {whens} end")
+    return _stored(spark, sf_dir, "rich-messages", lambda: _from(_orders(spark, sf_dir), f"case o_orderkey % {len(RICH)} {whens} end"))
 
 
 def case(fields: dict[int, str], other: str = "NULL", n: int = len(RICH)) -> str:
