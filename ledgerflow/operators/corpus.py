@@ -45,7 +45,7 @@ SPANS = (
     ("phone", r"(?<!\d)(?:\+\d{1,3}[ -]?)?[6-9]\d{9}(?!\d)"),
     ("ussd", r"\*\d{2,4}(?:\*\d+)*#"),
     ("data_size", r"(?i)\b\d+(?:\.\d+)?\s?(?:kb|mb|gb|tb)\b"),
-    ("number", r"(?<![\p{L}\d.,*#:/-])\d[\d,]*(?:\.\d+)?(?![\p{L}\d%*#:/-])"),
+    ("number", r"(?<![\p{L}\d.,*#:/-])\d[\d,]*(?:\.\d+)?(?![\p{L}\d%*#:/-])(?!\s?(?:[kmgtKMGT][bB]\b|%))"),
 )
 MULTIPLES = (("crore", 10_000_000), ("lakh", 100_000), ("lac", 100_000), ("k", 1_000))
 
