@@ -1,7 +1,7 @@
 """Operators as stages over ``documents``: each takes (spark, docs, sf_dir) and keeps all columns of the rows it keeps.
 
-Rows that share an id stay together: a filter keeps them if it keeps one of them, and near-duplicate grouping
-keeps one row of each group. Rows with a null id are judged like others.
+Rows that share an id (or have none) stay together: a filter keeps them if it keeps one of them. Near-duplicate grouping
+keeps one row of each group; of rows that share an id, or of a group without ids, it keeps one of each text.
 """
 
 from __future__ import annotations
@@ -30,7 +30,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id."""
-    return _kept(docs, near_dup.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT).where("kept")).dropDuplicates(["doc_id"])
+    verdicts = near_dup.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT).where("kept")
+    out = _kept(docs, verdicts)
+    # texts are shuffled once more only if an id occurs twice
+    repeated = verdicts.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

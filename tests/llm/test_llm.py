@@ -533,6 +533,15 @@ def test_stages_over_odd_rows(spark, docs, sf_dir):
             assert out.count() <= 20 * rows.count() + 2000 and (rows.count() or not out.count())
 
 
+def test_near_dup_stage_keeps_one_row_a_group(spark, docs, sf_dir):
+    from ledgerflow.llm import stages
+
+    rows = docs.select("doc_id", "text")
+    kept = [k for k, _, _, kept in brute_groups(corpus()[0], 5, 80) if kept]
+    got = [r.doc_id for r in stages.near_duplicates(spark, rows, sf_dir).collect() if r.doc_id is not None]
+    assert sorted(got) == sorted({k for k in kept if k is not None})
+
+
 @pytest.mark.parametrize("away", [
     "<div class='cookieBanner'>we use cookies on this site and so on and on</div>", "<div id='sidebar2'><p>old posts of many kinds, all about nothing</p></div>", "<div role='navigation'><ul><li>One</li><li>Two</li></ul></div>", "<div class='ad-slot'>buy this now for less than ever before</div>", "<div class='post-comments'><p>so nice, I read all of it twice today</p></div>", "<ul class='social-share'><li>Tweet</li></ul>",
     "<form><label>Name</label><input name=q><button>Go</button></form>", "<noscript>enable it</noscript><svg><text>x</text></svg>", "<div style='display:none'>not seen by anyone at all</div>", "<dialog>sign up for the weekly letter of the editors</dialog>",
