@@ -35,16 +35,17 @@ def path_of(url: Column) -> Column:
 
 
 def tokens_of(url: Column) -> Column:
-    """Scheme, domain suffixes, the host's first label, path segments (digits by their number), file ending, query keys, fragment."""
-    host, path = host_of(url), path_of(url)
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("host="), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    words = F.transform(F.regexp_extract_all(host, F.lit(r"[a-z0-9]+"), F.lit(0)), lambda x: F.concat(F.lit("word="), x))
+    """Scheme, words of the host, path segments (digits as 0), query keys, whether there is a fragment or a last slash.
+
+    A host is the combination of its words: a token for it as a whole would only double every combination that it is in.
+    """
+    path = path_of(url)
+    words = F.transform(F.regexp_extract_all(host_of(url), F.lit(r"[a-z0-9]+"), F.lit(0)), lambda x: F.concat(F.lit("word="), x))
     parts = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("path="), F.regexp_replace(x, "[0-9]", "0")))
     query = F.regexp_extract_all(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), F.lit(r"([^&=]+)"), F.lit(1))
     keys = F.transform(query, lambda x: F.concat(F.lit("query="), x))
     rest = F.array(F.concat(F.lit("scheme="), ascii_lower(F.regexp_extract(url, r"^([^:/?#]*)://", 1))), F.when(F.contains(url, F.lit("#")), F.lit("fragment")), F.when(F.regexp_like(path, F.lit("/$")), F.lit("slash")))
-    found = F.array_distinct(F.concat(suffixes, words, parts, keys, F.filter(rest, lambda x: x.isNotNull())))
+    found = F.array_distinct(F.concat(words, parts, keys, F.filter(rest, lambda x: x.isNotNull())))
     return F.when(F.contains(F.coalesce(url, F.lit("")), F.lit("://")), found).otherwise(F.array(F.lit("no url")))
 
 
