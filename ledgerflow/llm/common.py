@@ -45,3 +45,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def hash_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """At most ``n`` rows, those with the smallest hashes of ``keys``.
+
+    A filter by a bound on the hash, from the number of rows, goes first: so the sort sees little more than ``n`` rows,
+    wherever they are, and none but those leave their task.
+    """
+    total = df.count()
+    hashed = F.xxhash64(*keys)
+    if total > n:
+        df = df.where(hashed <= int(-(2**63) + min(1.0, (1.2 * n + 100) / total) * (2**64 - 1025)))
+    return df.orderBy(hashed, *keys).limit(n)
