@@ -32,6 +32,8 @@ from .common import session, written
 BANDS, ROWS = 30, 5
 #: Classes of one hub up to which pairs in different components are compared directly.
 SMALL = 32
+#: Bits that tell which texts may be needed again.
+BITMAP = 1 << 22
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -112,9 +114,21 @@ def _signed(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows: i
             )
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Which of ``BITMAP`` slots the ids hash to: a fixed number of bits, however many ids there are."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(BITMAP)).cast("int")
+    rows = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, s % 64)")).alias("bits")).collect()
+    out = np.zeros(BITMAP // 64, np.int64)
+    for r in rows:
+        out[r.word] = r.bits
+    return out
+
+
+def _full_sets(batches: Iterator[pa.RecordBatch], shingle: int, bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, data, offsets in H.slices(batch.column(0)):
+        slot = batch.column(0).to_numpy()
+        batch = batch.filter(pa.array((bitmap[slot >> 6] >> (slot & 63)) & 1 == 1))
+        for _, data, offsets in H.slices(batch.column(1)):
             sets = [s for s in sets_of(data, offsets, shingle) if len(s)]
             ends = np.zeros(len(sets) + 1, np.int32)
             ends[1:] = np.cumsum([len(s) for s in sets])
@@ -159,18 +173,25 @@ def _across(met: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, cl
 
     many = own.join(groups.where(F.col("g") > SMALL).select("hub"), "hub").join(sets.select("cls", F.col("items").alias("x")), "cls").join(sets.select(F.col("cls").alias("hub"), F.col("items").alias("c")), "hub")
     many = many.select("hub", "cls", "label", F.array_except("c", "x").alias("d"), F.array_except("x", "c").alias("a"), (F.size("c") * (100 - percent)).alias("limit"))
-    many = written(many.select("hub", "cls", "label", "limit", (F.size("d") * 100 + F.size("a") * percent).alias("e"), F.concat("d", "a").alias("differ")), "near-differ")
-    token = many.select("hub", "cls", F.explode("differ").alias("t"))
-    frequent = written(token.groupBy("hub", "t").agg(F.count("*").alias("f")).where("f > 1"), "near-frequent")
-    held = token.join(frequent, ["hub", "t"]).groupBy("hub", "cls").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("rare"))
-    held = written(held.join(many.drop("differ"), ["hub", "cls"]).withColumn("s", F.size("rare")), "near-held")
+    many = written(many.select("hub", "cls", "label", "limit", (F.size("d") * 100 + F.size("a") * percent).alias("e"), "d", "a"), "near-differ")
+
+    def frequent(side: str) -> DataFrame:
+        return many.select("hub", F.explode(side).alias("t")).groupBy("hub", "t").agg(F.count("*").alias("f")).where("f > 1")
+
+    # in the order of the prefixes, the shingles that the hub lacks go first; what a hub has itself is one list a hub
+    added = many.select("hub", "cls", F.explode("a").alias("t")).join(written(frequent("a"), "near-frequent"), ["hub", "t"]).groupBy("hub", "cls").agg(F.sort_array(F.collect_list(F.struct("f", "t")))["t"].alias("more"))
+    dropped = written(frequent("d").groupBy("hub").agg(F.sort_array(F.collect_list(F.struct("f", "t")))["t"].alias("order")), "near-order")
+    none = F.array().cast("array<long>")
+    held = many.join(dropped, "hub", "left").join(added, ["hub", "cls"], "left")
+    rare = F.concat(F.coalesce("more", none), F.array_intersect(F.coalesce("order", none), "d"))
+    held = written(held.select("hub", "cls", "label", "limit", "e", rare.alias("rare")).where(F.size("rare") > 0).withColumn("s", F.size("rare")), "near-held")
     per = 100 + percent
     linked = F.col("e") <= F.col("limit")
     # one of a pair is not linked to the hub; if the other is, it must agree in more than its own e allows
     held = held.withColumn("need", F.when(linked, F.floor(F.col("e") / per) + 1))
     nearest = held.groupBy("hub").agg(F.coalesce(F.min(F.when(F.col("need") <= F.col("s"), F.col("e"))), F.min("limit")).alias("nearest"))
     held = held.join(nearest, "hub").withColumn("need", F.coalesce("need", F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("nearest") - F.col("limit")) / per)))).where("need <= s")
-    index = held.select("hub", "cls", "label", "limit", "e", "s", F.explode(F.slice("rare", F.lit(1), (F.col("s") - F.col("need") + 1).cast("int"))["t"]).alias("t"))
+    index = held.select("hub", "cls", "label", "limit", "e", "s", F.explode(F.slice("rare", F.lit(1), (F.col("s") - F.col("need") + 1).cast("int"))).alias("t"))
     index = written(index, "near-index")
     left, right = (index.select("hub", "t", F.col("cls").alias(k), F.col("label").alias(f"l{k}"), F.col("e").alias(f"e{k}"), F.col("s").alias(f"s{k}"), *(["limit"] if k == "a" else [])) for k in "ab")
     shared = left.join(right, ["hub", "t"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("sa", "sb") * per >= F.col("ea") + F.col("eb") - F.col("limit")))
@@ -194,8 +215,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = written(placed.join(central, "cls").groupBy("bucket").agg(F.max(F.struct("score", "cls", "n")).alias("hub")), "near-hubs")
     met = placed.join(hubs, "bucket").select(F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hn"), "cls", "n").where("cls != hub").distinct()
     met = written(met, "near-met")
-    wanted = docs.join(central.join(classes, "cls").select("least").distinct(), F.col("id").eqNullSafe(F.col("least")), "left_semi")
-    sets = written(wanted.select("text").mapInArrow(lambda it: _full_sets(it, shingle), "cls binary, items array<long>").groupBy("cls").agg(F.first("items").alias("items")), "near-sets")
+    # sets are made where the texts lie: a bitmap tells most texts that have no part in this, the join the others
+    bitmap = _bitmap(central.join(classes, "cls").select(F.col("least").alias("id")))
+    made = docs.select(F.pmod(F.xxhash64("id"), F.lit(BITMAP)).cast("int").alias("slot"), "text").mapInArrow(lambda it: _full_sets(it, shingle, bitmap), "cls binary, items array<long>")
+    sets = written(made.join(central.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("items").alias("items")), "near-sets")
 
     def close(a: str, b: str) -> F.Column:  # sizes that can reach the similarity
         return F.least(a, b) * 100 >= F.greatest(a, b) * percent

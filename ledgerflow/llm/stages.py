@@ -19,7 +19,7 @@ SHINGLE, PERCENT = 5, 80
 
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The rows of ``docs`` with an id in ``verdicts``."""
-    keys = verdicts.select(F.col("doc_id").alias("_kept_id")).distinct()
+    keys = verdicts.select(F.col("doc_id").alias("_kept_id")).distinct().hint("merge")  # ids grow with the documents: never broadcast
     return docs.join(keys, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
 
 
