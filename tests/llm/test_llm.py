@@ -552,3 +552,21 @@ def test_html_frames(frame, away):
     body = "<h1>Head line of it</h1><p>A paragraph with quite a number of words in it.</p><ul><li>first point made</li></ul><p>The last paragraph, which is long enough as well.</p>"
     got = html_text.extract(frame.format(away=away, body=body), weights)
     assert got == "Head line of it A paragraph with quite a number of words in it. first point made The last paragraph, which is long enough as well."
+
+
+@pytest.mark.parametrize("name", ["overflow-hidden", "has-sidebar", "no-sidebar", "layout with-sidebar", "navy", "social-sciences", "searchable research", "comments-open", "sidebar", "overlay", "hidden", "site-header", "form"])
+@pytest.mark.parametrize("frame", ["<body><div class='{name}'><article>{body}</article></div></body>", "<body><div id='{name}'><div class=x><main>{body}</main></div></div><article class='teaser'>Read that</article></body>", "<body><form class='{name}'><main>{body}</main></form></body>"])
+def test_html_wrappers(spark, frame, name):
+    weights = {"in p": 1.5, "tag p": -0.1, "tag div": -1.0}
+    assert html_text.extract(frame.format(name=name, body="<p>Text of the story, in full.</p><div class=related-posts>More</div>"), weights) == "Text of the story, in full."
+
+
+def test_html_names():
+    weights = {"in p": 1.5, "tag p": -0.1, "tag div": -1.0}
+    story = "<p>Text of the story, in full.</p>"
+    for name in ("overflow-hidden", "has-sidebar", "layout with-sidebar", "navy", "social-sciences", "ad-free", "no-comments"):
+        assert html_text.extract(f"<body><div class='{name}'>{story}</div></body>", weights) == "Text of the story, in full."
+        assert html_text.extract(f"<body><article class='post {name} category-ads tag-widget'>{story}</article></body>", weights) == "Text of the story, in full."
+    # an article elsewhere leaves what is away as it is, as do a template and an aside
+    for away in ("<div class=related><article>Other one</article></div>", "<div id='sidebar-2'><article>Other one</article></div>", "<template><article>Other one</article></template>", "<aside><article>Other one</article></aside>", "<article class=comment-body>So nice</article>", "<div class='x cookieNotice'>We use some</div>"):
+        assert html_text.extract(f"<body>{away}<article>{story}</article>{away}</body>", weights) == "Text of the story, in full."
