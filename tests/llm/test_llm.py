@@ -570,3 +570,14 @@ def test_html_names():
     # an article elsewhere leaves what is away as it is, as do a template and an aside
     for away in ("<div class=related><article>Other one</article></div>", "<div id='sidebar-2'><article>Other one</article></div>", "<template><article>Other one</article></template>", "<aside><article>Other one</article></aside>", "<article class=comment-body>So nice</article>", "<div class='x cookieNotice'>We use some</div>"):
         assert html_text.extract(f"<body>{away}<article>{story}</article>{away}</body>", weights) == "Text of the story, in full."
+
+
+def test_html_text_right_in_div(spark, sf_dir):
+    weights = html_text.weights_of(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    assert all(w > 0 for k, w in weights.items() if k.startswith("in ") and k != "in a") and weights["tag div"] < 0
+    lines = "First line of the story with many words.<br>Second.<br><br>The third line of it, which is the last one."
+    want = "First line of the story with many words. Second. The third line of it, which is the last one."
+    menu = "<div><a href=a>One</a> <a href=b>Two</a></div>"
+    assert html_text.extract(f"<html><body>{menu}<div id=x1>{lines}</div>{menu}</body></html>", weights) == want
+    assert html_text.extract(f"<html><body>{menu}<table><tr><td>{lines}</td></tr></table>{menu}</body></html>", weights) == want
+    assert html_text.extract(f"<html><body>{menu}<div>Before it all.<p>{lines}</p>And after it.</div></body></html>", weights) == f"Before it all. {want} And after it."
