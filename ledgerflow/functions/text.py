@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,6 +100,11 @@ def word_ngrams(tokens: Column, most: int = 3) -> Column:
     return F.concat(*[of_length(n) for n in range(1, most + 1)])
 
 
+def longest_phrase(dictionary: DataFrame, phrase: str = "phrase") -> int:
+    """How many words the longest phrase of a dictionary has, 1 at least."""
+    return max(1, dictionary.agg(F.max(F.size(words(F.col(phrase))))).first()[0] or 1)
+
+
 def mask_amounts(c: Column) -> Column:
     return F.regexp_replace(c, r"(?i)(?:\b(?:rs|inr|usd)\.?\s*|[₹$€£])?\b\d[\d,]*(?:\.\d+)?\b", "AMT")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_amount
+from ..functions.text import longest_phrase, parse_amount
 
 WORD = r"[\p{L}\p{N}]+"
 
@@ -15,8 +15,12 @@ def tokens(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     return docs.select(key, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("pos", "word"))
 
 
-def tag_keywords(docs: DataFrame, dictionary: DataFrame, longest: int = 3, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, pos, end, type, norm): dictionary phrases (phrase, type, norm) of up to ``longest`` words, left to right, the longest first, without overlap."""
+def tag_keywords(docs: DataFrame, dictionary: DataFrame, longest: int | None = None, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, pos, end, type, norm): dictionary phrases (phrase, type, norm), left to right, the longest first, without overlap.
+
+    Phrases of over ``longest`` words are left out; without it, none are.
+    """
+    longest = longest_phrase(dictionary) if longest is None else longest
     words = docs.select(key, F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)).alias("w"))
 
     def of_length(n: int) -> Column:
@@ -97,17 +101,20 @@ def near(spans: DataFrame, rules: list[tuple[int, str, str, int, tuple[str, ...]
     return found.groupBy(key).agg(F.min(F.struct("rule", "p1", "p2")).alias("m")).select(key, "m.rule", F.col("m.p1").alias("a_pos"), F.col("m.p2").alias("b_pos"))
 
 
-def capture_between(words: DataFrame, starts: list[str], stops: list[str], most: int = 12, key: str = "id") -> DataFrame:
+def capture_between(words: DataFrame, starts: list[str], stops: list[str], most: int | None = None, key: str = "id") -> DataFrame:
     """(key, start, captured): words after the first start word up to the next stop word, numbers left out; null captures are dropped.
 
-    ``words`` are rows (key, pos, word). One window finds each start, a second its stop; texts are gathered within the band only.
+    ``words`` are rows (key, pos, word). One window finds each start, a second its stop; only what is captured is gathered.
+    Without a later stop word the capture goes to the end, and nothing cuts it unless ``most`` says how many positions count.
     """
     all_ = Window.partitionBy(key)
     after = Window.partitionBy(key).orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
     marked = words.withColumns({"is_start": F.col("word").isin(starts), "is_stop": F.col("word").isin(stops)})
     marked = marked.withColumn("next_stop", F.min(F.when(F.col("is_stop"), F.col("pos"))).over(after))
     begins = F.min(F.when(F.col("is_start") & (F.coalesce("next_stop", F.lit(2**31 - 1)) > F.col("pos") + 1), F.struct("pos", "next_stop"))).over(all_)
-    rows = marked.withColumn("b", begins).where("b IS NOT NULL AND pos > b.pos AND (b.next_stop IS NULL OR pos < b.next_stop)").where((F.col("pos") <= F.col("b.pos") + most) & ~F.col("word").rlike(r"^\d+$"))
+    rows = marked.withColumn("b", begins).where("b IS NOT NULL AND pos > b.pos AND (b.next_stop IS NULL OR pos < b.next_stop)").where(~F.col("word").rlike(r"^\d+$"))
+    if most is not None:
+        rows = rows.where(F.col("pos") <= F.col("b.pos") + most)
     return rows.groupBy(key, F.col("b.pos").alias("start")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("captured"))
 
 

@@ -120,10 +120,14 @@ def place_codes(spans: DataFrame, places: DataFrame, key: str = "id", text: str
     return hit.groupBy(key).agg(F.min(F.struct("pos", "code"))["code"].alias("code"), F.sort_array(F.collect_list(F.struct("pos", "code")))["code"].alias("codes"))
 
 
-def gazetteer(spans: DataFrame, phrases: DataFrame, places: DataFrame, key: str = "id", text: str = "text", longest: int = 3) -> DataFrame:
-    """(key, code): a phrase of several words that the text has (the least prio), else its first place word."""
-    from ..functions.text import word_ngrams, words
+def gazetteer(spans: DataFrame, phrases: DataFrame, places: DataFrame, key: str = "id", text: str = "text", longest: int | None = None) -> DataFrame:
+    """(key, code): a phrase of several words that the text has (the least prio), else its first place word.
 
+    Phrases of over ``longest`` words are left out; without it, none are.
+    """
+    from ..functions.text import longest_phrase, word_ngrams, words
+
+    longest = longest_phrase(phrases) if longest is None else longest
     found = spans.select(key, words(F.col(text)).alias("_w")).select(key, F.explode(F.array_distinct(word_ngrams(F.col("_w"), longest))).alias("phrase"))
     many = found.join(F.broadcast(phrases.select(F.lower("phrase").alias("phrase"), F.col("code").alias("pcode"), "prio")), "phrase").groupBy(key).agg(F.min(F.struct("prio", "pcode"))["pcode"].alias("pcode"))
     one = place_codes(spans, places, key, text).select(key, "code")

@@ -196,3 +196,19 @@ def test_stream_twice_adds_nothing(spark, tmp_path):
     assert {r.reject_reason for r in spark.read.parquet(rejects).collect()} == {"no_verb"}
     ingest.stream_transactions(ingest.message_stream(spark, source), rules, out, state + "2", trigger={"availableNow": True}).awaitTermination()
     assert spark.read.parquet(out).count() == 2
+
+
+def test_captures_go_to_the_stop_word(spark):
+    many = [f"w{i}" for i in range(40)]
+    texts = {1: f"so the {' '.join(many)} and more", 2: f"the {' '.join(many)} 7 end", 3: "the and the a b and", 4: "no such word"}
+    d = spark.createDataFrame(list(texts.items()), "id long, text string")
+    got = {r.id: (r.start, r.captured) for r in corpus.capture_between(corpus.tokens(d), ["the"], ["and"]).collect()}
+    assert got == {1: (1, " ".join(many)), 2: (0, " ".join([*many, "end"])), 3: (2, "a b")}
+
+
+def test_phrases_of_any_length(spark):
+    d = spark.createDataFrame([(1, "From the Old Town of the North Sea port, today"), (2, "nothing of it")], "id long, text string")
+    k = spark.createDataFrame([("old town of the north sea port", "PLACE", "port", "OTN", 1), ("north sea", "SEA", "sea", "NS", 2)], "phrase string, type string, norm string, code string, prio int")
+    assert [tuple(r) for r in corpus.tag_keywords(d, k).collect()] == [(1, 2, 9, "PLACE", "port")]
+    assert corpus.tag_keywords(d, k.where("false")).count() == 0
+    assert [tuple(r) for r in routing.gazetteer(d, k, k.select(F.lit("sea").alias("word"), F.lit("S").alias("code"))).collect()] == [(1, "OTN")]
