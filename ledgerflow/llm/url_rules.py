@@ -2,11 +2,11 @@
 
 Listed rules come first: a rule fits its host and all subdomains where the URL's path starts with the rule's, and the
 longest wins. All other URLs are judged by mined rules: FP-growth finds combinations of URL tokens that go with the
-label "bad"; a combination becomes a rule if its support and confidence suffice, its lift over the share of bad ones
-does too, and no part of it is as sure. A URL is matched by an inverted index from each rule's rarest token.
+label "bad"; a combination becomes a rule if its support and confidence suffice, its gain over the share of bad ones
+does too (the lift, or a confidence halfway from that share to 1, which no share rules out), and no part of it is as sure. A URL is matched by an inverted index from each rule's rarest token.
 
 Defined results: null URLs and URLs without ``://`` have an empty host and path, no tokens but one that says so, and are
-allowed unless a mined rule says otherwise; without labels nothing is mined; repeated rows get a row each; extra columns
+allowed unless a mined rule says otherwise; without labels, or if all are bad, nothing is mined; repeated rows get a row each; extra columns
 are ignored.
 """
 
@@ -61,9 +61,9 @@ def listed(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tup
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, least: int = LEAST_ROWS) -> DataFrame:
     """(rule, tokens, confidence, support) from rows (tokens, bad): sure enough, and surer than each of their parts."""
-    n = labelled.count()
+    n, bad = labelled.agg(F.count("*"), F.count_if("bad")).first()
     empty = labelled.sparkSession.createDataFrame([], "rule long, tokens array<string>, confidence double, support double")
-    if not n:
+    if not n or bad == n:  # where all are bad nothing is surer than the share
         return empty
     common = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= max(least, support * n))
     # a token that nearly all URLs have parts nothing
@@ -73,7 +73,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     kept = rows.select("row", F.explode("tokens").alias("token")).join(common, "token").groupBy("row").agg(F.collect_set("token").alias("items"))
     baskets = rows.join(kept, "row", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")).where(F.size("items") > 0)
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / n)), minConfidence=confidence).fit(baskets)
-    sure = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.col("lift") >= lift))
+    sure = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & ((F.col("lift") >= lift) | (F.col("confidence") >= (1 + bad / n) / 2)))
     sure = written(sure.select(F.xxhash64(F.sort_array("antecedent")).alias("rule"), F.sort_array("antecedent").alias("tokens"), "confidence", "support"), "url-rules")
     # pruned by parts: a rule goes if a rule over fewer of its tokens is as sure
     part = sure.select(F.col("tokens").alias("t"), F.col("confidence").alias("c"), F.element_at("tokens", 1).alias("key"))
@@ -81,7 +81,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     return written(sure.join(within.select("rule").distinct(), "rule", "left_anti"), "url-pruned")
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = LISTED, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST_ROWS) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = LISTED, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST_ROWS, lift: float = LIFT) -> DataFrame:
     """A row a row of ``pages``: id, host, path, rule, verdict, mined (the tokens of the surest mined rule that fits, if one decided).
 
     A page's labels are the rows of ``labels`` with its id; it is bad if one of them has quality 0 or toxic 1.
@@ -89,7 +89,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     session(pages)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     known = labels.select(F.col(label_id).alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")).where("id is not null and bad is not null").groupBy("id").agg(F.max("bad").alias("bad"))
-    mined = mine(rows.join(known, "id").select(tokens_of(F.col("url")).alias("tokens"), "bad"), support, confidence, least=least)
+    mined = mine(rows.join(known, "id").select(tokens_of(F.col("url")).alias("tokens"), "bad"), support, confidence, lift, least)
     # each URL is judged once, however many pages have it
     urls = rows.select("url").distinct().withColumn("tokens", tokens_of(F.col("url")))
     counts = rows.select("url").distinct().select(F.explode(tokens_of(F.col("url"))).alias("token")).join(mined.select(F.explode("tokens").alias("token")).distinct(), "token").groupBy("token").count()

@@ -365,6 +365,16 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.where("false"), labels).count() == 0
 
 
+def test_url_rules_where_most_are_bad(spark):
+    rows = [(i, f"http://{'shop' if i % 5 == 0 else 'casino'}.site.net/{i % 3}/p{i}") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0), 0) for i in range(160)], "doc_id long, quality int, toxic int")
+    assert {(r.page_id, r.verdict) for r in url_rules.judge(pages, labels).collect()} == {(i, "block" if "casino" in u else "allow") for i, u in rows}
+    # a lift that no rule has leaves those halfway to 1
+    assert url_rules.judge(pages, labels, lift=9.0).where("verdict = 'block'").count() == 160
+    assert url_rules.judge(pages, labels.where("quality = 0")).where("verdict = 'block'").count() == 0
+
+
 # --- 7 ----------------------------------------------------------------------------------------------------------------
 
 
