@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import binary_out, decontam, html_text, near_dup, packing, quality, sharding, token_scan, url_rules, warc
 from .common import table
@@ -47,7 +48,7 @@ def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), doc=url_rules.document_of(F.col("url")))
 
 
 def op7_max_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ def tokens_of(url: Column) -> Column:
     A host is the combination of its words: a token for it as a whole would only double every combination that it is in.
     """
     path = path_of(url)
-    words = F.transform(F.regexp_extract_all(host_of(url), F.lit(r"[a-z0-9]+"), F.lit(0)), lambda x: F.concat(F.lit("word="), x))
+    words = F.transform(F.regexp_extract_all(host_of(url), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)), lambda x: F.concat(F.lit("word="), x))
     parts = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("path="), F.regexp_replace(x, "[0-9]", "0")))
     query = F.regexp_extract_all(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), F.lit(r"([^&=]+)"), F.lit(1))
     keys = F.transform(query, lambda x: F.concat(F.lit("query="), x))
@@ -49,6 +49,11 @@ def tokens_of(url: Column) -> Column:
     return F.when(F.contains(F.coalesce(url, F.lit("")), F.lit("://")), found).otherwise(F.array(F.lit("no url")))
 
 
+def document_of(url: Column) -> Column:
+    """The number that a URL's path ends in, with or without a suffix or slash: the document that the page holds."""
+    return F.regexp_extract(path_of(url), r"/(\d+)(?:\.\w+)?/?$", 1).try_cast("long")
+
+
 def listed(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """Rule and verdict of the longest listed rule that fits (of equal length, the first)."""
     rule = verdict = None
@@ -81,15 +86,17 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     return written(sure.join(within.select("rule").distinct(), "rule", "left_anti"), "url-pruned")
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = LISTED, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST_ROWS, lift: float = LIFT) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = LISTED, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST_ROWS, lift: float = LIFT, doc: Column | None = None) -> DataFrame:
     """A row a row of ``pages``: id, host, path, rule, verdict, mined (the tokens of the surest mined rule that fits, if one decided).
 
-    A page's labels are the rows of ``labels`` with its id; it is bad if one of them has quality 0 or toxic 1.
+    A page's labels are the rows of ``labels`` with the document that it stands for, ``doc`` (its id by default); it is
+    bad if one of them has quality 0 or toxic 1.
     """
     session(pages)
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
-    known = labels.select(F.col(label_id).alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")).where("id is not null and bad is not null").groupBy("id").agg(F.max("bad").alias("bad"))
-    mined = mine(rows.join(known, "id").select(tokens_of(F.col("url")).alias("tokens"), "bad"), support, confidence, lift, least)
+    # a null URL says what an empty one does
+    rows = pages.select(F.col(id_col).alias("id"), F.coalesce(url_col, F.lit("")).alias("url"), (F.col(id_col) if doc is None else doc).alias("doc"))
+    known = labels.select(F.col(label_id).alias("doc"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")).where("doc is not null and bad is not null").groupBy("doc").agg(F.max("bad").alias("bad"))
+    mined = mine(rows.join(known, "doc").select(tokens_of(F.col("url")).alias("tokens"), "bad"), support, confidence, lift, least)
     # each URL is judged once, however many pages have it
     urls = rows.select("url").distinct().withColumn("tokens", tokens_of(F.col("url")))
     counts = rows.select("url").distinct().select(F.explode(tokens_of(F.col("url"))).alias("token")).join(mined.select(F.explode("tokens").alias("token")).distinct(), "token").groupBy("token").count()

@@ -375,6 +375,20 @@ def test_url_rules_where_most_are_bad(spark):
     assert url_rules.judge(pages, labels.where("quality = 0")).where("verdict = 'block'").count() == 0
 
 
+def test_url_rules_by_document(spark):
+    bad = ["http://казино.рф/x/{}.html", "http://ок.рф/x/{}/", "https://हिन्दी.net/x/{}?a=1", None]
+    rows = [(i, (bad[i % 4] or "").format(1000 + i) or None) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    # a page's own id is that of a document whose label says the opposite
+    labels = spark.createDataFrame([(1000 + i, int(i % 4 != 0), 0) for i in range(400)] + [(i, int(i % 4 == 0), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = {(r.page_id, r.verdict, r.mined) for r in url_rules.judge(pages, labels, doc=url_rules.document_of(F.col("url"))).collect()}
+    assert got == {(i, "allow" if i % 4 else "block", None if i % 4 else "word=казино") for i, _ in rows}
+    null = {r.page_id % 4: r.mined for r in url_rules.judge(pages, labels.where("doc_id < 1000 AND (quality = 1 OR doc_id % 4 = 3)")).collect()}
+    assert null[3] == "no url" and null[0] is None
+    urls = ["http://h/en/12", "http://h/12.html?x=3", "http://h/a/12/#top", "http://h/x12", "http://h12/", None, "http://h/9999999999999999999999"]
+    assert [r.d for r in spark.createDataFrame([(u,) for u in urls], "u string").select(url_rules.document_of(F.col("u")).alias("d")).collect()] == [12, 12, 12, None, None, None, None]
+
+
 # --- 7 ----------------------------------------------------------------------------------------------------------------
 
 
