@@ -61,8 +61,8 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """A row a row of ``docs``: id, n_words, n_hit (words in shared windows), n_items, items_sha256, contaminated."""
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, tagged: bool = False) -> DataFrame:
+    """A row a row of ``docs``: id, n_words, n_hit (words in shared windows), n_items, items_sha256, contaminated; if ``tagged``, tag (the text's hash)."""
     session(docs)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("tag", F.xxhash64("text"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("words")).where(F.size("words") > 0)
@@ -102,7 +102,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         out = counted.join(judged, F.col("id").eqNullSafe(F.col("jid")) & F.col("tag").eqNullSafe(F.col("jtag")), "left")
     named = F.coalesce("all_items", none)
     return out.select(
-        F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(named).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", named), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")
+        F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(named).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", named), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), *(["tag"] if tagged else [])
     )
 
 

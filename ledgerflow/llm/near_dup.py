@@ -109,8 +109,8 @@ def _signed(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows: i
             counts = np.zeros(len(sets) + 1, np.int32)
             counts[1:] = np.cumsum(np.where(sizes > 0, bands, 0))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, len(sets)), pa.array(sizes), pa.array([_class_of(s) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(counts), pa.array(keys.ravel()))],
-                ["id", "n", "cls", "bands"],
+                [batch.column(0).slice(at, len(sets)), pa.array(sizes), pa.array([_class_of(s) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(counts), pa.array(keys.ravel())), *(x.slice(at, len(sets)) for x in batch.columns[2:])],
+                ["id", "n", "cls", "bands", *batch.schema.names[2:]],
             )
 
 
@@ -198,15 +198,16 @@ def _across(met: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, cl
     return direct.union(shared.select("a", "b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row a row of ``docs``: id, n_shingles, component_id (smallest id reachable over links), kept (id = component_id).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, tagged: bool = False) -> DataFrame:
+    """One row a row of ``docs``: id, n_shingles, component_id (smallest id reachable over links), kept (id = component_id); if ``tagged``, tag (the text's hash).
 
     Banding with the default 30 bands of 5 rows misses a pair at a similarity of exactly 0.8 with a chance of 7e-6.
     """
     spark = session(docs)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    signed = written(docs.mapInArrow(lambda it: _signed(it, shingle, bands, rows), f"id {kind}, n long, cls binary, bands array<long>"), "near-signed")
+    tag = ["tag"] if tagged else []
+    signed = written(docs.select("id", "text", *[F.xxhash64("text").alias(x) for x in tag]).mapInArrow(lambda it: _signed(it, shingle, bands, rows), f"id {kind}, n long, cls binary, bands array<long>" + "".join(f", {x} long" for x in tag)), "near-signed")
     classes = written(signed.where("n > 0").groupBy("cls").agg(F.min(F.struct("id", "bands")).alias("m"), F.min("id").alias("least"), F.max("n").alias("n")).select("cls", "least", "n", F.col("m.bands").alias("bands")), "near-classes")
     dealt = classes.select("cls", "n", F.explode("bands").alias("bucket"))
     buckets = written(dealt.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "near-buckets")
@@ -231,8 +232,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = written(labels.join(classes.select(F.col("cls").alias("node"), "least"), "node"), "near-grouped")
     lowest = written(grouped.groupBy("label").agg(F.min("least").alias("component")), "near-lowest")
     named = written(classes.select("cls", "least").join(grouped.join(lowest, "label").select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", F.coalesce("component", "least").alias("component")), "near-named")
-    out = signed.select("id", "n", "cls").join(named, "cls", "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+    out = signed.select("id", "n", "cls", *tag).join(named, "cls", "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"), *tag)
 
 
 ORACLE_SQL = r"""

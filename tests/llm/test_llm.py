@@ -605,3 +605,21 @@ def test_html_text_right_in_div(spark, sf_dir):
     assert html_text.extract(f"<html><body>{menu}<div id=x1>{lines}</div>{menu}</body></html>", weights) == want
     assert html_text.extract(f"<html><body>{menu}<table><tr><td>{lines}</td></tr></table>{menu}</body></html>", weights) == want
     assert html_text.extract(f"<html><body>{menu}<div>Before it all.<p>{lines}</p>And after it.</div></body></html>", weights) == f"Before it all. {want} And after it."
+
+
+def test_stages_judge_rows_without_ids_apart(spark, sf_dir):
+    from ledgerflow.llm import stages
+
+    passage = next(r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if len(words(r.text)) > 20)
+    fine = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en' AND n_chars BETWEEN 600 AND 3000")
+    judged = quality.judge(fine, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select("doc_id")
+    clean = decontam.contamination(fine.join(judged, "doc_id"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("NOT contaminated").select("doc_id")
+    text = fine.join(clean, "doc_id").orderBy("doc_id").first().text
+    other = " ".join(f"w{i}" for i in range(90))
+    rows = [(k, t) for k in (None, 9) for t in (text, "bad", None, f"{text} {passage}", text)] + [(1, other), (9, other + " end"), (None, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = lambda stage: {(r.doc_id, r.text) for r in stage(spark, docs, sf_dir).collect()}
+    assert {(k, text) for k in (None, 9)} <= (got := texts(stages.quality_rules)) and not got & {(k, t) for k in (None, 9) for t in ("bad", None)}
+    assert texts(stages.decontamination) == {(k, t) for k, t in rows if not t or passage not in t}
+    got = texts(stages.near_duplicates)
+    assert (1, other) in got and not got & {(9, other + " end"), (None, other)} and (9, text) in got and (None, text) not in got
