@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +23,17 @@ def session(df: DataFrame) -> SparkSession:
     return spark
 
 
+_local: list[str] = []
+_scopes: list[list[tuple[str, str]]] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI under ``spark.checkpoint.dir``; only where that is unset (tests), under a local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="ledgerflow-")
-        spark.sparkContext.setCheckpointDir(base)
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="ledgerflow-"))
+        base = _local[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -35,9 +42,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = session(df)
     path = shared_dir(spark, name)
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append((name, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Tables written within it are deleted at its end, but for those of the names ``keep``, which the result still reads."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        context = spark.sparkContext
+        for name, path in _scopes.pop():
+            if name not in keep:
+                folder = context._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

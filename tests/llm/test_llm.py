@@ -447,9 +447,7 @@ def brute_groups(rows, shingle, percent):
 
 
 @pytest.mark.parametrize("shingle", [4, 5])
-@pytest.mark.parametrize("small", [32, 0])
-def test_near_duplicates(docs, shingle, small, monkeypatch):
-    monkeypatch.setattr(near_dup, "SMALL", small)
+def test_near_duplicates(docs, shingle):
     got = near_dup.near_duplicates(docs, shingle=shingle).collect()
     assert ordered(got) == ordered(brute_groups(corpus()[0], shingle, 80))
 
