@@ -41,6 +41,8 @@ BANDS, ROWS = 30, 5
 BITMAP = 1 << 22
 #: Slots that shingles are counted in, and slots of one row of counts.
 COUNTED, COUNTS_ROW = 1 << 20, 1 << 14
+#: Bytes of ids up to which they are broadcast to where sets lie, and bytes that a row is reckoned at.
+BROADCAST_BYTES, ROW_BYTES = 8 << 20, 160
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -159,10 +161,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast if it is small."""
+    return F.broadcast(table) if table.count() * ROW_BYTES <= BROADCAST_BYTES else table
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b, ...), those whose full sets are as similar as asked."""
-    left, right = sets.select(F.col("cls").alias("a"), F.col("items").alias("x")), sets.select(F.col("cls").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
+    """Of the pairs (a, b, ...), those whose full sets are as similar as asked. Only sets that pairs name are shuffled, if pairs are few."""
+    pairs = written(pairs, "near-pairs")
+    few = _few(pairs)
+    left = sets.join(few, sets["cls"] == few["a"]).select(*pairs.columns, F.col("items").alias("x"))
+    right = sets.join(few, sets["cls"] == few["b"]).select("a", "b", F.col("items").alias("y"))
+    both = left.join(right, ["a", "b"]).withColumn("i", F.size(F.array_intersect("x", "y")))
     return both.where(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * percent).select(*pairs.columns)
 
 
@@ -231,7 +241,10 @@ def _across(met: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) ->
     """``labels`` (cls, label) after the links between classes of one hub that are in different components."""
     own = written(met.select("hub", "cls").join(labels, "cls"), "near-own")
     mixed = own.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("hub")
-    own = own.join(mixed, "hub").join(sets.select("cls", F.col("items").alias("x")), "cls").join(sets.select(F.col("cls").alias("hub"), F.col("items").alias("c")), "hub").select("hub", "cls", "label", "x", "c")
+    own = written(own.join(mixed, "hub").select("hub", "cls", "label"), "near-mixed")
+    hubs = written(own.select("hub").distinct(), "near-mixed-hubs")
+    central = sets.join(_few(hubs), F.col("cls") == F.col("hub")).select("hub", F.col("items").alias("c"))
+    own = sets.join(_few(own), "cls").select("hub", "cls", "label", F.col("items").alias("x")).join(central, "hub").select("hub", "cls", "label", "x", "c")
     counts = _frequencies(sets)
     kinds = "hub binary, cls binary, label binary, limit long, e long, s long, far boolean, uu long, tokens array<long>"
     made = written(own.mapInArrow(lambda it: _prefixes(it, percent, counts), kinds), "near-prefixes")
