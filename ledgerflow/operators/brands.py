@@ -2,24 +2,42 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaro_winkler_col, lcs_col, split_merchant
 
 
+def _first_token(tokens: list[tuple[str, int]]):
+    """A function of texts: the least number of the tokens that a text contains. One pass over a text finds all of them."""
+
+    @F.pandas_udf("int")
+    def first(texts: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for token, number in tokens:
+            found.add_word(token, min(number, found.get(token, number)))
+        found.make_automaton()
+        return pd.Series([None if x is None else min((n for _, n in found.iter(x)), default=None) for x in texts], dtype="Int32")
+
+    return first
+
+
 def brand_of(rows: DataFrame, brands: DataFrame, key: str = "msg_id", merchant: str = "merchant", body: str = "body") -> DataFrame:
     """Adds brand, brand_category and online: the first brand (token, brand, category, online, ord) whose token the merchant has, else the body.
 
-    Both joins see distinct texts only; ``brands`` is a dictionary, a row a brand token.
+    ``brands`` is a dictionary, a row a brand token: an automaton of all tokens goes over each text once, without a join or
+    a shuffle of texts. The body is only looked at where the merchant has none.
     """
-    def hits(column: str, name: str) -> DataFrame:
-        texts = rows.select(F.lower(column).alias(name)).where(f"{name} IS NOT NULL").distinct()
-        return texts.join(F.broadcast(brands), F.contains(name, F.lower("token"))).groupBy(name).agg(F.min(F.struct("ord", "brand", "category", "online")).alias(f"b_{name}"))
-
-    out = rows.withColumns({"_m": F.lower(merchant), "_b": F.lower(body)}).join(hits(merchant, "_m"), "_m", "left").join(hits(body, "_b"), "_b", "left")
-    found = F.coalesce("b__m", "b__b")
-    return out.withColumns({"brand": found["brand"], "brand_category": found["category"], "online": F.coalesce(found["online"], F.lit(False))}).drop("_m", "_b", "b__m", "b__b")
+    known = brands.select(F.lower("token").alias("token"), "brand", "category", "online", "ord").where("token <> ''").orderBy("ord", "brand", "category", "online").collect()
+    if not known:
+        return rows.withColumns({"brand": F.lit(None).cast("string"), "brand_category": F.lit(None).cast("string"), "online": F.lit(False)})
+    first = _first_token([(r.token, n) for n, r in enumerate(known)])
+    names = rows.sparkSession.createDataFrame([(n, r.brand, r.category, r.online) for n, r in enumerate(known)], "_n int, brand string, brand_category string, _online boolean")
+    out = rows.withColumn("_m", first(F.lower(merchant))).withColumn("_n", F.coalesce("_m", first(F.when(F.col("_m").isNull(), F.lower(body)))))
+    return out.join(F.broadcast(names), "_n", "left").withColumn("online", F.coalesce("_online", F.lit(False))).drop("_m", "_n", "_online")
 
 
 def token_matches(tokens: DataFrame, keywords: DataFrame) -> DataFrame:

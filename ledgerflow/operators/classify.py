@@ -10,16 +10,22 @@ from ..functions.text import mask_amounts, word_ngrams, words
 ONE_SIDED = 5.0
 
 
+def _grams(docs: DataFrame, keep: list[str], text: str, most: int, once: bool = False) -> DataFrame:
+    made = docs.select(*keep, words(mask_amounts(F.col(text))).alias("w")).select(*keep, word_ngrams(F.col("w"), most).alias("g"))
+    return made.select(*keep, F.explode(F.array_distinct("g") if once else F.col("g")).alias("gram"))
+
+
 def ngrams(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:
     """(key, gram, n): n-grams of each text with their repeats; amounts are masked."""
-    grams = docs.select(key, words(mask_amounts(F.col(text))).alias("w")).select(key, F.explode(word_ngrams(F.col("w"), most)).alias("gram"))
+    grams = _grams(docs, [key], text, most)
     return grams.groupBy(key, "gram").agg(F.count("*").alias("n"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", most: int = 3, least: int = 2) -> DataFrame:
     """(gram, n0, n1): in how many labelled texts of class 0 and 1 an n-gram occurs, ``least`` at least in all."""
     known = labels.select(key, F.col(label).alias("y")).where("y IS NOT NULL")
-    found = ngrams(docs.join(known.select(key), key, "left_semi"), key, text, most).join(known, key)
+    # an n-gram counts once a text: repeats go within the row, and one shuffle of partial sums is left
+    found = _grams(docs.join(known, key), ["y"], text, most, once=True)
     counted = found.groupBy("gram").agg(F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("n0"), F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("n1"))
     return counted.where(F.col("n0") + F.col("n1") >= least)
 
@@ -37,7 +43,7 @@ def weights(model: DataFrame, prior: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, model: DataFrame, prior: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:
     """(key, score, class): log prior ratio and the weights of all n-grams with repeats; 0 if the score is 0 or more."""
-    hit = ngrams(docs, key, text, most).join(weights(model, prior), "gram").groupBy(key).agg(F.sum(F.col("n") * F.col("w")).alias("s"))
+    hit = _grams(docs, [key], text, most).join(weights(model, prior), "gram").groupBy(key).agg(F.sum("w").alias("s"))
     base = prior.select(F.log(F.col("d0") / F.col("d1")).alias("base"))
     out = docs.select(key).join(hit, key, "left").join(F.broadcast(base))
     total = F.round(F.coalesce("s", F.lit(0.0)) + F.col("base"), 6)

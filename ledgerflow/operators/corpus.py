@@ -21,21 +21,29 @@ def tag_keywords(docs: DataFrame, dictionary: DataFrame, longest: int | None = N
     Phrases of over ``longest`` words are left out; without it, none are.
     """
     longest = longest_phrase(dictionary) if longest is None else longest
-    words = docs.select(key, F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)).alias("w"))
-
-    def of_length(n: int) -> Column:
-        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(i.alias("pos"), (i + n).alias("end"), F.array_join(F.slice("w", i + 1, n), " ").alias("phrase"))))
-
-    spans = [of_length(n) for n in range(1, longest + 1)]
-    empty = F.array().cast("array<struct<pos:int,end:int,phrase:string>>")
-    every = words.select(key, F.explode(F.concat(*[F.coalesce(s, empty) for s in spans])).alias("s")).select(key, "s.*")
-    found = every.join(F.broadcast(dictionary.select(F.lower("phrase").alias("phrase"), "type", "norm")), "phrase")
-    ordered = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("end")).alias("less"), "end", "type", "norm"))).alias("m"))
-    # a match stays if it begins where the last one that stayed has ended; only places of matches are gathered on the way
+    known = dictionary.select(F.lower("phrase").alias("phrase"), "type", "norm")
+    # only words that a phrase has leave the scan; what stands in a row of them is looked up
+    parts = known.select(F.explode(F.split("phrase", " ")).alias("word")).distinct()
+    met = tokens(docs, key, text).join(F.broadcast(parts), "word")
+    if longest == 1:
+        found = met.select(key, "pos", (F.col("pos") + 1).alias("end"), F.col("word").alias("phrase")).join(F.broadcast(known), "phrase")
+    else:
+        order = Window.partitionBy(key).orderBy("pos")
+        runs = met.withColumns({f"_{n}": F.when(F.lead("pos", n).over(order) == F.col("pos") + n, F.lead("word", n).over(order)) for n in range(1, longest)})
+        phrases = [F.struct(F.lit(1).alias("n"), F.col("word").alias("phrase"))]
+        phrases += [F.when(F.col(f"_{n}").isNotNull(), F.struct(F.lit(n + 1).alias("n"), F.concat_ws(" ", "word", *[F.col(f"_{i}") for i in range(1, n + 1)]).alias("phrase"))) for n in range(1, longest)]
+        said = runs.select(key, "pos", F.explode(F.filter(F.array(*phrases), lambda x: x.isNotNull())).alias("x"))
+        found = said.select(key, "pos", (F.col("pos") + F.col("x.n")).alias("end"), "x.phrase").join(F.broadcast(known), "phrase")
+    # matches that overlap form a cluster; within it one stays if it begins where the last one that stayed has ended
+    before = Window.partitionBy(key).orderBy("pos", F.col("end").desc(), "type", "norm")
+    free = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("_new", F.when(F.col("pos") < free, 0).otherwise(1)).withColumn("_c", F.sum("_new").over(before))
+    ordered = found.groupBy(key, "_c").agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("end")).alias("less"), "end", "type", "norm"))).alias("m"))
     start = F.struct(F.lit(0).alias("free"), F.array().cast("array<int>").alias("kept"))
     places = F.sequence(F.lit(0), F.size("m") - 1)
     walk = F.aggregate(places, start, lambda a, i: F.when(F.get("m", i)["pos"] >= a["free"], F.struct(F.get("m", i)["end"].alias("free"), F.array_append(a["kept"], i).alias("kept"))).otherwise(a), lambda a: a["kept"])
-    chosen = ordered.withColumn("at", walk).select(key, "m", F.explode("at").alias("i"))
+    alone = F.when(F.size("m") == 1, F.array(F.lit(0))).otherwise(walk)
+    chosen = ordered.withColumn("at", alone).select(key, "m", F.explode("at").alias("i"))
     return chosen.select(key, F.get("m", F.col("i")).alias("x")).select(key, "x.pos", "x.end", "x.type", "x.norm")
 
 
@@ -86,17 +94,18 @@ def near(spans: DataFrame, rules: list[tuple[int, str, str, int, tuple[str, ...]
     ``spans`` are rows (key, pos, type) by token position; pairs are made within a band of positions only.
     """
     found = None
-    types = spans.select(F.col(key).alias("k3"), F.col("pos").alias("p3"), F.col("type").alias("t3"))
+    upto = Window.partitionBy(key).orderBy("pos")
     for number, a, b, most, allowed in rules:
-        left = spans.where(F.col("type") == a).select(F.col(key).alias("k1"), F.col("pos").alias("p1"))
+        # how many other spans lie before a place, and up to it: between two places there is none if both agree
+        other = (~F.col("type").isin(list(allowed))).cast("int") if allowed else F.lit(1)
+        counted = spans.withColumns({"below": F.coalesce(F.sum(other).over(upto.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)), "upto": F.sum(other).over(upto.rangeBetween(Window.unboundedPreceding, 0))}).where(F.col("type").isin(a, b))
+        left = counted.where(F.col("type") == a).select(F.col(key).alias("k1"), F.col("pos").alias("p1"), "upto")
         # bands of most + 1 positions turn nearness into an equality join
         band = most + 2
         left = left.withColumn("band", F.explode(F.array(F.floor(F.col("p1") / band), F.floor(F.col("p1") / band) + 1)))
-        right = spans.where(F.col("type") == b).select(F.col(key).alias("k2"), F.col("pos").alias("p2"), F.floor(F.col("pos") / band).alias("band"))
-        pairs = left.join(right, (F.col("k1") == F.col("k2")) & (left["band"] == right["band"])).where((F.col("p2") > F.col("p1")) & (F.col("p2") - F.col("p1") <= most + 1)).select("k1", "p1", "p2").distinct()
-        other = types.where(~F.col("t3").isin(list(allowed))) if allowed else types
-        blocked = pairs.join(other, (F.col("k1") == F.col("k3")) & (F.col("p3") > F.col("p1")) & (F.col("p3") < F.col("p2")), "left_anti")
-        best = blocked.groupBy("k1").agg(F.min(F.struct((F.col("p2") - F.col("p1")).alias("d"), "p1", "p2")).alias("m")).select(F.col("k1").alias(key), F.lit(number).alias("rule"), "m.p1", "m.p2")
+        right = counted.where(F.col("type") == b).select(F.col(key).alias("k2"), F.col("pos").alias("p2"), F.floor(F.col("pos") / band).alias("band"), "below")
+        pairs = left.join(right, (F.col("k1") == F.col("k2")) & (left["band"] == right["band"])).where((F.col("p2") > F.col("p1")) & (F.col("p2") - F.col("p1") <= most + 1) & (F.col("below") == F.col("upto")))
+        best = pairs.groupBy("k1").agg(F.min(F.struct((F.col("p2") - F.col("p1")).alias("d"), "p1", "p2")).alias("m")).select(F.col("k1").alias(key), F.lit(number).alias("rule"), "m.p1", "m.p2")
         found = best if found is None else found.union(best)
     return found.groupBy(key).agg(F.min(F.struct("rule", "p1", "p2")).alias("m")).select(key, "m.rule", F.col("m.p1").alias("a_pos"), F.col("m.p2").alias("b_pos"))
 

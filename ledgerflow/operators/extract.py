@@ -2,50 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as C
 from ..functions.text import direction_of
-from . import fields, gates, routing
-
-#: Own rules of institutions, tried before the general ones: institution -> field -> patterns.
-SCOPED = {
-    "Beta Bank": {"merchant": (r"(?i)\bInfo:\s*([^.;]{2,60})",), "reference": (r"(?i)\bSeq\s*#\s*(\d{6,20})\b",)},
-    "Gamma Card": {"merchant": (r"(?i)\bmerchant\s+([^.;]{2,60}?)(?=\s+on\b|[.;]|$)",)},
-}
-
-
-def scoped(field: str, body: Column, institution: Column, general: Column, usable=None) -> Column:
-    """The institution's own patterns for ``field`` first, then the general rule."""
+from . import brands, classify, corpus, fields, gates, routing
+
+#: Own rules of institutions, tried before the general ones, in the order of prio. A rule of "gate" says whether a body that
+#: its pattern matches is a transaction ("accept" or "reject"), one of "type" or "is_card" what it is; others capture a field.
+RULE = "institution string, field string, prio int, pattern string, value string"
+OWN = [
+    ("Beta Bank", "merchant", 1, r"(?i)\bInfo:\s*([^.;]{2,60})", None),
+    ("Beta Bank", "reference", 1, r"(?i)\bSeq\s*#\s*(\d{6,20})\b", None),
+    ("Gamma Card", "merchant", 1, r"(?i)\bmerchant\s+([^.;]{2,60}?)(?=\s+on\b|[.;]|$)", None),
+]
+#: What a captured text must be, by field.
+_USABLE: dict[str, Callable[[Column], Column] | None] = {
+    "amount": lambda v: C.parse_amount(v), "balance": lambda v: C.parse_amount(v, positive=False), "credit_limit": lambda v: C.parse_amount(v, positive=False),
+    "account_last4": lambda v: F.right(F.regexp_replace(v, r"\D", ""), F.lit(4)), "merchant": fields.valid_merchant, "reference": None, "currency": F.upper,
+}
+_SAYS = ("gate", "type", "is_card")
+
+
+def own_rules(table: DataFrame | None, spark: SparkSession | None = None) -> list[Row]:
+    """The rows of a rule table (``RULE``), a dictionary of a few rows an institution, in order; ``OWN`` without one."""
+    table = (spark or table.sparkSession).createDataFrame(OWN, RULE) if table is None else table
+    rows = table.select("institution", "field", "prio", "pattern", "value").orderBy("institution", "field", "prio", "pattern").collect()
+    if wrong := {r.field for r in rows} - {*_USABLE, *_SAYS}:
+        raise ValueError(f"rules of unknown fields: {sorted(wrong)}")
+    return rows
+
+
+def scoped(field: str, body: Column, institution: Column, general: Column, own: list[Row]) -> Column:
+    """What the institution's own rules say of ``field``, else the general rule."""
     out = None
-    for name, rules in SCOPED.items():
-        if field in rules:
-            own = F.coalesce(fields.first(body, rules[field], usable), general)
-            out = F.when(institution == name, own) if out is None else out.when(institution == name, own)
+    for name in sorted({r.institution for r in own if r.field == field}):
+        rules = [r for r in own if r.field == field and r.institution == name]
+        if field in _SAYS:
+            found = F.coalesce(*[F.when(body.rlike(r.pattern), r.value) for r in rules])
+            found = found if field == "type" else found.isin("accept", "true")
+        else:
+            found = fields.first(body, tuple(r.pattern for r in rules), _USABLE[field])
+        own_first = F.coalesce(found, general)
+        out = F.when(institution == name, own_first) if out is None else out.when(institution == name, own_first)
     return general if out is None else out.otherwise(general)
 
 
-def extract_transactions(messages: DataFrame, rules: DataFrame, gate: bool = True) -> DataFrame:
+def extract_transactions(messages: DataFrame, rules: DataFrame, gate: bool = True, own: DataFrame | None = None) -> DataFrame:
     """A row a message that states a transaction, in the TRANSACTION schema.
 
     Length guard and gate are filters before the extraction, so that rejected bodies see no field pattern. Senders are
     routed first: their distinct values come from a scan of that column alone, and the filters go below the join.
+    ``own`` is a table of rules of institutions (``RULE``), which go before the general ones.
     """
-    body = F.col("body")
+    body, who = F.col("body"), F.col("institution")
+    own_ = own_rules(own, messages.sparkSession)
     rows = routing.route_sender(messages, rules).where(gates.short_enough(body))
-    rows = rows.where(gates.is_transaction(body)) if gate else rows
+    rows = rows.where(scoped("gate", body, who, gates.is_transaction(body), own_)) if gate else rows
+
+    def of(field: str, general: Column) -> Column:
+        return scoped(field, body, who, general, own_).alias(field)
+
     found = rows.select(
         "user_id", "msg_id", "sender", "body", "ts", "institution",
-        fields.amount(body).alias("amount"),
-        F.when(fields.direction(body).isNotNull() | gates.is_card(body), F.coalesce("type_override", fields.direction(body))).alias("type"),
+        of("amount", fields.amount(body)),
+        of("type", F.when(fields.direction(body).isNotNull() | gates.is_card(body), F.coalesce("type_override", fields.direction(body)))),
         fields.negated(body).alias("negated"),
-        fields.currency(body).alias("currency"),
-        scoped("merchant", body, F.col("institution"), fields.merchant(body), fields.valid_merchant).alias("merchant"),
-        scoped("reference", body, F.col("institution"), fields.reference(body)).alias("reference"),
-        fields.account_tail(body).alias("account_last4"),
-        fields.balance(body).alias("balance"),
-        fields.credit_limit(body).alias("credit_limit"),
-        (gates.is_card(body) | (F.col("kind") == "card")).alias("is_card"),
+        of("currency", fields.currency(body)),
+        of("merchant", fields.merchant(body)),
+        of("reference", fields.reference(body)),
+        of("account_last4", fields.account_tail(body)),
+        of("balance", fields.balance(body)),
+        of("credit_limit", fields.credit_limit(body)),
+        of("is_card", gates.is_card(body) | (F.col("kind") == "card")),
         fields.other_account(body).alias("other_account"),
     )
     found = gates.has_amount_and_type(found)
@@ -93,3 +125,48 @@ def enriched(messages: DataFrame, rules: DataFrame) -> DataFrame:
         fields.subcategory(body).alias("subcategory"), fields.amount(body).alias("amount"), fields.currency(body).alias("currency"), fields.merchant(body).alias("merchant"), fields.account_tail(body).alias("account_last4"), fields.balance(body).alias("balance"),
         fields.mandate_id(body).alias("mandate_id"), fields.mandate_event(body).alias("mandate_event"), fields.mandate_merchant(body).alias("mandate_merchant"), fields.mandate_amount(body).alias("mandate_amount"),
     )
+
+
+def travel_places(messages: DataFrame, places: DataFrame, key: str = "msg_id", body: str = "body") -> DataFrame:
+    """(key, origin, destination): codes of the first two places (word, code) that a travel message names."""
+    trips = messages.where(F.lower(body).rlike(fields.PACKS["travel"][0]))
+    return routing.place_codes(trips, places, key, body).select(key, F.get("codes", F.lit(0)).alias("origin"), F.get("codes", F.lit(1)).alias("destination"))
+
+
+def wide(
+    messages: DataFrame, rules: DataFrame, words: DataFrame | None = None, senders: DataFrame | None = None, known_brands: DataFrame | None = None,
+    banks: tuple[DataFrame, DataFrame, DataFrame] | None = None, spam: tuple[DataFrame, DataFrame] | None = None, places: DataFrame | None = None,
+) -> DataFrame:
+    """All that is known of every message, a row each: ``enriched``, the fields of all families, narration and payees, keys.
+
+    Dictionaries add to it: ``words`` (phrase, type, norm) the tags (a map of type to norms) and the category, for which
+    ``senders`` (alias, category) is the fallback; ``known_brands`` brand, brand_category and online; ``banks`` (exact names,
+    aliases, known names) the bank's name; ``spam`` (model and priors of a classifier) a score and class; ``places`` origin
+    and destination. Each is a join on the message or on distinct senders.
+    """
+    body = F.col("body")
+    families = [c.alias(k) for family in fields.PACKS for k, c in fields.pack(body, family).items()]
+    said, two, address = fields.narration(body), fields.two_accounts(body), fields.address_of(body)
+    more = messages.where(gates.short_enough(body)).select(
+        "user_id", "msg_id", "body", *families, said["channel"].alias("channel"), said["reference"].alias("narration_reference"), said["counterparty"].alias("counterparty"), two["other"].alias("other_account"),
+        address.alias("address"), fields.payee_alias(address).alias("vendor"), fields.channel_label(body).alias("channel_label"), fields.reference(body).alias("reference"), fields.credit_limit(body).alias("credit_limit"),
+        fields.negated(body).alias("negated"), fields.txn_id(F.col("sender"), fields.amount(body), body).alias("txn_id"), fields.event_key(body, F.col("sender"), F.col("ts")).alias("event_key"),
+    )
+    out = enriched(messages, rules).withColumnRenamed("mandate_amount", "mandate_event_amount").join(more, ["user_id", "msg_id"])
+    brand = bank = F.lit(None).cast("string")
+    if words is not None:
+        tags = corpus.tag_keywords(messages, words, None, "msg_id", "body")
+        norms = tags.groupBy("msg_id", "type").agg(F.array_sort(F.collect_set("norm")).alias("norms")).groupBy("msg_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "norms")))).alias("tags"))
+        out = out.withColumn("sender_category", F.lit(None).cast("string")) if senders is None else routing.sender_category(out, senders)
+        out = routing.category(out, tags).join(norms, "msg_id", "left")
+    if known_brands is not None:
+        out, brand = brands.brand_of(out, known_brands), F.col("brand")
+    if banks is not None:
+        out = routing.bank_name(out.withColumnRenamed("bank_name", "institution"), *banks)
+        out, bank = out.withColumn("bank_name", F.coalesce("bank_name", "institution")), F.col("bank_name")
+    if spam is not None:
+        scored = classify.score(messages, *spam, key="msg_id", text="body").withColumnsRenamed({"score": "spam_score", "class": "spam_class"})
+        out = out.join(scored, "msg_id", "left")
+    if places is not None:
+        out = out.join(travel_places(messages, places), "msg_id", "left")
+    return out.withColumn("payee", fields.display_payee(brand, F.coalesce("merchant", "vendor", "counterparty"), bank, F.col("sender")))

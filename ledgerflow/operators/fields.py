@@ -41,13 +41,21 @@ def negated(body: Column) -> Column:
     return F.coalesce(F.lower(body).rlike(r"\b(?:not|never|n't)\s+(?:been\s+)?(?:debited|credited|charged|deducted|paid)\b"), F.lit(False))
 
 
+# The verbs, besides "debited" and "credited", that say which way money goes.
+OUT_VERBS = ("withdrawn", "spent", "charged", "paid", "purchase", "deducted")
+IN_VERBS = ("deposited", "received", "refund")
+# More forms of them.
+OUT_VERBS += ("purchased",)
+IN_VERBS += ("refunded",)
+
+
 def direction(body: Column) -> Column:
     """INVESTMENT, EXPENSE or INCOME; in a two-account message the first verb decides."""
     b = F.lower(body)
-    out = b.rlike(r"\b(?:withdrawn|spent|charged|paid|purchase|purchased|deducted)\b")
+    out = gates.any_of(body, OUT_VERBS)
     debited, credited = F.locate("debited", b), F.locate("credited", b)
     both = (debited > 0) & (credited > 0)
-    got = b.rlike(r"\b(?:deposited|received|refund|refunded)\b")
+    got = gates.any_of(body, IN_VERBS)
     cashback = b.rlike(r"\bcashback\b") & ~b.rlike(r"\bearn cashback\b")
     return (
         F.when(gates.is_investment(body), "INVESTMENT")
@@ -61,12 +69,16 @@ ANCHORS = ("to", "from", "at", "for")
 _STOP = r"(?=\s+(?:on|at|from|ref|upi|via|dt|txn|utr|rrn)\b|\s*[;]|\.(?:\s|$)|,\s|$)"
 
 
+LEGAL_FORMS = ("pvt", "private", "ltd", "limited", "llp", "llc", "inc", "gmbh", "plc")
+#: Where a name ends: a reference or channel word, a date or time of day, a dash between spaces, a bracket that closes the text.
+_NOT_NAME = r"\s(?i:ref|upi|utr|rrn|txn)\b|\s(?:on|at)\s\d|\s-\s|\s?\([^()]*\)$"
+
+
 def cleanup(c: Column) -> Column:
-    """Eight replacements in order, then white space and edge punctuation."""
-    steps = ((r"\s*\([^)]*\)\s*$", ""), (r"(?i)\s+ref\b.*$", ""), (r"\s+on\s+\d.*$", ""), (r"\s+at\s+\d.*$", ""), (r"(?i)\s+upi\b.*$", ""), (r"\s+-\s.*$", ""), (r"(?i)\s+pvt\.?\s+ltd\.?$", ""), (r"(?i)\s+(?:private\s+)?limited$", ""))
-    for pattern, to in steps:
-        c = F.regexp_replace(c, pattern, to)
-    return F.regexp_replace(F.regexp_replace(C.collapse(c), r"^[\s\p{Punct}&&[^&]]+", ""), r"[\s\p{Punct}&&[^)&]]+$", "")
+    """A name up to the first word that begins what isn't part of it, without legal forms, a last bracket and edge punctuation."""
+    name = F.regexp_extract(C.collapse(c), rf"^(.+?)(?:{_NOT_NAME}|$)", 1)
+    name = F.regexp_replace(name, rf"(?i)(?:[\s,]+(?:{'|'.join(LEGAL_FORMS)})\b\.?)+$", "")
+    return F.regexp_replace(F.regexp_replace(name, r"^[\s\p{Punct}&&[^&]]+", ""), r"[\s\p{Punct}&&[^)&]]+$", "")
 
 
 def valid_merchant(c: Column) -> Column:
@@ -315,7 +327,7 @@ PACKS = {
     "otp": (r"\b(?:otp|one time password|verification code)\b", {"otp_code": r"(?i)\b(?:otp|code|password)\s*(?:is|:)\s*(\d{4,8})\b", "otp_valid": r"(?i)\bvalid\s+for\s+(\d+\s+(?:minutes?|mins?|hours?))\b"}),
     "travel": (r"\b(?:pnr|flight|boarding|train no|bus no)\b", {"pnr": r"(?i)\bpnr\s*[:.-]?\s*([A-Z0-9]{6,10})\b", "flight": r"(?i)\bflight\s+([A-Z0-9]{2}-?\d{2,4})\b", "departs": r"(?i)\bdep(?:arts|arture)?\s*[:.]?\s*(\d{1,2}:\d{2})", "arrives": r"(?i)\barr(?:ives|ival)?\s*[:.]?\s*(\d{1,2}:\d{2})", "fare": r"(?i)\bfare\s*(?:is|:)?\s*(?:rs\.?|inr)\s*(\d[\d,]*(?:\.\d{1,2})?)", "vehicle": r"(?i)\b(?:train|bus)\s+no\.?\s*([A-Z0-9]{3,8})\b", "gate": r"(?i)\bgate\s+([A-Z]?\d{1,3}[A-Z]?)\b"}),
     "delivery": (r"\b(?:order|shipment|package|parcel|awb)\b", {"order_no": r"(?i)\border\s*(?:no\.?|id|#)?\s*[:#]?\s*([A-Z0-9-]*\d[A-Z0-9-]{4,})\b", "tracking": r"(?i)\b(?:awb|tracking)\s*(?:no\.?|id)?\s*[:#]?\s*([A-Z0-9]{8,20})\b", "delivery_status": r"(?i)\b(shipped|out for delivery|delivered|dispatched)\b", "item": r"(?i)\bfor\s+item\s+(\S+)"}),
-    "bill": (r"\b(?:bill|emi|policy|recharge)\b", {"bill_amount": r"(?i)\bbill\s+(?:amount\s+)?(?:of\s+)?(?:rs\.?|inr)\s*(\d[\d,]*(?:\.\d{1,2})?)", "emi_amount": r"(?i)\bemi\s+(?:of\s+)?(?:rs\.?|inr)\s*(\d[\d,]*(?:\.\d{1,2})?)", "due_date": r"(?i)\bdue\s+(?:on|date|by)\s*[:.]?\s*(\d{4}-\d{2}-\d{2}|\d{2}-\d{2}-\d{4})", "policy_no": r"(?i)\bpolicy\s*(?:no\.?|number)?\s*[:#]?\s*([A-Z0-9]{6,15})\b", "recharge_amount": r"(?i)\brecharge\s+of\s+(?:rs\.?|inr)\s*(\d[\d,]*(?:\.\d{1,2})?)"}),
+    "bill": (r"\b(?:bill|emi|policy|recharge|mandate)\b", {"mandate_amount": r"(?i)\bmandate\b[^.]{0,40}?\b(?:rs\.?|inr)\s*(\d[\d,]*(?:\.\d{1,2})?)", "bill_amount": r"(?i)\bbill\s+(?:amount\s+)?(?:of\s+)?(?:rs\.?|inr)\s*(\d[\d,]*(?:\.\d{1,2})?)", "emi_amount": r"(?i)\bemi\s+(?:of\s+)?(?:rs\.?|inr)\s*(\d[\d,]*(?:\.\d{1,2})?)", "due_date": r"(?i)\bdue\s+(?:on|date|by)\s*[:.]?\s*(\d{4}-\d{2}-\d{2}|\d{2}-\d{2}-\d{4})", "policy_no": r"(?i)\bpolicy\s*(?:no\.?|number)?\s*[:#]?\s*([A-Z0-9]{6,15})\b", "recharge_amount": r"(?i)\brecharge\s+of\s+(?:rs\.?|inr)\s*(\d[\d,]*(?:\.\d{1,2})?)"}),
     "offer": (r"\b(?:offers?|cashback|discount|coupon|promo)\b", {"cashback": r"(?i)\bcashback\s+of\s+(?:rs\.?|inr)\s*(\d[\d,]*(?:\.\d{1,2})?)", "discount": r"(?i)\b(\d{1,3}%)\s+(?:off|discount)\b", "offer_code": r"(?i)\b(?:use\s+code|coupon|promo\s+code)\s*[:]?\s*([A-Z0-9]{4,12})\b"}),
     "telecom": (r"\b(?:data|pack|balance)\b.*\b(?:gb|mb|validity|pack)\b", {"data_left": r"(?i)\b(\d+(?:\.\d+)?\s*(?:GB|MB))\s+(?:data\s+)?(?:left|remaining)\b", "pack_balance": r"(?i)\bpack\s+balance\s*(?:is|:)?\s*(?:rs\.?|inr)\s*(\d[\d,]*(?:\.\d{1,2})?)"}),
     "holdings": (r"\b(?:nav|folio|margin)\b", {"nav": r"(?i)\bnav\s*(?:of|is|:)?\s*(?:rs\.?|inr)?\s*(\d[\d,]*(?:\.\d{1,4})?)", "folio": r"(?i)\bfolio\s*(?:no\.?)?\s*[:#]?\s*([A-Z0-9/]{5,15})\b", "margin": r"(?i)\bmargin\s*(?:of|is|:)?\s*(?:rs\.?|inr)\s*(\d[\d,]*(?:\.\d{1,2})?)"}),

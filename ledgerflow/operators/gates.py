@@ -11,17 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The length limit and the words of the transaction gates, which decide what counts as a transaction.
+# "pls pay" with "min of" is one of them, as a pair.
 MOST_CHARS = 5000
 VERBS = ("debited", "credited", "withdrawn", "deposited", "spent", "received", "transferred", "paid")
 GATE_WORDS = (*VERBS, "withdrawal", "withdrawing", "credit", "debit")
 REJECTS = (
-    ("otp", ("otp", "one time password", "verification code", "passcode")),
-    ("promo", ("offer", "offers", "discount", "cashback offer", "win")),
+    ("otp", ("otp", "one time password", "verification code")),
+    ("promo", ("offer", "discount", "cashback offer", "win")),
     ("request", ("has requested", "payment request", "collect request", "requesting payment", "requests rs", "ignore if already paid")),
     ("received_notice", ("have received payment",)),
     ("due", ("is due", "min amount due", "minimum amount due", "in arrears", "is overdue", "ignore if paid")),
 )
+PAIRED_DUE = ("pls pay", "min of")
 # Our own lists from here on.
+#: More words of a reason.
+MORE_REJECTS = {"otp": ("passcode",), "promo": ("offers",)}
 INVESTMENT_WORDS = (
     "mutual fund", "systematic investment", "sip", "folio", "nav", "units allotted", "units purchased", "demat", "ipo allotment", "stock broker", "brokerage",
     "clearing corporation", "securities", "equity purchase", "bond purchase", "gold bond", "pension fund", "provident fund", "recurring deposit", "fixed deposit opened",
@@ -46,9 +50,9 @@ def reject_reason(body: Column, mode: str = "word") -> Column:
     """Why a body is no transaction, null if it may be one."""
     out = F.when(body.isNull() | (body == ""), "empty")
     for reason, words in REJECTS:
-        test = any_of(body, words, mode)
+        test = any_of(body, (*words, *MORE_REJECTS.get(reason, ())), mode)
         if reason == "due":
-            test = test | (any_of(body, ("pls pay",), mode) & any_of(body, ("min of",), mode))
+            test = test | (any_of(body, PAIRED_DUE[:1], mode) & any_of(body, PAIRED_DUE[1:], mode))
         out = out.when(test, reason)
     return out.when(~(any_of(body, VERBS, mode) | keyword_gate(body, mode)), "no_verb")
 
@@ -82,12 +86,13 @@ def is_card(body: Column) -> Column:
 
 
 def is_merchant(c: Column) -> Column:
-    """Two characters or more with a letter; no stop word, number, address, masked account, date or amount."""
+    """Two characters or more with a letter; no stop word, number, address, masked account, cash machine, numbered paper, date or amount."""
     lower = F.lower(F.trim(c))
     bad = (
         lower.isin(*STOP_WORDS)
         | F.contains(lower, F.lit("@"))
         | lower.rlike(r"^(?:a/c|acct|account|card|your|my)\b")
+        | lower.rlike(r"^(?:sip|folio|atm|nav)\b|^(?:policy|order|item|loan|invoice|mandate)\s+(?:no|number|id)\b|^(?:item|order|policy)\s+\S*\d")
         | lower.rlike(r"^[x*]+\d+$")
         | lower.rlike(r"^\d+\s+(?:minutes?|mins?|hours?|hrs?|days?)$")
         | lower.rlike(r"^\d{1,4}[-/.](?:\d{1,2}|[a-z]{3})[-/.]\d{1,4}$")

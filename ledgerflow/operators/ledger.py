@@ -59,6 +59,11 @@ def mandates_by_merchant(rolled: DataFrame) -> DataFrame:
     return out.withColumn("mandates", F.transform("mandates", lambda x: F.struct(x["mandate_id"].alias("mandate_id"), x["amount"].alias("amount"), x["status"].alias("status"), x["created_at"].alias("created_at"), x["last_updated"].alias("last_updated"))))
 
 
+def mandates_by_update(rolled: DataFrame) -> DataFrame:
+    """Adds place: a user's mandates, the last updated first, ties by id."""
+    return rolled.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("last_updated").desc(), "mandate_id")))
+
+
 def latest_state(rows: DataFrame, keys: list[str]) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*_newest()))
     return rows.withColumn("_n", n).where("_n = 1").drop("_n")

@@ -70,9 +70,9 @@ RICH = (
     "Rs.{AMT} transferred via NEFT to {PAYER} from A/c XX{TAIL}. UTR UT{REF}",
     "Rs.{AMT} debited from A/c XX{TAIL} for SIP in folio no F{SIX}",
     "Your OTP is {SIX}. Valid for 10 minutes.",  # 10
-    "PNR P{SIX} Flight AI-202 departs 10:30 arrives 12:45 fare Rs.{AMT} gate B12",
+    "PNR P{SIX} Flight AI-202 Delhi-Mumbai departs 10:30 arrives 12:45 fare Rs.{AMT} gate B12 then Train no T{SIX}",
     "Your order no OD{REF} is shipped. AWB AW{REF} for item I{SIX}",
-    "Bill of Rs.{AMT} for policy no PL{SIX} is due on {DAY}",
+    "Bill of Rs.{AMT} for policy no PL{SIX} is due on {DAY}. EMI of Rs.{BAL}",
     "Use code SAVE20 and get 20% off, cashback of Rs.{AMT} offer",
     "Pack balance Rs.{AMT} and 250 MB left on your pack",  # 15
     "NAV of Rs.{AMT} for folio no F{SIX} margin Rs.{BAL}",
@@ -104,6 +104,12 @@ def _from(orders: DataFrame, body: str) -> DataFrame:
     return orders.selectExpr(USER.replace("{S}", "string") + " AS user_id", MESSAGE.replace("{S}", "string") + " AS msg_id", SENDER + " AS sender", body + " AS body", "o_orderdate AS ts")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder's URI under ``spark.checkpoint.dir``; only where that is unset (tests), under a local folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerflow-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 _written: dict[tuple[str, str, str], str] = {}
 
 
@@ -111,8 +117,7 @@ def _stored(spark: SparkSession, sf_dir: str, name: str, made: Callable[[], Data
     """The message table as Parquet in the shared folder, written once a session: messages are read, as they are elsewhere."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerflow-")
-        path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path = shared_path(spark, name)
         made().repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
         _written[key] = path
     return spark.read.schema(schema.MESSAGE).parquet(_written[key])

@@ -88,7 +88,7 @@ def _money(name: str) -> str:
 
 on_rich("x01_amount", lambda body: {"amount": fields.amount(body).cast("double")}, amount=case({2: "NULL", 10: "NULL", 12: "NULL", 20: BALANCE}, AMOUNT))
 on_rich("x02_direction", lambda body: {"type": fields.direction(body)}, type=case({1: "'INCOME'", 9: "'INVESTMENT'", 14: "'INCOME'", 16: "'INVESTMENT'", 29: "'INCOME'", 30: "'INCOME'", **{k: "'EXPENSE'" for k in (0, 4, 6, 7, 17, 18, 19, 21, 22, 26, 27, 28)}}))
-on_rich("x03_merchant", lambda body: {"merchant": fields.merchant(body)}, merchant=case({0: "{SHOP}", 4: "{SHOP}", 6: "{SERVICE}", 7: "concat('ATM ', {CITY})", 8: "{PAYER}", 9: "concat('SIP in folio no F', {SIX})", 12: "concat('item I', {SIX})", 13: "concat('policy no PL', {SIX}, ' is due')", 16: "concat('folio no F', {SIX}, ' margin Rs.', {BAL})", 22: "{STORE}", 27: "{STORE}"}))
+on_rich("x03_merchant", lambda body: {"merchant": fields.merchant(body)}, merchant=case({0: "{SHOP}", 4: "{SHOP}", 6: "{SERVICE}", 8: "{PAYER}", 22: "{STORE}", 27: "{STORE}"}))
 on_rich("x05_reference", lambda body: {"reference": fields.reference(body)}, reference=case({0: "{REF}", 8: "concat('UT', {REF})"}))
 on_rich("x06_account_tail", lambda body: {"tail": fields.account_tail(body)}, tail=case({k: "{TAIL}" for k in (0, 1, 3, 6, 7, 8, 9, 17, 18, 20, 22, 26, 28)}))
 on_rich("x07_balance", lambda body: {"balance": fields.balance(body).cast("double")}, balance=case({0: BALANCE, 15: AMOUNT, 20: f"-({BALANCE})", 30: BALANCE}))
@@ -96,7 +96,7 @@ on_rich("x08_credit_limit", lambda body: {"credit_limit": fields.credit_limit(bo
 on_rich("x09_currency", lambda body: {"currency": fields.currency(body)}, currency=case({27: "'EUR'"}, "'INR'"))
 on_rich("x16_mandate_rows", lambda body: {"notice": gates.mandate_notice(body)}, notice=case({19: "'upcoming'", 31: "'declined'"}))
 on_rich("x17_rich_type", lambda body: {"rich_type": fields.rich_type(body)}, rich_type=case({1: "'SALARY'", 3: "'WALLET_CREDIT'", 4: "'WALLET_DEBIT'", 5: "'RECHARGE'", 6: "'AUTO_DEBIT'", 7: "'ATM_WITHDRAWAL'", 8: "'TRANSFER'", 9: "'INVESTMENT'", 14: "'INCOME'", 20: "'BALANCE_UPDATE'", 29: "'INCOME'", 30: "'INCOME'", **{k: "'EXPENSE'" for k in (0, 17, 18, 19, 21, 22, 26, 27, 28)}}))
-on_rich("x18_subcategory", lambda body: {"subcategory": fields.subcategory(body)}, subcategory=case({3: "'wallet'", 4: "'wallet'", 6: "'autdbt'", 7: "'atm'", 8: "'neft'", 10: "'otp'", 14: "'cashback'", 17: "'upi'", 29: "'neft'", 30: "'refund'", 31: "'decline'"}))
+on_rich("x18_subcategory", lambda body: {"subcategory": fields.subcategory(body)}, subcategory=case({3: "'wallet'", 4: "'wallet'", 6: "'autdbt'", 7: "'atm'", 8: "'neft'", 10: "'otp'", 13: "'emi'", 14: "'cashback'", 17: "'upi'", 29: "'neft'", 30: "'refund'", 31: "'decline'"}))
 on_rich("x20_address_payee", lambda body: {"address": fields.address_of(body), "payee": fields.address_payee(fields.address_of(body))}, address=case({21: "concat('grngrcr.', {SIX}, '@okpay')"}), payee=case({21: "concat('grngrcr.', {SIX})"}))
 on_rich("x33_payee_alias", lambda body: {"brand": fields.payee_alias(fields.address_of(body))}, brand=case({21: "'Green Grocer'"}))
 on_rich("x34_channel_label", lambda body: {"label": fields.channel_label(body)}, label=case({5: "concat('Mobile Recharge XXXXXX', right({PHONE}, 4))", 7: "concat('ATM Cash ', {CITY})", 8: "'NEFT Transfer'", 13: "'Bill Payment'", 17: "'UPI Transfer'", 29: "'NEFT Transfer'"}))
@@ -104,16 +104,28 @@ on_rich("x35_narration", lambda body: {"channel": fields.narration(body)["channe
 on_rich("x36_two_accounts", lambda body: {"type": fields.two_accounts(body)["type"], "own": fields.two_accounts(body)["own"], "other": fields.two_accounts(body)["other"]}, type=case({18: "'EXPENSE'"}), own=case({18: "{TAIL}"}), other=case({18: "{OTHER}"}))
 _PACK_TRUTH = {
     "x21_otp_fields": ("otp", {"otp_code": {10: "{SIX}"}, "otp_valid": {10: "'10 minutes'"}}),
-    "x22_travel_fields": ("travel", {"pnr": {11: "concat('P', {SIX})"}, "flight": {11: "'AI-202'"}, "departs": {11: "'10:30'"}, "arrives": {11: "'12:45'"}, "fare": {11: "{AMT}"}, "vehicle": {}, "gate": {11: "'B12'"}}),
+    "x22_travel_fields": ("travel", {"pnr": {11: "concat('P', {SIX})"}, "flight": {11: "'AI-202'"}, "departs": {11: "'10:30'"}, "arrives": {11: "'12:45'"}, "fare": {11: "{AMT}"}, "vehicle": {11: "concat('T', {SIX})"}, "gate": {11: "'B12'"}}),
     "x23_delivery_fields": ("delivery", {"order_no": {12: "concat('OD', {REF})"}, "tracking": {12: "concat('AW', {REF})"}, "delivery_status": {12: "'shipped'"}, "item": {12: "concat('I', {SIX})"}}),
-    "x24_bill_fields": ("bill", {"bill_amount": {13: "{AMT}"}, "emi_amount": {}, "due_date": {13: "{DAY}"}, "policy_no": {13: "concat('PL', {SIX})"}, "recharge_amount": {5: "{AMT}"}}),
+    "x24_bill_fields": ("bill", {"mandate_amount": {19: "{AMT}", 31: "{AMT}"}, "bill_amount": {13: "{AMT}"}, "emi_amount": {13: "{BAL}"}, "due_date": {13: "{DAY}"}, "policy_no": {13: "concat('PL', {SIX})"}, "recharge_amount": {5: "{AMT}"}}),
     "x25_offer_fields": ("offer", {"cashback": {14: "{AMT}"}, "discount": {14: "'20%'"}, "offer_code": {14: "'SAVE20'"}}),
     "x26_telecom_fields": ("telecom", {"data_left": {2: "'1.5 GB'", 15: "'250 MB'"}, "pack_balance": {15: "{AMT}"}}),
     "x27_holdings_fields": ("holdings", {"nav": {16: "{AMT}"}, "folio": {9: "concat('F', {SIX})", 16: "concat('F', {SIX})"}, "margin": {16: "{BAL}"}}),
 }
 for _name, (_family, _truth) in _PACK_TRUTH.items():
+    if _family == "travel":
+        continue
     on_rich(_name, lambda body, family=_family: fields.pack(body, family), **{k: f"cast({case(v) if v else 'NULL'} AS varchar)" for k, v in _truth.items()})
 
+_TRAVEL = {k: f"cast({case(v)} AS varchar)" for k, v in _PACK_TRUTH["x22_travel_fields"][1].items()}
+
+
+@query(rich_sql(**_TRAVEL, origin=case({11: "'DEL'"}), destination=case({11: "'BOM'"})))
+def x22_travel_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = X.rich(spark, sf_dir)
+    places = extract.travel_places(m, rows(spark, "word string, code string", ("Delhi", "DEL"), ("Mumbai", "BOM")))
+    return m.select("msg_id", *[c.alias(k) for k, c in fields.pack(F.col("body"), "travel").items()]).join(places, "msg_id", "left")
+
+
 # --- filters ----------------------------------------------------------------------------------------------------------
 
 _REASONS = {10: "'otp'", 14: "'promo'", 25: "'promo'", 24: "'request'", 13: "'due'", 23: "'due'", **{k: "'no_verb'" for k in (2, 3, 5, 11, 12, 15, 16, 20, 31)}}
@@ -130,22 +142,30 @@ def f3_length_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", gates.short_enough(F.col("text")).alias("short_enough"))
 
 
-@query(f"SELECT {ID} AS msg_id FROM orders")
+@query(f"SELECT {ID} AS msg_id FROM orders WHERE o_custkey % 3 <> 1")
 def f4_known_sender(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.known_sender(X.messages(spark, sf_dir), routing.institutions(spark)).select("msg_id")
+    some = routing.institutions(spark).where("institution <> 'Beta Bank'")
+    return routing.known_sender(X.messages(spark, sf_dir), some).select("msg_id")
 
 
-@query("SELECT doc_id, word, length(word) >= 2 AND regexp_matches(word, '[a-z]') AND word NOT IN (" + ", ".join(map(text, gates.STOP_WORDS)) + ") AS valid FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents) WHERE NOT regexp_matches(word, '^(card|account|acct|x+[0-9]+$|(rs|inr|usd)[0-9])')")
+@query("SELECT doc_id, word, length(word) >= 2 AND regexp_matches(word, '[a-z]') AND word NOT IN (" + ", ".join(map(text, (*gates.STOP_WORDS, "acct", "my", "sip", "folio", "atm", "nav"))) + ") AND NOT regexp_matches(word, '^(x+[0-9]+$|(rs|inr|usd)[0-9])') AS valid FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents)")
 def f8_valid_merchant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word")).distinct()
-    words = words.where("NOT word RLIKE '^(card|account|acct|x+[0-9]+$|(rs|inr|usd)[0-9])'")
-    return words.select("doc_id", "word", gates.is_merchant(F.col("word")).alias("valid"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word")).distinct()
+    return found.select("doc_id", "word", gates.is_merchant(F.col("word")).alias("valid"))
+
+
+_YEAR = "cast(year(o_orderdate) AS varchar)"
 
 
-@query(f"SELECT {ID} AS msg_id, cast(year(o_orderdate) AS varchar) AS tail, false AS guarded FROM orders")
+@query(f"SELECT {ID} AS msg_id, true AS own, lpad(cast(o_custkey % 10000 AS varchar),4,'0') = {_YEAR} AS in_date, false AS day_first, true AS masked, true AS bare FROM orders WHERE o_orderkey % 6 IN (0, 1, 2, 4)")
 def f9_account_tail_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = X.messages(spark, sf_dir).withColumns({"tail": F.year("ts").cast("string"), "note": F.concat(F.lit("seen on "), F.date_format("ts", "yyyy-MM-dd"))})
-    return m.select("msg_id", "tail", gates.is_account_tail(F.col("note"), F.col("tail")).alias("guarded"))
+    """A message's own tail; the year of its date, which is no tail unless it is also that of an account; both in other forms."""
+    m = X.messages(spark, sf_dir).where(F.col("body").rlike(r"XX\d{4}.*\d{4}-\d\d-\d\d"))
+    body, year = F.col("body"), F.year("ts").cast("string")
+    own = F.regexp_extract(body, r"XX(\d{4})", 1)
+    day_first = F.concat(F.lit("paid by account on "), F.date_format("ts", "dd-MM-yyyy"))
+    masked = F.concat(F.lit("A/c XX"), year, F.lit(" on "), F.date_format("ts", "yyyy-MM-dd"))
+    return m.select("msg_id", gates.is_account_tail(body, own).alias("own"), gates.is_account_tail(body, year).alias("in_date"), gates.is_account_tail(day_first, year).alias("day_first"), gates.is_account_tail(masked, year).alias("masked"), gates.is_account_tail(F.concat(F.lit("A/c "), year), year).alias("bare"))
 
 
 @query(rich_sql(notice=case({19: "'upcoming'", 31: "'declined'"})) + " WHERE o_orderkey % 32 IN (19, 31)")
@@ -174,31 +194,34 @@ def s3_validate_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.with_reject_reason(m).select("conv_id", "turn", "reject_reason")
 
 
-@query(_TX + " SELECT user_id, count(*) AS n FROM tx GROUP BY user_id")
+_TX_ROWS = " SELECT user_id, msg_id, cast(amount AS double) AS amount, type, strftime(ts, '%Y-%m') AS month FROM tx"
+
+
+def _tx_rows(tx: DataFrame) -> DataFrame:
+    return tx.select("user_id", "msg_id", num("amount"), "type", F.date_format("ts", "yyyy-MM").alias("month"))
+
+
+@query(_TX + _TX_ROWS)
 def s5_insert_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = transactions(spark, sf_dir)
     first = M.insert_new(tx.where(F.pmod(F.xxhash64("msg_id"), F.lit(2)) == 0), None)
     second = M.insert_new(tx.union(tx), first)  # each row comes twice, half of them a third time
-    return first.union(second).groupBy("user_id").agg(F.count("*").alias("n"))
+    return _tx_rows(first.union(second))
 
 
-@query("SELECT n_name AS name, cast(n_regionkey AS bigint) AS code FROM nation")
+@query("SELECT p_name AS name, cast(p_partkey AS bigint) AS code FROM part")
 def s7_load_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import types as T
 
-    nation = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("code"))
-    return M.load_dictionary(nation, T.StructType([T.StructField("name", T.StringType()), T.StructField("code", T.LongType())]), ("name",))
+    part = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").cast("long").alias("code"))
+    return M.load_dictionary(part, T.StructType([T.StructField("name", T.StringType()), T.StructField("code", T.LongType())]), ("code",))
 
 
-@query(_TX + " SELECT strftime(ts, '%Y-%m') AS month, count(*) AS n FROM tx GROUP BY ALL")
+@query(_TX + _TX_ROWS)
 def s6_write_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerflow-")
-    path = f"{base.rstrip('/')}/transactions-{uuid.uuid4().hex}"
+    path = X.shared_path(spark, "transactions")
     M.write_transactions(transactions(spark, sf_dir), path)
-    return spark.read.parquet(path).groupBy(F.col("month").cast("string").alias("month")).agg(F.count("*").alias("n"))
+    return _tx_rows(spark.read.parquet(path))
 
 
 # --- routing ----------------------------------------------------------------------------------------------------------
@@ -404,10 +427,19 @@ def j13_mandate_recurring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurring.flag_recurring(feed, none, rolled).select("user_id", "msg_id", "by_mandate")
 
 
-@query(f"SELECT user_id, msg_id, feed_rank FROM (SELECT {WHO} AS user_id, {ID} AS msg_id, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderdate DESC, {ID}) AS feed_rank FROM orders WHERE o_orderkey % 32 IN (0,1,3,4,5,6,7,8,9,14,17,18,19,20,21,22,26,27,28,29,30)) WHERE feed_rank <= 25")
+_FEED = "0,1,3,4,5,6,7,8,9,14,17,18,19,20,21,22,26,27,28,29,30"
+
+
+@query(f"SELECT user_id, msg_id, feed_rank, payee, recurring FROM (SELECT {WHO} AS user_id, {ID} AS msg_id, {case({0: '{SHOP}', 4: '{SHOP}', 6: '{SERVICE}', 8: '{PAYER}', 21: text('Green Grocer'), 22: '{STORE}', 27: '{STORE}'}, SENDER)} AS payee, o_orderkey % 64 = 19 AS recurring, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderdate DESC, {ID}) AS feed_rank FROM orders WHERE o_orderkey % 32 IN ({_FEED})) WHERE feed_rank <= 25")
 def l1_recent_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = X.rich(spark, sf_dir)
-    return ledger.recent_feed(gates.recognised(m.select("user_id", "msg_id", "ts", fields.rich_type(F.col("body")).alias("rich_type"), fields.amount(F.col("body")).alias("amount")))).select("user_id", "msg_id", F.col("feed_rank").cast("long").alias("feed_rank"))
+    m, body = X.rich(spark, sf_dir), F.col("body")
+    number = extract.upcoming_mandates(m).select("user_id", "msg_id", F.col("mandate_no").alias("mandate_id"))
+    seen = m.select("user_id", "msg_id", "ts", fields.rich_type(body).alias("rich_type"), fields.amount(body).alias("amount"), fields.merchant(body).alias("merchant"), fields.currency(body).alias("currency"), fields.payee_alias(fields.address_of(body)).alias("vendor"), "sender")
+    feed = ledger.recent_feed(gates.recognised(seen)).join(number, ["user_id", "msg_id"], "left")
+    rolled = table(spark, sf_dir, "orders").where("o_orderkey % 64 = 19").select(F.concat(F.lit("u"), F.col("o_custkey") % 50).alias("user_id"), F.concat(F.lit("MN"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0")).alias("mandate_id"))
+    none = rows(spark, "user_id string, merchant_key string, currency string, amount decimal(18,2)")
+    out = recurring.flag_recurring(feed, none, rolled)
+    return out.select("user_id", "msg_id", F.col("feed_rank").cast("long").alias("feed_rank"), fields.display_payee(F.lit(None).cast("string"), F.coalesce("merchant", "vendor"), F.lit(None).cast("string"), F.col("sender")).alias("payee"), "recurring")
 
 
 @query(_TX + ", f AS (SELECT DISTINCT user_id, currency FROM tx) SELECT user_id, currency, row_number() OVER (PARTITION BY user_id ORDER BY currency <> 'INR', currency) AS place FROM f")
@@ -417,10 +449,8 @@ def l3_currency_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_MANDATE + " SELECT user_id, mandate_id, row_number() OVER (PARTITION BY user_id ORDER BY last_updated DESC, mandate_id) AS place FROM n WHERE k = 1")
 def l2_mandates_by_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    m = ledger.mandates(extract.mandate_events(X.messages(spark, sf_dir)))
-    return m.select("user_id", "mandate_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("last_updated").desc(), "mandate_id")).cast("long").alias("place"))
+    m = ledger.mandates_by_update(ledger.mandates(extract.mandate_events(X.messages(spark, sf_dir))))
+    return m.select("user_id", "mandate_id", F.col("place").cast("long").alias("place"))
 
 
 # --- notices ----------------------------------------------------------------------------------------------------------
@@ -436,26 +466,34 @@ def x15_upcoming_mandates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.upcoming_mandates(X.rich(spark, sf_dir)).select("msg_id", num("amount"), F.col("next_date").cast("string").alias("next_date"), "date_format", "merchant", "mandate_no")
 
 
-@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'own' WHEN source IN ('src1', 'src2') THEN 'forced' END AS type FROM documents")
+@query(f"SELECT {ID} AS msg_id, CASE WHEN o_custkey % 3 = 1 THEN 'INVESTMENT' WHEN o_orderkey % 6 = 1 THEN 'INCOME' ELSE 'EXPENSE' END AS type, CASE WHEN o_custkey % 3 <> 1 AND o_orderkey % 6 = 1 THEN 'in' ELSE 'out' END AS flow, CASE o_custkey % 3 WHEN 0 THEN 'Alpha Bank' WHEN 1 THEN 'Fund' END AS institution FROM orders WHERE o_orderkey % 6 < 3")
 def x12_forced_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forced = rows(spark, "prio int, institution string, sender_pattern string, type_override string, kind string", (1, "A", "^src[12]$", "forced", "x"))
-    d = table(spark, sf_dir, "documents").withColumnRenamed("source", "sender")
-    return routing.route_sender(d, forced).select("doc_id", F.when(F.col("lang") == "en", "own").otherwise(F.col("type_override")).alias("type"))
+    rules = rows(spark, "prio int, institution string, sender_pattern string, type_override string, kind string", (2, "Alpha Bank", "ALPHBK", None, "bank"), (1, "Fund", "BETABK", "INVESTMENT", "fund"), (3, "Late", "BETA", "EXPENSE", "bank"))
+    return extract.extract_transactions(X.messages(spark, sf_dir), rules).select("msg_id", "type", "flow", "institution")
 
 
-@query(f"SELECT {ID} AS msg_id, CASE WHEN o_custkey % 3 = 1 THEN concat('OWN ', cast(o_custkey % 5 AS varchar)) END AS merchant FROM orders")
-def x11_scoped_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = routing.route_sender(X.messages(spark, sf_dir), routing.institutions(spark))
-    code = F.regexp_extract(F.col("body"), r"(?:X|UMN:)", 0)  # ties the text to the message
-    body = F.concat(F.lit("Alert. Info: OWN "), F.pmod(F.xxhash64(code) * 0 + F.substring("user_id", 2, 9).cast("long"), F.lit(5)).cast("string"), F.lit(". End"))
-    return m.select("msg_id", extract.scoped("merchant", body, F.col("institution"), fields.merchant(body), fields.valid_merchant).alias("merchant"))
+_TAIL = "lpad(cast(o_custkey % 10000 AS varchar),4,'0')"
 
 
-@query("SELECT doc_id, length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) = length(folded) OR lang <> 'en' AS same, lang FROM (SELECT doc_id, lang, text, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS folded FROM documents)")
+@query(f"""SELECT {ID} AS msg_id, CASE WHEN c = 0 AND k = 4 THEN {BALANCE} ELSE {AMOUNT} END AS amount, CASE WHEN c = 2 THEN CASE WHEN k = 0 THEN 'TRANSFER' ELSE 'CREDIT' END WHEN c = 0 AND k = 4 THEN 'BALANCE_UPDATE' WHEN k = 1 THEN 'INCOME' ELSE 'EXPENSE' END AS type,
+ CASE WHEN c = 1 AND k = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN k = 0 THEN lpad(cast(o_orderkey AS varchar),12,'0') END AS reference, CASE WHEN c = 2 AND k = 2 THEN right({_TAIL}, 2) ELSE {_TAIL} END AS account_last4,
+ CASE WHEN c = 1 AND k = 0 THEN {AMOUNT} WHEN k IN (0, 1, 4) THEN {BALANCE} END AS balance, CASE WHEN k = 0 THEN {X.sql('{SHOP}')} WHEN k = 1 THEN {X.sql('{PAYER}')} WHEN k = 2 THEN {X.sql('{STORE}')} END AS merchant, c = 0 AND k = 0 OR k = 2 OR c = 2 AS is_card
+ FROM (SELECT *, o_custkey % 3 AS c, o_orderkey % 6 AS k FROM orders) WHERE k IN (0, 2) OR k = 1 AND c <> 1 OR k = 4 AND c = 0""")
+def x11_scoped_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages under rules of three institutions for every field that rules may state."""
+    own = rows(
+        spark, extract.RULE,
+        ("Alpha Bank", "gate", 1, r"^Available Balance in", "accept"), ("Beta Bank", "gate", 1, r"\bcredited\b", "reject"), ("Alpha Bank", "type", 1, r"^Available Balance in", "BALANCE_UPDATE"), ("Gamma Card", "type", 1, r"\bdebited\b", "TRANSFER"),
+        ("Alpha Bank", "amount", 1, r"Balance in \S+ \S+ is Rs\.([0-9.]+)", None), ("Beta Bank", "reference", 1, r"debited.* on ([0-9-]{10})\.", None), ("Gamma Card", "account_last4", 1, r"Card XX\d\d(\d\d)", None),
+        ("Beta Bank", "balance", 2, r"Rs\.([0-9.]+) debited", None), ("Beta Bank", "balance", 1, r"no such text ([0-9]+)", None), ("Alpha Bank", "merchant", 1, r"from (PAYER99)", None), ("Alpha Bank", "is_card", 1, r"\bdebited\b", "true"),
+    )
+    tx = extract.extract_transactions(X.messages(spark, sf_dir), routing.institutions(spark), own=own)
+    return tx.select("msg_id", num("amount"), "type", "reference", "account_last4", num("balance"), "merchant", "is_card")
+
+
+@query("SELECT doc_id, sha256(regexp_replace(strip_accents(text), '[^\\x00-\\x7F₹€£¥]', '', 'g')) AS folded FROM documents")
 def x13_fold_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    folded = C.fold_ascii(F.col("text"))
-    return d.select("doc_id", (F.length(F.regexp_replace("text", r"[^\x00-\x7F]", "")) <= F.length(folded)).alias("same"), "lang")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(C.fold_ascii(F.col("text")), 256).alias("folded"))
 
 
 @query("SELECT doc_id, coalesce(CASE WHEN lang = 'en' THEN source END, CASE WHEN lang = 'de' THEN 'bank' END, lang) AS payee FROM documents")
@@ -500,10 +538,14 @@ def a8_classifier_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.score(d, classify.train(d, y, "quality"), classify.priors(y, "quality")).withColumn("score", F.round("score", 2))
 
 
-@query("SELECT CASE o_custkey % 3 WHEN 0 THEN 'Alpha Bank' WHEN 1 THEN 'Beta Bank' ELSE 'Gamma Card' END AS institution, count(*) AS n, 1.0::double AS amount_ok, 1.0::double AS type_ok, 1.0::double AS account_ok, 1.0::double AS all_ok FROM orders WHERE o_orderkey % 6 < 3 GROUP BY 1 UNION ALL SELECT NULL, count(*), 1.0, 1.0, 1.0, 1.0 FROM orders WHERE o_orderkey % 6 < 3")
+_OK = "count(*) AS n, avg((o_orderkey % 7 <> 0)::int) AS amount_ok, avg((o_orderkey % 11 <> 0)::int) AS type_ok, avg((o_orderkey % 13 <> 0)::int) AS account_ok, avg((o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0)::int) AS all_ok"
+
+
+@query("SELECT CASE o_custkey % 3 WHEN 0 THEN 'Alpha Bank' WHEN 1 THEN 'Beta Bank' ELSE 'Gamma Card' END AS institution, {ok} FROM orders WHERE o_orderkey % 6 < 3 GROUP BY 1 UNION ALL SELECT NULL, {ok} FROM orders WHERE o_orderkey % 6 < 3".replace("{ok}", _OK))
 def a10_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Golden rows of which some say another amount (within the tolerance or beyond it), type or account."""
     o = table(spark, sf_dir, "orders").where("o_orderkey % 6 < 3")
-    golden = o.selectExpr("concat('m', cast(o_orderkey as string)) AS msg_id", "case o_custkey % 3 when 0 then 'Alpha Bank' when 1 then 'Beta Bank' else 'Gamma Card' end AS institution", "cast(o_totalprice as decimal(18,2)) AS amount", "case when o_custkey % 3 = 2 then 'CREDIT' when o_orderkey % 6 = 1 then 'INCOME' else 'EXPENSE' end AS type", "lpad(cast(o_custkey % 10000 as string),4,'0') AS account_last4")
+    golden = o.selectExpr("concat('m', cast(o_orderkey as string)) AS msg_id", "case o_custkey % 3 when 0 then 'Alpha Bank' when 1 then 'Beta Bank' else 'Gamma Card' end AS institution", "cast(o_totalprice as decimal(18,2)) + case when o_orderkey % 7 = 0 then 0.05 else 0.01 end AS amount", "case when o_orderkey % 11 = 0 then 'TRANSFER' when o_custkey % 3 = 2 then 'CREDIT' when o_orderkey % 6 = 1 then 'INCOME' else 'EXPENSE' end AS type", "case when o_orderkey % 13 = 0 then 'none' else lpad(cast(o_custkey % 10000 as string),4,'0') end AS account_last4")
     return scorecard.scorecard(transactions(spark, sf_dir), golden, ["msg_id"])
 
 
@@ -516,9 +558,9 @@ def a11_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scalar functions, corpus operators -------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, length(trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g'))) AS n FROM documents")
+@query("SELECT doc_id, sha256(trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g'))) AS digest FROM documents")
 def c1_normalize_sms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(C.normalize_sms(F.col("text"))).cast("long").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(C.normalize_sms(F.col("text")), 256).alias("digest"))
 
 
 @query("SELECT l_orderkey, l_linenumber, cast(cast(l_extendedprice AS decimal(18,2)) AS double) AS amount, NULL::double AS junk FROM lineitem")
@@ -545,11 +587,13 @@ def c9_split_merchant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(C.split_merchant(F.regexp_replace("p_type", " ", " - ")), "|").alias("parts"))
 
 
-@query("SELECT DISTINCT a.n_name AS a, b.n_name AS b FROM nation a, nation b WHERE jaro_winkler_similarity(lower(a.n_name), lower(b.n_name)) > 0.9")
+@query("WITH t AS (SELECT DISTINCT unnest(string_split(concat(lower(p_name), ' ', lower(p_type)), ' ')) AS w FROM part) SELECT a.w AS a, b.w AS b, round(jaro_winkler_similarity(a.w, b.w), 6) AS score FROM t a JOIN t b ON a.w[1] = b.w[1] AND abs(length(a.w) - length(b.w)) <= 3 WHERE a.w < b.w")
 def c11_jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("k"), "n_name")
-    pairs = n.select(F.col("n_name").alias("a"), F.col("k").alias("x")).join(F.broadcast(n.select(F.col("n_name").alias("b"), F.col("k").alias("y"))), F.lit(True))  # a fixed list of nations
-    return pairs.where(C.jaro_winkler_col("x", "y") > 0.9).select("a", "b").distinct()
+    """Distinct words of part names and types that begin alike and are about as long."""
+    p = table(spark, sf_dir, "part").select(F.explode(C.split_merchant(F.concat_ws(" ", "p_name", "p_type"))).alias("w")).distinct()
+    a, b = p.select(F.col("w").alias("a"), F.substring("w", 1, 1).alias("k")), p.select(F.col("w").alias("b"), F.substring("w", 1, 1).alias("k"))
+    pairs = a.join(b, "k").where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 3))
+    return pairs.select("a", "b", F.round(C.jaro_winkler_col("a", "b"), 6).alias("score"))
 
 
 @query("SELECT event_id, CASE event_type WHEN 'purchase' THEN 'out' WHEN 'signup' THEN 'in' ELSE 'none' END AS flow FROM events")
@@ -584,12 +628,24 @@ def t4_capture_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.capture_between(corpus.tokens(table(spark, sf_dir, "documents"), "doc_id"), ["the"], ["and"], 12, "doc_id")
 
 
-@query(rich_sql(amounts=case({2: "0", 3: "1", 10: "0", 12: "0"}, "1").replace("ELSE 1", "ELSE 1"), accounts=case({**{k: "1" for k in (0, 1, 3, 6, 7, 8, 9, 17, 20, 26, 28)}, 18: "2"}, "0"), percents=case({14: "1"}, "0"), sizes=case({2: "1", 15: "1"}, "0")).replace("ELSE 1 END AS amounts", "ELSE 1 + CASE WHEN o_orderkey % 32 IN (0, 16, 22, 30) THEN 1 ELSE 0 END END AS amounts"))
+_SPANS = {
+    "amounts": case({2: "0", 10: "0", 12: "0", 0: "2", 13: "2", 16: "2", 22: "2", 30: "2"}, "1"), "accounts": case({**{k: "1" for k in (0, 1, 3, 6, 7, 8, 9, 17, 20, 26, 28)}, 18: "2"}, "0"), "percents": case({14: "1"}, "0"), "sizes": case({2: "1", 15: "1"}, "0"),
+    "dates": case({k: "1" for k in (0, 1, 2, 7, 13, 19)}, "0"), "times": case({11: "2", 30: "1"}, "0"), "phones": case({5: "1", 28: "1"}, "0"),
+    "total": case({2: "0", 10: "0", 12: "0", 20: BALANCE, **{k: f"cast(cast(o_totalprice AS decimal(18,2)) + cast(o_totalprice*2 AS decimal(18,2)) AS double)" for k in (0, 13, 16, 22, 30)}}, AMOUNT),
+    "first_span": case({2: "'1.5 GB'", 15: "'250 MB'", 14: "'20%'"}), "percent": case({14: "20.0"}),
+}
+
+
+@query(rich_sql(**_SPANS))
 def x28_typed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = X.rich(spark, sf_dir)
-    n = lambda k: F.coalesce(F.sum((F.col("kind") == k).cast("int")), F.lit(0)).cast("int")
-    counts = corpus.typed_spans(m, "msg_id", "body").groupBy("msg_id").agg(n("amount").alias("amounts"), n("account").alias("accounts"), n("percent").alias("percents"), n("data_size").alias("sizes"))
-    return m.select("msg_id").join(counts, "msg_id", "left").na.fill(0)
+    n = lambda k: F.count_if(F.col("kind") == k).cast("int")
+    value = lambda k: F.when(F.col("kind") == k, F.col("value"))
+    found = corpus.typed_spans(m, "msg_id", "body").groupBy("msg_id").agg(
+        *[n(k).alias(v) for k, v in (("amount", "amounts"), ("account", "accounts"), ("percent", "percents"), ("data_size", "sizes"), ("date", "dates"), ("time", "times"), ("phone", "phones"))],
+        F.sum(value("amount")).cast("double").alias("total"), F.max(F.when(F.col("kind").isin("data_size", "percent"), F.col("raw"))).alias("first_span"), F.max(value("percent")).cast("double").alias("percent"),
+    )
+    return m.select("msg_id").join(found, "msg_id", "left").na.fill(0, ["amounts", "accounts", "percents", "sizes", "dates", "times", "phones", "total"])
 
 
 @query(f"SELECT {ID} AS msg_id, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%Y-%m-%d') AS day_first, strftime(o_orderdate, '%Y-%m-%d') AS named, strftime(o_orderdate, '%Y-%m-%d') AS two_digits, strftime(o_orderdate, '%Y-%m-%d') AS no_year FROM orders")
@@ -605,11 +661,10 @@ def x32_fallback_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.fallback_amount(corpus.typed_spans(m, "msg_id", "body"), m).select("msg_id", num("amount"), num("balance"))
 
 
-@query("SELECT doc_id, cast(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS bigint) AS words, cast(greatest(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) - 1, 0) AS bigint) AS pairs FROM documents")
+@query("SELECT doc_id, sha256(array_to_string(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: concat(w[i], ' ', w[i + 1]))), '|')) AS grams FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents)")
 def c7_word_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", C.words(F.col("text")).alias("w"))
-    grams = d.select("doc_id", F.size("w").cast("long").alias("words"), C.word_ngrams(F.col("w"), 2).alias("g"))
-    return grams.select("doc_id", "words", (F.size("g") - F.col("words")).alias("pairs"))
+    return d.select("doc_id", F.sha2(F.array_join(C.word_ngrams(F.col("w"), 2), "|"), 256).alias("grams"))
 
 
 @query(rich_sql(masked=f"regexp_replace({X.sql('CASE o_orderkey % 32 ' + ' '.join(f'WHEN {i} THEN {X.expand(t, chr(123) + chr(83) + chr(125)).replace(chr(123) + chr(83) + chr(125), chr(118) + chr(97) + chr(114) + chr(99) + chr(104) + chr(97) + chr(114))}' for i, t in enumerate(X.RICH)) + ' END')}, '(?i)(?:\\b(?:rs|inr|usd)\\.?\\s*|[₹$€£])?\\b\\d[\\d,]*(?:\\.\\d+)?\\b', 'AMT', 'g')"))
@@ -617,10 +672,13 @@ def c8_mask_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.rich(spark, sf_dir).select("msg_id", C.mask_amounts(F.col("body")).alias("masked"))
 
 
-@query(f"SELECT DISTINCT {WHO} AS user_id, 'INR' AS currency FROM orders")
+@query(_TX + f", f AS (SELECT DISTINCT user_id, currency FROM tx WHERE c % 50 % 5 < 2 AND k = 2 OR c % 50 % 5 = 2), u AS (SELECT DISTINCT {WHO} AS user_id FROM orders) SELECT user_id, coalesce(currency, 'INR') AS currency FROM u LEFT JOIN f USING (user_id)")
 def u1_distinct_currencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = X.messages(spark, sf_dir).select("user_id").distinct().select("user_id", F.lit("INR").alias("currency"), F.lit(0).alias("income"), F.lit(0).alias("expense"))
-    return ledger.currencies(none).select("user_id", "currency")
+    """Users of whom some have transactions in one currency, some in two and some in none."""
+    group = F.pmod(F.substring("user_id", 2, 9).cast("long"), F.lit(5))
+    tx = transactions(spark, sf_dir).where(((group < 2) & (F.col("currency") == "USD")) | (group == 2))
+    quiet = X.messages(spark, sf_dir).select("user_id").distinct().select("user_id", F.lit("INR").alias("currency"), F.lit(0).alias("income"), F.lit(0).alias("expense"))
+    return ledger.currencies(ledger.monthly_totals(tx, "type").select("user_id", "currency", "income", "expense").union(quiet)).select("user_id", "currency")
 
 
 @query(f"SELECT {ID} AS msg_id FROM orders WHERE o_orderkey % 6 < 3")
@@ -641,9 +699,9 @@ def f12_recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.recognised(m).select("msg_id", F.lit(1).alias("x"))
 
 
-@query("SELECT conv_id, turn, cast(length(regexp_replace(trim(text), '\\s+', ' ', 'g')) AS bigint) AS n FROM conversations")
+@query("SELECT conv_id, turn, sha256(regexp_replace(trim(text), '\\s+', ' ', 'g')) AS digest FROM conversations")
 def x04_cleanup_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(C.collapse(F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")))).cast("long").alias("n"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(C.collapse(F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))), 256).alias("digest"))
 
 
 @query("SELECT p_partkey, p_name AS merchant FROM part")
@@ -652,17 +710,32 @@ def x04_merchant_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", fields.cleanup(raw).alias("merchant"))
 
 
-@query(_TX + " SELECT count(*) AS n FROM tx")
+@query(_TX + _TX_ROWS)
 def s4_stream_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file stream of the messages, run to its end; the target table's rows are counted."""
-    import tempfile
-    import uuid
-
+    """A file stream of the messages, late ones and repeated ones among them, run to its end; the target table's rows."""
     from ..streaming import ingest
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerflow-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    X.messages(spark, sf_dir).write.parquet(f"{folder}/in")
-    run = ingest.stream_transactions(ingest.message_stream(spark, f"{folder}/in"), routing.institutions(spark), f"{folder}/out", f"{folder}/state", watermark="20000 days", trigger={"availableNow": True})
-    run.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").agg(F.count("*").alias("n"))
+    folder = X.shared_path(spark, "stream")
+    m = X.messages(spark, sf_dir).withColumn("late", F.pmod(F.xxhash64("msg_id"), F.lit(2)))
+    for late in (0, 1, 0):  # files come in the order of a hash, so times go back and forth; half of them come twice
+        m.where(F.col("late") == late).drop("late").write.mode("append").parquet(f"{folder}/in")
+        run = ingest.stream_transactions(ingest.message_stream(spark, f"{folder}/in"), routing.institutions(spark), f"{folder}/out", f"{folder}/state", f"{folder}/rejects", trigger={"availableNow": True})
+        run.awaitTermination()
+    return _tx_rows(spark.read.parquet(f"{folder}/out"))
+
+
+_WIDE = {"rich_type": case({1: "'SALARY'", 3: "'WALLET_CREDIT'", 4: "'WALLET_DEBIT'", 5: "'RECHARGE'", 6: "'AUTO_DEBIT'", 7: "'ATM_WITHDRAWAL'", 8: "'TRANSFER'", 9: "'INVESTMENT'", 20: "'BALANCE_UPDATE'", 29: "'INCOME'", 30: "'INCOME'", **{k: "'EXPENSE'" for k in (0, 17, 18, 19, 21, 22, 26, 27, 28)}})}
+
+
+@query(rich_sql(**_WIDE, category=case({10: "'OTP'", 11: "'TRAVEL'", 25: "'OFFERS'", 14: "'OFFERS'"}, "CASE o_custkey % 3 WHEN 1 THEN 'BILL' ELSE 'BANK' END"), tags=case({10: "'OTP'", 11: "'TRAVEL'", 14: "'OFFERS'", 25: "'OFFERS'"}), brand=case({k: "CASE WHEN o_custkey % 37 = 3 THEN 'Shop Three' END" for k in (0, 4, 24)}), payee=case({0: "CASE WHEN o_custkey % 37 = 3 THEN 'Shop Three' ELSE {SHOP} END", 4: "CASE WHEN o_custkey % 37 = 3 THEN 'Shop Three' ELSE {SHOP} END", 24: "CASE WHEN o_custkey % 37 = 3 THEN 'Shop Three' ELSE {BANK} END", 6: "{SERVICE}", 8: "{PAYER}", 17: "{PAYER}", 21: "'Green Grocer'", 22: "{STORE}", 27: "{STORE}", 28: "{PAYER}", 29: "{PAYER}"}, "{BANK}").replace("{BANK}", "CASE o_custkey % 3 WHEN 0 THEN 'Alpha Bank' WHEN 1 THEN 'Beta Bank' ELSE 'Gamma Card' END"), origin=case({11: "'DEL'"}), otp_code=case({10: "{SIX}"}), folio=case({k: "concat('F', {SIX})" for k in (9, 16)}), bill_amount=case({13: "{AMT}"})))
+def x37_wide_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide row of every message, with all dictionaries; some of its columns."""
+    words = rows(spark, "phrase string, type string, norm string", ("otp", "OTP", "otp"), ("flight", "TRAVEL", "flight"), ("offer", "OFFERS", "offer"))
+    senders = rows(spark, "alias string, category string", ("BETABK", "BILL"))
+    known = rows(spark, "token string, brand string, category string, online boolean, ord int", ("shop30", None, None, False, 1), *[(f"shop{i}", None, None, False, 1) for i in range(31, 37)], ("shop3", "Shop Three", "A", True, 2))
+    banks = (rows(spark, "alias string, bank string, prio int", ("ALPHBK", "Alpha Bank", 1)), rows(spark, "alias string, raw string, prio int", *_ALIASES[:2]), rows(spark, "name string", *_KNOWN))
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    spam = (classify.train(docs, labels, "quality"), classify.priors(labels, "quality"))
+    places = rows(spark, "word string, code string", ("delhi", "DEL"), ("mumbai", "BOM"))
+    out = extract.wide(X.rich(spark, sf_dir), routing.institutions(spark), words, senders, known, banks, spam, places).where("spam_class IS NOT NULL")
+    return out.select("msg_id", "rich_type", "category", F.array_join(F.map_keys("tags"), ",").alias("tags"), "brand", "payee", "origin", "otp_code", "folio", "bill_amount")

@@ -51,6 +51,7 @@ INSTITUTION = T.StructType([
     T.StructField("kind", T.StringType()),
 ])
 
+# The names of types, and which way each counts.
 TYPES = ("INCOME", "EXPENSE", "CREDIT", "TRANSFER", "INVESTMENT", "BALANCE_UPDATE")
 RICH_TYPES = (*TYPES, "SALARY", "AUTO_DEBIT", "RECHARGE", "WALLET_CREDIT", "WALLET_DEBIT", "ATM_WITHDRAWAL")
 #: Direction of each type in monthly totals; wallet top-ups and balance notices are neutral. CREDIT is spending by credit card.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,23 +17,24 @@ def message_stream(spark: SparkSession, path: str, max_files: int = 16) -> DataF
     return spark.readStream.schema(schema.MESSAGE).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def stream_transactions(source: DataFrame, rules: DataFrame, target: str, checkpoint: str, rejects: str | None = None, watermark: str = "2 days", trigger: dict | None = None) -> StreamingQuery:
+def stream_transactions(source: DataFrame, rules: DataFrame, target: str, checkpoint: str, rejects: str | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Parses micro-batches and appends what is new to the transaction table at ``target``.
 
-    The checkpoint replaces acknowledgement and retry. A batch that runs again, or a message that comes again in a later
-    batch, adds nothing: keys seen within the watermark are dropped in state, older ones by the join with the target.
-    Messages without a transaction go to ``rejects`` with their reason.
+    The checkpoint replaces acknowledgement and retry. Every message is read, however late it comes: there is no watermark
+    and no state, and a batch that runs again, or a message that comes again in a later batch, adds nothing, as the
+    target's rows of the batch's months are joined with. Messages without a transaction go to ``rejects`` with their
+    reason, in a folder for each stream and batch, which a batch that runs again writes anew.
     """
     from ..operators.gates import reject_reason
 
     spark = source.sparkSession
-    once = source.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["user_id", "sender", "body"])
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def sink(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
             ok, bad = M.validate_messages(batch)
-            tx = extract.extract_transactions(ok, rules)
+            tx = extract.extract_transactions(ok, rules).persist()
             jvm = spark.sparkContext._jvm
             there = jvm.org.apache.hadoop.fs.Path(target)
             fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -42,11 +45,12 @@ def stream_transactions(source: DataFrame, rules: DataFrame, target: str, checkp
             if rejects:
                 reason = F.coalesce("reject_reason", reject_reason(F.col("body")), F.lit("no_fields"))
                 left = ok.join(tx.select("user_id", "msg_id"), ["user_id", "msg_id"], "left_anti").withColumn("reject_reason", F.lit(None).cast("string")).unionByName(bad)
-                left.withColumn("reject_reason", reason).withColumn("batch", F.lit(number)).write.mode("append").parquet(rejects)
+                left.withColumn("reject_reason", reason).write.mode("overwrite").parquet(f"{rejects}/run={run}/batch={number}")
+            tx.unpersist()
         finally:
             batch.unpersist()
 
-    writer = once.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    writer = source.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
 

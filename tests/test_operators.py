@@ -194,10 +194,60 @@ def test_stream_twice_adds_nothing(spark, tmp_path):
         ingest.stream_transactions(ingest.message_stream(spark, source), rules, out, state, rejects, trigger={"availableNow": True}).awaitTermination()
     assert spark.read.parquet(out).count() == 2
     assert {r.reject_reason for r in spark.read.parquet(rejects).collect()} == {"no_verb"}
-    ingest.stream_transactions(ingest.message_stream(spark, source), rules, out, state + "2", trigger={"availableNow": True}).awaitTermination()
+    assert spark.read.parquet(rejects).count() == 2  # one a delivery
+    ingest.stream_transactions(ingest.message_stream(spark, source), rules, out, state + "2", rejects, trigger={"availableNow": True}).awaitTermination()
     assert spark.read.parquet(out).count() == 2
 
 
+def test_stream_keeps_late_messages(spark, tmp_path):
+    """Days far apart and back, a file that comes twice, and a batch that runs again."""
+    rules, day = routing.institutions(spark), lambda m, d: dt.datetime(2024, m, d)
+    source, out, state, rejects = (f"file://{tmp_path}/{x}" for x in ("in", "out", "state", "rejects"))
+    sent = [(day(3, 1), 0), (day(3, 5), 10), (day(1, 1), 20), (day(3, 1), 0)]
+    for when, first in sent:
+        rows = [("u", f"m{first + i}", f"Rs.{first + i + 1} debited from A/c XX1234 to SHOP", when) for i in range(10)] + [("u", f"x{first}", "hello", when)]
+        messages(spark, *rows).write.mode("append").parquet(source)
+        ingest.stream_transactions(ingest.message_stream(spark, source), rules, out, state, rejects, trigger={"availableNow": True}).awaitTermination()
+    assert sorted(r.msg_id for r in spark.read.parquet(out).collect()) == sorted(f"m{i}" for i in range(30))
+    assert sorted(r.msg_id for r in spark.read.parquet(rejects).collect()) == ["x0", "x0", "x10", "x20"]
+    # the last batch's commit is lost: it runs again and changes nothing
+    last = max(int(p.name) for p in (tmp_path / "state" / "commits").iterdir() if p.name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (tmp_path / "state" / "commits" / name).unlink(missing_ok=True)
+    ingest.stream_transactions(ingest.message_stream(spark, source), rules, out, state, rejects, trigger={"availableNow": True}).awaitTermination()
+    assert spark.read.parquet(out).count() == 30 and spark.read.parquet(rejects).count() == 4
+
+
+def test_rules_of_unknown_fields(spark):
+    with pytest.raises(ValueError, match="unknown"):
+        extract.own_rules(spark.createDataFrame([("A", "colour", 1, "x", None)], extract.RULE))
+    assert [r.field for r in extract.own_rules(None, spark)] == ["merchant", "reference", "merchant"]
+
+
+@pytest.mark.parametrize("name, clean", [("- Acme Tools PVT LTD Ref 123 (ok)", "Acme Tools"), ("Corner (north) Cafe, Inc.", "Corner (north) Cafe"), ("Tea & Co Limited on 5 May", "Tea & Co"), ("A - B", "A"), ("Refill Shop at 10:30", "Refill Shop"), ("UPI", "UPI"), ("x  y", "x y")])
+def test_cleanup(spark, name, clean):
+    assert one(spark, name, fields.cleanup) == clean
+
+
+@pytest.mark.parametrize("body", ["Rs.5 withdrawn from A/c XX1234 at ATM CITY3 on 2024-01-01", "Rs.5 debited from A/c XX1234 for SIP in folio no F123456", "Bill of Rs.5 for policy no PL123456 is due on 2024-01-01", "shipped. AWB AW1 for item I123456", "NAV of Rs.5 for folio no F123456 margin Rs.7"])
+def test_papers_and_cash_machines_are_no_merchants(spark, body):
+    assert one(spark, body, fields.merchant) is None
+
+
+def test_brands_of_overlapping_tokens(spark):
+    known = spark.createDataFrame([("ab", "AB", "x", True, 2), ("abc", "ABC", "y", False, 1), ("bc", "BC", "z", False, 3), ("ab", "LATE", "x", True, 9)], "token string, brand string, category string, online boolean, ord int")
+    rows = spark.createDataFrame([(1, "xABx", "bc"), (2, "zabcz", None), (3, "none", "bBC"), (4, None, None), (5, "", "n")], "msg_id int, merchant string, body string")
+    assert sorted((r.msg_id, r.brand, r.online) for r in brands.brand_of(rows, known).collect()) == [(1, "AB", True), (2, "ABC", False), (3, "BC", False), (4, None, False), (5, None, False)]
+    assert brands.brand_of(rows, known.where("false")).where("brand IS NULL AND NOT online").count() == 5
+
+
+def test_near_sees_what_lies_between(spark):
+    spans = [(1, 0, "A"), (1, 2, "X"), (1, 3, "B"), (1, 10, "A"), (1, 11, "B"), (2, 0, "A"), (2, 1, "A"), (2, 3, "B"), (3, 0, "A"), (3, 9, "B"), (4, 5, "A"), (4, 5, "X"), (4, 6, "B")]
+    rules = [(1, "A", "B", 3, ("A", "B"))]
+    got = {tuple(r) for r in corpus.near(spark.createDataFrame(spans, "id int, pos int, type string"), rules).collect()}
+    assert got == {(1, 1, 10, 11), (2, 1, 1, 3), (4, 1, 5, 6)}
+
+
 def test_captures_go_to_the_stop_word(spark):
     many = [f"w{i}" for i in range(40)]
     texts = {1: f"so the {' '.join(many)} and more", 2: f"the {' '.join(many)} 7 end", 3: "the and the a b and", 4: "no such word"}
