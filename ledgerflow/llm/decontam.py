@@ -24,8 +24,8 @@ _NO_LETTER = [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B,
 ANY_WORD = "[^" + "".join(f"\\x{c:02X}" for c in _NO_LETTER) + "]+"
 #: The same after A-Z lower-casing.
 WORD = "[^" + "".join(f"\\x{c:02X}" for c in [*_NO_LETTER, *range(0x41, 0x5B)]) + "]+"
-#: Rows of benchmark windows up to which they are broadcast (at some 200 bytes each); more are joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: Bytes of benchmark fingerprints or windows up to which they are broadcast; more are joined by shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -38,10 +38,9 @@ def _shape(length: int, gram: int) -> tuple[int, int]:
     return k, length - k + 1
 
 
-def _with_hashes(rows: DataFrame, k: int) -> DataFrame:
-    """Adds the hashes of all k-grams of ``folded``, the hashes of single words."""
-    grams = F.transform(F.sequence(F.lit(1), F.size("folded") - k + 1), lambda i: F.xxhash64(F.slice("folded", i, k)))
-    return rows.withColumn("hashes", grams)
+def _hashes(k: int) -> Column:
+    """The hashes of all k-grams of ``folded``, the hashes of single words."""
+    return F.when(F.size("folded") >= k, F.transform(F.sequence(F.lit(1), F.size("folded") - k + 1), lambda i: F.xxhash64(F.slice("folded", i, k))))
 
 
 def _folded(words: Column) -> Column:
@@ -49,16 +48,54 @@ def _folded(words: Column) -> Column:
     return F.transform(words, lambda x: F.xxhash64(F.lower(x)))
 
 
-def _winnowed(w: int) -> Column:
-    """The smallest of every w hashes, each once. (``hashes`` is named twice, so that it stays a column of its own.)"""
+def _winnowed(hashes: str, w: int) -> Column:
+    """The smallest of every w hashes, each once. (The column is named twice, so that it stays one of its own.)"""
     if w == 1:
-        return F.array_distinct("hashes")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("hashes") - w + 1), lambda i: F.array_min(F.slice("hashes", i, w))))
+        return F.array_distinct(hashes)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(hashes) - w + 1), lambda i: F.array_min(F.slice(hashes, i, w))))
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if its rows are few enough."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame, size: Column) -> DataFrame:
+    """Marked for broadcast if the bytes of its rows, as ``size`` tells, are few enough."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
+def _hits(rows: DataFrame, spans: DataFrame, lengths: list[int], gram: int) -> DataFrame:
+    """(id, tag, length, start, items): each benchmark window that a text has, for windows of all lengths in one pass."""
+    shapes = {length: _shape(length, gram) for length in lengths}
+    hashed = {f"hashes{k}": _hashes(k) for k, _ in shapes.values()}
+    # an item's fingerprints: one for each of its windows
+    marks = spans.withColumn("folded", _folded(F.split("span", " "))).withColumns(hashed)
+    mark = F.coalesce(*[F.when(F.col("length") == n, F.array_min(f"hashes{k}")) for n, (k, _) in shapes.items()])
+    marks = written(marks.select("length", mark.alias("mark")).distinct(), "decontam-marks")
+    any_words = F.regexp_extract_all("text", F.lit(ANY_WORD), F.lit(0))
+    folded = _folded(any_words)
+    empty = F.array().cast("array<struct<length:int,mark:bigint>>")
+
+    def own(length: int) -> Column:
+        k, w = shapes[length]
+        found = F.transform(_winnowed(f"hashes{k}", w), lambda x: F.struct(F.lit(length).alias("length"), x.alias("mark")))
+        return F.when(F.size("folded") >= length, found).otherwise(empty)
+
+    texts = rows.select("id", "tag", folded.alias("folded")).withColumns(hashed)
+    prints = own(lengths[0]) if len(lengths) == 1 else F.concat(*map(own, lengths))
+    found = texts.select("id", "tag", F.explode(prints).alias("m")).select("id", "tag", "m.length", "m.mark").join(_bounded(marks, F.lit(40)), ["length", "mark"], "left_semi")
+    found = written(found.groupBy(F.col("id").alias("fid"), F.col("tag").alias("ftag")).agg(F.collect_set(F.struct("length", "mark")).alias("marks")), "decontam-found")
+    near = rows.join(found, F.col("id").eqNullSafe(F.col("fid")) & F.col("tag").eqNullSafe(F.col("ftag")))
+    near = near.select("id", "tag", "marks", words_of(F.col("text")).alias("words"), folded.alias("folded")).withColumns(hashed)
+
+    def extended(length: int) -> Column:
+        """The windows of a length that a hit can lie in."""
+        k, w = shapes[length]
+        hit = F.transform(F.filter("marks", lambda m: m["length"] == length), lambda m: m["mark"])
+        at = F.filter(F.sequence(F.lit(1), F.size(f"hashes{k}")), lambda i: F.array_contains(hit, F.element_at(f"hashes{k}", i)))
+        starts = F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(F.greatest(F.lit(1), p - (w - 1)), F.least(p, F.size("words") - length + 1)))))
+        windows = F.transform(starts, lambda s: F.struct(F.lit(length).alias("length"), s.alias("start"), F.array_join(F.slice("words", s, length), " ").alias("span")))
+        return F.when(F.size("words") >= length, windows).otherwise(F.array().cast("array<struct<length:int,start:int,span:string>>"))
+
+    windows = near.select("id", "tag", F.explode(F.concat(*map(extended, lengths))).alias("x")).select("id", "tag", "x.*")
+    size = F.octet_length("span") + F.aggregate("items", F.lit(64), lambda n, x: n + F.octet_length(x) + 16)
+    return windows.join(_bounded(spans, size), ["length", "span"]).select("id", "tag", "length", "start", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, gram: int = GRAM, tagged: bool = False) -> DataFrame:
@@ -70,28 +107,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spans = items.select("item", "length", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("length") + 1), lambda i: F.array_join(F.slice("words", i, F.col("length")), " "))).alias("span"))
     spans = written(spans.groupBy("length", "span").agg(F.collect_set("item").alias("items")), "decontam-spans")
     lengths = sorted(r[0] for r in spans.select("length").distinct().collect())  # at most ``window`` numbers
-    any_words = F.regexp_extract_all("text", F.lit(ANY_WORD), F.lit(0))
-    texts = rows.select("id", "tag", _folded(any_words).alias("folded"))
-    hits = None
-    for length in lengths:
-        k, w = _shape(length, gram)
-        # an item's fingerprints: one for each of its windows
-        marks = spans.where(F.col("length") == length).select(_folded(F.split("span", " ")).alias("folded"))
-        marks = _with_hashes(marks, k).select(F.array_min("hashes").alias("mark")).distinct()
-        marks = _bounded(written(marks, "decontam-marks"))
-        own = _with_hashes(texts.where(F.size("folded") >= length), k).select("id", "tag", F.explode(_winnowed(w)).alias("mark"))
-        found = own.join(marks, "mark", "left_semi").groupBy("id", "tag").agg(F.collect_set("mark").alias("marks"))
-        found = written(found.withColumnsRenamed({"id": "fid", "tag": "ftag"}), "decontam-found")
-        near = rows.join(found, F.col("id").eqNullSafe(F.col("fid")) & F.col("tag").eqNullSafe(F.col("ftag")))
-        near = _with_hashes(near.select("id", "tag", "marks", words_of(F.col("text")).alias("words"), _folded(any_words).alias("folded")), k)
-        # extend every hit to the windows that it can lie in
-        at = F.filter(F.sequence(F.lit(1), F.size("hashes")), lambda i: F.array_contains(F.col("marks"), F.element_at("hashes", i)))
-        near = near.select("id", "tag", "words", at.alias("at"), F.size("words").alias("n"))
-        starts = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(F.lit(1), p - (w - 1)), F.least(p, F.col("n") - length + 1)))))
-        near = near.select("id", "tag", "words", starts.alias("starts"))
-        near = near.select("id", "tag", F.explode(F.transform("starts", lambda s: F.struct(s.alias("start"), F.array_join(F.slice("words", s, length), " ").alias("span")))).alias("x"))
-        near = near.select("id", "tag", F.lit(length).alias("length"), "x.start", "x.span").join(_bounded(spans), ["length", "span"]).select("id", "tag", "length", "start", "items")
-        hits = near if hits is None else hits.union(near)
+    hits = _hits(rows, spans, lengths, gram) if lengths else None
     counted = rows.select("id", "tag", F.coalesce(F.regexp_count("text", F.lit(ANY_WORD)), F.lit(0)).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     if hits is None:
