@@ -5,6 +5,9 @@ document, a null flag for each id, a CRC-32 for each block), then 32 trailer byt
 id, ids a block, ids, documents, place of the index). All integers are little-endian. A block of ``BLOCK_IDS`` ids
 fills whole bytes at any width, so the place of any id follows from its number alone.
 
+An id takes the fewest bits that hold the vocabulary and the end id, unless a width is given; an id that doesn't fit raises an
+error, and so does a block whose CRC-32 isn't that of the index.
+
 Defined results: a null text is empty; rows with equal ids keep an order by text; null ids come first. Extra columns
 are ignored; an empty table gives no file.
 """
@@ -32,6 +35,8 @@ MANIFEST = "file string, part int, seq int, docs long, ids long, bytes long"
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """``ids`` at ``bits`` bits each, low bits first, up to a whole byte."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit in {bits} bits")
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
     return np.packbits((ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes()
@@ -96,13 +101,20 @@ class Reader:
             raise ValueError(f"{name} is no packed token file")
         raw = self.file.read_at(size - _TRAILER.size - index, index)
         self.ends = np.frombuffer(raw, "<i8", self.docs)
+        self.sums = np.frombuffer(raw, "<u4", -(-self.ids // self.block), 17 * self.docs)
         keys, null = np.frombuffer(raw, "<i8", self.docs, 8 * self.docs), np.frombuffer(raw, np.uint8, self.docs, 16 * self.docs)
         self.keys = [None if z else int(k) for k, z in zip(keys, null, strict=True)]
 
     def span(self, start: int, stop: int) -> np.ndarray:
-        """Ids ``start`` to ``stop`` of the file."""
-        first, last = start * self.bits // 8, -(-stop * self.bits // 8)
-        return unpack(self.file.read_at(last - first, _TRAILER.size + first), self.bits, stop - start, start * self.bits - first * 8)
+        """Ids ``start`` to ``stop`` of the file, from whole blocks that are as the index says."""
+        first, last = start // self.block, -(-stop // self.block)
+        full = self.block * self.bits // 8
+        data = self.file.read_at(min((last - first) * full, -(-self.ids * self.bits // 8) - first * full), _TRAILER.size + first * full)
+        for k in range(first, last):
+            if zlib.crc32(memoryview(data)[(k - first) * full : (k - first + 1) * full]) != self.sums[k]:
+                raise ValueError(f"block {k} is damaged")
+        skip = (start - first * self.block) * self.bits
+        return unpack(memoryview(data)[skip // 8 : -(-(skip + (stop - start) * self.bits) // 8)], self.bits, stop - start, skip % 8)
 
     def document(self, k: int) -> np.ndarray:
         return self.span(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
@@ -134,11 +146,17 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, leading_sp
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["file", "part", "seq", "docs", "ids", "bytes"])
 
 
+def bits_of(path: str, end_id: int) -> int:
+    """The fewest bits that hold all ids of a vocabulary and the end id."""
+    return max(tokens.encoder(path, False).tokenizer.get_vocab_size() - 1, end_id).bit_length()
+
+
 def write_packed(docs: DataFrame, folder: str, path: str, leading_space: bool, end_id: int, bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes all rows in ascending id order; returns the manifest, a row a file with the ids of all files before it."""
     session(docs)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
+    # also rows of one id, or without, are dealt over tasks
+    rows = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
     made = written(rows.mapInArrow(lambda it: _write(it, folder, path, leading_space, end_id, bits), MANIFEST), "packed-manifest")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return made.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
@@ -166,6 +184,6 @@ def read_packed(manifest: DataFrame, folder: str, id_col: str = "doc_id") -> Dat
     return files.mapInArrow(lambda it: _read(it, folder), "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
-def packed_documents(docs: DataFrame, path: str, leading_space: bool, end_id: int, bits: int) -> DataFrame:
+def packed_documents(docs: DataFrame, path: str, leading_space: bool, end_id: int, bits: int | None = None) -> DataFrame:
     folder = shared_dir(session(docs), "packed")
-    return read_packed(write_packed(docs, folder, path, leading_space, end_id, bits), folder)
+    return read_packed(write_packed(docs, folder, path, leading_space, end_id, bits or bits_of(path, end_id)), folder)

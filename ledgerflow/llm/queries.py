@@ -11,12 +11,13 @@ from . import binary_out, decontam, html_text, near_dup, packing, quality, shard
 from .common import table
 
 NEAR_SHINGLE, NEAR_PERCENT = 4, 80
-#: Sequence length and end id of the packer; end id and id width of the packed files; end id of the flat files.
+#: Sequence length and end id of the packer; end id of the packed files; end id of the flat files.
 SEQUENCE, PACK_END = 2048, 0
-BYTE_END, BYTE_BITS = 2, 16
+BYTE_END = 2
 WORD_END = 49407
 SHARDS = 40
-SHARD_BYTES = 8 << 20
+#: Payload bytes of a shard of archives, and the compressed size at which its files are rolled.
+SHARD_BYTES, ARCHIVE_BYTES = 8 << 20, 1 << 20
 
 
 def tokenizer_file(name: str) -> str:
@@ -31,7 +32,7 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archived(table(spark, sf_dir, "pages"), shard_bytes=SHARD_BYTES)
+    return warc.archived(table(spark, sf_dir, "pages"), file_bytes=ARCHIVE_BYTES, shard_bytes=SHARD_BYTES)
 
 
 def op3_grouping_ga(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binary_out.packed_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), True, BYTE_END, BYTE_BITS)
+    return binary_out.packed_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), True, BYTE_END)
 
 
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-partitioned by page id into shards whose bounds follow from a histogram of the table alone, sorted,
-and written one gzip member a record; a file is rolled when its compressed size reaches ``FILE_BYTES``. Headers
+Records are range-partitioned by page id, and by digest where one id has many, into shards of about equal payload whose bounds
+follow from the table alone, sorted, and written one gzip member a record; a file is rolled when its compressed size reaches ``FILE_BYTES``. Headers
 are made anew: record ids and digests follow from the content and dates are a parameter, so the same table gives
 the same bytes on any cluster. Files get temporary names first, then theirs; a manifest table with each file's size
 and digest is the commit, and readers open what it names and nothing else.
@@ -22,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,9 +32,8 @@ from .common import session, shared_dir, written
 
 REVISIT_BYTES = 100
 FILE_BYTES = 64 << 20
-#: Payload bytes a shard is to have, and the cells of the id histogram that bounds are chosen from.
+#: Payload bytes a shard is to have.
 SHARD_BYTES = 256 << 20
-CELLS = 4096
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "file string, records long, bytes long, sha256 string, first_id long, last_id long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -48,26 +48,40 @@ def decided(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
     return rows.join(firsts, "digest", "left").withColumn("refers_to", F.when(F.col("first").eqNullSafe(F.col("page_id")), None).otherwise(F.col("first"))).drop("first")
 
 
-def with_shard(rows: DataFrame, shard_bytes: int = SHARD_BYTES, cells: int = CELLS) -> DataFrame:
-    """Adds the shard: ranges of ids of about equal payload, from a histogram of ``cells`` cells."""
-    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // cells))
-    cell = F.floor((F.coalesce("page_id", F.lit(low)) - low) / width).cast("int")
-    sums = dict(rows.groupBy(cell.alias("cell")).agg(F.sum(F.col("n") + 512)).collect())  # at most ``cells`` rows
-    bounds, held = [], 0
-    for k in sorted(sums):
-        if held and held + sums[k] > shard_bytes:
-            bounds.append(k)
-            held = 0
-        held += sums[k]
-    shard = F.lit(0)
-    for b in bounds:
-        shard = shard + (cell >= b).cast("int")
-    if len(bounds) > 50:  # a long sum of comparisons is slow to plan; a small table does it then
-        of = rows.sparkSession.createDataFrame([(int(k), int(np.searchsorted(bounds, k, side="right"))) for k in sums], "cell int, shard int")
-        return rows.withColumn("cell", cell).join(F.broadcast(of), "cell").drop("cell")
-    return rows.withColumn("shard", shard)
+def with_shard(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Adds the shard: ranges of (id, digest) of about ``shard_bytes`` of payload, wherever ids lie and however often one occurs.
+
+    Running sums of the payloads in the order of records are cut at multiples of ``shard_bytes``. They come from sums of
+    sorted partitions, so they don't depend on how Spark has dealt these. The first key of each shard is a bound: there
+    are as many as shards.
+    """
+    key = F.when(F.col("page_id").isNull(), F.lit(-(2**63))).otherwise(F.col("page_id")).alias("key")
+    place = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long").alias("place")
+    sizes = rows.select(key, place, (F.col("n") + 512).alias("bytes")).groupBy("key", "place").agg(F.sum("bytes").alias("bytes"))
+    sizes = sizes.repartitionByRange("key", "place").withColumn("part", F.spark_partition_id())
+    within = Window.partitionBy("part").orderBy("key", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = written(sizes.withColumn("end", F.sum("bytes").over(within)), "warc-sizes")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    begins = sizes.groupBy("part").agg(F.max("end").alias("total")).select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("begin"))
+    ends = sizes.join(F.broadcast(begins), "part").select("key", "place", F.expr(f"(begin + end - bytes) div {shard_bytes}").alias("cell"))
+    bounds = ends.groupBy("cell").agg(F.min(F.struct("key", "place")).alias("m")).select("m.key", "m.place").orderBy("key", "place").toPandas()  # a row a shard
+    found = _shards(bounds["key"].to_numpy(np.int64), bounds["place"].to_numpy(np.int64))
+    return rows.withColumn("shard", found(key, place))
+
+
+def _shards(keys: np.ndarray, places: np.ndarray):
+    """A function of id and digest: which of the sorted bounds is the last that isn't after them."""
+
+    @F.pandas_udf("int")
+    def shard(key: pd.Series, place: pd.Series) -> pd.Series:
+        k, p = key.to_numpy(np.int64), place.to_numpy(np.int64)
+        low, high = np.searchsorted(keys, k, side="left"), np.searchsorted(keys, k, side="right")
+        out = high - 1
+        for i in np.flatnonzero(high - low > 0):  # ids at which a shard begins
+            out[i] = low[i] + np.searchsorted(places[low[i] : high[i]], p[i], side="right") - 1
+        return pd.Series(np.maximum(out, 0))
+
+    return shard
 
 
 def record(page_id: int | None, url: str | None, html: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
