@@ -2,8 +2,10 @@
 
 A document longer than a sequence is cut into full pieces and a rest; full pieces are sequences of their own. The other
 pieces are dealt at random over cells of about ``CELL`` pieces. On each cell several islands evolve packings whose
-genes are whole bins: crossover injects well-filled bins of one parent into the other, removes the bins that now hold
-a piece twice, and best-fits the displaced pieces. After an epoch each island's elite migrates to the next island.
+genes are whole bins, from best fits of pieces in orders that chance blurs: crossover injects well-filled bins of one
+parent into the other, removes the bins that now hold a piece twice, and best-fits the displaced pieces; mutation opens
+the emptiest bins and some others and fills new ones with the one or two pieces that leave least room. After an epoch each
+island's elite migrates to the next island. An island rests when no packing can have fewer bins.
 Bins that the best packing of their cell leaves under ``CLOSED`` full are opened and their pieces dealt and packed again.
 
 Defined results: a null or empty text is a document of the end id alone; repeated rows are documents of their own; rows
@@ -25,8 +27,10 @@ from . import tokens
 from .common import session, written
 
 CELL = 2_000
-ISLANDS, EPOCHS = 2, 2
-POPULATION, GENERATIONS = 4, 6
+ISLANDS, EPOCHS = 3, 2
+POPULATION, GENERATIONS = 5, 5
+#: How far chance moves a size in the order of a first packing, and the share of bins that a mutation opens.
+BLUR, OPENED = 0.5, 0.12
 CLOSED = 0.995
 
 
@@ -111,37 +115,68 @@ def crossover(one: np.ndarray, other: np.ndarray, sizes: np.ndarray, capacity: i
     return best_fit(sizes.tolist(), np.lexsort((rng.random(len(sizes)), -sizes)), capacity, given)
 
 
+def filled(sizes: np.ndarray, at: np.ndarray, capacity: int) -> list[list[int]]:
+    """The pieces ``at`` in bins: each opens with the largest left and takes the one or two that leave least room, until none fits."""
+    ids = at[np.argsort(sizes[at], kind="stable")]
+    own, out = sizes[ids], []
+    while len(ids):
+        held, room = [int(ids[-1])], capacity - int(own[-1])
+        ids, own = ids[:-1], own[:-1]
+        while n := int(np.searchsorted(own, room, side="right")):
+            taken = [n - 1]
+            if n > 1 and own[n - 1] < room:
+                partner = np.minimum(np.searchsorted(own[:n], room - own[:n], side="right") - 1, np.arange(n) - 1)
+                pair = np.where(partner >= 0, own[:n] + own[np.maximum(partner, 0)], -1)
+                best = int(pair.argmax())
+                if pair[best] > own[n - 1]:
+                    taken = [best, int(partner[best])]
+            held += ids[taken].tolist()
+            room -= int(own[taken].sum())
+            ids, own = np.delete(ids, taken), np.delete(own, taken)
+        out.append(held)
+    return out
+
+
+def mutated(packing: np.ndarray, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    load = np.bincount(packing, sizes)
+    n = min(len(load), max(2, int(OPENED * len(load))))
+    opened = np.zeros(len(load), bool)
+    opened[np.argpartition(load * rng.uniform(0.9, 1.0, len(load)), n - 1)[:n]] = True
+    opened[rng.integers(0, len(load), max(1, n // 3))] = True
+    number = np.cumsum(~opened) - 1
+    out, bins = number[packing], len(load) - int(opened.sum())
+    for held in filled(sizes, np.flatnonzero(opened[packing]), capacity):
+        out[held] = bins
+        bins += 1
+    return out
+
+
 def evolve(sizes: np.ndarray, capacity: int, starts: list[np.ndarray], seed: int, population: int = POPULATION, generations: int = GENERATIONS) -> np.ndarray:
-    """The elite of one island after an epoch."""
-    rng, members, least = np.random.default_rng(seed), list(starts), -(-int(sizes.sum()) // capacity)
-    if not members:
-        members.append(best_fit(sizes.tolist(), np.argsort(-sizes, kind="stable"), capacity))
+    """The elite of one island after an epoch; ``starts`` are packings to begin with, if there are any."""
+    rng, least = np.random.default_rng(seed), -(-int(sizes.sum()) // capacity)
+
+    def rated(packing: np.ndarray) -> tuple[tuple[int, float], np.ndarray]:
+        return worth(packing, sizes, capacity), packing
+
+    members = [rated(p) for p in starts]
     while len(members) < population:
-        blur = sizes * rng.uniform(0.8, 1.2, len(sizes))
-        members.append(best_fit(sizes.tolist(), np.argsort(-blur, kind="stable"), capacity))
-    members.sort(key=lambda p: worth(p, sizes, capacity), reverse=True)
+        blurred = sizes * rng.uniform(1 - BLUR, 1 + BLUR, len(sizes))
+        members.append(rated(best_fit(sizes.tolist(), np.argsort(-blurred, kind="stable"), capacity)))
     for _ in range(generations):
-        if members[0].max() + 1 <= least:
+        members.sort(key=lambda m: m[0], reverse=True)
+        if -members[0][0][0] <= least:
             break
-        a, b = rng.choice(population, 2, replace=False)
-        members[-1] = crossover(members[min(a, b)], members[max(a, b)], sizes, capacity, rng)
-        members.sort(key=lambda p: worth(p, sizes, capacity), reverse=True)
-    return members[0]
+        a, b = sorted(rng.choice(population, 2, replace=False))
+        members[-1] = rated(mutated(crossover(members[a][1], members[b][1], sizes, capacity, rng), sizes, capacity, rng))
+    return max(members, key=lambda m: m[0])[1]
 
 
-def _island(frame: pd.DataFrame, capacity: int, epoch: int, most: int) -> pd.DataFrame:
+def _island(frame: pd.DataFrame, capacity: int, epoch: int) -> pd.DataFrame:
     """An epoch of one island: its own elite and the migrant, if any, as starts; the new elite."""
     frame = frame.sort_values(["immigrant", "row"], kind="stable").reset_index(drop=True)
-    own = frame[~frame.immigrant]
-    guest = frame[frame.immigrant]
-    bins, taken = np.zeros(len(own), np.int64), 0
-    for at in range(0, len(own), most):  # a cell that chance made large is packed in parts
-        part = own.iloc[at : at + most]
-        sizes = part.length.to_numpy()
-        starts = [np.unique(x.bin.to_numpy()[at : at + most], return_inverse=True)[1] for x in (own, guest) if len(x) == len(own) and x.bin.min() >= 0]
-        seed = zlib.crc32(f"{part.cell.iloc[0]} {part.island.iloc[0]} {epoch} {at}".encode())
-        bins[at : at + most] = evolve(sizes, capacity, starts, seed) + taken
-        taken = int(bins[at : at + most].max()) + 1
+    own, guest = frame[~frame.immigrant], frame[frame.immigrant]
+    starts = [x.bin.to_numpy() for x in (own, guest) if len(x) == len(own) and x.bin.min() >= 0]
+    bins = evolve(own.length.to_numpy(), capacity, starts, zlib.crc32(f"{own.cell.iloc[0]} {own.island.iloc[0]} {epoch}".encode()))
     out = own.assign(bin=bins)
     load = np.bincount(bins, own.length)
     out["bins"], out["fill"] = len(load), float(((load / capacity) ** 2).sum())
@@ -158,9 +193,9 @@ def _island(frame: pd.DataFrame, capacity: int, epoch: int, most: int) -> pd.Dat
 SHAPE = "row long, length long, cell long, island int, immigrant boolean, bin long, bins long, fill double, load long, offset long"
 
 
-def _epoch(capacity: int, epoch: int, most: int):
+def _epoch(capacity: int, epoch: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return _island(frame, capacity, epoch, most)[[column.split()[0] for column in SHAPE.split(", ")]]
+        return _island(frame, capacity, epoch)[[column.split()[0] for column in SHAPE.split(", ")]]
 
     return run
 
@@ -175,9 +210,9 @@ def _evolved(parts: DataFrame, capacity: int, cell: int, level: int) -> DataFram
             own = state.select("row", "length", "cell", "island", "immigrant", "bin")
             state = own.union(own.withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS))).withColumn("immigrant", F.lit(True)))
         inputs = state.select("row", "length", "cell", "island", "immigrant", "bin")
-        state = written(inputs.groupBy("cell", "island").applyInPandas(_epoch(capacity, epoch, 4 * cell), SHAPE), "packing-epoch")
+        state = written(inputs.groupBy("cell", "island").applyInPandas(_epoch(capacity, epoch), SHAPE), "packing-epoch")
     best = state.groupBy("cell").agg(F.min(F.struct("bins", -F.col("fill"), "island"))["island"].alias("island"))
-    return state.join(F.broadcast(best), ["cell", "island"]).select("row", "length", "cell", "bin", "load", "offset")
+    return state.join(best, ["cell", "island"]).select("row", "length", "cell", "bin", "load", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, leading_space: bool, end_id: int, capacity: int = 2048, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
