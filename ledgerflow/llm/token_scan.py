@@ -3,8 +3,11 @@
 The files hold nothing but ids of fixed width. They are read in blocks by their size alone: each block is searched for
 the end id with numpy, and a prefix scan over the blocks' counts and last ends stitches documents that blocks cut.
 
+The width of an id follows from the vocabulary, unless a width is given; an id that doesn't fit raises an error.
+
 Defined results: a null or empty text is a document of no ids; repeated rows count each; extra columns are ignored;
-an empty table gives no file and no row. Ids after a file's last end id form no document and raise an error.
+an empty table gives no file and no row. Ids after a file's last end id form no document and raise an error, as does
+a file whose length is no multiple of the width.
 """
 
 from __future__ import annotations
@@ -35,7 +38,10 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, leading_sp
                 file.commit()
                 file, seq, docs = None, seq + 1, 0
             file = file or store.Committed(folder, f"part-{part:05d}-{seq:05d}.ids")
-            file.write(np.insert(flat, np.cumsum(counts), end_id).astype(kind).tobytes())
+            ids = np.insert(flat, np.cumsum(counts), end_id)
+            if len(ids) and int(ids.max()) > np.iinfo(kind).max:
+                raise ValueError(f"id {int(ids.max())} does not fit in {kind}")
+            file.write(ids.astype(kind).tobytes())
             n = len(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([file.name] * n), pa.array(np.arange(docs, docs + n))], ["id", "file", "ordinal"])
             docs += n
@@ -43,6 +49,11 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, leading_sp
         file.commit()
 
 
+def width_of(path: str, end_id: int) -> str:
+    """The least width that holds all ids of a vocabulary and the end id."""
+    return "<u2" if max(tokens.encoder(path, False).tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
+
+
 def write_flat(docs: DataFrame, folder: str, path: str, leading_space: bool, end_id: int, kind: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes a flat file of ids for each task; returns which document is the how-manieth of which file."""
     session(docs)
@@ -63,6 +74,8 @@ def _scan(batches: Iterator[pa.RecordBatch], folder: str, end_id: int, kind: str
     width = np.dtype(kind).itemsize
     for batch in batches:
         for name, block, at, size in zip(*(batch.column(k).to_pylist() for k in ("file", "block", "at", "size")), strict=True):
+            if size % width:
+                raise ValueError(f"{name} ends within an id")
             with fs.open_input_file(f"{root}/{name}") as f:
                 ids = np.frombuffer(f.read_at(size, at), kind)
             ends = np.flatnonzero(ids == end_id) + at // width
@@ -78,6 +91,9 @@ def scan(files: DataFrame, folder: str, end_id: int, kind: str = "<u2", block_by
     blocks = sized.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
     blocks = blocks.select("file", "block", (F.col("block") * block_bytes).alias("at")).join(sized, "file").withColumn("size", F.least(F.lit(block_bytes), F.col("bytes") - F.col("at"))).repartition("file", "block")
     found = written(blocks.mapInArrow(lambda it: _scan(it, folder, end_id, kind), "file string, block long, ends array<long>, stop long"), "flat-ends")
+    tails = found.groupBy("file").agg(F.max("stop").alias("stop"), F.coalesce(F.max(F.array_max("ends")), F.lit(-1)).alias("last"))
+    if left := tails.where("last + 1 < stop").limit(5).collect():
+        raise ValueError(f"ids after the last end id in {[(r.file, r.stop - r.last - 1) for r in left]}")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = found.select("file", "block", F.size("ends").cast("long").alias("n"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("last"))
     carried = carried.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("carry"))
@@ -86,8 +102,9 @@ def scan(files: DataFrame, folder: str, end_id: int, kind: str = "<u2", block_by
     return rows.select("file", (F.col("first") + F.col("k")).alias("ordinal"), start.alias("start"), (F.col("end") - start).alias("n_tokens"))
 
 
-def token_counts(docs: DataFrame, path: str, leading_space: bool, end_id: int, kind: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, path: str, leading_space: bool, end_id: int, kind: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row a document: id, file, ordinal, start, n_tokens, all from a scan of flat files of its ids."""
     folder = shared_dir(session(docs), "flat")
+    kind = kind or width_of(path, end_id)
     order = write_flat(docs, folder, path, leading_space, end_id, kind, id_col, text_col)
     return order.join(scan(order, folder, end_id, kind), ["file", "ordinal"], "left").select(F.col("id").alias(id_col), "file", "ordinal", "start", "n_tokens")

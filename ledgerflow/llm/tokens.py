@@ -26,7 +26,6 @@ _NOT_LATIN = re.compile(f"[^{chr(0)}-{chr(0x24F)}]")
 _CONTROL = re.compile("[\x1c-\x1f]")
 #: Cached chunks; beyond that, those met once since the last clearing go.
 CACHED = 400_000
-LONGEST = 64
 
 
 class _Codes(dict):
