@@ -42,8 +42,8 @@ def tokens_of(url: Column) -> Column:
     path = path_of(url)
     words = F.transform(F.regexp_extract_all(host_of(url), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)), lambda x: F.concat(F.lit("word="), x))
     parts = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("path="), F.regexp_replace(x, "[0-9]", "0")))
-    query = F.regexp_extract_all(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), F.lit(r"([^&=]+)"), F.lit(1))
-    keys = F.transform(query, lambda x: F.concat(F.lit("query="), x))
+    query = F.split(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), "&")
+    keys = F.transform(F.filter(F.transform(query, lambda x: F.substring_index(x, "=", 1)), lambda x: x != ""), lambda x: F.concat(F.lit("query="), x))
     rest = F.array(F.concat(F.lit("scheme="), ascii_lower(F.regexp_extract(url, r"^([^:/?#]*)://", 1))), F.when(F.contains(url, F.lit("#")), F.lit("fragment")), F.when(F.regexp_like(path, F.lit("/$")), F.lit("slash")))
     found = F.array_distinct(F.concat(words, parts, keys, F.filter(rest, lambda x: x.isNotNull())))
     return F.when(F.contains(F.coalesce(url, F.lit("")), F.lit("://")), found).otherwise(F.array(F.lit("no url")))
@@ -66,17 +66,18 @@ def listed(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tup
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, least: int = LEAST_ROWS) -> DataFrame:
     """(rule, tokens, confidence, support) from rows (tokens, bad): sure enough, and surer than each of their parts."""
+    labelled = written(labelled, "url-labelled")
     n, bad = labelled.agg(F.count("*"), F.count_if("bad")).first()
     empty = labelled.sparkSession.createDataFrame([], "rule long, tokens array<string>, confidence double, support double")
     if not n or bad == n:  # where all are bad nothing is surer than the share
         return empty
     common = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= max(least, support * n))
-    # a token that nearly all URLs have parts nothing
-    common = common.where(F.col("count") <= 0.95 * n).select("token")
-    rows = labelled.withColumn("row", F.monotonically_increasing_id())
-    rows = written(rows, "url-labelled")
-    kept = rows.select("row", F.explode("tokens").alias("token")).join(common, "token").groupBy("row").agg(F.collect_set("token").alias("items"))
-    baskets = rows.join(kept, "row", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")).where(F.size("items") > 0)
+    # a token that nearly all URLs have parts nothing; of others there are at most a URL's tokens / support, however many rows
+    common = [r.token for r in common.where(F.col("count") <= 0.95 * n).select("token").orderBy("token").collect()]
+    if not common:
+        return empty
+    none = F.array().cast("array<string>")
+    baskets = labelled.select(F.concat(F.array_intersect("tokens", F.array(*map(F.lit, common))), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(none)).alias("items")).where(F.size("items") > 0)
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / n)), minConfidence=confidence).fit(baskets)
     sure = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & ((F.col("lift") >= lift) | (F.col("confidence") >= (1 + bad / n) / 2)))
     sure = written(sure.select(F.xxhash64(F.sort_array("antecedent")).alias("rule"), F.sort_array("antecedent").alias("tokens"), "confidence", "support"), "url-rules")
