@@ -69,8 +69,8 @@ def placed(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + HEADER_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = rows.withColumn("vslot", F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int"))
-    # places are counted within a slot and a salt, so that a slot that repeated ids make heavy is counted in parts
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("text_crc32", "size"), F.lit(SALTS)).cast("int"))
+    # places are counted within a slot and a salt, so that a slot that repeated rows make heavy is counted in parts
+    rows = written(rows.withColumn("salt", F.pmod(F.xxhash64("text_crc32", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")), "slot-rows")
     maps = stored_map(spark, [shards, shards + 1], slots)
     both = maps.groupBy("vslot").agg(F.max(F.when(F.col("version") == shards, F.col("shard"))).alias("shard"), F.max(F.when(F.col("version") == shards + 1, F.col("shard"))).alias("grown_shard"))
     loads = written(rows.groupBy("vslot", "salt").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "slot-loads")  # at most slots * salts rows
