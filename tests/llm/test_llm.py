@@ -594,6 +594,15 @@ def test_html_names():
         assert html_text.extract(f"<body>{away}<article>{story}</article>{away}</body>", weights) == "Text of the story, in full."
 
 
+def test_html_attributes_have_their_own_values():
+    weights = {"in p": 1.5, "tag p": -0.1, "tag div": -1.0}
+    story = "<p>Text of the story, in full.</p>"
+    for other in ("title='the hidden truth'", "data-id='sidebar'", "data-state=hidden", "data-class=\"ad\"", "title='class=ad id=ads'", "title = 'a > b, hidden' id=x", "hidden-by=x", "style='overflow: hidden'", "data-role=navigation"):
+        assert html_text.extract(f"<body><div><p>Begin it here.</p><p {other}>Then a middle part.</p>{story}</div></body>", weights) == "Begin it here. Then a middle part. Text of the story, in full."
+    for own in ("hidden", "HIDDEN=''", "title='a' class=ad", "aria-hidden=true", "title='x>y' role='navigation'", "class = \"ad\"", "data-x='1'id=sidebar"):
+        assert html_text.extract(f"<body><div><p>Begin it here.</p><p {own}>Then a middle part.</p>{story}</div></body>", weights) == "Begin it here. Text of the story, in full."
+
+
 def test_html_text_right_in_div(spark, sf_dir):
     weights = html_text.weights_of(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     assert all(w > 0 for k, w in weights.items() if k.startswith("in ") and k != "in a") and weights["tag div"] < 0
