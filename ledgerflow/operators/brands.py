@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.small import small
 from ..functions.text import jaro_winkler_col, lcs_col, split_merchant
 
 
@@ -37,7 +38,7 @@ def brand_of(rows: DataFrame, brands: DataFrame, key: str = "msg_id", merchant:
     first = _first_token([(r.token, n) for n, r in enumerate(known)])
     names = rows.sparkSession.createDataFrame([(n, r.brand, r.category, r.online) for n, r in enumerate(known)], "_n int, brand string, brand_category string, _online boolean")
     out = rows.withColumn("_m", first(F.lower(merchant))).withColumn("_n", F.coalesce("_m", first(F.when(F.col("_m").isNull(), F.lower(body)))))
-    return out.join(F.broadcast(names), "_n", "left").withColumn("online", F.coalesce("_online", F.lit(False))).drop("_m", "_n", "_online")
+    return out.join(small(names), "_n", "left").withColumn("online", F.coalesce("_online", F.lit(False))).drop("_m", "_n", "_online")
 
 
 def token_matches(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def token_matches(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
     0.9; for shorter ones the best by common substring, if that is as long as the keyword (one less, if the keyword has over
     4 letters). Of equal scores the last keyword wins. ``tokens`` are distinct, ``keywords`` (keyword, ord) a dictionary.
     """
-    pairs = tokens.select("token").distinct().join(F.broadcast(keywords.select("keyword", "ord")), F.lit(True))
+    pairs = tokens.select("token").distinct().join(small(keywords.select("keyword", "ord")), F.lit(True))
     inside = pairs.where((F.length("keyword") > 3) & F.contains("token", "keyword")).select("token", "keyword")
     # two strings whose lengths differ by more than half can't reach 0.9; only the others go to Python
     long_ = pairs.where((F.length("token") > 4) & (F.least(F.length("token"), F.length("keyword")) * 2 >= F.greatest(F.length("token"), F.length("keyword"))))
@@ -61,5 +62,5 @@ def token_matches(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
 def fuzzy_category(rows: DataFrame, keywords: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, categories): sorted categories of all of a text's tokens; ``keywords`` has (keyword, category, ord)."""
     tokens = rows.select(key, F.explode(F.array_distinct(split_merchant(F.col(text)))).alias("token"))
-    means = token_matches(tokens, keywords).join(F.broadcast(keywords.select("keyword", "category")), "keyword").select("token", "category").distinct()
+    means = token_matches(tokens, keywords).join(small(keywords.select("keyword", "category")), "keyword").select("token", "category").distinct()
     return tokens.join(means, "token").groupBy(key).agg(F.array_sort(F.collect_set("category")).alias("categories"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.small import small
 from ..functions.text import longest_phrase, parse_amount
 
 WORD = r"[\p{L}\p{N}]+"
@@ -24,16 +25,16 @@ def tag_keywords(docs: DataFrame, dictionary: DataFrame, longest: int | None = N
     known = dictionary.select(F.lower("phrase").alias("phrase"), "type", "norm")
     # only words that a phrase has leave the scan; what stands in a row of them is looked up
     parts = known.select(F.explode(F.split("phrase", " ")).alias("word")).distinct()
-    met = tokens(docs, key, text).join(F.broadcast(parts), "word")
+    met = tokens(docs, key, text).join(small(parts), "word")
     if longest == 1:
-        found = met.select(key, "pos", (F.col("pos") + 1).alias("end"), F.col("word").alias("phrase")).join(F.broadcast(known), "phrase")
+        found = met.select(key, "pos", (F.col("pos") + 1).alias("end"), F.col("word").alias("phrase")).join(small(known), "phrase")
     else:
         order = Window.partitionBy(key).orderBy("pos")
         runs = met.withColumns({f"_{n}": F.when(F.lead("pos", n).over(order) == F.col("pos") + n, F.lead("word", n).over(order)) for n in range(1, longest)})
         phrases = [F.struct(F.lit(1).alias("n"), F.col("word").alias("phrase"))]
         phrases += [F.when(F.col(f"_{n}").isNotNull(), F.struct(F.lit(n + 1).alias("n"), F.concat_ws(" ", "word", *[F.col(f"_{i}") for i in range(1, n + 1)]).alias("phrase"))) for n in range(1, longest)]
         said = runs.select(key, "pos", F.explode(F.filter(F.array(*phrases), lambda x: x.isNotNull())).alias("x"))
-        found = said.select(key, "pos", (F.col("pos") + F.col("x.n")).alias("end"), "x.phrase").join(F.broadcast(known), "phrase")
+        found = said.select(key, "pos", (F.col("pos") + F.col("x.n")).alias("end"), "x.phrase").join(small(known), "phrase")
     # matches that overlap form a cluster; within it one stays if it begins where the last one that stayed has ended
     before = Window.partitionBy(key).orderBy("pos", F.col("end").desc(), "type", "norm")
     free = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))

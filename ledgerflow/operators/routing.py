@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions.small import small
 
 #: (prio, institution, sender pattern, forced type, kind): a fund goes before the bank whose name it shares.
 INSTITUTIONS = [
@@ -32,13 +33,13 @@ def route_sender(messages: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``rules`` has a row an institution; the pattern join sees distinct senders only.
     """
-    hit = distinct_senders(messages).join(F.broadcast(rules), F.expr("sender RLIKE sender_pattern"))
+    hit = distinct_senders(messages).join(small(rules), F.expr("sender RLIKE sender_pattern"))
     best = hit.groupBy("sender").agg(F.min(F.struct("prio", "institution", "type_override", "kind")).alias("r")).select("sender", "r.institution", "r.type_override", "r.kind")
     return messages.join(best, "sender", "left")
 
 
 def known_sender(messages: DataFrame, rules: DataFrame) -> DataFrame:
-    hit = distinct_senders(messages).join(F.broadcast(rules), F.expr("sender RLIKE sender_pattern")).select("sender").distinct()
+    hit = distinct_senders(messages).join(small(rules), F.expr("sender RLIKE sender_pattern")).select("sender").distinct()
     return messages.join(hit, "sender", "left_semi")
 
 
@@ -72,7 +73,7 @@ def bank_by_fragment(messages: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def canonical_names(names: DataFrame, known: DataFrame) -> DataFrame:
     """(raw, bank): the known name that is equal, else the only one that begins with raw and a space, else raw in title case."""
-    pairs = names.select("raw").distinct().join(F.broadcast(known.select("name").distinct()), (F.lower("name") == F.lower("raw")) | F.lower("name").startswith(F.concat(F.lower("raw"), F.lit(" "))), "left")
+    pairs = names.select("raw").distinct().join(small(known.select("name").distinct()), (F.lower("name") == F.lower("raw")) | F.lower("name").startswith(F.concat(F.lower("raw"), F.lit(" "))), "left")
     exact = F.max(F.when(F.lower("name") == F.lower("raw"), F.col("name")))
     longer = F.collect_set(F.when(F.lower("name") != F.lower("raw"), F.col("name")))
     return pairs.groupBy("raw").agg(exact.alias("e"), longer.alias("l")).select("raw", F.coalesce("e", F.when(F.size("l") == 1, F.get("l", F.lit(0))), F.initcap(F.lower("raw"))).alias("bank"))
@@ -81,7 +82,7 @@ def canonical_names(names: DataFrame, known: DataFrame) -> DataFrame:
 def bank_by_substring(messages: DataFrame, aliases: DataFrame, known: DataFrame) -> DataFrame:
     """Adds bank_alias: the first alias (alias, raw, prio) that the sender contains, under its canonical name."""
     resolved = aliases.join(canonical_names(aliases, known), "raw")
-    hit = distinct_senders(messages).join(F.broadcast(resolved), F.contains(F.lower("sender"), F.lower("alias"))).groupBy("sender").agg(F.min(F.struct("prio", "bank"))["bank"].alias("bank_alias"))
+    hit = distinct_senders(messages).join(small(resolved), F.contains(F.lower("sender"), F.lower("alias"))).groupBy("sender").agg(F.min(F.struct("prio", "bank"))["bank"].alias("bank_alias"))
     return messages.join(hit, "sender", "left")
 
 
@@ -110,13 +111,13 @@ def offer_category(messages: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def by_handle(df: DataFrame, address: str, providers: DataFrame) -> DataFrame:
     """Adds provider: what (handle, provider) has for the text after the last @."""
-    return df.withColumn("handle", F.when(F.contains(F.col(address), F.lit("@")), F.lower(F.substring_index(address, "@", -1)))).join(F.broadcast(providers.select(F.lower("handle").alias("handle"), "provider").dropDuplicates(["handle"])), "handle", "left")
+    return df.withColumn("handle", F.when(F.contains(F.col(address), F.lit("@")), F.lower(F.substring_index(address, "@", -1)))).join(small(providers.select(F.lower("handle").alias("handle"), "provider").dropDuplicates(["handle"])), "handle", "left")
 
 
 def place_codes(spans: DataFrame, places: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, code, codes): code of the first word of a text that is a place, and all its places' codes in text order."""
     words = spans.select(key, F.posexplode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("pos", "word"))
-    hit = words.join(F.broadcast(places.select(F.lower("word").alias("word"), "code").dropDuplicates(["word"])), "word")
+    hit = words.join(small(places.select(F.lower("word").alias("word"), "code").dropDuplicates(["word"])), "word")
     return hit.groupBy(key).agg(F.min(F.struct("pos", "code"))["code"].alias("code"), F.sort_array(F.collect_list(F.struct("pos", "code")))["code"].alias("codes"))
 
 
@@ -129,7 +130,7 @@ def gazetteer(spans: DataFrame, phrases: DataFrame, places: DataFrame, key: str
 
     longest = longest_phrase(phrases) if longest is None else longest
     found = spans.select(key, words(F.col(text)).alias("_w")).select(key, F.explode(F.array_distinct(word_ngrams(F.col("_w"), longest))).alias("phrase"))
-    many = found.join(F.broadcast(phrases.select(F.lower("phrase").alias("phrase"), F.col("code").alias("pcode"), "prio")), "phrase").groupBy(key).agg(F.min(F.struct("prio", "pcode"))["pcode"].alias("pcode"))
+    many = found.join(small(phrases.select(F.lower("phrase").alias("phrase"), F.col("code").alias("pcode"), "prio")), "phrase").groupBy(key).agg(F.min(F.struct("prio", "pcode"))["pcode"].alias("pcode"))
     one = place_codes(spans, places, key, text).select(key, "code")
     return many.join(one, key, "full").select(key, F.coalesce("pcode", "code").alias("code"))
 

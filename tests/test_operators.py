@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerflow import schema
+from ledgerflow.functions import small
 from ledgerflow.functions import text as C
 from ledgerflow.operators import brands, corpus, extract, fields, gates, ledger, recurring, routing
 from ledgerflow.sources import messages as M
@@ -262,3 +263,19 @@ def test_phrases_of_any_length(spark):
     assert [tuple(r) for r in corpus.tag_keywords(d, k).collect()] == [(1, 2, 9, "PLACE", "port")]
     assert corpus.tag_keywords(d, k.where("false")).count() == 0
     assert [tuple(r) for r in routing.gazetteer(d, k, k.select(F.lit("sea").alias("word"), F.lit("S").alias("code"))).collect()] == [(1, "OTN")]
+
+
+def test_only_small_tables_are_broadcast(spark, monkeypatch):
+    table = spark.range(100).withColumn("word", F.concat(F.lit("w"), "id"))
+    marked = lambda df: "broadcast" in df._jdf.queryExecution().analyzed().toString()
+    assert marked(small.small(table.join(small.small(table.select("word")), "word"), 0))
+    assert not marked(table.join(small.small(table.select("word"), 99), "word"))
+    assert marked(small.small(table.where("false"), 0)) and not marked(small.small(table, 99))
+    d = spark.createDataFrame([(1, "From the Old Town to the sea"), (2, "nothing of it"), (3, None)], "id long, text string")
+    k = spark.createDataFrame([("old town", "PLACE", "port"), ("sea", "SEA", "sea"), ("the sea", "SEA", "the")], "phrase string, type string, norm string")
+    m = spark.createDataFrame([("VM-ALPHBK",), ("BETABK",), ("none",), (None,)], "sender string")
+    found = lambda: (sorted(map(tuple, corpus.tag_keywords(d, k).collect())), sorted(map(tuple, routing.route_sender(m, routing.institutions(spark)).fillna("").collect())))
+    before = found()
+    monkeypatch.setattr(corpus, "small", lambda df: df)
+    monkeypatch.setattr(routing, "small", lambda df: df)
+    assert found() == before and len(before[0]) == 2
