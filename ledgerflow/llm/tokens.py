@@ -23,9 +23,21 @@ _LEADING = re.compile(rf" ?[{_A}]+(?=[{_W}{_P}']|\Z)| ?[{_P}]+(?=[{_A}{_W}]|\Z)|
 _PLAIN = re.compile(rf"[{_A}]+(?=[{_W}{_P}']|\Z)|[{_P}]+(?=[{_A}{_W}]|\Z)|[^{_W}]+")
 _ODD = re.compile("[" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 _NOT_LATIN = re.compile(f"[^{chr(0)}-{chr(0x24F)}]")
-_CONTROL = re.compile("[\x1c-\x1f]")
+_CONTROL = "\x1c\x1d\x1e\x1f"
 #: Cached chunks; beyond that, those met once since the last clearing go.
 CACHED = 400_000
+#: New chunks that go to the library as one text, and the mark between them.
+JOINED, MARK = 500, "~"
+
+
+def _lower(text: str) -> str:
+    """A-Z lower-cased, in texts of Latin letters alone; others stay as they are."""
+    if text.isascii():
+        return text.lower()
+    try:
+        return text.encode("latin-1").lower().decode("latin-1")  # bytes know no case but that of A-Z
+    except UnicodeEncodeError:
+        return text if _NOT_LATIN.search(text) else text.encode().lower().decode()
 
 
 class _Codes(dict):
@@ -77,7 +89,29 @@ class Encoder:
         return self.flat[np.repeat(self.start[codes] - (ends - size), size) + np.arange(total)], size
 
     def _whole(self, text: str) -> bool:
-        return bool(not text.isascii() and _ODD.search(text)) or bool(_CONTROL.search(text)) or any(s in text for s in self.special)
+        return bool(not text.isascii() and _ODD.search(text)) or any(c in text for c in _CONTROL) or any(s in text for s in self.special)
+
+    def _alone(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks in a row, and each chunk's number of ids."""
+        new = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        return np.fromiter((i for ids in new for i in ids), np.uint32, int(size.sum())), size
+
+    def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, where white space is dropped: many chunks go to the library as one text, with a mark of one id between them.
+
+        If that id occurs more often than there are marks, a chunk has it too, and these chunks go one by one.
+        """
+        mark, *more = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        if more:
+            return self._alone(chunks)
+        runs = [chunks[i : i + JOINED] for i in range(0, len(chunks), JOINED)]
+        parts = []
+        for own, made in zip(runs, self.tokenizer.encode_batch_fast([f" {MARK} ".join(own) for own in runs], add_special_tokens=False), strict=True):
+            ids = np.array(made.ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == mark), len(ids))
+            parts.append((ids[ids != mark], np.diff(ends, prepend=-1) - 1) if len(ends) == len(own) else self._alone(own))
+        return np.concatenate([flat for flat, _ in parts]), np.concatenate([size for _, size in parts])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and each text's number of ids."""
@@ -90,18 +124,15 @@ class Encoder:
             if self._whole(text):
                 whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
             else:
-                if not self.leading_space and not _NOT_LATIN.search(text):
-                    text = text.encode().lower().decode()  # A-Z only
-                chunks += self.cut(text)
+                chunks += self.cut(text if self.leading_space else _lower(text))
             ends.append(len(chunks))
         codes = np.fromiter(map(self.codes.__getitem__, chunks), np.int64, len(chunks))
         if fresh := self.codes.fresh:
-            new = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            size = np.fromiter(map(len, new), np.int64, len(new))
+            flat, size = self._alone(fresh) if self.leading_space else self._joined(fresh)
             begin = len(self.flat) + np.cumsum(size) - size
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in new for i in ids), np.uint32, int(size.sum()))])
+            self.flat = np.concatenate([self.flat, flat])
             self.size, self.start = np.concatenate([self.size, size]), np.concatenate([self.start, begin])
-            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+            self.met = np.concatenate([self.met, np.zeros(len(size), np.int64)])
             self.codes.fresh = []
         self.met += np.bincount(codes, minlength=len(self.met))
         flat, size = self._gather(codes)

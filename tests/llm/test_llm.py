@@ -136,6 +136,17 @@ def ordered(rows):
     return sorted(map(tuple, rows), key=str)
 
 
+def test_new_chunks_beside_the_mark():
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    texts = ["a ~ b", "~~ c~d ~", " ".join(f"x{i}y" for i in range(1203)), "\u0301x \u0301 ~", "", " ".join(f"q{i}~" for i in range(600)), "A~B \u00c9~ \u0416~ \x1c~"]
+    for own in ([t] for t in texts), [texts]:
+        e = tokens.Encoder(path, False)
+        for group in own:
+            flat, counts = e.encode(group)
+            want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in group]
+            assert counts.tolist() == list(map(len, want)) and flat.tolist() == [i for ids in want for i in ids]
+
+
 def test_contamination(spark, docs):
     rows, passage = corpus()
     items = [(1, passage), (2, "Same text here"), (3, passage + " more of it"), (4, None), (5, "..."), (10, "one"), (2, "Same text here"), (11, " ".join(rows[60][1].split()[3:15]).upper())]
