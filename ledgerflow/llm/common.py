@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -61,6 +61,16 @@ def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
                 folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def numbered(df: DataFrame, name: str, column: str = "id") -> DataFrame:
+    """``df`` as a written table with numbers from 0 without gaps. What is shared out is a number of rows for each part of it."""
+    placed = written(df.withColumn("_place", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_place", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    begins = sizes.select("_part", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_begin"))
+    number = F.col("_begin") + F.col("_place").bitwiseAND(F.lit(2**33 - 1))
+    return placed.withColumn("_part", part).join(F.broadcast(begins), "_part").withColumn(column, number).drop("_part", "_place", "_begin")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
