@@ -89,12 +89,10 @@ def _paths(turns: DataFrame, convs: DataFrame) -> tuple[DataFrame, int]:
     roots = pairs[-1].select("conv_id", "i", _name(F.lit("root")).alias("root"))
     for level in range(rounds - 1, -1, -1):
         halves = pairs[level].join(roots, ["conv_id", "i"])
-        upper = [(F.col("i") * 2).alias("i"), F.col("root").alias("root")]
-        lower = [(F.col("i") * 2 + 1).alias("i"), _name("root", "l").alias("root")]
-        if level:
-            roots = halves.select("conv_id", *upper).unionAll(halves.where("two").select("conv_id", *lower))
-        else:
-            roots = halves.select("conv_id", *upper, F.col("words_l").alias("words"), F.col("l").isNull().alias("ends")).unionAll(halves.where("two").select("conv_id", *lower, "words_r", F.col("r").isNull()))
+        more = [F.col("words_l").alias("words"), F.col("l").isNull().alias("ends")], [F.col("words_r").alias("words"), F.col("r").isNull().alias("ends")]
+        upper = F.struct((F.col("i") * 2).alias("i"), F.col("root").alias("root"), *more[0][: 0 if level else 2])
+        lower = F.struct((F.col("i") * 2 + 1).alias("i"), _name("root", "l").alias("root"), *more[1][: 0 if level else 2])
+        roots = halves.select("conv_id", "two", F.explode(F.array(upper, lower)).alias("x")).where((F.col("x.i") % 2 == 0) | F.col("two")).select("conv_id", "x.*")
     return written(roots.select("conv_id", F.col("i").alias("depth"), F.col("root").alias("node"), "words", "ends"), "trie-paths"), rounds
 
 
