@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -91,13 +92,25 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def word_ngrams(tokens: Column, most: int = 3) -> Column:
-    """All n-grams of 1 to ``most`` words, with repeats."""
+def _grams(tokens: Column, most: int, made: Callable[[list[Column]], Column]) -> Column:
+    """What ``made`` gives of all runs of 1 to ``most`` tokens. Runs come from shifted copies, not from places looked up, so the cost is linear."""
+
     def of_length(n: int) -> Column:
-        one = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-        return F.when(F.size(tokens) >= n, one).otherwise(F.array().cast("array<string>"))
+        count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+        shifted = F.arrays_zip(*[F.slice(tokens, F.lit(i + 1), count).alias(f"w{i}") for i in range(n)])
+        return F.transform(shifted, lambda x: made([x[f"w{i}"] for i in range(n)]))
+
+    return F.concat(F.transform(tokens, lambda x: made([x])), *[of_length(n) for n in range(2, most + 1)])
+
+
+def word_ngrams(tokens: Column, most: int = 3) -> Column:
+    """All n-grams of 1 to ``most`` words, with repeats. Linear in the text: runs come from shifted copies, not from places looked up."""
+    return _grams(tokens, most, lambda parts: F.concat_ws(" ", *parts) if len(parts) > 1 else parts[0])
+
 
-    return F.concat(*[of_length(n) for n in range(1, most + 1)])
+def gram_hashes(tokens: Column, most: int = 3) -> Column:
+    """64-bit hashes of all n-grams of 1 to ``most`` words, with repeats."""
+    return _grams(tokens, most, lambda parts: F.xxhash64(*parts))
 
 
 def longest_phrase(dictionary: DataFrame, phrase: str = "phrase") -> int:

@@ -5,28 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import mask_amounts, word_ngrams, words
+from ..functions.text import gram_hashes, mask_amounts, word_ngrams, words
 
 ONE_SIDED = 5.0
 
 
-def _grams(docs: DataFrame, keep: list[str], text: str, most: int, once: bool = False) -> DataFrame:
-    made = docs.select(*keep, words(mask_amounts(F.col(text))).alias("w")).select(*keep, word_ngrams(F.col("w"), most).alias("g"))
-    return made.select(*keep, F.explode(F.array_distinct("g") if once else F.col("g")).alias("gram"))
+def _exploded(docs: DataFrame, keep: list[str], text: str, most: int, once: bool = False, named: bool = False) -> DataFrame:
+    """(keep, gram): a row an n-gram, by its hash or its words. Words and n-grams are made once a text: an outer explode has no filter that would make them again."""
+    made = docs.select(*keep, words(mask_amounts(F.col(text))).alias("w"))
+    grams = word_ngrams(F.col("w"), most) if named else gram_hashes(F.col("w"), most)
+    return made.select(*keep, F.explode_outer(F.array_distinct(grams) if once else grams).alias("gram")).where("gram IS NOT NULL")
 
 
 def ngrams(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:
     """(key, gram, n): n-grams of each text with their repeats; amounts are masked."""
-    grams = _grams(docs, [key], text, most)
-    return grams.groupBy(key, "gram").agg(F.count("*").alias("n"))
+    return _exploded(docs, [key], text, most, named=True).groupBy(key, "gram").agg(F.count("*").alias("n"))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", most: int = 3, least: int = 2) -> DataFrame:
-    """(gram, n0, n1): in how many labelled texts of class 0 and 1 an n-gram occurs, ``least`` at least in all."""
+def train(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", most: int = 3, least: int = 2, named: bool = False) -> DataFrame:
+    """(gram, n0, n1): in how many labelled texts of class 0 and 1 an n-gram occurs, ``least`` at least in all.
+
+    An n-gram is its 64-bit hash; ``named`` gives its words instead, for a report. A text counts its n-grams once in its
+    row, so partial sums are all that is shuffled.
+    """
     known = labels.select(key, F.col(label).alias("y")).where("y IS NOT NULL")
-    # an n-gram counts once a text: repeats go within the row, and one shuffle of partial sums is left
-    found = _grams(docs.join(known, key), ["y"], text, most, once=True)
-    counted = found.groupBy("gram").agg(F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("n0"), F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("n1"))
+    found = _exploded(docs.join(known, key), ["y"], text, most, once=True, named=named)
+    counted = found.groupBy("gram").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"))
     return counted.where(F.col("n0") + F.col("n1") >= least)
 
 
@@ -43,7 +47,7 @@ def weights(model: DataFrame, prior: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, model: DataFrame, prior: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:
     """(key, score, class): log prior ratio and the weights of all n-grams with repeats; 0 if the score is 0 or more."""
-    hit = _grams(docs, [key], text, most).join(weights(model, prior), "gram").groupBy(key).agg(F.sum("w").alias("s"))
+    hit = _exploded(docs, [key], text, most).join(weights(model, prior), "gram").groupBy(key).agg(F.sum("w").alias("s"))
     base = prior.select(F.log(F.col("d0") / F.col("d1")).alias("base"))
     out = docs.select(key).join(hit, key, "left").join(F.broadcast(base))
     total = F.round(F.coalesce("s", F.lit(0.0)) + F.col("base"), 6)

@@ -48,30 +48,50 @@ def tag_keywords(docs: DataFrame, dictionary: DataFrame, longest: int | None = N
     return chosen.select(key, F.get("m", F.col("i")).alias("x")).select(key, "x.pos", "x.end", "x.type", "x.norm")
 
 
-#: Kinds of typed spans and their patterns (whole match), in order.
+#: Kinds of typed spans and their patterns (whole match). Of kinds that match at one place the longer comes first, so the first to match is the longest.
 SPANS = (
-    ("amount", r"(?i)(?:\brs\.?|\binr|\busd|[₹$€£])\s*\d[\d,]*(?:\.\d+)?(?:\s*(?:lakhs?|lacs?|k|crores?)\b)?"),
     ("percent", r"\b\d+(?:\.\d+)?\s?%"),
+    ("data_size", r"\b\d+(?:\.\d+)?\s?(?i:kb|mb|gb|tb)\b"),
     ("date", r"\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\d{1,2}[- ]?(?:[Jj]an|[Ff]eb|[Mm]ar|[Aa]pr|[Mm]ay|[Jj]un|[Jj]ul|[Aa]ug|[Ss]ep|[Oo]ct|[Nn]ov|[Dd]ec)[a-z]*[- ]?\d{2,4})\b"),
     ("time", r"\b\d{1,2}:\d{2}(?::\d{2})?(?:\s?[AaPp][Mm])?\b"),
+    ("amount", r"(?:\b(?i:rs\.?|inr|usd)|[₹$€£])\s*\d[\d,]*(?:\.\d+)?(?:\s*(?i:lakhs?|lacs?|k|crores?)\b)?"),
     ("account", r"(?<![A-Za-z0-9])[xX*]{2,}\d{3,6}\b"),
-    ("phone", r"(?<!\d)(?:\+\d{1,3}[ -]?)?[6-9]\d{9}(?!\d)"),
     ("ussd", r"\*\d{2,4}(?:\*\d+)*#"),
-    ("data_size", r"(?i)\b\d+(?:\.\d+)?\s?(?:kb|mb|gb|tb)\b"),
+    ("phone", r"(?<!\d)(?:\+\d{1,3}[ -]?)?[6-9]\d{9}(?!\d)"),
     ("number", r"(?<![\p{L}\d.,*#:/-])\d[\d,]*(?:\.\d+)?(?![\p{L}\d%*#:/-])(?!\s?(?:[kmgtKMGT][bB]\b|%))"),
 )
 MULTIPLES = (("crore", 10_000_000), ("lakh", 100_000), ("lac", 100_000), ("k", 1_000))
+# Marks that the scan sets around spans; as characters of a text they are blanks.
+_OPEN, _NEXT, _CLOSE = "\x01", "\x02", "\x03"
 
 
 def typed_spans(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, kind, n, raw, value): all spans of each kind, n-th of its kind from 0; amounts and numbers have a value."""
+    """(key, pos, end, word, word_end, kind, n, raw, value): all spans of a text, left to right, the longest first, without overlap.
 
-    def of_kind(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("n"), x.alias("raw")))
-
-    arrays = [of_kind(k, p) for k, p in SPANS]
-    out = docs.select(key, F.explode(F.concat(*arrays)).alias("s")).select(key, "s.*")
-    return out.withColumn("value", F.when(F.col("kind").isin("amount", "number", "percent"), span_value(F.col("raw"))))
+    One scan with all patterns marks the spans; their places are running sums over what stands between marks. ``pos`` and
+    ``end`` count characters from 0, ``word`` and ``word_end`` words as ``tokens`` numbers them; n is the span's number of its
+    kind, from 0; amounts, numbers and percents have a value. Texts without a digit are not scanned.
+    """
+    either = "|".join(f"({p})" for _, p in SPANS)
+    marks = _OPEN + _NEXT.join(f"${i}" for i in range(1, len(SPANS) + 1)) + _CLOSE
+    marked = F.regexp_replace(F.translate(text, _OPEN + _NEXT + _CLOSE, "   "), either, marks)
+    parts = docs.where(F.col(text).rlike(r"\d")).select(key, F.posexplode_outer(F.split(marked, _OPEN)).alias("i", "part"))
+    # a part is a span (none in the first) and the text up to the next
+    inner = F.split(F.substring_index("part", _CLOSE, 1), _NEXT)
+    first = F.col("i") == 0
+    raw = F.when(first, "").otherwise(F.array_join(inner, ""))
+    parts = parts.select(key, "i", raw.alias("raw"), F.when(first, F.col("part")).otherwise(F.substring_index("part", _CLOSE, -1)).alias("rest"), F.when(~first, F.element_at(F.array(*[F.lit(k) for k, _ in SPANS]), F.array_position(F.transform(inner, lambda x: x != ""), True).cast("int"))).alias("kind"))
+    order = Window.partitionBy(key).orderBy("i")
+    word, whole = r"[\p{L}\p{N}]", F.concat("raw", "rest")
+    # a word that a mark cuts counts once
+    parts = parts.withColumn("cut", (F.lag(whole).over(order).rlike(word + "$") & F.col("raw").rlike("^" + word)).cast("int"))
+    sums = {"pos": F.length(whole), "word": F.regexp_count(whole, F.lit(WORD))}
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(key, "kind", "raw", "i", *[F.coalesce(F.sum(c).over(before), F.lit(0)).cast("int").alias(k) for k, c in sums.items()], F.coalesce(F.sum("cut").over(order), F.lit(0)).cast("int").alias("cuts"))
+    found = parts.where("kind IS NOT NULL").withColumn("word", F.col("word") - F.col("cuts"))
+    found = found.withColumn("n", (F.row_number().over(Window.partitionBy(key, "kind").orderBy("i")) - 1).cast("int"))
+    value = F.when(F.col("kind").isin("amount", "number", "percent"), span_value(F.col("raw")))
+    return found.select(key, "pos", (F.col("pos") + F.length("raw")).alias("end"), "word", (F.col("word") + F.regexp_count("raw", F.lit(WORD))).alias("word_end"), "kind", "n", "raw", value.alias("value"))
 
 
 def span_value(raw: Column) -> Column:
@@ -83,48 +103,49 @@ def span_value(raw: Column) -> Column:
 
 
 def merge_spans(typed: DataFrame, keyword: DataFrame, key: str = "id") -> DataFrame:
-    """Typed spans, and the keywords that overlap none of them; both (key, pos, end, type, norm)."""
-    t = typed.select(F.col(key).alias("_k"), F.col("pos").alias("_p"), F.col("end").alias("_e"))
-    free = keyword.join(t, (keyword[key] == t["_k"]) & (keyword["pos"] < t["_e"]) & (t["_p"] < keyword["end"]), "left_anti")
-    return typed.unionByName(free)
+    """Typed spans, and the keywords that overlap none of them; both (key, pos, end, type, norm).
+
+    A sweep over the places where typed spans begin and keywords end: a keyword is free if no typed span that has begun by
+    then ends after the keyword's begin. One window, whose cost follows the number of spans in any text.
+    """
+    both = typed.withColumn("_typed", F.lit(1)).unionByName(keyword.withColumn("_typed", F.lit(0)))
+    at = F.when(F.col("_typed") == 1, F.col("pos")).otherwise(F.col("end"))
+    swept = Window.partitionBy(key).orderBy(at, "_typed").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = F.max(F.when(F.col("_typed") == 1, F.col("end"))).over(swept)
+    return both.withColumn("_reached", reached).where((F.col("_typed") == 1) | F.col("_reached").isNull() | (F.col("_reached") <= F.col("pos"))).drop("_typed", "_reached")
 
 
 def near(spans: DataFrame, rules: list[tuple[int, str, str, int, tuple[str, ...]]], key: str = "id") -> DataFrame:
     """(key, rule, a_pos, b_pos): for each text, of the first rule (id, a, b, most between, allowed types) that holds the nearest pair.
 
-    ``spans`` are rows (key, pos, type) by token position; pairs are made within a band of positions only.
+    ``spans`` are rows (key, pos, type) by token position. One pass for all rules: every row knows the nearest earlier place of
+    each type that begins a rule, and the nearest earlier one of a type that a rule doesn't allow in between. If the nearest
+    place doesn't do for a rule, none before it does, as whatever lies between stays there.
     """
-    found = None
-    upto = Window.partitionBy(key).orderBy("pos")
+    earlier = Window.partitionBy(key).orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
+    last = lambda hit: F.last(F.when(hit, F.col("pos")), ignorenulls=True).over(earlier)
+    begins = {a: f"_a{i}" for i, a in enumerate(dict.fromkeys(r[1] for r in rules))}
+    bars = {allowed: f"_b{i}" for i, allowed in enumerate(dict.fromkeys(tuple(r[4]) for r in rules))}
+    seen = spans.select(key, "pos", "type", *[last(F.col("type") == a).alias(n) for a, n in begins.items()], *[last(~F.col("type").isin(list(x)) if x else F.lit(True)).alias(n) for x, n in bars.items()])
+    pairs = []
     for number, a, b, most, allowed in rules:
-        # how many other spans lie before a place, and up to it: between two places there is none if both agree
-        other = (~F.col("type").isin(list(allowed))).cast("int") if allowed else F.lit(1)
-        counted = spans.withColumns({"below": F.coalesce(F.sum(other).over(upto.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)), "upto": F.sum(other).over(upto.rangeBetween(Window.unboundedPreceding, 0))}).where(F.col("type").isin(a, b))
-        left = counted.where(F.col("type") == a).select(F.col(key).alias("k1"), F.col("pos").alias("p1"), "upto")
-        # bands of most + 1 positions turn nearness into an equality join
-        band = most + 2
-        left = left.withColumn("band", F.explode(F.array(F.floor(F.col("p1") / band), F.floor(F.col("p1") / band) + 1)))
-        right = counted.where(F.col("type") == b).select(F.col(key).alias("k2"), F.col("pos").alias("p2"), F.floor(F.col("pos") / band).alias("band"), "below")
-        pairs = left.join(right, (F.col("k1") == F.col("k2")) & (left["band"] == right["band"])).where((F.col("p2") > F.col("p1")) & (F.col("p2") - F.col("p1") <= most + 1) & (F.col("below") == F.col("upto")))
-        best = pairs.groupBy("k1").agg(F.min(F.struct((F.col("p2") - F.col("p1")).alias("d"), "p1", "p2")).alias("m")).select(F.col("k1").alias(key), F.lit(number).alias("rule"), "m.p1", "m.p2")
-        found = best if found is None else found.union(best)
-    return found.groupBy(key).agg(F.min(F.struct("rule", "p1", "p2")).alias("m")).select(key, "m.rule", F.col("m.p1").alias("a_pos"), F.col("m.p2").alias("b_pos"))
-
-
-def capture_between(words: DataFrame, starts: list[str], stops: list[str], most: int | None = None, key: str = "id") -> DataFrame:
+        p1, bar = F.col(begins[a]), F.col(bars[tuple(allowed)])
+        holds = (F.col("type") == b) & (F.col("pos") - p1 <= most + 1) & (bar.isNull() | (bar <= p1))
+        pairs.append(F.when(holds, F.struct(F.lit(number).alias("rule"), (F.col("pos") - p1).alias("d"), p1.alias("p1"), F.col("pos").alias("p2"))))
+    best = F.array_min(F.array(*pairs)) if len(pairs) > 1 else pairs[0]
+    return seen.where(F.col("type").isin(list({r[2] for r in rules}))).select(key, best.alias("m")).where("m IS NOT NULL").groupBy(key).agg(F.min("m").alias("m")).select(key, "m.rule", F.col("m.p1").alias("a_pos"), F.col("m.p2").alias("b_pos"))
+
+
+def capture_between(words: DataFrame, starts: list[str], stops: list[str], key: str = "id") -> DataFrame:
     """(key, start, captured): words after the first start word up to the next stop word, numbers left out; null captures are dropped.
 
-    ``words`` are rows (key, pos, word). One window finds each start, a second its stop; only what is captured is gathered.
-    Without a later stop word the capture goes to the end, and nothing cuts it unless ``most`` says how many positions count.
+    ``words`` are rows (key, pos, word). Running minima from the end of a text find each word's next stop, so a text of any
+    length costs one sort; only what is captured is gathered. Without a later stop word the capture goes to the end.
     """
-    all_ = Window.partitionBy(key)
-    after = Window.partitionBy(key).orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    marked = words.withColumns({"is_start": F.col("word").isin(starts), "is_stop": F.col("word").isin(stops)})
-    marked = marked.withColumn("next_stop", F.min(F.when(F.col("is_stop"), F.col("pos"))).over(after))
-    begins = F.min(F.when(F.col("is_start") & (F.coalesce("next_stop", F.lit(2**31 - 1)) > F.col("pos") + 1), F.struct("pos", "next_stop"))).over(all_)
+    after = Window.partitionBy(key).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    marked = words.withColumn("next_stop", F.min(F.when(F.col("word").isin(stops), F.col("pos"))).over(after))
+    begins = F.min(F.when(F.col("word").isin(starts) & (F.coalesce("next_stop", F.lit(2**31 - 1)) > F.col("pos") + 1), F.struct("pos", "next_stop"))).over(Window.partitionBy(key))
     rows = marked.withColumn("b", begins).where("b IS NOT NULL AND pos > b.pos AND (b.next_stop IS NULL OR pos < b.next_stop)").where(~F.col("word").rlike(r"^\d+$"))
-    if most is not None:
-        rows = rows.where(F.col("pos") <= F.col("b.pos") + most)
     return rows.groupBy(key, F.col("b.pos").alias("start")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("captured"))
 
 

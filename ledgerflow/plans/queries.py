@@ -529,7 +529,7 @@ p AS (SELECT sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS d0, sum(CASE WHEN y = 1 T
 
 @query(_GRAMS + " SELECT gram, cast(n0 AS bigint) AS n0, cast(n1 AS bigint) AS n1 FROM m")
 def a9_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality")
+    return classify.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", named=True)
 
 
 @query(_GRAMS + ", w AS (SELECT gram, CASE WHEN n1 = 0 THEN 5.0 WHEN n0 = 0 THEN -5.0 ELSE ln((n0 / d0) / (n1 / d1)) END AS w FROM m, p), s AS (SELECT doc_id, sum(n * w) AS s FROM c JOIN w USING (gram) GROUP BY doc_id) SELECT doc_id, CASE WHEN round(coalesce(s, 0) + ln(d0 / d1), 6) >= 0 THEN 0 ELSE 1 END AS class, round(round(coalesce(s, 0) + ln(d0 / d1), 6), 2) AS score FROM documents LEFT JOIN s USING (doc_id), p")
@@ -609,7 +609,7 @@ def t1_tag_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), b AS (SELECT doc_id, i, w[i] AS x, w[i-1] AS z FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)) SELECT doc_id, cast(i - 1 AS integer) AS pos, CASE x WHEN 'of' THEN 'OF' ELSE 'THE' END AS type FROM b WHERE x = 'of' OR (x = 'the' AND coalesce(z, '') <> 'of')")
-def t2_merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def t2_merge_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     the = corpus.tag_keywords(d, rows(spark, "phrase string, type string, norm string", ("the", "THE", "the")), 1, "doc_id")
     of = corpus.tag_keywords(d, rows(spark, "phrase string, type string, norm string", ("of", "OF", "of")), 1, "doc_id")
@@ -617,15 +617,39 @@ def t2_merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.merge_spans(wide, the, "doc_id").select("doc_id", "pos", "type")
 
 
-@query("WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), b AS (SELECT doc_id, i - 1 AS p, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)), q AS (SELECT a.doc_id, a.p AS a_pos, c.p AS b_pos, row_number() OVER (PARTITION BY a.doc_id ORDER BY c.p - a.p, a.p) AS k FROM b a JOIN b c ON a.doc_id = c.doc_id AND c.p > a.p AND c.p - a.p <= 4 WHERE a.x = 'the' AND c.x = 'and') SELECT doc_id, cast(a_pos AS integer) AS a_pos, cast(b_pos AS integer) AS b_pos FROM q WHERE k = 1")
+#: Where "debited" is among the words of each shape.
+_DEBITED = case({**{k: "3" for k in (0, 6, 9, 17, 18, 28)}, 19: "7", 26: "5"})
+
+
+@query(rich_sql(spans=case({**{k: "1" for k in (4, 21, 23, 24, 25, 27, 29, 31)}, **{k: "2" for k in (2, 3, 5, 6, 8, 9, 10, 15, 16, 17, 19, 20, 26)}, 14: "2", **{k: "3" for k in (1, 7, 11, 13, 18, 22, 28, 30)}, 0: "5"}, "0"), verbs=f"CASE WHEN {_DEBITED} IS NULL THEN 0 ELSE 1 END", verb_at=_DEBITED, plans=case({2: "1"}, "0"), hidden="0", first_word=case({**{k: "0" for k in (0, 1, 3, 4, 6, 7, 8, 9, 16, 21, 22, 26, 29)}, 2: "6", 5: "2", 10: "3", 11: "8", 13: "2", 14: "5", 15: "2", 16: "2", 17: "2", 18: "2", 19: "2", 20: "3", 23: "5", 24: "3", 25: "3", 27: "2", 28: "2", 30: "2", 31: "6"})))
+def t2_merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed spans of the rich messages and tagged phrases: those within an amount, a data size or a date give way, others stay."""
+    m = X.rich(spark, sf_dir)
+    d = rows(spark, "phrase string, type string, norm string", ("debited", "VERB", "debit"), ("data plan", "PLAN", "plan"), ("gb data", "HIDDEN", "data"), ("rs", "HIDDEN", "rs"), ("inr", "HIDDEN", "inr"), ("gb", "HIDDEN", "gb"))
+    typed = corpus.typed_spans(m, "msg_id", "body").select("msg_id", F.col("word").alias("pos"), F.col("word_end").alias("end"), F.col("kind").alias("type"), F.col("raw").alias("norm"))
+    merged = corpus.merge_spans(typed, corpus.tag_keywords(m, d, key="msg_id", text="body"), "msg_id")
+    n = lambda hit: F.count_if(hit).cast("int")
+    is_tag = F.col("type").isin("VERB", "PLAN", "HIDDEN")
+    found = merged.groupBy("msg_id").agg(n(~is_tag).alias("spans"), n(F.col("type") == "VERB").alias("verbs"), F.min(F.when(F.col("type") == "VERB", F.col("pos"))).alias("verb_at"), n(F.col("type") == "PLAN").alias("plans"), n(F.col("type") == "HIDDEN").alias("hidden"), F.min(F.when(~is_tag, F.col("pos"))).alias("first_word"))
+    return m.select("msg_id").join(found, "msg_id", "left").na.fill(0, ["spans", "verbs", "plans", "hidden"])
+
+
+_RULES = [(1, "OF", "THE", 0, ()), (2, "THE", "AND", 3, ("THE", "AND")), (3, "AND", "OF", 9, ("THE",))]
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), b AS (SELECT doc_id, i - 1 AS p, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)), m AS (SELECT * FROM b WHERE x IN ('of', 'the', 'and')),
+q AS (SELECT a.doc_id, CASE a.x WHEN 'of' THEN 1 WHEN 'the' THEN 2 ELSE 3 END AS rule, a.p AS a_pos, c.p AS b_pos FROM m a JOIN m c ON a.doc_id = c.doc_id AND c.p > a.p AND (a.x = 'of' AND c.x = 'the' AND c.p - a.p <= 1 OR a.x = 'the' AND c.x = 'and' AND c.p - a.p <= 4 OR a.x = 'and' AND c.x = 'of' AND c.p - a.p <= 10)
+ WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.doc_id = a.doc_id AND o.p > a.p AND o.p < c.p AND (a.x = 'the' AND o.x = 'of' OR a.x = 'and' AND o.x <> 'the')))
+SELECT doc_id, rule, cast(a_pos AS integer) AS a_pos, cast(b_pos AS integer) AS b_pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rule, b_pos - a_pos, a_pos) AS k FROM q) WHERE k = 1""")
 def t3_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = corpus.tokens(table(spark, sf_dir, "documents"), "doc_id").where(F.col("word").isin("the", "and")).select("doc_id", "pos", F.upper("word").alias("type"))
-    return corpus.near(spans, [(1, "THE", "AND", 3, ("THE", "AND"))], "doc_id").select("doc_id", "a_pos", "b_pos")
+    """Three rules, of which the first that holds in a text wins."""
+    spans = corpus.tokens(table(spark, sf_dir, "documents"), "doc_id").where(F.col("word").isin("the", "and", "of")).select("doc_id", "pos", F.upper("word").alias("type"))
+    return corpus.near(spans, _RULES, "doc_id").select("doc_id", "rule", "a_pos", "b_pos")
 
 
-@query("WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), b AS (SELECT doc_id, i - 1 AS p, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)), s AS (SELECT a.doc_id, a.p, min(c.p) AS stop FROM b a LEFT JOIN b c ON a.doc_id = c.doc_id AND c.p > a.p AND c.x = 'and' WHERE a.x = 'the' GROUP BY ALL), f AS (SELECT doc_id, arg_min(stop, p) AS stop, min(p) AS start FROM (SELECT doc_id, p, coalesce(stop, 2147483647) AS stop FROM s WHERE coalesce(stop, 2147483647) > p + 1) GROUP BY doc_id) SELECT f.doc_id, cast(start AS integer) AS start, string_agg(b.x, ' ' ORDER BY b.p) AS captured FROM f JOIN b ON b.doc_id = f.doc_id AND b.p > f.start AND b.p < f.stop AND b.p <= f.start + 12 WHERE NOT regexp_matches(b.x, '^[0-9]+$') GROUP BY ALL")
+@query("WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), b AS (SELECT doc_id, i - 1 AS p, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)), s AS (SELECT a.doc_id, a.p, min(c.p) AS stop FROM b a LEFT JOIN b c ON a.doc_id = c.doc_id AND c.p > a.p AND c.x = 'and' WHERE a.x = 'the' GROUP BY ALL), f AS (SELECT doc_id, arg_min(stop, p) AS stop, min(p) AS start FROM (SELECT doc_id, p, coalesce(stop, 2147483647) AS stop FROM s WHERE coalesce(stop, 2147483647) > p + 1) GROUP BY doc_id) SELECT f.doc_id, cast(start AS integer) AS start, string_agg(b.x, ' ' ORDER BY b.p) AS captured FROM f JOIN b ON b.doc_id = f.doc_id AND b.p > f.start AND b.p < f.stop WHERE NOT regexp_matches(b.x, '^[0-9]+$') GROUP BY ALL")
 def t4_capture_between(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.capture_between(corpus.tokens(table(spark, sf_dir, "documents"), "doc_id"), ["the"], ["and"], 12, "doc_id")
+    return corpus.capture_between(corpus.tokens(table(spark, sf_dir, "documents"), "doc_id"), ["the"], ["and"], "doc_id")
 
 
 _SPANS = {
@@ -648,6 +672,25 @@ def x28_typed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("msg_id").join(found, "msg_id", "left").na.fill(0, ["amounts", "accounts", "percents", "sizes", "dates", "times", "phones", "total"])
 
 
+_BODY = X.sql("CASE o_orderkey % 32 " + " ".join(f"WHEN {i} THEN {X.expand(t, 'varchar')}" for i, t in enumerate(X.RICH)) + " END")
+_MORE = " Extra Rs.2.5 lakh or INR 7k."
+#: Spans of the shapes: (shapes, kind, what stands right before, text, value).
+_PLACES = (
+    ((0, 3, 4, 5, 6, 7, 8, 9, 11, 13, 14, 15, 16, 17, 18, 19, 21, 22, 23, 24, 25, 26, 28, 29, 30, 31), "amount", "''", "concat('Rs.', {AMT})", AMOUNT), ((1,), "amount", "''", "concat('INR ', {AMT})", AMOUNT), ((27,), "amount", "''", "concat('€', {AMT})", AMOUNT),
+    ((0, 13, 16, 20, 22, 30), "amount", "''", "concat('Rs.', {BAL})", BALANCE), ((0, 1, 3, 6, 7, 8, 9, 17, 18, 20, 26, 28), "account", "''", "concat('XX', {TAIL})", "NULL"), ((18,), "account", "''", "concat('XX', {OTHER})", "NULL"),
+    ((0, 1, 2, 7, 13, 19), "date", "''", "{DAY}", "NULL"), ((0,), "number", "'Ref '", "{REF}", "cast(o_orderkey AS double)"), ((2,), "data_size", "''", "'1.5 GB'", "NULL"), ((15,), "data_size", "''", "'250 MB'", "NULL"), ((5, 28), "phone", "''", "{PHONE}", "NULL"),
+    ((10,), "number", "'OTP is '", "{SIX}", "cast(o_orderkey % 1000000 AS double)"), ((10,), "number", "'for '", "'10'", "10.0"), ((11,), "time", "''", "'10:30'", "NULL"), ((11,), "time", "''", "'12:45'", "NULL"), ((30,), "time", "''", "'10:45'", "NULL"), ((14,), "percent", "''", "'20%'", "20.0"), ((22,), "number", "'ending '", "{TAIL}", "cast(o_custkey % 10000 AS double)"),
+    (range(32), "amount", "'Extra '", "'Rs.2.5 lakh'", "250000.0"), (range(32), "amount", "'or '", "'INR 7k'", "7000.0"),
+)
+
+
+@query("SELECT msg_id, kind, raw, cast(strpos(body, concat(lead, raw)) - 1 + length(lead) AS integer) AS pos, cast(strpos(body, concat(lead, raw)) - 1 + length(lead) + length(raw) AS integer) AS \"end\", cast(value AS double) AS value FROM (" + " UNION ALL ".join(f"SELECT {ID} AS msg_id, concat({_BODY}, '{_MORE}') AS body, '{kind}' AS kind, {X.sql(lead)} AS lead, {X.sql(raw)} AS raw, {value} AS value FROM orders WHERE o_orderkey % 32 IN ({', '.join(map(str, k))})" for k, kind, lead, raw, value in _PLACES) + ")")
+def x28_span_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span of the rich messages, with multiples of amounts, by its place."""
+    m = X.rich(spark, sf_dir).select("msg_id", F.concat("body", F.lit(_MORE)).alias("body"))
+    return corpus.typed_spans(m, "msg_id", "body").select("msg_id", "kind", "raw", "pos", "end", num("value"))
+
+
 @query(f"SELECT {ID} AS msg_id, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%Y-%m-%d') AS day_first, strftime(o_orderdate, '%Y-%m-%d') AS named, strftime(o_orderdate, '%Y-%m-%d') AS two_digits, strftime(o_orderdate, '%Y-%m-%d') AS no_year FROM orders")
 def x29_normal_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = X.messages(spark, sf_dir)
