@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_out, collocations, decontam, html_text, near_dup, packing, prefix_trie, quality, sharding, token_scan, url_rules, warc
+from . import binary_out, collocations, decontam, html_text, near_dup, packing, prefix_trie, quality, sharding, token_scan, toxicity, url_rules, warc
 from .common import table
 
 NEAR_SHINGLE, NEAR_PERCENT = 4, 80
@@ -76,8 +76,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_winnowing, op2_warc, op3_grouping_ga, op4_isolation_forest, op5_separator_scan, op6_association_rules, op7_max_subsequence, op8_superminhash, op9_bit_packing, op10_virtual_slots, op11_setm_collocations, op12_prefix_trie)}
+    return {f.__name__: f for f in (op1_winnowing, op2_warc, op3_grouping_ga, op4_isolation_forest, op5_separator_scan, op6_association_rules, op7_max_subsequence, op8_superminhash, op9_bit_packing, op10_virtual_slots, op11_setm_collocations, op12_prefix_trie, op13_subword_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
