@@ -183,3 +183,60 @@ def jaro_winkler_col(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.IntegerType())
 def lcs_col(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else lcs(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
+def _runs(c: Column, n: Column | int) -> Column:
+    """All different substrings of ``n`` characters."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n)))
+
+
+def containing(texts: DataFrame, text: str, parts: DataFrame, part: str, size: int = 3) -> DataFrame:
+    """The rows of ``texts`` joined with those of ``parts`` that they contain, as substrings; empty parts and nulls match nothing.
+
+    An inverted index: a part is listed under its rarest run of ``size`` characters (a shorter one under itself), a text looks up
+    all its runs, and what it meets is checked. The join is one of equality, by whatever way the sizes ask for.
+    """
+    kept = parts.where(F.length(part) > 0)
+    each = kept.select(part, F.least(F.length(part), F.lit(size)).alias("_n")).distinct()
+    runs = each.select(part, "_n", F.explode_outer(_runs(F.col(part), F.col("_n"))).alias("_run"))
+    counts = runs.groupBy("_run").agg(F.count("*").alias("_c"))
+    index = runs.join(counts, "_run").groupBy(part).agg(F.min(F.struct("_c", "_run"))["_run"].alias("_run"))
+    lengths = sorted(r[0] for r in each.select("_n").distinct().collect())  # up to ``size``
+    if not lengths:
+        return texts.join(kept, F.lit(False))
+    looked = texts.select(text).distinct().select(text, F.explode_outer(F.concat(*[_runs(F.col(text), n) for n in lengths])).alias("_run"))
+    met = looked.join(index, "_run").where(F.contains(text, part)).select(text, part)
+    return texts.join(met, text).join(kept, part)
+
+
+def _marks(c: Column) -> Column:
+    """A word's characters, each with how often it has come so far, as numbers: repeated and late letters first."""
+    chars = F.split(c, "")
+    nth = lambda x, i: F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda y: y == x))
+    return F.array_sort(F.transform(chars, lambda x, i: (F.lit(9999) - nth(x, i)).cast("long") * 2**21 + (F.lit(0x10FFFF) - F.ascii(x))))
+
+
+def similar_candidates(left: DataFrame, right: DataFrame, gate: int = 90) -> DataFrame:
+    """(a, b): all pairs of words of ``left`` (a) and ``right`` (b) whose Jaro-Winkler similarity can be over ``gate`` hundredths.
+
+    No pair over the gate is lost: similarity bounds the matches from below, by the lengths, and matches are at most the
+    characters that both have. So of words of given lengths, the first few marks (the rarest) of both must meet, which is a
+    join of equality; then all common characters and the common beginning are counted.
+    """
+    # matches m of words of la and lb letters: m * (la + lb) / (la * lb) is over (gate - 60) / 20, with a common beginning of four
+    need = lambda x, y: F.floor((gate - 60) * F.col(x) * F.col(y) / (20 * (F.col(x) + F.col(y)))).cast("int") + 1
+
+    def listed(words: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        rows = words.select(name).where(F.length(name) > 0).distinct().select(name, F.length(name).alias(own), _marks(F.col(name)).alias(f"_m{name}"))
+        rows = rows.withColumn(other, F.explode_outer(F.sequence(F.floor(F.col(own) / 2).cast("int") + 1, F.greatest(2 * F.col(own) - 1, F.lit(1)))))
+        rows = rows.withColumn("_need", need("_la", "_lb")).where(F.col("_need") <= F.least("_la", "_lb"))
+        return rows.select(name, own, other, F.explode_outer(F.slice(f"_m{name}", F.lit(1), F.col(own) - F.col("_need") + 1)).alias("_mark"))
+
+    met = listed(left, "a", "_la", "_lb").join(listed(right, "b", "_lb", "_la"), ["_la", "_lb", "_mark"]).select("a", "b", "_la", "_lb").distinct()
+    begin = F.lit(0)
+    for n in (1, 2, 3, 4):
+        begin = F.when((F.substring("a", 1, n) == F.substring("b", 1, n)) & (F.least("_la", "_lb") >= n), n).otherwise(begin)
+    common = F.size(F.array_intersect(_marks(F.col("a")), _marks(F.col("b"))))
+    reach = common * (F.col("_la") + F.col("_lb")) * (100 - 10 * begin) > (3 * gate - 20 * begin - 100) * F.col("_la") * F.col("_lb")
+    return met.where(reach | (F.col("a") == F.col("b"))).select("a", "b")

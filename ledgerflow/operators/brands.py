@@ -2,43 +2,32 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.small import small
-from ..functions.text import jaro_winkler_col, lcs_col, split_merchant
+from ..functions.text import containing, jaro_winkler_col, similar_candidates, split_merchant
 
 
-def _first_token(tokens: list[tuple[str, int]]):
-    """A function of texts: the least number of the tokens that a text contains. One pass over a text finds all of them."""
-
-    @F.pandas_udf("int")
-    def first(texts: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        found = ahocorasick.Automaton()
-        for token, number in tokens:
-            found.add_word(token, min(number, found.get(token, number)))
-        found.make_automaton()
-        return pd.Series([None if x is None else min((n for _, n in found.iter(x)), default=None) for x in texts], dtype="Int32")
-
-    return first
+def _first_brand(texts: DataFrame, brands: DataFrame, name: str) -> DataFrame:
+    """(text, name): of the brands that a text contains the first, as a struct."""
+    found = containing(texts.select("text").where("text IS NOT NULL").distinct(), "text", brands, "token")
+    return found.groupBy("text").agg(F.min(F.struct("ord", "brand", "category", "online")).alias(name))
 
 
 def brand_of(rows: DataFrame, brands: DataFrame, key: str = "msg_id", merchant: str = "merchant", body: str = "body") -> DataFrame:
     """Adds brand, brand_category and online: the first brand (token, brand, category, online, ord) whose token the merchant has, else the body.
 
-    ``brands`` is a dictionary, a row a brand token: an automaton of all tokens goes over each text once, without a join or
-    a shuffle of texts. The body is only looked at where the merchant has none.
+    Different merchant texts, then the different bodies of rows without a hit, look their tokens up in an index; both
+    dictionary and texts may be of any size.
     """
-    known = brands.select(F.lower("token").alias("token"), "brand", "category", "online", "ord").where("token <> ''").orderBy("ord", "brand", "category", "online").collect()
-    if not known:
-        return rows.withColumns({"brand": F.lit(None).cast("string"), "brand_category": F.lit(None).cast("string"), "online": F.lit(False)})
-    first = _first_token([(r.token, n) for n, r in enumerate(known)])
-    names = rows.sparkSession.createDataFrame([(n, r.brand, r.category, r.online) for n, r in enumerate(known)], "_n int, brand string, brand_category string, _online boolean")
-    out = rows.withColumn("_m", first(F.lower(merchant))).withColumn("_n", F.coalesce("_m", first(F.when(F.col("_m").isNull(), F.lower(body)))))
-    return out.join(small(names), "_n", "left").withColumn("online", F.coalesce("_online", F.lit(False))).drop("_m", "_n", "_online")
+    known = brands.select(F.lower("token").alias("token"), "brand", "category", "online", "ord")
+    by_name = _first_brand(rows.select(F.lower(merchant).alias("text")), known, "_m").withColumnRenamed("text", "_mtext")
+    out = rows.join(by_name, F.lower(merchant) == F.col("_mtext"), "left")
+    by_body = _first_brand(out.where("_m IS NULL").select(F.lower(body).alias("text")), known, "_b").withColumnRenamed("text", "_btext")
+    out = out.join(by_body, F.col("_m").isNull() & (F.lower(body) == F.col("_btext")), "left")
+    hit = F.coalesce("_m", "_b")
+    return out.select(*rows.columns, hit["brand"].alias("brand"), hit["category"].alias("brand_category"), F.coalesce(hit["online"], F.lit(False)).alias("online"))
 
 
 def token_matches(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -46,16 +35,21 @@ def token_matches(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
 
     A keyword of over 3 letters that the token contains; for tokens of over 4 letters the best by Jaro-Winkler, over
     0.9; for shorter ones the best by common substring, if that is as long as the keyword (one less, if the keyword has over
-    4 letters). Of equal scores the last keyword wins. ``tokens`` are distinct, ``keywords`` (keyword, ord) a dictionary.
+    4 letters). Of equal scores the last keyword wins. ``tokens`` are distinct, ``keywords`` (keyword, ord) a dictionary. All
+    three are joins of equality: on runs of letters, on bounds of the similarity, and on substrings.
     """
-    pairs = tokens.select("token").distinct().join(small(keywords.select("keyword", "ord")), F.lit(True))
-    inside = pairs.where((F.length("keyword") > 3) & F.contains("token", "keyword")).select("token", "keyword")
-    # two strings whose lengths differ by more than half can't reach 0.9; only the others go to Python
-    long_ = pairs.where((F.length("token") > 4) & (F.least(F.length("token"), F.length("keyword")) * 2 >= F.greatest(F.length("token"), F.length("keyword"))))
-    near = long_.withColumn("score", jaro_winkler_col("token", "keyword")).groupBy("token").agg(F.max(F.struct("score", "ord", "keyword")).alias("m")).where("m.score > 0.9").select("token", "m.keyword")
-    short = pairs.where(F.length("token") <= 4).withColumn("score", lcs_col("token", "keyword")).groupBy("token").agg(F.max(F.struct("score", "ord", "keyword")).alias("m"))
-    need = F.length("m.keyword") - F.when(F.length("m.keyword") > 4, 1).otherwise(0)
-    short = short.where((F.col("m.score") >= need) & (F.col("m.score") > 0)).select("token", "m.keyword")
+    tokens, keys = tokens.select("token").distinct(), keywords.select("keyword", "ord")
+    inside = containing(tokens, "token", keys.where(F.length("keyword") > 3).select("keyword").distinct(), "keyword", 4).select("token", "keyword")
+    pairs = similar_candidates(tokens.where(F.length("token") > 4).select(F.col("token").alias("a")), keys.select(F.col("keyword").alias("b")))
+    scored = pairs.withColumn("score", jaro_winkler_col("a", "b")).where("score > 0.9").join(keys, F.col("b") == F.col("keyword"))
+    near = scored.groupBy(F.col("a").alias("token")).agg(F.max(F.struct("score", "ord", "keyword")).alias("m")).select("token", "m.keyword")
+    # of the keywords with a substring only the last can win
+    pieces = lambda c: F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.length(c), F.lit(4))), lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))))
+    ends = keys.where(F.length("keyword") > 0).select("keyword", "ord", F.explode_outer(F.array_distinct(pieces(F.col("keyword")))).alias("piece")).groupBy("piece").agg(F.max(F.struct("ord", "keyword")).alias("last"))
+    short = tokens.where((F.length("token") <= 4) & (F.length("token") > 0)).select("token", F.explode_outer(F.array_distinct(pieces(F.col("token")))).alias("piece"))
+    best = short.join(ends, "piece").groupBy("token").agg(F.max(F.struct(F.length("piece").alias("score"), "last")).alias("m"))
+    need = F.length("m.last.keyword") - F.when(F.length("m.last.keyword") > 4, 1).otherwise(0)
+    short = best.where(F.col("m.score") >= need).select("token", F.col("m.last.keyword").alias("keyword"))
     return inside.union(near).union(short).distinct()
 
 

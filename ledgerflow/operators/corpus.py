@@ -16,25 +16,33 @@ def tokens(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     return docs.select(key, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("pos", "word"))
 
 
+def phrase_matches(docs: DataFrame, phrases: DataFrame, longest: int | None = None, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, pos, end, phrase): every place of every phrase (phrase, lower-cased words with single spaces), overlapping or not.
+
+    Only words that a phrase has leave the scan; what stands in a row of them is looked up. Phrases of over ``longest`` words
+    are left out; without it, none are.
+    """
+    longest = longest_phrase(phrases) if longest is None else longest
+    known = phrases.select("phrase").distinct()
+    parts = known.select(F.explode(F.split("phrase", " ")).alias("word")).distinct()
+    met = tokens(docs, key, text).join(small(parts), "word")
+    if longest == 1:
+        return met.select(key, "pos", (F.col("pos") + 1).alias("end"), F.col("word").alias("phrase")).join(small(known), "phrase")
+    order = Window.partitionBy(key).orderBy("pos")
+    runs = met.withColumns({f"_{n}": F.when(F.lead("pos", n).over(order) == F.col("pos") + n, F.lead("word", n).over(order)) for n in range(1, longest)})
+    said = [F.struct(F.lit(1).alias("n"), F.col("word").alias("phrase"))]
+    said += [F.when(F.col(f"_{n}").isNotNull(), F.struct(F.lit(n + 1).alias("n"), F.concat_ws(" ", "word", *[F.col(f"_{i}") for i in range(1, n + 1)]).alias("phrase"))) for n in range(1, longest)]
+    found = runs.select(key, "pos", F.explode(F.filter(F.array(*said), lambda x: x.isNotNull())).alias("x"))
+    return found.select(key, "pos", (F.col("pos") + F.col("x.n")).alias("end"), "x.phrase").join(small(known), "phrase")
+
+
 def tag_keywords(docs: DataFrame, dictionary: DataFrame, longest: int | None = None, key: str = "id", text: str = "text") -> DataFrame:
     """(key, pos, end, type, norm): dictionary phrases (phrase, type, norm), left to right, the longest first, without overlap.
 
     Phrases of over ``longest`` words are left out; without it, none are.
     """
-    longest = longest_phrase(dictionary) if longest is None else longest
     known = dictionary.select(F.lower("phrase").alias("phrase"), "type", "norm")
-    # only words that a phrase has leave the scan; what stands in a row of them is looked up
-    parts = known.select(F.explode(F.split("phrase", " ")).alias("word")).distinct()
-    met = tokens(docs, key, text).join(small(parts), "word")
-    if longest == 1:
-        found = met.select(key, "pos", (F.col("pos") + 1).alias("end"), F.col("word").alias("phrase")).join(small(known), "phrase")
-    else:
-        order = Window.partitionBy(key).orderBy("pos")
-        runs = met.withColumns({f"_{n}": F.when(F.lead("pos", n).over(order) == F.col("pos") + n, F.lead("word", n).over(order)) for n in range(1, longest)})
-        phrases = [F.struct(F.lit(1).alias("n"), F.col("word").alias("phrase"))]
-        phrases += [F.when(F.col(f"_{n}").isNotNull(), F.struct(F.lit(n + 1).alias("n"), F.concat_ws(" ", "word", *[F.col(f"_{i}") for i in range(1, n + 1)]).alias("phrase"))) for n in range(1, longest)]
-        said = runs.select(key, "pos", F.explode(F.filter(F.array(*phrases), lambda x: x.isNotNull())).alias("x"))
-        found = said.select(key, "pos", (F.col("pos") + F.col("x.n")).alias("end"), "x.phrase").join(small(known), "phrase")
+    found = phrase_matches(docs, known, longest, key, text).join(known, "phrase")
     # matches that overlap form a cluster; within it one stays if it begins where the last one that stayed has ended
     before = Window.partitionBy(key).orderBy("pos", F.col("end").desc(), "type", "norm")
     free = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))

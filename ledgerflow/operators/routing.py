@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.small import small
+from ..functions.text import containing
 
 #: (prio, institution, sender pattern, forced type, kind): a fund goes before the bank whose name it shares.
 INSTITUTIONS = [
@@ -73,7 +74,10 @@ def bank_by_fragment(messages: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def canonical_names(names: DataFrame, known: DataFrame) -> DataFrame:
     """(raw, bank): the known name that is equal, else the only one that begins with raw and a space, else raw in title case."""
-    pairs = names.select("raw").distinct().join(small(known.select("name").distinct()), (F.lower("name") == F.lower("raw")) | F.lower("name").startswith(F.concat(F.lower("raw"), F.lit(" "))), "left")
+    # a name's beginnings that end before a space, and the whole of it, make the condition an equality
+    words = F.split(F.lower("name"), " ")
+    begins = known.select("name").distinct().select("name", F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))).alias("begin"))
+    pairs = names.select("raw").distinct().join(begins, F.lower("raw") == F.col("begin"), "left")
     exact = F.max(F.when(F.lower("name") == F.lower("raw"), F.col("name")))
     longer = F.collect_set(F.when(F.lower("name") != F.lower("raw"), F.col("name")))
     return pairs.groupBy("raw").agg(exact.alias("e"), longer.alias("l")).select("raw", F.coalesce("e", F.when(F.size("l") == 1, F.get("l", F.lit(0))), F.initcap(F.lower("raw"))).alias("bank"))
@@ -82,7 +86,9 @@ def canonical_names(names: DataFrame, known: DataFrame) -> DataFrame:
 def bank_by_substring(messages: DataFrame, aliases: DataFrame, known: DataFrame) -> DataFrame:
     """Adds bank_alias: the first alias (alias, raw, prio) that the sender contains, under its canonical name."""
     resolved = aliases.join(canonical_names(aliases, known), "raw")
-    hit = distinct_senders(messages).join(small(resolved), F.contains(F.lower("sender"), F.lower("alias"))).groupBy("sender").agg(F.min(F.struct("prio", "bank"))["bank"].alias("bank_alias"))
+    senders = distinct_senders(messages).withColumn("_s", F.lower("sender"))
+    held = containing(senders, "_s", resolved.withColumn("_a", F.lower("alias")), "_a")
+    hit = held.groupBy("sender").agg(F.min(F.struct("prio", "bank"))["bank"].alias("bank_alias"))
     return messages.join(hit, "sender", "left")
 
 
@@ -126,11 +132,10 @@ def gazetteer(spans: DataFrame, phrases: DataFrame, places: DataFrame, key: str
 
     Phrases of over ``longest`` words are left out; without it, none are.
     """
-    from ..functions.text import longest_phrase, word_ngrams, words
+    from .corpus import phrase_matches
 
-    longest = longest_phrase(phrases) if longest is None else longest
-    found = spans.select(key, words(F.col(text)).alias("_w")).select(key, F.explode(F.array_distinct(word_ngrams(F.col("_w"), longest))).alias("phrase"))
-    many = found.join(small(phrases.select(F.lower("phrase").alias("phrase"), F.col("code").alias("pcode"), "prio")), "phrase").groupBy(key).agg(F.min(F.struct("prio", "pcode"))["pcode"].alias("pcode"))
+    known = phrases.select(F.lower("phrase").alias("phrase"), F.col("code").alias("pcode"), "prio")
+    many = phrase_matches(spans, known, longest, key, text).join(known, "phrase").groupBy(key).agg(F.min(F.struct("prio", "pcode"))["pcode"].alias("pcode"))
     one = place_codes(spans, places, key, text).select(key, "code")
     return many.join(one, key, "full").select(key, F.coalesce("pcode", "code").alias("code"))
 
