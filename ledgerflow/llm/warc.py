@@ -1,7 +1,9 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-partitioned by page id, and by digest where one id has many, into shards of about equal payload whose bounds
-follow from the table alone, sorted, and written one gzip member a record; a file is rolled when its compressed size reaches ``FILE_BYTES``. Headers
+Records are range-partitioned by page id, and by content where one id has many, into shards of about equal payload whose bounds
+follow from the table alone, sorted, and written one gzip member a record; a file is rolled when its compressed size reaches ``FILE_BYTES``. Which record
+revisits which is decided on ids, digests and lengths alone; the decisions travel with the payloads, which are shuffled once. Equal rows that are more than
+a shard travel as one row with its count for each shard that they fill. Headers
 are made anew: record ids and digests follow from the content and dates are a parameter, so the same table gives
 the same bytes on any cluster. Files get temporary names first, then theirs; a manifest table with each file's size
 and digest is the commit, and readers open what it names and nothing else.
@@ -34,43 +36,70 @@ REVISIT_BYTES = 100
 FILE_BYTES = 64 << 20
 #: Payload bytes a shard is to have.
 SHARD_BYTES = 256 << 20
+#: Shards at most, as their bounds go to every task; beyond, shards get larger.
+MOST_SHARDS = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "file string, records long, bytes long, sha256 string, first_id long, last_id long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def decided(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """Rows (page_id, url, html, digest, n, refers_to): refers_to is set for revisits."""
+def _rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(page_id, url, html, digest, n, key, place): records go by key and place, which follow from id, content and url."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": F.sha2(F.col("html").cast("binary"), 256), "n": F.octet_length("html").cast("long")})
-    # a payload that only one row has needs no join; the rest is one row a payload
-    firsts = written(rows.where(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null").select("digest", "first"), "warc-firsts")
-    return rows.join(firsts, "digest", "left").withColumn("refers_to", F.when(F.col("first").eqNullSafe(F.col("page_id")), None).otherwise(F.col("first"))).drop("first")
+    place = F.conv(F.substring(F.sha2(F.concat("digest", F.coalesce("url", F.lit(""))), 256), 1, 15), 16, 10).cast("long")
+    return rows.withColumns({"key": F.coalesce("page_id", F.lit(-(2**63))), "place": place})
 
 
-def with_shard(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Adds the shard: ranges of (id, digest) of about ``shard_bytes`` of payload, wherever ids lie and however often one occurs.
+def _revisits(narrow: DataFrame) -> DataFrame:
+    """(page_id, digest, refers_to) of rows whose payload an earlier id has. ``narrow`` has no payloads."""
+    firsts = narrow.where(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("times").alias("c")).where("c > 1 AND first IS NOT NULL").select("digest", "first")
+    return narrow.join(firsts, "digest").where(~F.col("first").eqNullSafe(F.col("page_id"))).select("key", "place", "page_id", "digest", F.col("first").alias("refers_to"))
 
-    Running sums of the payloads in the order of records are cut at multiples of ``shard_bytes``. They come from sums of
-    sorted partitions, so they don't depend on how Spark has dealt these. The first key of each shard is a bound: there
-    are as many as shards.
-    """
-    key = F.when(F.col("page_id").isNull(), F.lit(-(2**63))).otherwise(F.col("page_id")).alias("key")
-    place = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long").alias("place")
-    sizes = rows.select(key, place, (F.col("n") + 512).alias("bytes")).groupBy("key", "place").agg(F.sum("bytes").alias("bytes"))
-    sizes = sizes.repartitionByRange("key", "place").withColumn("part", F.spark_partition_id())
-    within = Window.partitionBy("part").orderBy("key", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sizes = written(sizes.withColumn("end", F.sum("bytes").over(within)), "warc-sizes")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
-    begins = sizes.groupBy("part").agg(F.max("end").alias("total")).select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("begin"))
-    ends = sizes.join(F.broadcast(begins), "part").select("key", "place", F.expr(f"(begin + end - bytes) div {shard_bytes}").alias("cell"))
-    bounds = ends.groupBy("cell").agg(F.min(F.struct("key", "place")).alias("m")).select("m.key", "m.place").orderBy("key", "place").toPandas()  # a row a shard
-    found = _shards(bounds["key"].to_numpy(np.int64), bounds["place"].to_numpy(np.int64))
-    return rows.withColumn("shard", found(key, place))
 
+def sharded(pages: DataFrame, id_col: str, url_col: str, html_col: str, shard_bytes: int = SHARD_BYTES, most_shards: int = MOST_SHARDS) -> DataFrame:
+    """(shard, page_id, place, kind, url, html, digest, refers_to, times): payloads (kind 1) and, before them, decisions on them (kind 0).
 
-def _shards(keys: np.ndarray, places: np.ndarray):
-    """A function of id and digest: which of the sorted bounds is the last that isn't after them."""
+    Running sums of the payloads in the order of records are cut at multiples of ``shard_bytes``, or of more where there would be
+    over ``most_shards`` shards. They come from sums of sorted partitions, so they don't depend on how Spark has dealt
+    these. The first key of each shard is a bound, the only thing that leaves the executors. Equal rows that lie on both sides of a cut are
+    as few groups as there are cuts.
+    """
+    rows = _rows(pages, id_col, url_col, html_col)
+    # ids, digests and lengths: all decisions are made on these
+    groups = ["key", "place", "page_id", "url", "digest", "n"]
+    narrow = written(rows.groupBy(*groups).agg(F.count("*").alias("times")), "warc-narrow")
+    total = narrow.agg(F.sum((F.col("n") + 512) * F.col("times"))).first()[0] or 0
+    size = max(shard_bytes, -(-total // most_shards))
+    sums = narrow.withColumn("bytes", (F.col("n") + 512) * F.col("times")).repartitionByRange("key", "place", "url").withColumn("part", F.spark_partition_id())
+    within = Window.partitionBy("part").orderBy("key", "place", "url").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = written(sums.withColumn("end", F.sum("bytes").over(within)), "warc-sizes")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    begins = sums.groupBy("part").agg(F.max("end").alias("total")).select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("begin"))
+    placed = sums.join(F.broadcast(begins), "part").withColumn("start", F.expr("begin + end - bytes"))
+    placed = placed.withColumns({"cell": F.expr(f"start div {size}"), "last": F.expr(f"(start + (times - 1) * (n + 512)) div {size}")})
+    bounds = placed.groupBy("cell").agg(F.min(F.struct("key", "place")).alias("m")).select("m.key", "m.place", "cell").orderBy("key", "place").toPandas()  # a row a shard, at most ``most_shards``
+    shard = _shards(bounds["key"].to_numpy(np.int64), bounds["place"].to_numpy(np.int64), bounds["cell"].to_numpy(np.int64))(F.col("key"), F.col("place")).alias("shard")
+    spread = written(placed.where("last > cell"), "warc-spread")  # at most one for each cut
+    same = ["key", "place", "page_id", "url"]
+    wide = spread.select(*[F.col(c).alias(f"_{c}") for c in same])
+    is_spread = (F.col("key") == F.col("_key")) & (F.col("place") == F.col("_place")) & F.col("page_id").eqNullSafe(F.col("_page_id")) & F.col("url").eqNullSafe(F.col("_url"))
+    once = rows.join(F.broadcast(wide), is_spread, "left_anti").select(shard, "page_id", "place", F.lit(1).alias("kind"), "url", "html", "digest", F.lit(None).cast("long").alias("refers_to"), F.lit(1).cast("long").alias("times"))
+    upto = lambda cell: F.greatest(F.lit(0), F.least(F.col("times"), F.expr(f"(({cell}) * {size} - start + n + 511) div (n + 512)")))  # noqa: E731  rows that begin before a cut
+    split = spread.withColumn("shard", F.explode(F.sequence("cell", "last"))).withColumn("times", upto("shard + 1") - upto("shard")).where("times > 0")
+    one = rows.join(F.broadcast(wide), is_spread, "left_semi").groupBy("key", "place", "page_id", "url", "digest").agg(F.min("html").alias("html"))
+    many = split.join(one.withColumnsRenamed({"page_id": "_p", "url": "_u"}), ["key", "place", "digest"]).where(F.col("page_id").eqNullSafe(F.col("_p")) & F.col("url").eqNullSafe(F.col("_u")))
+    many = many.select(F.col("shard").cast("int").alias("shard"), "page_id", "place", F.lit(1).alias("kind"), "url", "html", "digest", F.lit(None).cast("long").alias("refers_to"), "times")
+    decided = _revisits(narrow)
+    none = F.lit(None).cast("string")
+    told = decided.select(shard, "page_id", "place", F.lit(0).alias("kind"), none.alias("url"), none.alias("html"), "digest", "refers_to", F.lit(1).cast("long").alias("times"))
+    again = decided.join(F.broadcast(wide.select(F.col("_key").alias("key"), F.col("_place").alias("place")).distinct()), ["key", "place"], "left_semi")
+    again = again.join(spread.select("key", "place", F.explode(F.sequence("cell", "last")).alias("shard")), ["key", "place"]).select(F.col("shard").cast("int").alias("shard"), "page_id", "place", F.lit(0).alias("kind"), none.alias("url"), none.alias("html"), "digest", "refers_to", F.lit(1).cast("long").alias("times"))
+    return once.unionByName(many).unionByName(told).unionByName(again)
+
+
+def _shards(keys: np.ndarray, places: np.ndarray, cells: np.ndarray):
+    """A function of key and place: the cell of the last of the sorted bounds that isn't after them."""
 
     @F.pandas_udf("int")
     def shard(key: pd.Series, place: pd.Series) -> pd.Series:
@@ -79,7 +108,7 @@ def _shards(keys: np.ndarray, places: np.ndarray):
         out = high - 1
         for i in np.flatnonzero(high - low > 0):  # ids at which a shard begins
             out[i] = low[i] + np.searchsorted(places[low[i] : high[i]], p[i], side="right") - 1
-        return pd.Series(np.maximum(out, 0))
+        return pd.Series(cells[np.maximum(out, 0)] if len(cells) else out)
 
     return shard
 
@@ -108,7 +137,7 @@ def _member(data: bytes) -> bytes:
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int, date: str) -> Iterator[pa.RecordBatch]:
     made: list[tuple] = []
-    file = seen = shard = None
+    file = seen = shard = decision = None
     seq = records = 0
     ends: list[int | None] = []
 
@@ -117,7 +146,11 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int, date
         made.append((file.name, records, file.size, seen.hexdigest(), ends[0], ends[1]))
 
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (x for r in batch.to_pylist() for x in [r] * r["times"]):
+            if row["kind"] == 0:
+                decision = (row["page_id"], row["digest"], row["refers_to"])
+                continue
+            refers_to = decision[2] if decision and decision[:2] == (row["page_id"], row["digest"]) else None
             if file and (row["shard"] != shard or file.size >= file_bytes):
                 close()
                 file, seq = None, seq + 1 if row["shard"] == shard else 0
@@ -129,7 +162,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int, date
                 data = _member(head.encode() + info + b"\r\n\r\n")
                 file.write(data)
                 seen.update(data)
-            data = _member(record(row["page_id"], row["url"], row["html"].encode(), row["digest"], row["refers_to"], date))
+            data = _member(record(row["page_id"], row["url"], row["html"].encode(), row["digest"], refers_to, date))
             file.write(data)
             seen.update(data)
             records, ends[1] = records + 1, row["page_id"]
@@ -143,9 +176,10 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int, date
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = FILE_BYTES, shard_bytes: int = SHARD_BYTES, date: str = DATE) -> DataFrame:
     """Writes all rows; returns the manifest, a row a file."""
     session(pages)
-    rows = with_shard(decided(pages, id_col, url_col, html_col), shard_bytes)
-    rows = rows.repartitionByRange("shard").sortWithinPartitions("shard", "page_id", "digest", "url")
-    return written(rows.select("shard", "page_id", "url", "html", "digest", "refers_to").mapInArrow(lambda it: _write(it, folder, file_bytes, date), MANIFEST), "warc-manifest")
+    rows = sharded(pages, id_col, url_col, html_col, shard_bytes)
+    # the order of keys and places, within which decisions go before payloads
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "page_id", "place", "digest", "kind", "url")
+    return written(rows.select("shard", "page_id", "url", "html", "digest", "refers_to", "kind", "times").mapInArrow(lambda it: _write(it, folder, file_bytes, date), MANIFEST), "warc-manifest")
 
 
 def records_of(stream, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
