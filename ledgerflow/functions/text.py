@@ -205,7 +205,7 @@ def containing(texts: DataFrame, text: str, parts: DataFrame, part: str, size: i
     lengths = sorted(r[0] for r in each.select("_n").distinct().collect())  # up to ``size``
     if not lengths:
         return texts.join(kept, F.lit(False))
-    looked = texts.select(text).distinct().select(text, F.explode_outer(F.concat(*[_runs(F.col(text), n) for n in lengths])).alias("_run"))
+    looked = texts.select(text).distinct().select(text, F.explode_outer(F.array_distinct(F.concat(*[_runs(F.col(text), n) for n in lengths]))).alias("_run"))
     met = looked.join(index, "_run").where(F.contains(text, part)).select(text, part)
     return texts.join(met, text).join(kept, part)
 
@@ -231,12 +231,12 @@ def similar_candidates(left: DataFrame, right: DataFrame, gate: int = 90) -> Dat
         rows = words.select(name).where(F.length(name) > 0).distinct().select(name, F.length(name).alias(own), _marks(F.col(name)).alias(f"_m{name}"))
         rows = rows.withColumn(other, F.explode_outer(F.sequence(F.floor(F.col(own) / 2).cast("int") + 1, F.greatest(2 * F.col(own) - 1, F.lit(1)))))
         rows = rows.withColumn("_need", need("_la", "_lb")).where(F.col("_need") <= F.least("_la", "_lb"))
-        return rows.select(name, own, other, F.explode_outer(F.slice(f"_m{name}", F.lit(1), F.col(own) - F.col("_need") + 1)).alias("_mark"))
+        return rows.select(name, own, other, f"_m{name}", F.explode_outer(F.slice(f"_m{name}", F.lit(1), F.col(own) - F.col("_need") + 1)).alias("_mark"))
 
-    met = listed(left, "a", "_la", "_lb").join(listed(right, "b", "_lb", "_la"), ["_la", "_lb", "_mark"]).select("a", "b", "_la", "_lb").distinct()
+    met = listed(left, "a", "_la", "_lb").join(listed(right, "b", "_lb", "_la"), ["_la", "_lb", "_mark"])
     begin = F.lit(0)
     for n in (1, 2, 3, 4):
         begin = F.when((F.substring("a", 1, n) == F.substring("b", 1, n)) & (F.least("_la", "_lb") >= n), n).otherwise(begin)
-    common = F.size(F.array_intersect(_marks(F.col("a")), _marks(F.col("b"))))
+    common = F.size(F.array_intersect("_ma", "_mb"))
     reach = common * (F.col("_la") + F.col("_lb")) * (100 - 10 * begin) > (3 * gate - 20 * begin - 100) * F.col("_la") * F.col("_lb")
-    return met.where(reach | (F.col("a") == F.col("b"))).select("a", "b")
+    return met.where(reach | (F.col("a") == F.col("b"))).select("a", "b").distinct()

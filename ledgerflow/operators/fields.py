@@ -15,7 +15,7 @@ RUPEES = (rf"(?i)\brs\.?\s*{NUMBER}", rf"(?i)\binr\s*{NUMBER}", rf"₹\s*{NUMBER
 MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
 CODES = "USD EUR GBP JPY AED SGD AUD CAD HKD NZD CHF SAR QAR THB MYR".split()
 #: Signs that stand before a number, the longest first, and their codes.
-SIGNS = (("HK$", "HKD"), ("NZ$", "NZD"), ("S$", "SGD"), ("A$", "AUD"), ("C$", "CAD"), ("$", "USD"), ("€", "EUR"), ("£", "GBP"), ("¥", "JPY"), ("₹", "INR"))
+SIGNS = (("US$", "USD"), ("HK$", "HKD"), ("NZ$", "NZD"), ("S$", "SGD"), ("A$", "AUD"), ("C$", "CAD"), ("$", "USD"), ("€", "EUR"), ("£", "GBP"), ("¥", "JPY"), ("₹", "INR"))
 NAMES = (("dollars?", "USD"), ("euros?", "EUR"), ("pounds?", "GBP"), ("yen", "JPY"), ("dirhams?", "AED"), ("rupees?", "INR"))
 FOREIGN = tuple(rf"(?i)\b{c}\s*{NUMBER}" for c in CODES) + tuple(rf"{s.replace('$', chr(92) + '$')}\s*{NUMBER}" for s, _ in SIGNS if s != "₹")
 

@@ -23,17 +23,38 @@ def monthly_totals(tx: DataFrame, kind: str = "rich_type", as_of=None) -> DataFr
     return rows.groupBy("user_id", "month", "currency").agg(total("in").alias("income"), total("out").alias("expense")).withColumn("net", F.col("income") - F.col("expense"))
 
 
-def account_balances(readings: DataFrame) -> DataFrame:
-    """(user_id, bank_name, last4, balance, currency, as_of, sender, history newest first) by bank and last four digits.
+ACCOUNT = ("user_id", "bank_name", "last4")
 
-    A history is one account's; it is collected after rows are cut to (ts, msg_id, balance, currency, sender).
+
+def _account_rows(readings: DataFrame) -> DataFrame:
+    return readings.where("bank_name IS NOT NULL AND balance IS NOT NULL").select("user_id", "bank_name", last4_or_empty(F.col("account_last4")).alias("last4"), "ts", "msg_id", "balance", F.coalesce("currency", F.lit("INR")).alias("currency"), "sender")
+
+
+def account_history(readings: DataFrame) -> DataFrame:
+    """A row a reading (account, ts, msg_id, balance, currency, sender), clustered by account and time: sorted ranges, so an account of any size is split over tasks."""
+    order = [*ACCOUNT, F.col("ts").desc(), "msg_id"]
+    return _account_rows(readings).repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def account_balances(readings: DataFrame, newest: int | None = None) -> DataFrame:
+    """(user_id, bank_name, last4, balance, currency, as_of, sender, readings, history newest first) by bank and last four digits.
+
+    With ``newest``, a history has so many entries at most: tasks cut their own rows of an account to that many before they
+    are shuffled, and headlines and counts are partial sums, so an account may have any number of readings. Without it, a
+    history is all of one account; ``account_history`` has it as rows.
     """
-    rows = readings.where("bank_name IS NOT NULL AND balance IS NOT NULL").withColumns({"last4": last4_or_empty(F.col("account_last4")), "currency": F.coalesce("currency", F.lit("INR"))})
-    order = F.struct(-F.unix_micros("ts"), "msg_id")
-    entry = F.struct((-F.unix_micros("ts")).alias("age"), F.col("msg_id"), "ts", "balance", "currency", "sender")
-    out = rows.groupBy("user_id", "bank_name", "last4").agg(F.min_by(F.struct("balance", "currency", "ts", "sender"), order).alias("head"), F.sort_array(F.collect_list(entry)).alias("history"))
+    rows = _account_rows(readings)
+    head = F.min_by(F.struct("balance", "currency", "ts", "sender"), F.struct(-F.unix_micros("ts"), "msg_id")).alias("head")
+    heads = rows.groupBy(*ACCOUNT).agg(head, F.count("*").alias("readings"))
+    entry = F.sort_array(F.collect_list(F.struct((-F.unix_micros("ts")).alias("age"), F.col("msg_id"), "ts", "balance", "currency", "sender"))).alias("history")
+    if newest is None:
+        out = rows.groupBy(*ACCOUNT).agg(head, F.count("*").alias("readings"), entry)
+    else:
+        few = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*ACCOUNT).orderBy(*_newest()))).where(F.col("_n") <= newest).groupBy(*ACCOUNT).agg(entry)
+        both = [heads[c].eqNullSafe(few[c]) for c in ACCOUNT]
+        out = heads.join(few, both[0] & both[1] & both[2]).select(*[heads[c] for c in ACCOUNT], "head", "readings", "history")
     history = F.transform("history", lambda x: F.struct(x["ts"].alias("ts"), x["balance"].alias("balance"), x["currency"].alias("currency"), x["sender"].alias("sender")))
-    return out.select("user_id", "bank_name", "last4", "head.balance", "head.currency", F.col("head.ts").alias("as_of"), "head.sender", history.alias("history"))
+    return out.select(*ACCOUNT, "head.balance", "head.currency", F.col("head.ts").alias("as_of"), "head.sender", "readings", history.alias("history"))
 
 
 def earlier_readings(accounts: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Edge rows by hand: boundaries, ties, traps of keywords, repeated delivery."""
 
 import datetime as dt
+import random
+import time
 from decimal import Decimal
 
 import pytest
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 from ledgerflow import schema
 from ledgerflow.functions import small
 from ledgerflow.functions import text as C
-from ledgerflow.operators import brands, corpus, extract, fields, gates, ledger, recurring, routing
+from ledgerflow.operators import brands, classify, corpus, extract, fields, gates, ledger, recurring, routing
 from ledgerflow.sources import messages as M
 from ledgerflow.streaming import ingest
 
@@ -182,6 +184,8 @@ def test_normal_date(spark, raw, day):
 def test_span_multiples(spark):
     d = spark.createDataFrame([(1, "Rs.2.5 lakh and Rs.3k, 10% by 10:30 on 5-Jan-2024 via XX1234, *99# 2 GB 7")], "id int, text string")
     got = {(r.kind, r.n): r.value for r in corpus.typed_spans(d).collect()}
+    places = {(r.kind, r.n): (r.pos, r.end, r.word, r.word_end) for r in corpus.typed_spans(d).collect()}
+    assert places["amount", 0] == (0, 11, 0, 4) and places["amount", 1] == (16, 21, 5, 7) and places["time", 0] == (30, 35, 9, 11)
     assert got["amount", 0] == 250000 and got["amount", 1] == 3000 and ("percent", 0) in got and ("time", 0) in got and ("date", 0) in got and ("account", 0) in got and ("ussd", 0) in got and ("data_size", 0) in got and got["number", 0] == 7
 
 
@@ -279,3 +283,109 @@ def test_only_small_tables_are_broadcast(spark, monkeypatch):
     monkeypatch.setattr(corpus, "small", lambda df: df)
     monkeypatch.setattr(routing, "small", lambda df: df)
     assert found() == before and len(before[0]) == 2
+
+
+def test_spans_are_disjoint_and_words_cut_by_them_count_once(spark):
+    texts = ["due 12-05-2024 10:30, 1,200 of 9876543210 and 5%", "Rs.500only x9 7kb", "no digits", None, "a\x01b 5\x03 6", "12", "x 1 2 3 y"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    rows = corpus.typed_spans(d).orderBy("id", "pos").collect()
+    for r in rows:
+        assert texts[r.id][r.pos : r.end] == r.raw
+    for x, y in zip(rows, rows[1:], strict=False):
+        assert x.id != y.id or x.end <= y.pos
+    assert [(r.kind, r.raw) for r in rows if r.id == 0] == [("date", "12-05-2024"), ("time", "10:30"), ("number", "1,200"), ("phone", "9876543210"), ("percent", "5%")]
+    words = {(r.id, r.pos): r.word for r in corpus.tokens(d).collect()}
+    assert [(r.word, r.word_end) for r in rows if r.id == 1][0] == (0, 2) and words[1, 1] == "500only" and words[1, 2] == "x9"
+    assert [r.word for r in rows if r.id == 6] == [1, 2, 3]
+
+
+def test_merge_of_many_spans_in_one_text(spark):
+    rng = random.Random(2)
+    span = lambda n, kind: [(1, p, p + rng.randint(1, 6), kind, None) for p in rng.sample(range(60_000), n)]
+    typed, tags = span(10_000, "T"), span(10_000, "K")
+    schema_ = "id int, pos int, end int, type string, norm string"
+    began = time.time()
+    got = {tuple(r) for r in corpus.merge_spans(spark.createDataFrame(typed, schema_), spark.createDataFrame(tags, schema_)).collect()}
+    assert time.time() - began < 60
+    covered = {i for _, a, b, _, _ in typed for i in range(a, b)}
+    assert got == {*typed, *(t for t in tags if not covered & set(range(t[1], t[2])))}
+
+
+def test_first_rule_that_holds_wins(spark):
+    rng = random.Random(3)
+    rules = [(1, "A", "B", 1, ()), (2, "B", "C", 4, ("A",)), (3, "A", "C", 9, ("A", "B", "C"))]
+    spans = [(t, p, rng.choice("ABCX")) for t in range(80) for p in sorted(rng.sample(range(60), rng.randint(1, 9)))]
+    want = {}
+    for number, a, b, most, allowed in rules:
+        for t in range(80):
+            own = [(p, k) for i, p, k in spans if i == t]
+            pairs = [(q - p, p, q) for p, k in own if k == a for q, m in own if m == b and 0 < q - p <= most + 1 and all(x in allowed for r, x in own if p < r < q)]
+            if pairs:
+                want.setdefault(t, (number, *min(pairs)[1:]))
+    got = {r.id: tuple(r)[1:] for r in corpus.near(spark.createDataFrame(spans, "id int, pos int, type string"), rules).collect()}
+    assert got == want and {w[0] for w in want.values()} == {1, 2, 3}
+
+
+def test_long_texts_cost_as_their_length(spark):
+    """A text of 60,000 words through the classifier and the captures."""
+    rng = random.Random(4)
+    text = " ".join(f"w{rng.randrange(5000)}" if i % 9 else "the" for i in range(60_000)) + " and end"
+    d = spark.createDataFrame([(1, text), (2, "w1 w2 w3"), (3, None), (4, "")], "doc_id long, text string")
+    y = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    began = time.time()
+    model = classify.train(d, y, "quality")
+    scores = {r.doc_id: r.score for r in classify.score(d, model, classify.priors(y, "quality")).collect()}
+    assert set(scores) == {1, 2, 3, 4} and classify.train(d, y, "quality", named=True).count() == model.count()
+    starts = corpus.capture_between(corpus.tokens(d, "doc_id"), ["the"], ["and"], "doc_id").collect()
+    assert len(starts) == 1 and len(starts[0].captured.split()) == 59_999
+    assert time.time() - began < 90
+
+
+def test_containment_by_an_index(spark):
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("abé c") for _ in range(n))
+    texts, parts = [some(rng.randint(0, 12)) for _ in range(150)] + [None, ""], [some(rng.randint(0, 6)) for _ in range(60)] + [None, "a", "ab"]
+    t, p = spark.createDataFrame([(x,) for x in texts], "t string"), spark.createDataFrame([(x, i) for i, x in enumerate(parts)], "p string, i int")
+    got = sorted((r.t, r.p, r.i) for r in C.containing(t, "t", p, "p").collect())
+    assert got == sorted((x, y, i) for x in texts for i, y in enumerate(parts) if x is not None and y and y in x)
+    assert C.containing(t, "t", p.where("false"), "p").count() == 0
+
+
+def test_a_dictionary_of_a_million_tokens(spark):
+    known = spark.range(1_000_000).select(F.concat(F.lit("tk"), F.lpad(F.conv("id", 10, 36), 6, "q")).alias("token"), F.col("id").cast("string").alias("brand"), F.lit("c").alias("category"), F.lit(True).alias("online"), F.col("id").cast("int").alias("ord"))
+    rows = spark.range(200).select("id", F.concat(F.lit("x tk"), F.lpad(F.conv(F.col("id") * 4001, 10, 36), 6, "q"), F.lit(" y")).alias("merchant"), F.lit(None).cast("string").alias("body"))
+    found = brands.brand_of(rows, known, "id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert {r.id: r.brand for r in found.collect()} == {i: str(i * 4001).upper() for i in range(200)}
+
+
+def test_no_similar_pair_is_lost(spark):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 11))) for _ in range(120)]
+    edited = [w[:i] + rng.choice(["", "x", w[i : i + 1] * 2]) + w[i + 1 :] for w in base for i in [rng.randrange(len(w) + 1)]] + ["", "aaaa", "a" * 30]
+    a, b = spark.createDataFrame([(w,) for w in base], "a string"), spark.createDataFrame([(w,) for w in edited], "b string")
+    for gate in (90, 95):
+        pairs = {tuple(r) for r in C.similar_candidates(a, b, gate).collect()}
+        over = {(x, y) for x in base for y in edited if C.jaro_winkler(x, y) > gate / 100}
+        assert over <= pairs and len(pairs) < len(set(base)) * len(set(edited)) / 3
+    kept = brands.token_matches(a.withColumnRenamed("a", "token"), spark.createDataFrame([(w, i) for i, w in enumerate(edited)], "keyword string, ord int"))
+    want = set()
+    for t in set(base):
+        want |= {(t, k) for k in edited if len(k) > 3 and k in t}
+        if len(t) > 4:
+            score, _, k = max((C.jaro_winkler(t, k), i, k) for i, k in enumerate(edited))
+            want |= {(t, k)} if score > 0.9 else set()
+        else:
+            score, _, k = max((C.lcs(t, k), i, k) for i, k in enumerate(edited))
+            want |= {(t, k)} if score and score >= len(k) - (len(k) > 4) else set()
+    assert {tuple(r) for r in kept.collect()} == want
+
+
+def test_histories_of_bounded_length(spark):
+    rows = [("u", f"m{i:04d}", NOW + dt.timedelta(hours=i // 2), "B", "XX1234", Decimal(i), None, "s") for i in range(500)] + [("u", "x", NOW, None, None, Decimal(1), None, "s"), (None, "n", NOW, "B", None, Decimal(2), "USD", None)]
+    r = spark.createDataFrame(rows, "user_id string, msg_id string, ts timestamp, bank_name string, account_last4 string, balance decimal(18,2), currency string, sender string")
+    few, whole = ({x.user_id: x for x in ledger.account_balances(r, n).collect()} for n in (4, None))
+    assert few["u"].balance == whole["u"].balance == 498 and few["u"].readings == 500 and few["u"].history == whole["u"].history[:4] and len(whole["u"].history) == 500
+    assert few[None].readings == 1 and few[None].history == whole[None].history
+    assert ledger.account_history(r).count() == 501
