@@ -9,7 +9,7 @@ to the worst ones. A fifth of the learning rows are kept from the training and c
 Words are what white space parts, without all but letters and digits, lower-cased, cut at ``LONGEST`` letters. At most
 ``ROWS`` learning rows a class, by the hash of their id, of at most ``BYTES`` bytes of text, train the model; counts, scores and verdicts cover all rows and whole texts.
 
-Defined results: null, empty and wordless texts score the share of toxic texts among the learning rows; without learning rows of both classes all rows score that share (0 without any);
+Defined results: null, empty and wordless texts score the share of toxic texts among the learning rows; without learning rows of both classes that have words all rows score that share (0 without any);
 rows with a null id or label teach nothing; of several labels of an id the highest counts; repeated rows get a row each; extra columns are ignored.
 """
 
@@ -78,7 +78,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     word = (np.cumsum(own == 2) + np.cumsum(text))[kept]  # differs from word to word
     letters, text = lower[points[kept]], np.cumsum(text)[kept]
     if not len(letters):
-        return Words([], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(len(offsets), np.int64))
+        return Words([np.zeros(0, np.int32) for _ in GRAMS], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(len(offsets), np.int64))
     first = np.append(True, word[1:] != word[:-1])
     starts = np.flatnonzero(first)
     place = np.arange(len(letters)) - np.repeat(starts, np.diff(np.append(starts, len(letters))))
@@ -181,6 +181,8 @@ def train(texts: list[str], labels: np.ndarray, kept: np.ndarray, share: float)
     known = np.bincount(flat, texts_of[of], BUCKETS) >= FEWEST
     flat, of = flat[known[flat]], of[known[flat]]
     fine = np.diff(first) > 0
+    if len(np.unique(labels[fine])) < 2:
+        return Model(np.zeros(0, np.float32), 0.0, 1.0, 0.0, share)
     learns = ~kept
     if len(np.unique(labels[kept & fine])) < 2:  # too few rows to keep some
         kept = np.ones(len(texts), bool)
@@ -206,7 +208,7 @@ def train(texts: list[str], labels: np.ndarray, kept: np.ndarray, share: float)
         g = np.bincount(flat, (np.bincount(word, back[passage] * part, len(seen)) / counts)[of], BUCKETS)
         # steps follow the gradient, so what many texts share moves far and what few have stays
         g_layer = vectors.T @ g
-        size = np.abs(g).max() * np.sqrt((layer**2).sum())
+        size = max(np.abs(g).max() * np.sqrt((layer**2).sum()), 1e-12)
         spent = np.full(BUCKETS, (FLOOR * size) ** 2) if spent is None else spent
         spent += g**2 * (layer**2).sum()
         vectors -= ((RATE / np.sqrt(spent)) * g)[:, None].astype(np.float32) * layer + np.float32(DECAY) * vectors
