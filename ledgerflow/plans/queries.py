@@ -460,8 +460,10 @@ _FEED = "0,1,3,4,5,6,7,8,9,14,17,18,19,20,21,22,26,27,28,29,30"
 def l1_recent_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, body = X.rich(spark, sf_dir), F.col("body")
     number = extract.upcoming_mandates(m).select("user_id", "msg_id", F.col("mandate_no").alias("mandate_id"))
-    seen = m.select("user_id", "msg_id", "ts", fields.rich_type(body).alias("rich_type"), fields.amount(body).alias("amount"), fields.merchant(body).alias("merchant"), fields.currency(body).alias("currency"), fields.payee_alias(fields.address_of(body)).alias("vendor"), "sender")
-    feed = ledger.recent_feed(gates.recognised(seen)).join(number, ["user_id", "msg_id"], "left")
+    seen = m.select("user_id", "msg_id", "ts", "sender", "body", fields.rich_type(body).alias("rich_type"), fields.amount(body).alias("amount"))
+    # what ranks is extracted from all messages, the rest from those that are shown
+    shown = ledger.recent_feed(gates.recognised(seen)).select("*", fields.merchant(body).alias("merchant"), fields.currency(body).alias("currency"), fields.payee_alias(fields.address_of(body)).alias("vendor"))
+    feed = shown.join(number, ["user_id", "msg_id"], "left")
     rolled = table(spark, sf_dir, "orders").where("o_orderkey % 64 = 19").select(F.concat(F.lit("u"), F.col("o_custkey") % 50).alias("user_id"), F.concat(F.lit("MN"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0")).alias("mandate_id"))
     none = rows(spark, "user_id string, merchant_key string, currency string, amount decimal(18,2)")
     out = recurring.flag_recurring(feed, none, rolled)
