@@ -1,11 +1,11 @@
 """Phrase collocations by set-oriented mining (SETM) over blocks of texts.
 
 Level k is an occurrence relation: (block, position, group), sorted by position, where positions jump at the ends of pieces.
-A level's groups are counted by Spark over all blocks; those that occur often enough get dense numbers, are joined back
+A level's groups are counted by Spark over all blocks; those that occur often enough get dense numbers, go back
 to the blocks that have them (the semi-join), and the relation of the next level comes from a merge-join of what is left with
 itself at the next position. So a phrase of k + 1 words is named by the numbers of its first and its last k words: exact, no
 hashes. Each level's relation is a written table; a block counts its own groups before anything is shuffled, so a phrase that
-a third of all texts have costs a row a block.
+a third of all texts have costs a row a block, and one shuffle of those rows both counts and semi-joins.
 
 A phrase's score is the lowest of floor(1000 * f * n / (l * r)) over its cuts into two parts that occur l and r times.
 
@@ -16,6 +16,7 @@ the phrase's bytes. Arithmetic is exact up to 10**38 (``1000 * f * n``) and rais
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +26,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import numbered, scratch, session, written
+from .common import discarded, lean, scratch, session, written
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: A phrase goes if a longer one around it has at least this share of its occurrences, in hundredths.
 INSIDE = 100
-#: Bytes of text a block has; a longer text has a block of its own.
-BLOCK = 8 << 20
+#: Bytes of text from which a block is closed, those that are worked on at a time, and rows that are parted by lang at a time.
+BLOCK, SLICE, ROWS = 12 << 20, 1 << 20, 512
+#: How relations are stored: sorted numbers by their differences.
+STORED = {"compression": "zstd", "parquet.writer.version": "v2"}
 UNKNOWN = "und"
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)] = True
@@ -50,13 +53,13 @@ def occurrences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int32), pa.array([], pa.string())
-    before = np.cumsum(inside, dtype=np.int64)
-    begin = np.append(before[starts] - 1, before[-1])
+    before = np.cumsum(inside, dtype=np.int32 if len(data) < 2**31 else np.int64)
+    begin = np.append(before[starts] - 1, before[-1]).astype(np.int64)
     letters = folded[inside]
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(begin), pa.py_buffer(letters)).dictionary_encode()
-    ends = _SEPARATOR[data].astype(np.int32)
+    ends = _SEPARATOR[data].astype(np.int8)
     ends[opens] += 1
-    piece = np.cumsum(ends, dtype=np.int64)[starts]
+    piece = np.cumsum(ends, dtype=before.dtype)[starts]
     jumps = np.zeros(len(starts), np.int64)
     np.cumsum(piece[1:] != piece[:-1], out=jumps[1:])
     return np.arange(len(starts)) + jumps, np.asarray(words.indices, np.int32), words.dictionary.cast(pa.string())
@@ -72,23 +75,41 @@ def _unpacked(raw: bytes, size: int) -> np.ndarray:
 
 def _row(block: int, lang: str | None, position: np.ndarray, group: np.ndarray, keys: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
     """A block's relation and its groups with their counts."""
-    found = pa.StructArray.from_arrays([pa.array(np.arange(len(keys), dtype=np.int32)), keys, pa.array(counts.astype(np.int64))], ["at", "key", "n"])
+    found = pa.StructArray.from_arrays([keys, pa.array(counts.astype(np.int32))], ["key", "n"])
     listed = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), found)
     head = [pa.array([block], pa.int64()), pa.array([lang], pa.string()), pa.array([len(keys)], pa.int32()), pa.array([len(position)], pa.int32())]
     return pa.RecordBatch.from_arrays([*head, pa.array([_packed(np.diff(position, prepend=0))]), pa.array([_packed(group)]), listed], ["block", "lang", "n_groups", "size", "gaps", "groups", "found"])
 
 
+def _merged(number: int, lang: str, parts: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> pa.RecordBatch:
+    """One block of the parts' occurrences, with one number for each of its words."""
+    groups = pa.chunked_array([pa.DictionaryArray.from_arrays(pa.array(g), w) for _, g, w in parts]).unify_dictionaries()
+    group, words = np.concatenate([c.indices.to_numpy() for c in groups.chunks]), groups.chunk(0).dictionary
+    ends = np.append(0, np.cumsum([p[-1] + 2 for p, _, _ in parts[:-1]]))
+    return _row(number, lang, np.concatenate([p + e for (p, _, _), e in zip(parts, ends, strict=True)]), group, words, np.bincount(group, minlength=len(words)))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of texts of one lang; at most a few of them are open at a time, however many langs there are."""
     from pyspark import TaskContext
 
-    number = TaskContext.get().partitionId() << 32
+    number, parts, size = TaskContext.get().partitionId() << 32, {}, Counter()
     for batch in batches:
-        for lang in pc.unique(batch.column(0)).to_pylist():
-            for _, data, offsets in H.slices(batch.filter(pc.equal(batch.column(0), lang)).column(1), block_bytes):
-                position, group, words = occurrences(data, offsets)
-                if len(group):
-                    yield _row(number, lang, position, group, words, np.bincount(group, minlength=len(words)))
-                    number += 1
+        for at in range(0, batch.num_rows, ROWS):
+            rows = batch.slice(at, ROWS)
+            for lang in pc.unique(rows.column(0)).to_pylist():
+                for _, data, offsets in H.slices(rows.column(1).filter(pc.equal(rows.column(0), lang)), SLICE):
+                    found = occurrences(data, offsets)
+                    if len(found[1]):
+                        parts.setdefault(lang, []).append(found)
+                        size[lang] += len(data)
+                while size[lang] >= block_bytes or size.total() >= 3 * block_bytes:
+                    full = lang if size[lang] >= block_bytes else max(size, key=size.get)
+                    yield _merged(number, full, parts.pop(full))
+                    number, size[full] = number + 1, 0
+    for lang, own in parts.items():
+        yield _merged(number, lang, own)
+        number += 1
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,6 +132,16 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _row(block, None, position[meet], own, pa.array(keys), counts)
 
 
+def _numbered(often: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds the number of each key's group, from 0 without gaps. All rows of a key lie in one part; numbers count within parts, whose sizes (a number a part) go before."""
+    ranked = often.withColumn("id", F.dense_rank().over(Window.partitionBy("part").orderBy(*keys)).cast("long"))
+    begin, begins = 0, []
+    for part, size in sorted(tuple(r) for r in often.groupBy("part").agg(F.countDistinct(*keys)).collect()):
+        begins += [F.lit(part), F.lit(begin - 1)]
+        begin += size
+    return ranked.withColumn("id", F.col("id") + F.create_map(*begins)[F.col("part")] if begins else F.col("id")).drop("part")
+
+
 def _cuts(k: int) -> Column:
     """(score, k, l, r) of the lowest-scoring cut of a phrase of ``k`` words; ties to the earliest."""
     cuts = []
@@ -124,28 +155,31 @@ def _cuts(k: int) -> Column:
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, longest: int = LONGEST, top: int = TOP, inside: int = INSIDE, block_bytes: int = BLOCK) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each lang's first ``top`` phrases of 2 to ``longest`` words that occur ``least`` times or more."""
     spark = session(docs)
-    with scratch(spark, "setm-level", "setm-words"):
+    with lean(spark), scratch(spark, "setm-level", "setm-words"):
         rows = docs.select(F.coalesce(F.col(lang_col), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text"))
-        found = "found array<struct<at:int,key:{},n:long>>"
-        relation = written(rows.mapInArrow(lambda it: _blocks(it, block_bytes), f"{RELATION}, {found.format('string')}"), "setm-relation")
-        groups = relation.select("block", "lang", F.explode("found").alias("g")).select("block", "lang", "g.*")
-        counted = groups.groupBy("lang", "key").agg(F.sum("n").alias("f"))
-        level = numbered(counted.where(F.col("f") >= least).select("lang", F.col("key").alias("phrase"), "f", F.array("f").alias("pre"), F.array("f").alias("suf")), "setm-level")
+        found = "found array<struct<key:{},n:int>>"
+        relation = written(rows.mapInArrow(lambda it: _blocks(it, block_bytes), f"{RELATION}, {found.format('string')}"), "setm-relation", **STORED)
         total = written(relation.select("lang", F.explode("found").alias("g")).groupBy("lang").agg(F.sum("g.n").alias("n")), "setm-words")
-        named, keys = level.select("lang", F.col("phrase").alias("key"), "id"), ["lang", "key"]
-        levels = [level]
-        for _ in range(2, longest + 1):
-            known = groups.select("block", "at", *keys).join(named, keys).groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("known"))  # a block's own groups, at most its words
-            relation = written(relation.select("block", "n_groups", "size", "gaps", "groups").join(known, "block").mapInArrow(_extended, f"{RELATION}, {found.format('long')}"), "setm-relation")
-            groups, keys = relation.select("block", F.explode("found").alias("g")).select("block", "g.*"), ["key"]
-            counted = groups.groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-            named_parts = counted.select("key", "f", F.shiftright("key", 32).alias("left"), F.col("key").bitwiseAND(F.lit(2**32 - 1)).alias("right"))
-            left = levels[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), "pre")
-            right = levels[-1].select(F.col("id").alias("right"), F.substring_index("phrase", " ", -1).alias("last"), "suf")
-            made = named_parts.join(left, "left").join(right, "right")
-            level = numbered(made.select("key", "left", "right", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "f", F.concat("pre", F.array("f")).alias("pre"), F.concat("suf", F.array("f")).alias("suf")), "setm-level")
-            named = level.select("key", "id")
-            levels.append(level)
+        levels: list[DataFrame] = []
+        for k in range(1, longest + 1):
+            keys = ["lang", "key"] if k == 1 else ["key"]
+            groups = relation.select("block", "lang", F.posexplode("found").alias("at", "g")).select("block", "at", *keys[:-1], "g.key", "g.n")
+            # a group has a row a block at most, so no key has more than its share of them
+            counted = groups.withColumn("f", F.sum("n").over(Window.partitionBy(*keys))).where(F.col("f") >= least)
+            often = _numbered(written(counted.select("block", "at", *keys, "f", F.spark_partition_id().alias("part")), "setm-often"), keys)
+            counted = often.groupBy(*keys, "id").agg(F.first("f").alias("f"))
+            if k == 1:
+                made = counted.select("id", "lang", F.col("key").alias("phrase"), "f", F.array("f").alias("pre"), F.array("f").alias("suf"))
+            else:
+                left = levels[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), "pre")
+                right = levels[-1].select(F.col("id").alias("right"), F.substring_index("phrase", " ", -1).alias("last"), "suf")
+                parts = counted.select("id", "f", F.shiftright("key", 32).alias("left"), F.col("key").bitwiseAND(F.lit(2**32 - 1)).alias("right")).join(left, "left").join(right, "right")
+                made = parts.select("id", "left", "right", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "f", F.concat("pre", F.array("f")).alias("pre"), F.concat("suf", F.array("f")).alias("suf"))
+            levels.append(written(made, "setm-level"))
+            if k < longest:
+                known = often.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("known"))  # a block's own groups, at most its words
+                before, relation = relation, written(relation.select("block", "n_groups", "size", "gaps", "groups").join(known, "block").mapInArrow(_extended, f"{RELATION}, {found.format('long')}"), "setm-relation", **STORED)
+                discarded(before)
     out = None
     for k, level in enumerate(levels[1:], 2):
         own = level

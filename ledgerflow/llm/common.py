@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -37,16 +37,24 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors."""
     spark = session(df)
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     if _scopes:
         _scopes[-1].append((name, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(df: DataFrame) -> None:
+    """Deletes the folder of a written table that nothing reads any more."""
+    for file in df.inputFiles()[:1]:
+        context = df.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
     """Tables written within it are deleted at its end, but for those of the names ``keep``, which the result still reads."""
@@ -61,14 +69,16 @@ def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
                 folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def numbered(df: DataFrame, name: str, column: str = "id") -> DataFrame:
-    """``df`` as a written table with numbers from 0 without gaps. What is shared out is a number of rows for each part of it."""
-    placed = written(df.withColumn("_place", F.monotonically_increasing_id()), name)
-    part = F.shiftright("_place", 33)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
-    begins = sizes.select("_part", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_begin"))
-    number = F.col("_begin") + F.col("_place").bitwiseAND(F.lit(2**33 - 1))
-    return placed.withColumn("_part", part).join(F.broadcast(begins), "_part").withColumn(column, number).drop("_part", "_place", "_begin")
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Jobs within it drop their shuffle files when they end: for steps whose result is a written table, so that files of one don't lie beside those of the next."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
