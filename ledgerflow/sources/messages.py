@@ -49,7 +49,7 @@ def insert_new(new: DataFrame, target: DataFrame | None, keys: tuple[str, ...] =
     """The rows of ``new`` whose key is new, one a key: a second delivery adds nothing."""
     order = Window.partitionBy(*keys).orderBy("ts", "msg_id") if {"ts", "msg_id"} <= set(new.columns) else None
     one = new.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n") if order is not None else new.dropDuplicates(list(keys))
-    return one if target is None else one.join(target.select(*keys).distinct(), list(keys), "left_anti").select(*new.columns)
+    return one if target is None else one.join(target.select(*keys), list(keys), "left_anti").select(*new.columns)
 
 
 def write_transactions(tx: DataFrame, path: str, mode: str = "append") -> None:

@@ -389,3 +389,18 @@ def test_histories_of_bounded_length(spark):
     assert few["u"].balance == whole["u"].balance == 498 and few["u"].readings == 500 and few["u"].history == whole["u"].history[:4] and len(whole["u"].history) == 500
     assert few[None].readings == 1 and few[None].history == whole[None].history
     assert ledger.account_history(r).count() == 501
+
+
+def test_a_batch_reads_its_users_and_months_only(spark, tmp_path, monkeypatch):
+    row = lambda u, k, m: (f"u{u:03d}", f"t{u}-{k}", dt.datetime(2024, m, 1 + k), f"m{u}-{k}")
+    tx = lambda *rows: spark.createDataFrame(list(rows), "user_id string, txn_id string, ts timestamp, msg_id string")
+    path = f"file://{tmp_path}/t"
+    M.write_transactions(tx(*[row(u, k, m) for u in range(60) for k in range(4) for m in (1, 2)]), path)
+    batch = tx(row(7, 1, 1), row(7, 9, 1), row(8, 0, 1), row(99, 0, 1))
+    for most in (10, 2):
+        monkeypatch.setattr(ingest, "MOST_USERS", most)
+        known = ingest.known_keys(batch, spark.read.parquet(path))
+        plan = known._jdf.queryExecution().executedPlan().toString()
+        assert "month" in plan.split("PartitionFilters")[1].split("]")[0] and ("In(user_id" in plan) == (most == 10)
+        assert known.count() == (8 if most == 10 else 240)
+        assert sorted(r.txn_id for r in M.insert_new(batch, known).collect()) == ["t7-9", "t99-0"]
