@@ -57,8 +57,8 @@ def _revisits(narrow: DataFrame) -> DataFrame:
     return narrow.join(firsts, "digest").where(~F.col("first").eqNullSafe(F.col("page_id"))).select("key", "place", "page_id", "digest", F.col("first").alias("refers_to"))
 
 
-def sharded(pages: DataFrame, id_col: str, url_col: str, html_col: str, shard_bytes: int = SHARD_BYTES, most_shards: int = MOST_SHARDS) -> DataFrame:
-    """(shard, page_id, place, kind, url, html, digest, refers_to, times): payloads (kind 1) and, before them, decisions on them (kind 0).
+def sharded(pages: DataFrame, id_col: str, url_col: str, html_col: str, shard_bytes: int = SHARD_BYTES, most_shards: int = MOST_SHARDS) -> tuple[DataFrame, int]:
+    """(shard, page_id, place, kind, url, html, digest, refers_to, times): payloads (kind 1) and, before them, decisions on them (kind 0); and the number of shards.
 
     Running sums of the payloads in the order of records are cut at multiples of ``shard_bytes``, or of more where there would be
     over ``most_shards`` shards. They come from sums of sorted partitions, so they don't depend on how Spark has dealt
@@ -95,7 +95,7 @@ def sharded(pages: DataFrame, id_col: str, url_col: str, html_col: str, shard_by
     told = decided.select(shard, "page_id", "place", F.lit(0).alias("kind"), none.alias("url"), none.alias("html"), "digest", "refers_to", F.lit(1).cast("long").alias("times"))
     again = decided.join(F.broadcast(wide.select(F.col("_key").alias("key"), F.col("_place").alias("place")).distinct()), ["key", "place"], "left_semi")
     again = again.join(spread.select("key", "place", F.explode(F.sequence("cell", "last")).alias("shard")), ["key", "place"]).select(F.col("shard").cast("int").alias("shard"), "page_id", "place", F.lit(0).alias("kind"), none.alias("url"), none.alias("html"), "digest", "refers_to", F.lit(1).cast("long").alias("times"))
-    return once.unionByName(many).unionByName(told).unionByName(again)
+    return once.unionByName(many).unionByName(told).unionByName(again), max(1, -(-total // size))
 
 
 def _shards(keys: np.ndarray, places: np.ndarray, cells: np.ndarray):
@@ -176,9 +176,9 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int, date
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = FILE_BYTES, shard_bytes: int = SHARD_BYTES, date: str = DATE) -> DataFrame:
     """Writes all rows; returns the manifest, a row a file."""
     session(pages)
-    rows = sharded(pages, id_col, url_col, html_col, shard_bytes)
+    rows, shards = sharded(pages, id_col, url_col, html_col, shard_bytes)
     # the order of keys and places, within which decisions go before payloads
-    rows = rows.repartition("shard").sortWithinPartitions("shard", "page_id", "place", "digest", "kind", "url")
+    rows = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "page_id", "place", "digest", "kind", "url")
     return written(rows.select("shard", "page_id", "url", "html", "digest", "refers_to", "kind", "times").mapInArrow(lambda it: _write(it, folder, file_bytes, date), MANIFEST), "warc-manifest")
 
 

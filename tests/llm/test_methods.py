@@ -135,13 +135,13 @@ def test_shards_of_far_and_repeated_ids(spark, tmp_path):
     rows += [(7, f"http://h/7/{i}", text_of(rng, 30)) for i in range(300)] + [(None, None, text_of(rng, 30)) for _ in range(200)]
     rows += [(2**63 - 1, "far", "x"), (-(2**63), "low", "y"), (2**62, "mid", text_of(rng, 40))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    sharded = warc.sharded(pages, "page_id", "url", "html", 10_000).where("kind = 1")
+    sharded = warc.sharded(pages, "page_id", "url", "html", 10_000)[0].where("kind = 1")
     sizes = {r.shard: r.bytes for r in sharded.groupBy("shard").agg(F.sum((F.octet_length("html") + 512) * F.col("times")).alias("bytes")).collect()}
     assert len(sizes) > 40 and max(sizes.values()) < 13_000
     # keys of shards don't overlap
     ends = sharded.groupBy("shard").agg(F.min(F.struct("page_id", "place")).alias("a"), F.max(F.struct("page_id", "place")).alias("b")).where("a.page_id IS NOT NULL").orderBy("shard").collect()
     assert all(tuple(x.b) < tuple(y.a) for x, y in itertools.pairwise(ends))
-    few = warc.sharded(pages, "page_id", "url", "html", 10_000, most_shards=8).select("shard").distinct().count()
+    few = warc.sharded(pages, "page_id", "url", "html", 10_000, most_shards=8)[0].select("shard").distinct().count()
     assert 4 <= few <= 9
     folder = f"file://{tmp_path}/w"
     manifest = warc.write_archives(pages, folder, shard_bytes=40_000, file_bytes=4_000)
@@ -153,7 +153,7 @@ def test_equal_rows_beyond_a_shard(spark, tmp_path):
     text = text_of(random.Random(6), 40)
     rows = [(None, "http://same", text)] * 400 + [(5, None, text)] * 300 + [(6, "", text), (6, None, text), (4, "http://first", text)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    made = warc.sharded(pages, "page_id", "url", "html", 20_000).where("kind = 1")
+    made = warc.sharded(pages, "page_id", "url", "html", 20_000)[0].where("kind = 1")
     sizes = {r.shard: r.rows for r in made.groupBy("shard").agg(F.sum("times").alias("rows")).collect()}
     assert len(sizes) > 20 and max(sizes.values()) < 60 and sum(sizes.values()) == len(rows)
     names = []
