@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import IN_TYPES, OUT_TYPES
+from .small import small
 
 NON_ASCII = r"[^\x00-\x7F]"
 CURRENCY_SIGNS = "₹€£¥$"
@@ -195,7 +196,8 @@ def containing(texts: DataFrame, text: str, parts: DataFrame, part: str, size: i
     """The rows of ``texts`` joined with those of ``parts`` that they contain, as substrings; empty parts and nulls match nothing.
 
     An inverted index: a part is listed under its rarest run of ``size`` characters (a shorter one under itself), a text looks up
-    all its runs, and what it meets is checked. The join is one of equality, by whatever way the sizes ask for.
+    all its runs, and what it meets is checked. The join is one of equality: an index of few bytes is broadcast, so that runs of
+    texts stay where they are, a larger one is joined by shuffle.
     """
     kept = parts.where(F.length(part) > 0)
     each = kept.select(part, F.least(F.length(part), F.lit(size)).alias("_n")).distinct()
@@ -206,7 +208,7 @@ def containing(texts: DataFrame, text: str, parts: DataFrame, part: str, size: i
     if not lengths:
         return texts.join(kept, F.lit(False))
     looked = texts.select(text).distinct().select(text, F.explode_outer(F.array_distinct(F.concat(*[_runs(F.col(text), n) for n in lengths]))).alias("_run"))
-    met = looked.join(index, "_run").where(F.contains(text, part)).select(text, part)
+    met = looked.join(small(index), "_run").where(F.contains(text, part)).select(text, part)
     return texts.join(met, text).join(kept, part)
 
 

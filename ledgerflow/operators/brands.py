@@ -9,24 +9,17 @@ from ..functions.small import small
 from ..functions.text import containing, jaro_winkler_col, similar_candidates, split_merchant
 
 
-def _first_brand(texts: DataFrame, brands: DataFrame, name: str) -> DataFrame:
-    """(text, name): of the brands that a text contains the first, as a struct."""
-    found = containing(texts.select("text").where("text IS NOT NULL").distinct(), "text", brands, "token")
-    return found.groupBy("text").agg(F.min(F.struct("ord", "brand", "category", "online")).alias(name))
-
-
 def brand_of(rows: DataFrame, brands: DataFrame, key: str = "msg_id", merchant: str = "merchant", body: str = "body") -> DataFrame:
     """Adds brand, brand_category and online: the first brand (token, brand, category, online, ord) whose token the merchant has, else the body.
 
-    Different merchant texts, then the different bodies of rows without a hit, look their tokens up in an index; both
-    dictionary and texts may be of any size.
+    Different merchant texts and bodies look their tokens up in an index, once; both dictionary and texts may be of any size.
     """
     known = brands.select(F.lower("token").alias("token"), "brand", "category", "online", "ord")
-    by_name = _first_brand(rows.select(F.lower(merchant).alias("text")), known, "_m").withColumnRenamed("text", "_mtext")
-    out = rows.join(by_name, F.lower(merchant) == F.col("_mtext"), "left")
-    by_body = _first_brand(out.where("_m IS NULL").select(F.lower(body).alias("text")), known, "_b").withColumnRenamed("text", "_btext")
-    out = out.join(by_body, F.col("_m").isNull() & (F.lower(body) == F.col("_btext")), "left")
-    hit = F.coalesce("_m", "_b")
+    texts = rows.select(F.explode_outer(F.array(F.lower(merchant), F.lower(body))).alias("text")).where("text IS NOT NULL").distinct()
+    hits = containing(texts, "text", known, "token").groupBy("text").agg(F.min(F.struct("ord", "brand", "category", "online")).alias("hit"))
+    by_name, by_body = (hits.select(F.col("text").alias(f"_t{n}"), F.col("hit").alias(f"_{n}")) for n in ("name", "body"))
+    out = rows.join(by_name, F.lower(merchant) == F.col("_tname"), "left").join(by_body, F.lower(body) == F.col("_tbody"), "left")
+    hit = F.coalesce("_name", "_body")
     return out.select(*rows.columns, hit["brand"].alias("brand"), hit["category"].alias("brand_category"), F.coalesce(hit["online"], F.lit(False)).alias("online"))
 
 
