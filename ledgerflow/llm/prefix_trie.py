@@ -19,7 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import session, written
@@ -49,11 +49,9 @@ def turns_of(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
     placed = dealt.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", token.alias("token"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("words"), F.monotonically_increasing_id().alias("place"))
     placed = written(placed, "trie-turns").withColumn("part", F.shiftright("place", 33))
     first = placed.groupBy("conv_id", "part").agg(F.min("place").alias("first"), F.count("*").alias("here"))
-    # of a conversation in several tasks, how many turns lie in those before: pairs of tasks of one conversation
-    spread = first.groupBy("conv_id").agg(F.count("*").alias("tasks"), F.min("part").alias("lowest")).where("tasks > 1")
-    split = first.join(spread, "conv_id").select("conv_id", "part", "here")
-    before = split.alias("a").join(split.alias("b"), (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.part") > F.col("b.part"))).groupBy(F.col("a.conv_id").alias("conv_id"), F.col("a.part").alias("part")).agg(F.sum("b.here").alias("before"))
-    begins = first.join(before, ["conv_id", "part"], "left").select("conv_id", "part", (F.coalesce("before", F.lit(0)) - F.col("first")).alias("shift"))
+    # how many turns of a conversation lie in the tasks before: it has a row a task here
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = first.select("conv_id", "part", (F.coalesce(F.sum("here").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
     return placed.join(begins, ["conv_id", "part"]).select("conv_id", (F.col("place") + F.col("shift")).alias("pos"), "token", "words")
 
 

@@ -116,6 +116,15 @@ def test_trie_of_one_turn(spark):
     assert ordered(map(tuple, prefix_trie.conversation_trie(table).collect())) == ordered(brute_trie(rows))
 
 
+def test_a_conversation_in_many_tasks(spark):
+    order = random.Random(9).sample(range(900), 900)
+    rows = [(7, i // 3, "u", f"t {i:04d}") for i in order] + [(c, None, None, None) for c in range(60)]
+    turns = prefix_trie.turns_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6))
+    got = {r.pos: bytes(r.token) for r in turns.where("conv_id = 7 AND words = 2").collect()}
+    assert got == {i + 1: hashlib.sha256(f"1:ut {i:04d}".encode()).digest() for i in range(900)}  # the turn without a number comes first
+    assert turns.count() == len(rows) and turns.where("pos = 0").count() == 60
+
+
 def test_ids_in_pieces(spark):
     rows = [(bytes([i % 3]), c) for i, c in enumerate(random.Random(1).sample(range(-500, 100_000), 3000))]
     got = prefix_trie.id_digests(spark.createDataFrame(rows, "node binary, conv_id long").repartition(7), piece=64)
