@@ -17,7 +17,9 @@ CODES = "USD EUR GBP JPY AED SGD AUD CAD HKD NZD CHF SAR QAR THB MYR".split()
 #: Signs that stand before a number, the longest first, and their codes.
 SIGNS = (("US$", "USD"), ("HK$", "HKD"), ("NZ$", "NZD"), ("S$", "SGD"), ("A$", "AUD"), ("C$", "CAD"), ("$", "USD"), ("€", "EUR"), ("£", "GBP"), ("¥", "JPY"), ("₹", "INR"))
 NAMES = (("dollars?", "USD"), ("euros?", "EUR"), ("pounds?", "GBP"), ("yen", "JPY"), ("dirhams?", "AED"), ("rupees?", "INR"))
-FOREIGN = tuple(rf"(?i)\b{c}\s*{NUMBER}" for c in CODES) + tuple(rf"{s.replace('$', chr(92) + '$')}\s*{NUMBER}" for s, _ in SIGNS if s != "₹")
+#: After a code: white space, or a number at once, which then doesn't run on as an identifier does ("cad5ef@abc").
+_OF_CODE = r"(?:\s+|(?!\d++(?:[.,]\d++)*+(?!(?:k|mn?|bn|lakhs?|lacs?|crores?)\b)[a-z_@]))"
+FOREIGN = tuple(rf"(?i)\b{c}{_OF_CODE}{NUMBER}" for c in CODES) + tuple(rf"{s.replace('$', chr(92) + '$')}\s*{NUMBER}" for s, _ in SIGNS if s != "₹")
 
 
 def first(c: Column, patterns: tuple[str, ...], usable: Callable[[Column], Column] | None = None) -> Column:
@@ -33,7 +35,7 @@ def first(c: Column, patterns: tuple[str, ...], usable: Callable[[Column], Colum
 
 def amount(body: Column) -> Column:
     """Above 0; rupee forms go before other currencies."""
-    foreign = r"(?i)(?:\b(?:" + "|".join(CODES) + r")\s*|(?:HK|NZ|S|A|C)?[$€£¥]\s*)" + NUMBER
+    foreign = r"(?i)(?:\b(?:" + "|".join(CODES) + ")" + _OF_CODE + r"|(?:HK|NZ|S|A|C)?[$€£¥]\s*)" + NUMBER
     return first(body, (*RUPEES, foreign), lambda v: C.parse_amount(v))
 
 
@@ -147,7 +149,7 @@ def currency(body: Column) -> Column:
     return F.coalesce(
         F.when(body.rlike(r"(?i)(?:\brs\.?|\binr|₹)\s*\d"), "INR"),
         F.when((lead != "") & ~lead.isin(*MONTHS), lead),
-        looked_up(rf"(?i)\b({'|'.join(CODES)})\s*\d", tuple((c, c) for c in CODES)),
+        looked_up(rf"(?i)\b({'|'.join(CODES)}){_OF_CODE}\d", tuple((c, c) for c in CODES)),
         looked_up(rf"({signs})\s?\d", SIGNS),
         looked_up(rf"(?i)\d\s*({'|'.join(n for n, _ in NAMES)})\b", names),
         F.lit("INR"),
