@@ -51,9 +51,14 @@ def fold_ascii(c: Column) -> Column:
     return _where_needed(_ascii, c)
 
 
+def let(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of ``value``, which is computed once, however often it is looked at."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def parse_amount(c: Column, positive: bool = True) -> Column:
     """DECIMAL(18,2) of a number text with group commas; null on junk and, if asked, on what isn't above 0."""
-    n = F.regexp_replace(F.trim(c), ",", "").try_cast("decimal(18,2)")
+    n = F.translate(F.trim(c), ",", "").try_cast("decimal(18,2)")
     return F.when(n > 0, n) if positive else n
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.small import small
-from ..functions.text import longest_phrase, parse_amount
+from ..functions.text import let, longest_phrase, parse_amount
 
 WORD = r"[\p{L}\p{N}]+"
 
@@ -157,22 +157,40 @@ def capture_between(words: DataFrame, starts: list[str], stops: list[str], key:
     return rows.groupBy(key, F.col("b.pos").alias("start")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("captured"))
 
 
-DATE_FORMS = ("yyyy-MM-dd", "d-M-yyyy", "d/M/yyyy", "d-MMM-yyyy", "d MMM yyyy", "dMMMyyyy", "MMM d yyyy")
+_MONTHS = {m: f"{i:02}" for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
+#: Day, month and year as numbers; day, name of a month and year; the name first.
+_NUMBERS, _NAMED, _NAME_FIRST = r"^0*(\d{1,2})([-/])0*(\d{1,2})\2(\d{4})$", r"^0*(\d{1,2})([- ]?)([A-Za-z]{3})\2(\d{4})$", r"^([A-Za-z]{3}) 0*(\d{1,2}) (\d{4})$"
 
 
 def normal_date(raw: Column, context: Column) -> Column:
-    """DATE of a date text: day first, month names, two-digit years (under 70: 20yy), swapped if the month is over 12, year from ``context`` if missing; 1970 to 2099."""
-    c = F.initcap(F.trim(F.regexp_replace(raw, r"[.,]", " ")))
-    c = F.regexp_replace(c, r"^(\d{1,2})(?:st|nd|rd|th|St|Nd|Rd|Th)\b", "$1")
-    yy = F.regexp_extract(c, r"^(\d{1,2}[-/ ]?(?:\d{1,2}|[A-Za-z]{3})[-/ ]?)(\d{2})$", 2)
-    head = F.regexp_extract(c, r"^(\d{1,2}[-/ ]?(?:\d{1,2}|[A-Za-z]{3})[-/ ]?)(\d{2})$", 1)
-    c = F.when((yy != "") & head.rlike(r"[-/ A-Za-z]$"), F.concat(head, F.when(yy.try_cast("int") < 70, F.lit("20")).otherwise(F.lit("19")), yy)).otherwise(c)
-    missing = c.rlike(r"^\d{1,2}[- ]?[A-Za-z]{3}$")
-    c = F.when(missing, F.concat(F.regexp_replace(c, r"^(\d{1,2})[- ]?([A-Za-z]{3})$", "$1-$2-"), F.year(context).cast("string"))).otherwise(c)
-    swapped = F.regexp_replace(c, r"^(\d{1,2})([-/])(\d{1,2})([-/])(\d{4})$", "$3$2$1$4$5")
-    date = F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMS], *[F.try_to_timestamp(swapped, F.lit(f)) for f in ("d-M-yyyy", "d/M/yyyy")])
-    day = F.to_date(date)
-    return F.when(F.year(day).between(1970, 2099), day)
+    """DATE of a date text: day first, month names, two-digit years (under 70: 20yy), swapped if the month is over 12, year from ``context`` if missing; 1970 to 2099.
+
+    Every step's text is made once. Its form is told by a pattern, and turned into year-month-day, which a cast reads: no form is
+    tried that doesn't fit, as each that fails would cost an exception.
+    """
+    short = r"^(\d{1,2}[-/ ]?(?:\d{1,2}|[A-Za-z]{3})[-/ ]?)(\d{2})$"
+
+    def full_year(c: Column) -> Column:
+        whole = F.concat(F.regexp_extract(c, short, 1), F.when(F.right(c, F.lit(2)).try_cast("int") < 70, F.lit("20")).otherwise(F.lit("19")), F.right(c, F.lit(2)))
+        return F.when(c.rlike(r"^\d{1,2}[-/ ]?(?:\d{1,2}[-/ ]|[A-Za-z]{3}[-/ ]?)\d{2}$"), whole).otherwise(c)
+
+    def with_year(c: Column) -> Column:
+        return F.when(c.rlike(r"^\d{1,2}[- ]?[A-Za-z]{3}$"), F.concat(F.regexp_replace(c, r"^(\d{1,2})[- ]?([A-Za-z]{3})$", "$1-$2-"), F.year(context).cast("string"))).otherwise(c)
+
+    def named(c: Column, pattern: str, day: str, month: int, year: str) -> Column:
+        number = F.try_element_at(F.create_map(*[F.lit(x) for pair in _MONTHS.items() for x in pair]), F.lower(F.regexp_extract(c, pattern, month)))
+        return F.concat(F.regexp_replace(c, pattern, year), F.lit("-"), number, F.lit("-"), F.regexp_replace(c, pattern, day)).try_cast("date")
+
+    def read(c: Column) -> Column:
+        numbers = F.coalesce(F.regexp_replace(c, _NUMBERS, "$4-$3-$1").try_cast("date"), F.regexp_replace(c, r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})$", "$4-$1-$3").try_cast("date"))
+        return (
+            F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c.try_cast("date")).when(c.rlike(_NUMBERS), numbers)
+            .when(c.rlike(_NAMED), named(c, _NAMED, "$1", 3, "$4")).when(c.rlike(_NAME_FIRST), named(c, _NAME_FIRST, "$2", 1, "$3"))
+        )
+
+    plain = F.initcap(F.trim(F.translate(raw, ".,", "  ")))
+    c = let(F.regexp_replace(plain, r"^(\d{1,2})(?:st|nd|rd|th|St|Nd|Rd|Th)\b", "$1"), full_year)
+    return let(let(let(c, with_year), read), lambda day: F.when(F.year(day).between(1970, 2099), day))
 
 
 def fallback_amount(spans: DataFrame, messages: DataFrame, key: str = "msg_id", body: str = "body") -> DataFrame:
