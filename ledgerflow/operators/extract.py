@@ -58,29 +58,31 @@ def extract_transactions(messages: DataFrame, rules: DataFrame, gate: bool = Tru
     routed first: their distinct values come from a scan of that column alone, and the filters go below the join.
     ``own`` is a table of rules of institutions (``RULE``), which go before the general ones.
     """
-    body, who = F.col("body"), F.col("institution")
+    body, who, low = F.col("body"), F.col("institution"), F.col("_low")
     own_ = own_rules(own, messages.sparkSession)
     rows = routing.route_sender(messages, rules).where(gates.short_enough(body))
-    rows = rows.where(scoped("gate", body, who, gates.is_transaction(body), own_)) if gate else rows
+    # an outer explode has no filter that goes below it, so each text is lower-cased once
+    rows = rows.select("user_id", "msg_id", "sender", "body", "ts", "institution", "type_override", "kind", F.explode_outer(F.array(F.lower(body))).alias("_low"))
+    rows = rows.where(scoped("gate", body, who, gates.is_transaction(body, lower=low), own_)) if gate else rows
 
     def of(field: str, general: Column) -> Column:
         return scoped(field, body, who, general, own_).alias(field)
 
+    way = C.let(fields.direction(body, low), lambda d: F.when(d.isNotNull() | gates.is_card(body, low), F.coalesce("type_override", d)))
+    # so are amount and type found once, and the other fields only of rows that have both
+    rows = gates.has_amount_and_type(rows.select("*", F.inline_outer(F.array(F.struct(of("amount", fields.amount(body, low)), of("type", way))))))
     found = rows.select(
-        "user_id", "msg_id", "sender", "body", "ts", "institution",
-        of("amount", fields.amount(body)),
-        of("type", F.when(fields.direction(body).isNotNull() | gates.is_card(body), F.coalesce("type_override", fields.direction(body)))),
-        fields.negated(body).alias("negated"),
-        of("currency", fields.currency(body)),
-        of("merchant", fields.merchant(body)),
-        of("reference", fields.reference(body)),
-        of("account_last4", fields.account_tail(body)),
-        of("balance", fields.balance(body)),
-        of("credit_limit", fields.credit_limit(body)),
-        of("is_card", gates.is_card(body) | (F.col("kind") == "card")),
-        fields.other_account(body).alias("other_account"),
+        "user_id", "msg_id", "sender", "body", "ts", "institution", "amount", "type",
+        fields.negated(body, low).alias("negated"),
+        of("currency", fields.currency(body, low)),
+        of("merchant", fields.merchant(body, lower=low)),
+        of("reference", fields.reference(body, low)),
+        of("account_last4", fields.account_tail(body, low)),
+        of("balance", fields.balance(body, low)),
+        of("credit_limit", fields.credit_limit(body, low)),
+        of("is_card", gates.is_card(body, low) | (F.col("kind") == "card")),
+        fields.other_account(body, low).alias("other_account"),
     )
-    found = gates.has_amount_and_type(found)
     out = F.when(F.col("type") == "CREDIT", F.col("credit_limit"))
     first_is_from = F.col("type").isin("EXPENSE", "TRANSFER", "CREDIT", "INVESTMENT")
     return found.select(

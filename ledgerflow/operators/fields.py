@@ -22,25 +22,39 @@ _OF_CODE = r"(?:\s+|(?!\d++(?:[.,]\d++)*+(?!(?:k|mn?|bn|lakhs?|lacs?|crores?)\b)
 FOREIGN = tuple(rf"(?i)\b{c}{_OF_CODE}{NUMBER}" for c in CODES) + tuple(rf"{s.replace('$', chr(92) + '$')}\s*{NUMBER}" for s, _ in SIGNS if s != "₹")
 
 
-def first(c: Column, patterns: tuple[str, ...], usable: Callable[[Column], Column] | None = None) -> Column:
+def first(c: Column, patterns: tuple[str, ...], usable: Callable[[Column], Column] | None = None, needs: tuple[tuple[str, ...], ...] | None = None, lower: Column | None = None) -> Column:
     """The first pattern's group 1 that ``usable`` doesn't turn into null.
 
-    With ``usable`` the tries are elements of an array, so that its expression is planned once and not once a pattern.
+    Patterns are tried in order, each once, up to the first that yields something. ``needs`` has for each pattern lower-case
+    parts of which one is in every text that it matches: a text without them isn't searched.
     """
-    tries = [F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in patterns]
-    if usable is None:
-        return F.coalesce(*tries)
-    return F.get(F.filter(F.transform(F.array(*tries), usable), lambda x: x.isNotNull()), F.lit(0))
+    lower = F.lower(c) if needs and lower is None else lower
+    tries = []
+    for i, p in enumerate(patterns):
+        found = F.regexp_extract(c, p, 1)
+        found = F.when(gates.has(lower, *needs[i]), found) if needs else found
+        tries.append(_once(found, usable))
+    return F.coalesce(*tries)
 
 
-def amount(body: Column) -> Column:
+def _once(found: Column, usable: Callable[[Column], Column] | None = None) -> Column:
+    """What ``usable`` makes of a text, null for an empty one; as an element of an array, the text is found once, however often it is looked at."""
+    rows = F.filter(F.array(found), lambda x: x != "")
+    return F.get(rows if usable is None else F.transform(rows, usable), F.lit(0))
+
+
+_FOREIGN_AMOUNT = r"(?i)(?:(?=[" + "".join(sorted({c[0] for c in CODES})) + r"])\b(?:" + "|".join(CODES) + ")" + _OF_CODE + r"|(?:HK|NZ|S|A|C)?[$€£¥]\s*)" + NUMBER
+_AMOUNT_NEEDS = (("rs",), ("inr",), ("₹",), tuple(c.lower() for c in CODES) + tuple("$€£¥"))
+
+
+def amount(body: Column, lower: Column | None = None) -> Column:
     """Above 0; rupee forms go before other currencies."""
-    foreign = r"(?i)(?:\b(?:" + "|".join(CODES) + ")" + _OF_CODE + r"|(?:HK|NZ|S|A|C)?[$€£¥]\s*)" + NUMBER
-    return first(body, (*RUPEES, foreign), lambda v: C.parse_amount(v))
+    return first(body, (*RUPEES, _FOREIGN_AMOUNT), lambda v: C.parse_amount(v), _AMOUNT_NEEDS, lower)
 
 
-def negated(body: Column) -> Column:
-    return F.coalesce(F.lower(body).rlike(r"\b(?:not|never|n't)\s+(?:been\s+)?(?:debited|credited|charged|deducted|paid)\b"), F.lit(False))
+def negated(body: Column, lower: Column | None = None) -> Column:
+    low = F.lower(body) if lower is None else lower
+    return F.coalesce(gates.has(low, "not", "never", "n't") & low.rlike(r"\b(?:not|never|n't)\s+(?:been\s+)?(?:debited|credited|charged|deducted|paid)\b"), F.lit(False))
 
 
 # The verbs, besides "debited" and "credited", that say which way money goes.
@@ -51,16 +65,16 @@ OUT_VERBS += ("purchased",)
 IN_VERBS += ("refunded",)
 
 
-def direction(body: Column) -> Column:
+def direction(body: Column, lower: Column | None = None) -> Column:
     """INVESTMENT, EXPENSE or INCOME; in a two-account message the first verb decides."""
-    b = F.lower(body)
-    out = gates.any_of(body, OUT_VERBS)
+    b = F.lower(body) if lower is None else lower
+    out = gates.any_of(body, OUT_VERBS, lower=b)
     debited, credited = F.locate("debited", b), F.locate("credited", b)
     both = (debited > 0) & (credited > 0)
-    got = gates.any_of(body, IN_VERBS)
-    cashback = b.rlike(r"\bcashback\b") & ~b.rlike(r"\bearn cashback\b")
+    got = gates.any_of(body, IN_VERBS, lower=b)
+    cashback = gates.has(b, "cashback") & b.rlike(r"\bcashback\b") & ~b.rlike(r"\bearn cashback\b")
     return (
-        F.when(gates.is_investment(body), "INVESTMENT")
+        F.when(gates.is_investment(body, lower=b), "INVESTMENT")
         .when(both, F.when(debited < credited, "EXPENSE").otherwise("INCOME"))
         .when((debited > 0) | out, "EXPENSE")
         .when((credited > 0) | got | cashback, "INCOME")
@@ -80,7 +94,8 @@ def cleanup(c: Column) -> Column:
     """A name up to the first word that begins what isn't part of it, without legal forms, a last bracket and edge punctuation."""
     name = F.regexp_extract(C.collapse(c), rf"^(.+?)(?:{_NOT_NAME}|$)", 1)
     name = F.regexp_replace(name, rf"(?i)(?:[\s,]+(?:{'|'.join(LEGAL_FORMS)})\b\.?)+$", "")
-    return F.regexp_replace(F.regexp_replace(name, r"^[\s\p{Punct}&&[^&]]+", ""), r"[\s\p{Punct}&&[^)&]]+$", "")
+    name = F.regexp_replace(F.regexp_replace(name, r"^[\s\p{Punct}&&[^&]]+", ""), r"[\s\p{Punct}&&[^)&]]+$", "")
+    return F.when(c.rlike(r"\A[A-Za-z0-9]+\z"), c).otherwise(name)  # of one plain word there is nothing to cut
 
 
 def valid_merchant(c: Column) -> Column:
@@ -88,28 +103,29 @@ def valid_merchant(c: Column) -> Column:
     return F.get(F.filter(F.transform(F.array(c), cleanup), gates.is_merchant), F.lit(0))
 
 
-def merchant(body: Column, anchors: tuple[str, ...] = ANCHORS) -> Column:
-    return first(body, tuple(rf"(?is)\b{a}\s+(.{{1,300}}?){_STOP}" for a in anchors), valid_merchant)
+def merchant(body: Column, anchors: tuple[str, ...] = ANCHORS, lower: Column | None = None) -> Column:
+    return first(body, tuple(rf"(?is)\b{a}\s+(.{{1,300}}?){_STOP}" for a in anchors), valid_merchant, tuple(tuple(a + x for x in " \n\t\r\f\v") for a in anchors), lower)
 
 
-def reference(body: Column) -> Column:
-    return first(body, (r"(?i)\b(?:upi\s*)?ref(?:erence)?(?:\s*(?:no|number|id))?[\s.:#-]*(\d{6,22})\b", r"(?i)\b(?:utr|rrn)(?:\s*(?:no|number))?[\s.:#-]*([A-Z0-9]{8,22})\b", r"(?i)\b(?:txn|transaction)\s*(?:id|no|number)[\s.:#-]*([A-Z0-9]{6,22})\b"))
+def reference(body: Column, lower: Column | None = None) -> Column:
+    return first(body, (r"(?i)\b(?:upi\s*)?ref(?:erence)?(?:\s*(?:no|number|id))?[\s.:#-]*(\d{6,22})\b", r"(?i)\b(?:utr|rrn)(?:\s*(?:no|number))?[\s.:#-]*([A-Z0-9]{8,22})\b", r"(?i)\b(?:txn|transaction)\s*(?:id|no|number)[\s.:#-]*([A-Z0-9]{6,22})\b"), None, (("ref",), ("utr", "rrn"), ("txn", "transaction")), lower)
 
 
-_HOLDER = r"(?:a/c|acct|account|card)"
+_HOLDER = r"(?:a(?:/c|cct|ccount)|card)"
+_HOLDERS = ("a/c", "acct", "account", "card")
 
 
-def account_tail(body: Column) -> Column:
+def account_tail(body: Column, lower: Column | None = None) -> Column:
     """The last four digits of the account or card, as far as they belong to no date."""
-    tails = (rf"(?i)\b{_HOLDER}\s*(?:no\.?|number)?\s*[:.]?\s*([x*]*\d{{3,}})\b", rf"(?i)\b{_HOLDER}\s+ending\s+(?:with\s+|in\s+)?([x*]*\d{{3,4}})\b", r"(?i)\b[x*]{2,}(\d{3,4})\b")
-    digits = F.filter(F.transform(F.array(*[F.nullif(F.regexp_extract(body, p, 1), F.lit("")) for p in tails]), lambda t: C.last4_digits(t)), lambda t: t.isNotNull())
-    return F.get(F.filter(digits, lambda t: gates.is_account_tail(body, t)), F.lit(0))
+    tails = (rf"(?i)(?=[ac])\b{_HOLDER}\s*(?:no\.?|number)?\s*[:.]?\s*([x*]*\d{{3,}})\b", rf"(?i)(?=[ac])\b{_HOLDER}\s+ending\s+(?:with\s+|in\s+)?([x*]*\d{{3,4}})\b", r"(?i)(?=[x*])\b[x*]{2,}(\d{3,4})\b")
+    return first(body, tails, lambda t: F.get(F.filter(F.array(C.last4_digits(t)), lambda d: gates.is_account_tail(body, d)), F.lit(0)), (_HOLDERS, ("ending",), ("xx", "x*", "*x", "**")), lower)
 
 
-def other_account(body: Column) -> Column:
+def other_account(body: Column, lower: Column | None = None) -> Column:
     """The second account's tail of a message about two."""
-    tail = F.nullif(F.regexp_extract(body, rf"(?is)\b{_HOLDER}\s*[x*]*\d{{3,}}\b.*?\b{_HOLDER}\s*([x*]*\d{{3,}})\b", 1), F.lit(""))
-    return C.last4_digits(tail)
+    low = F.lower(body) if lower is None else lower
+    tail = F.regexp_extract(body, rf"(?is)(?=[ac])\b{_HOLDER}\s*[x*]*\d{{3,}}\b.*?\b{_HOLDER}\s*([x*]*\d{{3,}})\b", 1)
+    return _once(F.when(low.rlike(r"(?s)(?:a/c|acc|card).*(?:a/c|acc|card)"), tail), C.last4_digits)
 
 
 def masked_tail(c: Column) -> Column:
@@ -120,38 +136,42 @@ def masked_tail(c: Column) -> Column:
 
 _IS = r"(?:\s+(?:in|of|for)\s+(?:a/c|acct|account|card)\s+\S+)?\s*(?:is|:|-|=)?\s*"
 _MONEY = r"(?:rs\.?|inr|₹)\s*"
-BALANCES = tuple(rf"(?i)\b{w}{_IS}{_MONEY}{NUMBER}" for w in (r"avl\.?\s*bal(?:ance)?", r"avail(?:able)?\.?\s*bal(?:ance)?", r"(?:closing|clear|updated|current)\s*bal(?:ance)?", r"new\s*bal(?:ance)?", r"bal(?:ance)?"))
+_BAL = {r"avl\.?\s*bal(?:ance)?": "avl", r"avail(?:able)?\.?\s*bal(?:ance)?": "avail", r"(?:closing|clear|updated|current)\s*bal(?:ance)?": "bal", r"new\s*bal(?:ance)?": "new", r"bal(?:ance)?": "bal"}
+BALANCES = tuple(rf"(?i)\b{w}{_IS}{_MONEY}{NUMBER}" for w in _BAL)
 
 
-def balance(body: Column) -> Column:
+def balance(body: Column, lower: Column | None = None) -> Column:
     """May be 0; a DR suffix makes it negative."""
-    def signed(pattern: str) -> Column:
-        n = C.parse_amount(F.nullif(F.regexp_extract(body, pattern, 1), F.lit("")), positive=False)
-        debt = F.regexp_extract(body, pattern + r"\s*(dr\b)?", 2) != ""
-        return F.when(debt, -F.abs(n)).otherwise(n)
+    def signed(v: Column) -> Column:
+        n = C.parse_amount(F.regexp_extract(v, NUMBER, 1), positive=False)
+        return F.when(F.lower(v).endswith("dr"), -F.abs(n)).otherwise(n)
 
-    return F.coalesce(*(signed(p) for p in BALANCES))
+    low = F.lower(body) if lower is None else lower
+    with_suffix = tuple(p.removesuffix(NUMBER) + rf"({NUMBER}(?:\s*dr\b)?)" for p in BALANCES)
+    return F.when(gates.has(low, "bal"), first(body, with_suffix, signed, tuple((n,) for n in _BAL.values()), low))
 
 
-def credit_limit(body: Column) -> Column:
+def credit_limit(body: Column, lower: Column | None = None) -> Column:
     words = (r"avl\.?\s*(?:credit\s*)?(?:limit|lmt)", r"available\s*(?:credit\s*)?limit", r"(?:credit\s*)?limit\s*available", r"avbl\.?\s*(?:limit|lmt)", r"remaining\s*limit", r"total\s*limit")
-    return first(body, tuple(rf"(?i)\b{w}{_IS}{_MONEY}{NUMBER}" for w in words), lambda v: C.parse_amount(v, positive=False))
+    low = F.lower(body) if lower is None else lower
+    return F.when(gates.has(low, "limit", "lmt"), first(body, tuple(rf"(?i)\b{w}{_IS}{_MONEY}{NUMBER}" for w in words), lambda v: C.parse_amount(v, positive=False)))
 
 
-def currency(body: Column) -> Column:
+def currency(body: Column, lower: Column | None = None) -> Column:
     """A code before an amount (no month), a sign on a digit, a currency's name; INR without any. Few patterns, then lookups."""
     def looked_up(pattern: str, table: tuple[tuple[str, str], ...]) -> Column:
         return F.try_element_at(F.create_map(*[F.lit(x) for pair in table for x in pair]), F.upper(F.regexp_extract(body, pattern, 1)))
 
+    low = F.lower(body) if lower is None else lower
     lead = F.upper(F.regexp_extract(body, r"(?i)\b([a-z]{3})\s*\d[\d,.]*\s+spent\b", 1))
     signs = "|".join(s.replace("$", r"\$") for s, _ in SIGNS)
     names = tuple((n.replace("?", "").upper(), c) for n, c in NAMES) + tuple((n.replace("s?", "").upper(), c) for n, c in NAMES if "s?" in n)
     return F.coalesce(
-        F.when(body.rlike(r"(?i)(?:\brs\.?|\binr|₹)\s*\d"), "INR"),
-        F.when((lead != "") & ~lead.isin(*MONTHS), lead),
-        looked_up(rf"(?i)\b({'|'.join(CODES)}){_OF_CODE}\d", tuple((c, c) for c in CODES)),
-        looked_up(rf"({signs})\s?\d", SIGNS),
-        looked_up(rf"(?i)\d\s*({'|'.join(n for n, _ in NAMES)})\b", names),
+        F.when(gates.has(low, "rs", "inr", "₹") & body.rlike(r"(?i)(?:(?=[ri])\b(?:rs\.?|inr)|₹)\s*\d"), "INR"),
+        F.when(gates.has(low, "spent") & (lead != "") & ~lead.isin(*MONTHS), lead),
+        F.when(gates.has(low, *(c.lower() for c in CODES)), looked_up(rf"(?i)\b({'|'.join(CODES)}){_OF_CODE}\d", tuple((c, c) for c in CODES))),
+        F.when(gates.has(low, "$", "€", "£", "¥", "₹"), looked_up(rf"({signs})\s?\d", SIGNS)),
+        F.when(gates.has(low, "dollar", "euro", "pound", "yen", "dirham", "rupee"), looked_up(rf"(?i)\d\s*({'|'.join(n for n, _ in NAMES)})\b", names)),
         F.lit("INR"),
     )
 

@@ -35,35 +35,48 @@ ACCOUNT_WORDS = ("a/c", "acct", "account", "savings")
 STOP_WORDS = ("the", "your", "you", "a/c", "account", "bank", "card", "upi", "ref", "info", "avl", "bal", "balance", "rs", "inr", "is", "on", "at", "for", "to", "from", "by", "via", "and", "of")
 
 
-def any_of(c: Column, words: tuple[str, ...], mode: str = "word") -> Column:
-    """Whether ``c`` has one of the words."""
-    lower = F.lower(c)
+def has(lower: Column, *parts: str) -> Column:
+    """Whether one of the parts occurs as a substring: a cheap test before a pattern that can't match without one."""
+    found = F.lit(False)
+    for p in parts:
+        found = found | F.contains(lower, F.lit(p))
+    return found
+
+
+def _stems(words: tuple[str, ...]) -> list[str]:
+    """Substrings of which one is in every text that has one of the words: the longest part of each, without those that contain another."""
+    longest = sorted({max(w.split(), key=len) for w in words})
+    return [w for w in longest if not any(v != w and v in w for v in longest)]
+
+
+def any_of(c: Column, words: tuple[str, ...], mode: str = "word", lower: Column | None = None) -> Column:
+    """Whether ``c`` has one of the words; ``lower`` is the column of its lower-case text, where there is one."""
+    lower = F.lower(c) if lower is None else lower
     if mode == "substring":
-        found = F.lit(False)
-        for w in words:
-            found = found | F.contains(lower, F.lit(w))
-        return found
-    return lower.rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(w).replace(r"\ ", r"\s+") for w in words) + r")(?![\p{L}\p{N}])")
+        return has(lower, *words)
+    begins = "".join(sorted({re.escape(w[0]) for w in words}))
+    whole = rf"(?=[{begins}])(?<![\p{{L}}\p{{N}}])(?:" + "|".join(re.escape(w).replace(r"\ ", r"\s+") for w in words) + r")(?![\p{L}\p{N}])"
+    return has(lower, *_stems(words)) & lower.rlike(whole)
 
 
-def reject_reason(body: Column, mode: str = "word") -> Column:
+def reject_reason(body: Column, mode: str = "word", lower: Column | None = None) -> Column:
     """Why a body is no transaction, null if it may be one."""
     out = F.when(body.isNull() | (body == ""), "empty")
     for reason, words in REJECTS:
-        test = any_of(body, (*words, *MORE_REJECTS.get(reason, ())), mode)
+        test = any_of(body, (*words, *MORE_REJECTS.get(reason, ())), mode, lower)
         if reason == "due":
-            test = test | (any_of(body, PAIRED_DUE[:1], mode) & any_of(body, PAIRED_DUE[1:], mode))
+            test = test | (any_of(body, PAIRED_DUE[:1], mode, lower) & any_of(body, PAIRED_DUE[1:], mode, lower))
         out = out.when(test, reason)
-    return out.when(~(any_of(body, VERBS, mode) | keyword_gate(body, mode)), "no_verb")
+    return out.when(~(any_of(body, VERBS, mode, lower) | keyword_gate(body, mode, lower)), "no_verb")
 
 
-def is_transaction(body: Column, mode: str = "word") -> Column:
-    return F.coalesce(reject_reason(body, mode).isNull(), F.lit(False))
+def is_transaction(body: Column, mode: str = "word", lower: Column | None = None) -> Column:
+    return F.coalesce(reject_reason(body, mode, lower).isNull(), F.lit(False))
 
 
-def keyword_gate(body: Column, mode: str = "word") -> Column:
+def keyword_gate(body: Column, mode: str = "word", lower: Column | None = None) -> Column:
     """The stand-alone gate of 12 keywords."""
-    return F.coalesce(any_of(body, GATE_WORDS, mode), F.lit(False))
+    return F.coalesce(any_of(body, GATE_WORDS, mode, lower), F.lit(False))
 
 
 def short_enough(body: Column) -> Column:
@@ -74,30 +87,27 @@ def has_amount_and_type(df: DataFrame) -> DataFrame:
     return df.dropna(subset=["amount", "type"])
 
 
-def is_investment(body: Column, mode: str = "word") -> Column:
-    return F.coalesce(any_of(body, INVESTMENT_WORDS, mode), F.lit(False))
+def is_investment(body: Column, mode: str = "word", lower: Column | None = None) -> Column:
+    return F.coalesce(any_of(body, INVESTMENT_WORDS, mode, lower), F.lit(False))
 
 
-def is_card(body: Column) -> Column:
+def is_card(body: Column, lower: Column | None = None) -> Column:
     """Card words accept, unless an account word comes and no masked digits after "ending"."""
-    ending = F.lower(body).rlike(r"card\b.{0,20}\bending\s+(?:with\s+|in\s+)?[x*]*\d{3,4}")
-    card = F.lower(body).rlike(r"\b(?:credit|debit)?\s*card\b")
-    return F.coalesce(F.when(ending, True).when(any_of(body, ACCOUNT_WORDS), False).otherwise(card | any_of(body, ("pos", "swiped"))), F.lit(False))
+    low = F.lower(body) if lower is None else lower
+    named = has(low, "card")
+    ending = named & has(low, "ending") & low.rlike(r"card\b.{0,20}\bending\s+(?:with\s+|in\s+)?[x*]*\d{3,4}")
+    card = named & low.rlike(r"\b(?:credit|debit)?\s*card\b")
+    return F.coalesce(F.when(ending, True).when(any_of(body, ACCOUNT_WORDS, lower=low), False).otherwise(card | any_of(body, ("pos", "swiped"), lower=low)), F.lit(False))
 
 
 def is_merchant(c: Column) -> Column:
     """Two characters or more with a letter; no stop word, number, address, masked account, cash machine, numbered paper, date or amount."""
     lower = F.lower(F.trim(c))
-    bad = (
-        lower.isin(*STOP_WORDS)
-        | F.contains(lower, F.lit("@"))
-        | lower.rlike(r"^(?:a/c|acct|account|card|your|my)\b")
-        | lower.rlike(r"^(?:sip|folio|atm|nav)\b|^(?:policy|order|item|loan|invoice|mandate)\s+(?:no|number|id)\b|^(?:item|order|policy)\s+\S*\d")
-        | lower.rlike(r"^[x*]+\d+$")
-        | lower.rlike(r"^\d+\s+(?:minutes?|mins?|hours?|hrs?|days?)$")
-        | lower.rlike(r"^\d{1,4}[-/.](?:\d{1,2}|[a-z]{3})[-/.]\d{1,4}$")
-        | lower.rlike(r"^(?:rs|inr|usd)\.?\s*\d")
-    )
+    begins = (
+        r"(?:a/c|acct|account|card|your|my|sip|folio|atm|nav)\b", r"(?:policy|order|item|loan|invoice|mandate)\s+(?:no|number|id)\b", r"(?:item|order|policy)\s+\S*\d", r"[x*]+\d+$", r"\d+\s+(?:minutes?|mins?|hours?|hrs?|days?)$",
+        r"\d{1,4}[-/.](?:\d{1,2}|[a-z]{3})[-/.]\d{1,4}$", r"(?:rs|inr|usd)\.?\s*\d",
+    )
+    bad = lower.isin(*STOP_WORDS) | F.contains(lower, F.lit("@")) | lower.rlike("^(?:" + "|".join(begins) + ")")
     return F.coalesce((F.length(lower) >= 2) & lower.rlike(r"\p{L}") & ~bad, F.lit(False))
 
 
@@ -110,8 +120,9 @@ def is_account_tail(body: Column, tail: Column) -> Column:
 
 def is_balance_notice(body: Column) -> Column:
     """Balance words with no transaction verb, or a card statement."""
-    cue = F.lower(body).rlike(r"\b(?:avl|available|closing|clear|updated|current|outstanding)\b.{0,12}\bbal(?:ance)?\b|\bbalance in\b")
-    statement = F.lower(body).rlike(r"\bcard\b.{0,60}\bstatement\b.{0,60}\boutstanding\b")
+    low = F.lower(body)
+    cue = has(low, "bal") & low.rlike(r"\b(?:avl|available|closing|clear|updated|current|outstanding)\b.{0,12}\bbal(?:ance)?\b|\bbalance in\b")
+    statement = has(low, "statement") & low.rlike(r"\bcard\b.{0,60}\bstatement\b.{0,60}\boutstanding\b")
     return F.coalesce((cue & ~any_of(body, VERBS)) | statement, F.lit(False))
 
 
@@ -130,7 +141,8 @@ def mandate_notice(body: Column) -> Column:
 
 
 def is_expiry_notice(body: Column) -> Column:
-    return F.coalesce(F.lower(body).rlike(r"\b(?:expires?|expiring|expired|valid (?:till|until|upto|up to))\b") & ~any_of(body, VERBS), F.lit(False))
+    low = F.lower(body)
+    return F.coalesce(has(low, "expir", "valid") & low.rlike(r"\b(?:expires?|expiring|expired|valid (?:till|until|upto|up to))\b") & ~any_of(body, VERBS), F.lit(False))
 
 
 def recognised(df: DataFrame) -> DataFrame:
