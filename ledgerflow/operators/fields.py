@@ -118,7 +118,7 @@ _HOLDERS = ("a/c", "acct", "account", "card")
 def account_tail(body: Column, lower: Column | None = None) -> Column:
     """The last four digits of the account or card, as far as they belong to no date."""
     tails = (rf"(?i)(?=[ac])\b{_HOLDER}\s*(?:no\.?|number)?\s*[:.]?\s*([x*]*\d{{3,}})\b", rf"(?i)(?=[ac])\b{_HOLDER}\s+ending\s+(?:with\s+|in\s+)?([x*]*\d{{3,4}})\b", r"(?i)(?=[x*])\b[x*]{2,}(\d{3,4})\b")
-    return first(body, tails, lambda t: F.get(F.filter(F.array(C.last4_digits(t)), lambda d: gates.is_account_tail(body, d)), F.lit(0)), (_HOLDERS, ("ending",), ("xx", "x*", "*x", "**")), lower)
+    return first(body, tails, lambda t: F.get(F.filter(F.array(C.last4_digits(t)), lambda d: gates.is_account_tail(body, d, lower)), F.lit(0)), (_HOLDERS, ("ending",), ("xx", "x*", "*x", "**")), lower)
 
 
 def other_account(body: Column, lower: Column | None = None) -> Column:

@@ -111,10 +111,11 @@ def is_merchant(c: Column) -> Column:
     return F.coalesce((F.length(lower) >= 2) & lower.rlike(r"\p{L}") & ~bad, F.lit(False))
 
 
-def is_account_tail(body: Column, tail: Column) -> Column:
+def is_account_tail(body: Column, tail: Column, lower: Column | None = None) -> Column:
     """Not when the digits belong to a date in the body, nor a year without an account word."""
     quoted = F.concat(F.lit("(?:"), tail, F.lit(r")[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/](?:\d{1,2}|[A-Za-z]{3})[-/](?:\d\d)?(?:"), tail, F.lit(")(?![0-9])"))
-    year = tail.rlike(r"^20\d\d$") & ~any_of(body, ACCOUNT_WORDS) & ~F.lower(body).rlike(r"\bcard\b")
+    low = F.lower(body) if lower is None else lower
+    year = tail.rlike(r"^20\d\d$") & ~any_of(body, ACCOUNT_WORDS, lower=low) & ~low.rlike(r"\bcard\b")
     return F.coalesce(tail.isNotNull() & ~(year | (tail.rlike(r"^(?:19|20)\d\d$") & F.regexp_like(body, quoted) & ~F.regexp_like(body, F.concat(F.lit("(?i)x+"), tail)))), F.lit(False))
 
 
