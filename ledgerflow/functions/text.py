@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,7 +99,7 @@ def title_case(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(c), r"[^a-z0-9\p{L}\p{N}]+"), "")  # a-z and 0-9 are told without a look at their properties
 
 
 def _grams(tokens: Column, most: int, made: Callable[[list[Column]], Column]) -> Column:
@@ -124,14 +128,26 @@ def longest_phrase(dictionary: DataFrame, phrase: str = "phrase") -> int:
     return max(1, dictionary.agg(F.max(F.size(words(F.col(phrase))))).first()[0] or 1)
 
 
+def _found(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
+    find = re.compile(pattern).findall
+    for batch in batches:
+        seen: set[str] = set()
+        for text in batch.column(0):
+            seen.update(find(text.as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["word"])
+
+
+def distinct_found(texts: DataFrame, text: Column, pattern: str, name: str) -> DataFrame:
+    """(name): the different matches of a pattern without groups in all texts. A task gives those of a batch once, so few are shuffled."""
+    return texts.select(text.alias("text")).where("text IS NOT NULL").mapInArrow(lambda it: _found(it, pattern), "word string").select(F.col("word").alias(name)).distinct()
+
+
 def mask_amounts(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?i)(?:\b(?:rs|inr|usd)\.?\s*|[₹$€£])?\b\d[\d,]*(?:\.\d+)?\b", "AMT")
+    return F.regexp_replace(c, r"(?i)(?=[riu₹$€£\d])(?:\b(?:rs|inr|usd)\.?\s*|[₹$€£])?\b\d[\d,]*(?:\.\d+)?\b", "AMT")
 
 
 def split_merchant(c: Column) -> Column:
     """Tokens between separators (the longest first) and spaces, lower-cased."""
-    import re
-
     either = "|".join(re.escape(s) for s in sorted(SEPARATORS, key=len, reverse=True))
     return F.filter(F.split(F.lower(c), rf"(?:{either}|\s)+"), lambda w: w != "")
 
@@ -160,17 +176,17 @@ def jaro_winkler(a: str, b: str, scale: float = 0.1) -> float:
     if not a or not b:
         return 0.0
     reach = max(0, max(len(a), len(b)) // 2 - 1)
-    used, left = [False] * len(b), []
+    left, at, free = [], [], b
     for i, x in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not used[j] and b[j] == x:
-                used[j] = True
-                left.append(x)
-                break
+        j = free.find(x, max(0, i - reach), i + reach + 1)
+        if j >= 0:
+            left.append(x)
+            at.append(j)
+            free = free[:j] + "\ud800" + free[j + 1 :]  # a half of a pair: no text has it alone
     m = len(left)
     if not m:
         return 0.0
-    right = [y for y, u in zip(b, used, strict=True) if u]
+    right = [b[j] for j in sorted(at)]
     t = sum(x != y for x, y in zip(left, right, strict=True)) / 2
     jaro = (m / len(a) + m / len(b) + (m - t) / m) / 3
     prefix = 0
@@ -186,6 +202,10 @@ def jaro_winkler_col(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+# or Spark would move a filter on it below a distinct, and score every repeat, and what is left once more
+jaro_winkler_col = jaro_winkler_col.asNondeterministic()
+
+
 @F.pandas_udf(T.IntegerType())
 def lcs_col(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else lcs(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
@@ -217,33 +237,107 @@ def containing(texts: DataFrame, text: str, parts: DataFrame, part: str, size: i
     return texts.join(met, text).join(kept, part)
 
 
-def _marks(c: Column) -> Column:
-    """A word's characters, each with how often it has come so far, as numbers: repeated and late letters first."""
-    chars = F.split(c, "")
-    nth = lambda x, i: F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda y: y == x))
-    return F.array_sort(F.transform(chars, lambda x, i: (F.lit(9999) - nth(x, i)).cast("long") * 2**21 + (F.lit(0x10FFFF) - F.ascii(x))))
+#: How many marks at once two words are found by, and up to how many characters the longer word may then have besides those in common; beyond, by one.
+TOGETHER = ((3, 4), (2, 8))
+#: Bytes up to which the index of words is broadcast.
+INDEX_BYTES = 64 << 20
+
+
+def _needed(la: int, lb: int, gate: int, begin: int) -> int:
+    """How many characters words of these lengths have in common at least, if they begin with ``begin`` common ones and are over the gate."""
+    return max(1, (3 * gate - 20 * begin - 100) * la * lb // ((100 - 10 * begin) * (la + lb)) + 1)
+
+
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of each row in order, and how often each has come before in its row."""
+    x = np.sort(x, axis=1)
+    at = np.broadcast_to(np.arange(x.shape[1]), x.shape)
+    new = np.ones(x.shape, bool)
+    new[:, 1:] = x[:, 1:] != x[:, :-1]
+    return x, at - np.maximum.accumulate(np.where(new, at, 0), axis=1)
+
+
+def _marks(chars: np.ndarray) -> np.ndarray:
+    """The characters of words of one length, each with how often it has come before, as numbers: repeated and late letters, which are rare, first."""
+    x, nth = _numbered(chars)
+    return np.sort(((1 << 30) - nth.astype(np.int64)) * 2**21 + (0x10FFFF - x), axis=1).astype(np.uint64)
+
+
+def _letters(chars: np.ndarray) -> np.ndarray:
+    """64 bits of each word: which of 32 slots of characters come once or more, and which twice or more."""
+    slot, nth = _numbered(chars & 31)
+    bits = np.where(nth < 2, np.uint64(1) << (slot + 32 * np.minimum(nth, 1)).astype(np.uint64), np.uint64(0))
+    return np.bitwise_or.reduce(bits, axis=1, initial=np.uint64(0)).astype(np.int64)
+
+
+def _mixed(seed: int | np.ndarray, x: np.ndarray) -> np.ndarray:
+    x = (np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64) if isinstance(seed, int) else seed * np.uint64(0x9E3779B97F4A7C15)) + x
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def _word_keys(chars: np.ndarray, others: Iterable[int], gate: int, left: bool) -> np.ndarray:
+    """The keys that words of one length, a row each, are found by among words of the lengths ``others``."""
+    n, own = chars.shape
+    first = chars.astype(np.uint64)
+    keys = [_mixed(_mixed(2, first[:, 0]), first[:, 1])] if own > 1 else []
+    for begin in (0, 1):
+        marks = _marks(chars[:, begin:])
+        for other in others:
+            need = _needed(own, other, gate, begin)
+            if need > min(own, other):
+                continue
+            more = max(own, other) - need
+            k = min(next((k for k, most in TOGETHER if more <= most), 1), need - begin)
+            a, b = (own, other) if left else (other, own)
+            seed = _mixed((a << 34) + (b << 4) + begin + 3, first[:, 0] if begin else np.zeros(n, np.uint64))
+            for places in itertools.combinations(range(own - need + k), k):
+                key = seed
+                for i in places:
+                    key = _mixed(key, marks[:, i])
+                keys.append(key)
+    return np.stack(keys, axis=1) if keys else np.zeros((n, 0), np.uint64)
+
+
+def _listed(batches: Iterator[pa.RecordBatch], lengths: list[int] | None, gate: int) -> Iterator[pa.RecordBatch]:
+    """Words with their lengths, letters and keys; against words of ``lengths``, or (for the index) of any."""
+    widest = min((3 * gate - 20 * b - 100) / (100 - 10 * b) for b in (0, 1)) - 1  # lengths differ by no larger a factor than 1 / widest
+    for batch in batches:
+        groups: dict[int, list[str]] = {}
+        for w in batch.column(0).to_pylist():
+            groups.setdefault(len(w), []).append(w)
+        for size, words in groups.items():
+            chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), size)
+            others = [x for x in lengths if size * widest <= x <= size / widest] if lengths is not None else range(max(1, int(size * widest)), int(size / widest) + 2)
+            step = max(1, (1 << 21) // size)
+            for i in range(0, len(words), step):
+                keys = _word_keys(chars[i : i + step], others, gate, lengths is not None)
+                ends = np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(words[i : i + step], pa.string()), pa.array(np.full(len(keys), size, np.int32)), pa.array(_letters(chars[i : i + step])), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.astype(np.int64).ravel()))], ["word", "n", "letters", "keys"])
 
 
 def similar_candidates(left: DataFrame, right: DataFrame, gate: int = 90) -> DataFrame:
-    """(a, b): all pairs of words of ``left`` (a) and ``right`` (b) whose Jaro-Winkler similarity can be over ``gate`` hundredths.
+    """(a, b): all pairs of words of ``left`` (a) and ``right`` (b) whose Jaro-Winkler similarity can be over ``gate`` hundredths, which is over 70.
 
-    No pair over the gate is lost: similarity bounds the matches from below, by the lengths, and matches are at most the
-    characters that both have. So of words of given lengths, the first few marks (the rarest) of both must meet, which is a
-    join of equality; then all common characters and the common beginning are counted.
+    No pair over the gate is lost: similarity bounds the matches from below, by the lengths and the common beginning, and
+    matches are at most the characters that both have. So of words of given lengths that have no more than the first character
+    in common at their beginning, some k of the first few marks (the rarest) of both must be the same; others are found by their
+    first two characters. That is a join of equality with the words of ``right``, whose index is broadcast if it is small. Then the lengths, the beginning
+    and the letters are looked at. Only the different lengths of the words of ``right`` are collected.
     """
-    # matches m of words of la and lb letters: m * (la + lb) / (la * lb) is over (gate - 60) / 20, with a common beginning of four
-    need = lambda x, y: F.floor((gate - 60) * F.col(x) * F.col(y) / (20 * (F.col(x) + F.col(y)))).cast("int") + 1
+    if gate <= 70:
+        raise ValueError("the gate has to be over 70")
 
-    def listed(words: DataFrame, name: str, own: str, other: str) -> DataFrame:
-        rows = words.select(name).where(F.length(name) > 0).distinct().select(name, F.length(name).alias(own), _marks(F.col(name)).alias(f"_m{name}"))
-        rows = rows.withColumn(other, F.explode_outer(F.sequence(F.floor(F.col(own) / 2).cast("int") + 1, F.greatest(2 * F.col(own) - 1, F.lit(1)))))
-        rows = rows.withColumn("_need", need("_la", "_lb")).where(F.col("_need") <= F.least("_la", "_lb"))
-        return rows.select(name, own, other, f"_m{name}", F.explode_outer(F.slice(f"_m{name}", F.lit(1), F.col(own) - F.col("_need") + 1)).alias("_mark"))
+    def listed(words: DataFrame, name: str, lengths: list[int] | None) -> DataFrame:
+        rows = words.select(name).where(F.length(name) > 0).distinct().mapInArrow(lambda it: _listed(it, lengths, gate), "word string, n int, letters long, keys array<long>")
+        return rows.select(F.col("word").alias(name), F.col("n").alias(f"_l{name}"), F.col("letters").alias(f"_s{name}"), F.explode("keys").alias("_key"))
 
-    met = listed(left, "a", "_la", "_lb").join(listed(right, "b", "_lb", "_la"), ["_la", "_lb", "_mark"])
+    lengths = sorted(r[0] for r in right.select(F.length("b")).where(F.length("b") > 0).distinct().collect())
+    met = listed(left, "a", lengths).join(small(listed(right, "b", None), INDEX_BYTES), "_key")
     begin = F.lit(0)
     for n in (1, 2, 3, 4):
         begin = F.when((F.substring("a", 1, n) == F.substring("b", 1, n)) & (F.least("_la", "_lb") >= n), n).otherwise(begin)
-    common = F.size(F.array_intersect("_ma", "_mb"))
-    reach = common * (F.col("_la") + F.col("_lb")) * (100 - 10 * begin) > (3 * gate - 20 * begin - 100) * F.col("_la") * F.col("_lb")
-    return met.where(reach | (F.col("a") == F.col("b"))).select("a", "b").distinct()
+    other = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
+    common = F.least(F.col("_la") - other("_sa", "_sb"), F.col("_lb") - other("_sb", "_sa"))
+    enough = lambda begin: common * (F.col("_la") + F.col("_lb")) * (100 - 10 * begin) > (3 * gate - 20 * begin - 100) * F.col("_la") * F.col("_lb")
+    return met.where(enough(F.lit(4))).where(enough(begin)).select("a", "b").distinct()

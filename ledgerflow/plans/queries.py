@@ -630,7 +630,7 @@ _TOKENS = "t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+'
 
 
 def _letters(spark: SparkSession, sf_dir: str, name: str, column: str) -> DataFrame:
-    return table(spark, sf_dir, name).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias(column)).distinct()
+    return C.distinct_found(table(spark, sf_dir, name), F.lower("text"), "[a-z]+", column)
 
 
 @query()
