@@ -1,7 +1,10 @@
-"""Broadcasts of tables that are small enough, by their measured size."""
+"""Broadcasts of tables that are small enough, by their measured size; tables that are read several times."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,3 +19,12 @@ def small(df: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     """
     size = F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))
     return F.broadcast(df) if (df.agg(size).first()[0] or 0) <= most else df
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in a new folder under ``spark.checkpoint.dir`` (where that is unset, as in tests, under a local one), read back: it is made once, however often it is read."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerflow-")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
