@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import scratch, session, written
+from .common import lean, scratch, session, written
 
 BANDS, ROWS = 30, 5
 #: Bits that tell which texts may be needed again. With many more candidates than bits the join alone tells.
@@ -315,7 +315,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     tag = ["tag"] if tagged else []
-    with scratch(spark, "near-signed", "near-named"):
+    with scratch(spark, "near-signed", "near-named"), lean(spark):
         signed, named = _grouped(docs, kind, shingle, percent, bands, rows, tag)
     out = signed.select("id", "n", "cls", *tag).join(named, "cls", "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"), *tag)
