@@ -1,4 +1,4 @@
-"""Scalar functions on text columns. Only Unicode folding and string similarity are vectorised Python; all else is built in."""
+"""Scalar functions on text columns. Unicode folding, words of a pattern and string similarity are Python over batches; all else is built in."""
 
 from __future__ import annotations
 
