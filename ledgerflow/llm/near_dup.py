@@ -30,11 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import lean, scratch, session, written
+from .common import discarded, lean, scratch, session, written
 
 BANDS, ROWS = 30, 5
 #: Bits that tell which texts may be needed again. With many more candidates than bits the join alone tells.
@@ -167,12 +167,12 @@ def _few(table: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b, ...), those whose full sets are as similar as asked. Only sets that pairs name are shuffled, if pairs are few."""
+    """Of the pairs (a, b, ...), those whose full sets are as similar as asked. The set of a goes to where that of b is. Only sets that pairs name are shuffled, if pairs are few."""
     pairs = written(pairs, "near-pairs")
     few = _few(pairs)
     left = sets.join(few, sets["cls"] == few["a"]).select(*pairs.columns, F.col("items").alias("x"))
-    right = sets.join(few, sets["cls"] == few["b"]).select("a", "b", F.col("items").alias("y"))
-    both = left.join(right, ["a", "b"]).withColumn("i", F.size(F.array_intersect("x", "y")))
+    right = sets if few is pairs else sets.join(F.broadcast(pairs.select(F.col("b").alias("cls")).distinct()), "cls", "left_semi")
+    both = left.join(right.alias("r"), F.col("b") == F.col("r.cls")).withColumn("y", F.col("r.items")).withColumn("i", F.size(F.array_intersect("x", "y")))
     return both.where(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * percent).select(*pairs.columns)
 
 
@@ -262,8 +262,10 @@ def _across(met: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) ->
         return (F.col(f"{a}label") != F.col(f"{b}label")) & (F.col(f"{a}far") | F.col(f"{b}far")) & (~far | uu) & agree
 
     while True:
-        index = written(shared(index), "near-index")
-        pairs = index.where(able("", "h")).select(F.col("cls").alias("a"), F.col("hcls").alias("b"), F.col("label").alias("la"), F.col("hlabel").alias("lb")).distinct()
+        last, made = made, written(shared(index), "near-index")
+        discarded(last)
+        index = made
+        pairs = index.where(able("", "h")).select(F.col("hcls").alias("a"), F.col("cls").alias("b"), F.col("hlabel").alias("la"), F.col("label").alias("lb")).distinct()
         links = written(_links(pairs, sets, percent), "near-links")
         if not links.limit(1).count():
             break
@@ -272,8 +274,8 @@ def _across(met: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) ->
     sides = (index.select("hub", "t", *(["limit"] if k == "a" else []), *[F.col(c).alias(f"{k}{c}") for c in ("cls", "label", "e", "s", "far", "uu")]) for k in "ab")
     left, right = sides
     # those of whom one is the head have been compared
-    left = left.join(index.select("hub", "t", "hcls").distinct(), ["hub", "t"]).where("acls != hcls").drop("hcls")
-    pairs = left.join(right, ["hub", "t"]).where((F.col("acls") < F.col("bcls")) & able("a", "b"))
+    left = left.join(index.select("hub", "t", "hcls").distinct(), ["hub", "t"]).where("acls != hcls")
+    pairs = left.join(right, ["hub", "t"]).where((F.col("acls") < F.col("bcls")) & (F.col("bcls") != F.col("hcls")) & able("a", "b"))
     links = written(_links(pairs.select(F.col("acls").alias("a"), F.col("bcls").alias("b"), F.col("alabel").alias("la"), F.col("blabel").alias("lb")).distinct(), sets, percent), "near-links")
     if not links.limit(1).count():
         return labels
@@ -282,15 +284,20 @@ def _across(met: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) ->
 
 def _grouped(docs: DataFrame, kind: str, shingle: int, percent: int, bands: int, rows: int, tag: list[str]) -> tuple[DataFrame, DataFrame]:
     """Each row's class and number of shingles, and each class's component."""
-    signed = written(docs.select("id", "text", *[F.xxhash64("text").alias(x) for x in tag]).mapInArrow(lambda it: _signed(it, shingle, bands, rows), f"id {kind}, n long, cls binary, bands array<long>" + "".join(f", {x} long" for x in tag)), "near-signed")
-    classes = written(signed.where("n > 0").groupBy("cls").agg(F.min(F.struct("id", "bands")).alias("m"), F.min("id").alias("least"), F.max("n").alias("n")).select("cls", "least", "n", F.col("m.bands").alias("bands")), "near-classes")
-    dealt = classes.select("cls", "n", F.explode("bands").alias("bucket"))
-    buckets = written(dealt.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "near-buckets")
-    placed = written(dealt.join(buckets, "bucket"), "near-placed")
+    banded = written(docs.select("id", "text", *[F.xxhash64("text").alias(x) for x in tag]).mapInArrow(lambda it: _signed(it, shingle, bands, rows), f"id {kind}, n long, cls binary, bands array<long>" + "".join(f", {x} long" for x in tag)), "near-banded")
+    dealing = written(banded.where("n > 0").groupBy("cls").agg(F.min(F.struct("id", "bands")).alias("m"), F.min("id").alias("least"), F.max("n").alias("n")).select("cls", "least", "n", F.col("m.bands").alias("bands")), "near-dealing")
+    # bands are most of these tables, and each is read for them once
+    signed = written(banded.drop("bands"), "near-signed")
+    discarded(banded)
+    dealt = dealing.select("cls", "n", F.explode("bands").alias("bucket"))
+    placed = written(dealt.withColumn("c", F.count("*").over(Window.partitionBy("bucket"))).where("c > 1"), "near-placed")
+    classes = written(dealing.select("cls", "least"), "near-classes")
+    discarded(dealing)
     central = written(placed.groupBy("cls").agg(F.sum("c").alias("score")), "near-central")
     hubs = written(placed.join(central, "cls").groupBy("bucket").agg(F.max(F.struct("score", "cls", "n")).alias("hub")), "near-hubs")
     met = placed.join(hubs, "bucket").select(F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hn"), "cls", "n").where("cls != hub").distinct()
     met = written(met, "near-met")
+    discarded(placed)
     # sets are made where the texts lie: a bitmap tells most texts that have no part in this, the join the others
     bitmap = _bitmap(central.join(classes, "cls").select(F.col("least").alias("id")))
     made = docs.select(F.pmod(F.xxhash64("id"), F.lit(BITMAP)).cast("int").alias("slot"), "text").mapInArrow(lambda it: _full_sets(it, shingle, bitmap), "cls binary, items array<long>")
