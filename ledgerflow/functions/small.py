@@ -1,4 +1,4 @@
-"""Broadcasts of tables that are small enough, by their measured size; tables that are read several times."""
+"""Broadcasts of tables that are small enough, by their measured size; tasks by the size of the input; tables that are read several times."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Bytes, written as JSON, up to which a dictionary is broadcast.
 MOST_BYTES = 16 << 20
+#: Bytes of input files whose rows one task sorts.
+TASK_BYTES = 16 << 20
 
 
 def small(df: DataFrame, most: int = MOST_BYTES) -> DataFrame:
@@ -21,6 +23,20 @@ def small(df: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     return F.broadcast(df) if (df.agg(size).first()[0] or 0) <= most else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` shuffled by ``key`` into tasks whose number follows the bytes of its input files, so that what a task sorts doesn't grow with them.
+
+    Left to itself, Spark makes tasks by the bytes of the shuffle, which are few where places in texts compress well. Over
+    little input, or what comes from no files, ``df`` is as it is.
+    """
+    context = df.sparkSession.sparkContext
+    size, conf = 0, context._jsc.hadoopConfiguration()
+    for file in df.inputFiles():
+        path = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(file))
+        size += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return df.repartition(max(-(-size // TASK_BYTES), context.defaultParallelism), key) if size > TASK_BYTES else df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as Parquet in a new folder under ``spark.checkpoint.dir`` (where that is unset, as in tests, under a local one), read back: it is made once, however often it is read."""
     spark = df.sparkSession

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.small import small
+from ..functions.small import small, spread
 from ..functions.text import let, longest_phrase, parse_amount
 
 WORD = r"[\p{L}\p{N}]+"
@@ -29,7 +29,7 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, longest: int | None = No
     if longest == 1:
         return met.select(key, "pos", (F.col("pos") + 1).alias("end"), F.col("word").alias("phrase")).join(small(known), "phrase")
     order = Window.partitionBy(key).orderBy("pos")
-    runs = met.withColumns({f"_{n}": F.when(F.lead("pos", n).over(order) == F.col("pos") + n, F.lead("word", n).over(order)) for n in range(1, longest)})
+    runs = spread(met, key).withColumns({f"_{n}": F.when(F.lead("pos", n).over(order) == F.col("pos") + n, F.lead("word", n).over(order)) for n in range(1, longest)})
     said = [F.struct(F.lit(1).alias("n"), F.col("word").alias("phrase"))]
     said += [F.when(F.col(f"_{n}").isNotNull(), F.struct(F.lit(n + 1).alias("n"), F.concat_ws(" ", "word", *[F.col(f"_{i}") for i in range(1, n + 1)]).alias("phrase"))) for n in range(1, longest)]
     found = runs.select(key, "pos", F.explode(F.filter(F.array(*said), lambda x: x.isNotNull())).alias("x"))
@@ -41,8 +41,13 @@ def tag_keywords(docs: DataFrame, dictionary: DataFrame, longest: int | None = N
 
     Phrases of over ``longest`` words are left out; without it, none are.
     """
-    known = dictionary.select(F.lower("phrase").alias("phrase"), "type", "norm")
-    found = phrase_matches(docs, known, longest, key, text).join(known, "phrase")
+    # of equal phrases the first by type and norm stays, as they match at the same places
+    known = dictionary.groupBy(F.lower("phrase").alias("phrase")).agg(F.min(F.struct("type", "norm")).alias("_x")).select("phrase", "_x.type", "_x.norm")
+    longest = longest_phrase(known) if longest is None else longest
+    # a phrase has as many rows as places: a shuffle by phrases would bring all of a common one into one task
+    found = phrase_matches(docs, known, longest, key, text).join(small(known), "phrase")
+    if longest == 1:  # matches of one word don't overlap
+        return found.select(key, "pos", "end", "type", "norm")
     # matches that overlap form a cluster; within it one stays if it begins where the last one that stayed has ended
     before = Window.partitionBy(key).orderBy("pos", F.col("end").desc(), "type", "norm")
     free = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
@@ -120,7 +125,7 @@ def merge_spans(typed: DataFrame, keyword: DataFrame, key: str = "id") -> DataFr
     at = F.when(F.col("_typed") == 1, F.col("pos")).otherwise(F.col("end"))
     swept = Window.partitionBy(key).orderBy(at, "_typed").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reached = F.max(F.when(F.col("_typed") == 1, F.col("end"))).over(swept)
-    return both.withColumn("_reached", reached).where((F.col("_typed") == 1) | F.col("_reached").isNull() | (F.col("_reached") <= F.col("pos"))).drop("_typed", "_reached")
+    return spread(both, key).withColumn("_reached", reached).where((F.col("_typed") == 1) | F.col("_reached").isNull() | (F.col("_reached") <= F.col("pos"))).drop("_typed", "_reached")
 
 
 def near(spans: DataFrame, rules: list[tuple[int, str, str, int, tuple[str, ...]]], key: str = "id") -> DataFrame:
