@@ -139,7 +139,7 @@ def near(spans: DataFrame, rules: list[tuple[int, str, str, int, tuple[str, ...]
     last = lambda hit: F.last(F.when(hit, F.col("pos")), ignorenulls=True).over(earlier)
     begins = {a: f"_a{i}" for i, a in enumerate(dict.fromkeys(r[1] for r in rules))}
     bars = {allowed: f"_b{i}" for i, allowed in enumerate(dict.fromkeys(tuple(r[4]) for r in rules))}
-    seen = spans.select(key, "pos", "type", *[last(F.col("type") == a).alias(n) for a, n in begins.items()], *[last(~F.col("type").isin(list(x)) if x else F.lit(True)).alias(n) for x, n in bars.items()])
+    seen = spread(spans, key).select(key, "pos", "type", *[last(F.col("type") == a).alias(n) for a, n in begins.items()], *[last(~F.col("type").isin(list(x)) if x else F.lit(True)).alias(n) for x, n in bars.items()])
     pairs = []
     for number, a, b, most, allowed in rules:
         p1, bar = F.col(begins[a]), F.col(bars[tuple(allowed)])
@@ -156,7 +156,7 @@ def capture_between(words: DataFrame, starts: list[str], stops: list[str], key:
     length costs one sort; only what is captured is gathered. Without a later stop word the capture goes to the end.
     """
     after = Window.partitionBy(key).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    marked = words.withColumn("next_stop", F.min(F.when(F.col("word").isin(stops), F.col("pos"))).over(after))
+    marked = spread(words, key).withColumn("next_stop", F.min(F.when(F.col("word").isin(stops), F.col("pos"))).over(after))
     begins = F.min(F.when(F.col("word").isin(starts) & (F.coalesce("next_stop", F.lit(2**31 - 1)) > F.col("pos") + 1), F.struct("pos", "next_stop"))).over(Window.partitionBy(key))
     rows = marked.withColumn("b", begins).where("b IS NOT NULL AND pos > b.pos AND (b.next_stop IS NULL OR pos < b.next_stop)").where(~F.col("word").rlike(r"^\d+$"))
     return rows.groupBy(key, F.col("b.pos").alias("start")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("captured"))
