@@ -14,13 +14,18 @@ MOST_BYTES = 16 << 20
 TASK_BYTES = 16 << 20
 
 
+def few(df: DataFrame, most: int | None = None) -> bool:
+    """Whether the rows of ``df``, written as JSON, have at most ``most`` bytes (``MOST_BYTES``). One aggregation, when the operator is called."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))
+    return (df.agg(size).first()[0] or 0) <= (MOST_BYTES if most is None else most)
+
+
 def small(df: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     """``df`` marked for broadcast if its rows have at most ``most`` bytes; else as it is, and Spark joins by shuffle.
 
     One aggregation measures it, when the operator is called.
     """
-    size = F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))
-    return F.broadcast(df) if (df.agg(size).first()[0] or 0) <= most else df
+    return F.broadcast(df) if few(df, most) else df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import itertools
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -237,6 +239,66 @@ def containing(texts: DataFrame, text: str, parts: DataFrame, part: str, size: i
     return texts.join(met, text).join(kept, part)
 
 
+class Parts:
+    """Which of some parts a text contains first, by an index of rare runs of bytes, for batches of texts in a task.
+
+    As in ``containing``, a part is listed under its rarest run of ``SIZE`` bytes (a shorter one under itself); all runs of a
+    batch are looked up at once, and what is met is checked.
+    """
+
+    SIZE, BITS = 4, 20
+
+    def __init__(self, parts: list[str]) -> None:
+        self.parts = [p.encode() for p in parts]
+        runs = [{p[i : i + self.SIZE] for i in range(max(1, len(p) - self.SIZE + 1))} for p in self.parts]
+        counts = Counter(r for each in runs for r in each)
+        listed: dict[int, dict[int, list[int]]] = {}
+        for i, each in enumerate(runs):
+            if self.parts[i]:  # an empty part is contained in nothing
+                run = min(each, key=lambda r: (counts[r], r))
+                listed.setdefault(len(run), {}).setdefault(int.from_bytes(run, "little"), []).append(i)
+        self.index = {}
+        for n, under in listed.items():
+            codes = np.array(sorted(under), np.uint32)
+            slots = np.zeros(1 << self.BITS, bool)
+            slots[self._slot(codes)] = True
+            self.index[n] = slots, codes, [under[int(c)] for c in codes]
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return (codes * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.BITS)
+
+    def first(self, texts: pa.Array) -> np.ndarray:
+        """The number of the first of the parts that each text contains, -1 for none and for null."""
+        none = len(self.parts)
+        out = np.full(len(texts), none, np.int64)
+        texts = pc.fill_null(texts, "").cast(pa.large_binary())
+        _, offsets, data = texts.buffers()
+        if not len(texts) or data is None:
+            return np.full(len(texts), -1, np.int64)
+        ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        held = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+        ends, whole = ends - ends[0], held.tobytes()
+        for n, (slots, codes, under) in self.index.items():
+            if len(held) < n:
+                continue
+            code = np.zeros(len(held) - n + 1, np.uint32)
+            for i in range(n):
+                code |= held[i : len(held) - n + 1 + i].astype(np.uint32) << np.uint32(8 * i)
+            at = np.flatnonzero(slots[self._slot(code)])
+            place = np.minimum(np.searchsorted(codes, code[at]), len(codes) - 1)
+            text = np.searchsorted(ends, at, "right") - 1
+            met = (codes[place] == code[at]) & (at + n <= ends[text + 1])
+            for pair in np.unique(text[met] * len(codes) + place[met]).tolist():
+                i, run = divmod(pair, len(codes))
+                body = whole[ends[i] : ends[i + 1]]
+                for part in under[run]:
+                    if part >= out[i]:
+                        break
+                    if self.parts[part] in body:
+                        out[i] = part
+        return np.where(out == none, -1, out)
+
+
 #: How many marks at once two words are found by, and up to how many characters the longer word may then have besides those in common; beyond, by one.
 TOGETHER = ((3, 4), (2, 8))
 #: Bytes up to which the index of words is broadcast.

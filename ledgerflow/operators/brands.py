@@ -2,25 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.small import small
-from ..functions.text import containing, jaro_winkler_col, similar_candidates, split_merchant
+from ..functions.small import few, small
+from ..functions.text import Parts, containing, jaro_winkler_col, similar_candidates, split_merchant
 
 
 def brand_of(rows: DataFrame, brands: DataFrame, key: str = "msg_id", merchant: str = "merchant", body: str = "body") -> DataFrame:
     """Adds brand, brand_category and online: the first brand (token, brand, category, online, ord) whose token the merchant has, else the body.
 
-    Different merchant texts and bodies look their tokens up in an index, once; both dictionary and texts may be of any size.
+    A dictionary of few bytes goes to all tasks, which look its tokens up in the texts where these are, so that no row is shuffled. With a larger
+    one, different merchant texts and bodies look their tokens up in an index, once; both dictionary and texts may be of any size.
     """
     known = brands.select(F.lower("token").alias("token"), "brand", "category", "online", "ord")
+    if few(known):
+        # the first of equal tokens, and tokens in the order in which they win
+        ranked = known.where(F.length("token") > 0).groupBy("token").agg(F.min(F.struct("ord", "brand", "category", "online")).alias("hit")).orderBy("hit", "token").select("token", "hit.brand", "hit.category", "hit.online")
+        found = _first_hit(ranked)(F.lower(merchant), F.lower(body))
+        return _with_hit(rows.select("*", found.alias("_hit")), rows.columns, F.col("_hit"))
     texts = rows.select(F.explode_outer(F.array(F.lower(merchant), F.lower(body))).alias("text")).where("text IS NOT NULL").distinct()
     hits = containing(texts, "text", known, "token").groupBy("text").agg(F.min(F.struct("ord", "brand", "category", "online")).alias("hit"))
     by_name, by_body = (hits.select(F.col("text").alias(f"_t{n}"), F.col("hit").alias(f"_{n}")) for n in ("name", "body"))
     out = rows.join(by_name, F.lower(merchant) == F.col("_tname"), "left").join(by_body, F.lower(body) == F.col("_tbody"), "left")
-    hit = F.coalesce("_name", "_body")
-    return out.select(*rows.columns, hit["brand"].alias("brand"), hit["category"].alias("brand_category"), F.coalesce(hit["online"], F.lit(False)).alias("online"))
+    return _with_hit(out, rows.columns, F.coalesce("_name", "_body"))
+
+
+def _with_hit(rows: DataFrame, columns: list[str], hit: Column) -> DataFrame:
+    return rows.select(*columns, hit["brand"].alias("brand"), hit["category"].alias("brand_category"), F.coalesce(hit["online"], F.lit(False)).alias("online"))
+
+
+def _first_hit(ranked: DataFrame) -> Callable[[Column, Column], Column]:
+    """A function of merchant and body: the row (brand, category, online) of the first of the tokens, in their order, that the merchant has, else the body."""
+    table = ranked.toArrow()
+    held = ranked.sparkSession.sparkContext.broadcast((Parts(table.column("token").to_pylist()), table.drop_columns("token").combine_chunks()))
+
+    def hit(merchant: pa.Array, body: pa.Array) -> pa.Array:
+        parts, values = held.value
+        named = parts.first(merchant)
+        rest = np.flatnonzero(named < 0)
+        named[rest] = parts.first(body.take(pa.array(rest)))
+        at = pa.array(named, mask=named < 0)
+        return pa.StructArray.from_arrays([values.column(c).combine_chunks().take(at) for c in values.column_names], values.column_names, mask=pa.array(named < 0))
+
+    return F.arrow_udf(hit, ranked.select("brand", "category", "online").schema)
 
 
 def token_matches(tokens: DataFrame, keywords: DataFrame) -> DataFrame:

@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.small import small, spread
 from ..functions.text import let, longest_phrase, parse_amount
+from . import gates
 
 WORD = r"[\p{L}\p{N}]+"
 
 
+def lowered(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds the lower-case text as _low, which is made once, however often it is looked at: an explode isn't merged with what follows."""
+    return docs.select("*", F.explode_outer(F.array(F.lower(text))).alias("_low"))
+
+
 def tokens(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(key, pos, word): lower-cased words in order, from 0."""
     return docs.select(key, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("pos", "word"))
@@ -36,6 +42,16 @@ def phrase_matches(docs: DataFrame, phrases: DataFrame, longest: int | None = No
     return found.select(key, "pos", (F.col("pos") + F.col("x.n")).alias("end"), "x.phrase").join(small(known), "phrase")
 
 
+def with_a_word(docs: DataFrame, dictionary: DataFrame, text: str = "text", most: int = 64) -> DataFrame:
+    """The rows whose text has one of the words of a dictionary's phrases as a part, where these are at most ``most``; else all.
+
+    No other row has a phrase; a search for parts is cheaper than all words of a text.
+    """
+    parts = dictionary.select(F.explode(F.split(F.lower("phrase"), " ")).alias("word")).distinct()
+    found = [r.word for r in parts.limit(most + 1).collect()]
+    return lowered(docs, text).where(gates.has(F.col("_low"), *found)).select(*docs.columns) if len(found) <= most else docs
+
+
 def tag_keywords(docs: DataFrame, dictionary: DataFrame, longest: int | None = None, key: str = "id", text: str = "text") -> DataFrame:
     """(key, pos, end, type, norm): dictionary phrases (phrase, type, norm), left to right, the longest first, without overlap.
 

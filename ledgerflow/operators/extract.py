@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as C
+from ..functions.small import small, stored
 from ..functions.text import direction_of
 from . import brands, classify, corpus, fields, gates, routing
 
@@ -117,21 +118,31 @@ def mandate_events(messages: DataFrame) -> DataFrame:
     return rows.where("mandate_id IS NOT NULL")
 
 
+def _facts(body: Column, low: Column, investment: Column) -> list[Column]:
+    """Rich type, subcategory, amount, balance, payee and mandate fields of a body."""
+    mandate = fields.mandate_id(body, low)
+    return [
+        F.when(gates.reject_reason(body, lower=low).isin("otp", "promo", "request", "due", "received_notice"), None).when(mandate.isNotNull(), None).otherwise(fields.rich_type(body, low, investment)).alias("rich_type"),
+        fields.subcategory(body, low).alias("subcategory"), fields.amount(body, low).alias("amount"), fields.currency(body, low).alias("currency"), fields.merchant(body, lower=low).alias("merchant"), fields.account_tail(body, low).alias("account_last4"), fields.balance(body, low).alias("balance"),
+        mandate.alias("mandate_id"), fields.mandate_event(body, low).alias("mandate_event"), fields.mandate_merchant(body, low).alias("mandate_merchant"), fields.mandate_amount(body, low).alias("mandate_amount"),
+    ]
+
+
+def _lowered(messages: DataFrame) -> DataFrame:
+    """Messages that are short enough, with the lower-case text as _low and as _invest whether it is an investment's, which are found once: nothing goes below an outer explode."""
+    rows = corpus.lowered(messages.where(gates.short_enough(F.col("body"))), "body")
+    return rows.select("*", F.explode_outer(F.array(gates.is_investment(F.col("body"), lower=F.col("_low")))).alias("_invest"))
+
+
 def enriched(messages: DataFrame, rules: DataFrame) -> DataFrame:
     """The dashboard's view of every message: rich type, subcategory, amount, balance, payee, mandate fields."""
-    body = F.col("body")
-    rows = routing.route_sender(messages, rules).where(gates.short_enough(body))
-    return rows.select(
-        "user_id", "msg_id", "sender", "ts", F.col("institution").alias("bank_name"),
-        F.when(gates.reject_reason(body).isin("otp", "promo", "request", "due", "received_notice"), None).when(fields.mandate_id(body).isNotNull(), None).otherwise(fields.rich_type(body)).alias("rich_type"),
-        fields.subcategory(body).alias("subcategory"), fields.amount(body).alias("amount"), fields.currency(body).alias("currency"), fields.merchant(body).alias("merchant"), fields.account_tail(body).alias("account_last4"), fields.balance(body).alias("balance"),
-        fields.mandate_id(body).alias("mandate_id"), fields.mandate_event(body).alias("mandate_event"), fields.mandate_merchant(body).alias("mandate_merchant"), fields.mandate_amount(body).alias("mandate_amount"),
-    )
+    rows = _lowered(routing.route_sender(messages, rules))
+    return rows.select("user_id", "msg_id", "sender", "ts", F.col("institution").alias("bank_name"), *_facts(F.col("body"), F.col("_low"), F.col("_invest")))
 
 
 def travel_places(messages: DataFrame, places: DataFrame, key: str = "msg_id", body: str = "body") -> DataFrame:
     """(key, origin, destination): codes of the first two places (word, code) that a travel message names."""
-    trips = messages.where(F.lower(body).rlike(fields.PACKS["travel"][0]))
+    trips = corpus.lowered(messages, body).where(fields.of_family(F.col("_low"), "travel"))
     return routing.place_codes(trips, places, key, body).select(key, F.get("codes", F.lit(0)).alias("origin"), F.get("codes", F.lit(1)).alias("destination"))
 
 
@@ -144,31 +155,44 @@ def wide(
     Dictionaries add to it: ``words`` (phrase, type, norm) the tags (a map of type to norms) and the category, for which
     ``senders`` (alias, category) is the fallback; ``known_brands`` brand, brand_category and online; ``banks`` (exact names,
     aliases, known names) the bank's name; ``spam`` (model and priors of a classifier) a score and class; ``places`` origin
-    and destination. Each is a join on the message or on distinct senders.
+    and destination. What depends on the sender alone is found on the different senders, which are written when this is called
+    and broadcast where they are few; all else of a text is one projection. What other dictionaries say is joined by message, so rows are shuffled once.
     """
-    body = F.col("body")
-    families = [c.alias(k) for family in fields.PACKS for k, c in fields.pack(body, family).items()]
-    said, two, address = fields.narration(body), fields.two_accounts(body), fields.address_of(body)
-    more = messages.where(gates.short_enough(body)).select(
-        "user_id", "msg_id", "body", *families, said["channel"].alias("channel"), said["reference"].alias("narration_reference"), said["counterparty"].alias("counterparty"), two["other"].alias("other_account"),
-        address.alias("address"), fields.payee_alias(address).alias("vendor"), fields.channel_label(body).alias("channel_label"), fields.reference(body).alias("reference"), fields.credit_limit(body).alias("credit_limit"),
-        fields.negated(body).alias("negated"), fields.txn_id(F.col("sender"), fields.amount(body), body).alias("txn_id"), fields.event_key(body, F.col("sender"), F.col("ts")).alias("event_key"),
-    )
-    out = enriched(messages, rules).withColumnRenamed("mandate_amount", "mandate_event_amount").join(more, ["user_id", "msg_id"])
-    brand = bank = F.lit(None).cast("string")
+    body, low = F.col("body"), F.col("_low")
+    # the different senders and what is known of each
+    by_sender = routing.route_sender(stored(routing.distinct_senders(messages), "senders"), rules).select("sender", "institution")
     if words is not None:
-        tags = corpus.tag_keywords(messages, words, None, "msg_id", "body")
-        norms = tags.groupBy("msg_id", "type").agg(F.array_sort(F.collect_set("norm")).alias("norms")).groupBy("msg_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "norms")))).alias("tags"))
-        out = out.withColumn("sender_category", F.lit(None).cast("string")) if senders is None else routing.sender_category(out, senders)
-        out = routing.category(out, tags).join(norms, "msg_id", "left")
+        by_sender = by_sender.withColumn("sender_category", F.lit(None).cast("string")) if senders is None else routing.sender_category(by_sender, senders)
+    if banks is not None:
+        by_sender = routing.bank_of_sender(by_sender, *banks)
+    rows = _lowered(messages).join(small(stored(by_sender, "sender-facts")), "sender", "left")
+
+    facts = [F.col("user_id"), F.col("msg_id"), F.col("sender"), F.col("ts"), F.col("body"), *_facts(body, low, F.col("_invest"))]
+    facts[-1] = fields.mandate_amount(body, low).alias("mandate_event_amount")
+    families = [c.alias(k) for family in fields.PACKS for k, c in fields.pack(body, family, low).items()]
+    said, two, address = fields.narration(body, low), fields.two_accounts(body, low), fields.address_of(body)
+    more = [
+        said["channel"].alias("channel"), said["reference"].alias("narration_reference"), said["counterparty"].alias("counterparty"), two["other"].alias("other_account"),
+        address.alias("address"), fields.payee_alias(address).alias("vendor"), fields.channel_label(body, low).alias("channel_label"), fields.reference(body, low).alias("reference"), fields.credit_limit(body, low).alias("credit_limit"),
+        fields.negated(body, low).alias("negated"), fields.txn_id(F.col("sender"), fields.amount(body, low), body).alias("txn_id"), fields.event_key(body, F.col("sender"), F.col("ts")).alias("event_key"),
+    ]
+    brand = bank = F.lit(None).cast("string")
+    if banks is None:
+        names = [F.col("institution").alias("bank_name")]
+    else:
+        pattern = routing.bank_by_pattern(body, F.col("sender"), low)
+        names, bank = [F.col("institution"), F.col("bank_exact"), F.col("bank_alias"), pattern.alias("bank_pattern"), F.coalesce("bank_exact", "bank_alias", pattern, "institution").alias("bank_name")], F.col("bank_name")
+    out = rows.select(*facts, *families, *more, *names, *(["sender_category"] if words is not None else []))
     if known_brands is not None:
         out, brand = brands.brand_of(out, known_brands), F.col("brand")
-    if banks is not None:
-        out = routing.bank_name(out.withColumnRenamed("bank_name", "institution"), *banks)
-        out, bank = out.withColumn("bank_name", F.coalesce("bank_name", "institution")), F.col("bank_name")
+    # joins by message from here on, which share one shuffle
+    if words is not None:
+        tags = corpus.tag_keywords(corpus.with_a_word(messages, words, "body"), words, None, "msg_id", "body")
+        norms = tags.groupBy("msg_id", "type").agg(F.array_sort(F.collect_set("norm")).alias("norms")).groupBy("msg_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "norms")))).alias("tags"))
+        out = out.join(norms, "msg_id", "left").withColumn("category", routing.category_of(F.col("tags"), F.col("sender_category")))
+    if places is not None:
+        out = out.join(travel_places(messages, places), "msg_id", "left")
     if spam is not None:
         scored = classify.score(messages, *spam, key="msg_id", text="body").withColumnsRenamed({"score": "spam_score", "class": "spam_class"})
         out = out.join(scored, "msg_id", "left")
-    if places is not None:
-        out = out.join(travel_places(messages, places), "msg_id", "left")
     return out.withColumn("payee", fields.display_payee(brand, F.coalesce("merchant", "vendor", "counterparty"), bank, F.col("sender")))

@@ -68,14 +68,17 @@ IN_VERBS += ("refunded",)
 def direction(body: Column, lower: Column | None = None) -> Column:
     """INVESTMENT, EXPENSE or INCOME; in a two-account message the first verb decides."""
     b = F.lower(body) if lower is None else lower
+    return F.when(gates.is_investment(body, lower=b), "INVESTMENT").otherwise(_by_verbs(body, b))
+
+
+def _by_verbs(body: Column, b: Column) -> Column:
     out = gates.any_of(body, OUT_VERBS, lower=b)
     debited, credited = F.locate("debited", b), F.locate("credited", b)
     both = (debited > 0) & (credited > 0)
     got = gates.any_of(body, IN_VERBS, lower=b)
     cashback = gates.has(b, "cashback") & b.rlike(r"\bcashback\b") & ~b.rlike(r"\bearn cashback\b")
     return (
-        F.when(gates.is_investment(body, lower=b), "INVESTMENT")
-        .when(both, F.when(debited < credited, "EXPENSE").otherwise("INCOME"))
+        F.when(both, F.when(debited < credited, "EXPENSE").otherwise("INCOME"))
         .when((debited > 0) | out, "EXPENSE")
         .when((credited > 0) | got | cashback, "INCOME")
     )
@@ -202,24 +205,25 @@ def event_key(body: Column, sender: Column, ts: Column) -> Column:
 # --- mandates, rich types, categories -------------------------------------------------------------------------------
 
 
-def mandate_id(body: Column) -> Column:
-    return F.lower(F.nullif(F.regexp_extract(body, r"(?i)\bUMN\s*[:=-]?\s*([A-Za-z0-9]+@[A-Za-z0-9.]+)", 1), F.lit("")))
+def mandate_id(body: Column, lower: Column | None = None) -> Column:
+    low = F.lower(body) if lower is None else lower
+    return F.lower(F.when(gates.has(low, "umn"), F.nullif(F.regexp_extract(body, r"(?i)\bUMN\s*[:=-]?\s*([A-Za-z0-9]+@[A-Za-z0-9.]+)", 1), F.lit(""))))
 
 
-def mandate_event(body: Column) -> Column:
-    b = F.lower(body)
-    return F.when(mandate_id(body).isNotNull(), F.when(b.rlike(r"\b(?:cancelled|canceled|revoked|terminated)\b"), "cancelled").otherwise("active"))
+def mandate_event(body: Column, lower: Column | None = None) -> Column:
+    b = F.lower(body) if lower is None else lower
+    return F.when(mandate_id(body, b).isNotNull(), F.when(b.rlike(r"\b(?:cancelled|canceled|revoked|terminated)\b"), "cancelled").otherwise("active"))
 
 
 _TOWARDS = r"(?is)\btowards\s+(.{1,120}?)\s+for\s+(?:(?:rs\.?|inr|₹)\s*)?"
 
 
-def mandate_merchant(body: Column) -> Column:
-    return F.when(mandate_id(body).isNotNull(), valid_merchant(F.nullif(F.regexp_extract(body, _TOWARDS + r"\d", 1), F.lit(""))))
+def mandate_merchant(body: Column, lower: Column | None = None) -> Column:
+    return F.when(mandate_id(body, lower).isNotNull(), valid_merchant(F.nullif(F.regexp_extract(body, _TOWARDS + r"\d", 1), F.lit(""))))
 
 
-def mandate_amount(body: Column) -> Column:
-    return F.when(mandate_id(body).isNotNull(), C.parse_amount(F.nullif(F.regexp_extract(body, _TOWARDS + NUMBER, 2), F.lit(""))))
+def mandate_amount(body: Column, lower: Column | None = None) -> Column:
+    return F.when(mandate_id(body, lower).isNotNull(), C.parse_amount(F.nullif(F.regexp_extract(body, _TOWARDS + NUMBER, 2), F.lit(""))))
 
 
 DATE_FORMATS = (("yyyy-MM-dd", r"\b(\d{4}-\d{2}-\d{2})\b"), ("dd-MM-yyyy", r"\b(\d{2}-\d{2}-\d{4})\b"), ("dd/MM/yyyy", r"\b(\d{2}/\d{2}/\d{4})\b"), ("dd-MMM-yyyy", r"\b(\d{2}-[A-Za-z]{3}-\d{4})\b"), ("dd-MMM-yy", r"\b(\d{2}-[A-Za-z]{3}-\d{2})\b"), ("dd/MM/yy", r"\b(\d{2}/\d{2}/\d{2})\b"))
@@ -237,24 +241,28 @@ def dated(body: Column) -> tuple[Column, Column]:
     return date, form
 
 
-def rich_type(body: Column) -> Column:
-    """One of 11 types, in order of precedence; expiry notices have none."""
-    b = F.lower(body)
-    out, come = b.rlike(r"\b(?:debited|spent|paid|charged|deducted|withdrawn|transferred|sent|purchase|purchased)\b"), b.rlike(r"\b(?:credited|received|deposited|refund|refunded)\b")
-    wallet = b.rlike(r"\bwallet\b")
+_AUTO, _AUTO_NEEDS = r"\b(?:auto-?debit(?:ed)?|autopay|e-?mandate|standing instruction|nach|ecs)\b", ("auto", "mandate", "standing instruction", "nach", "ecs")
+
+
+def rich_type(body: Column, lower: Column | None = None, investment: Column | None = None) -> Column:
+    """One of 11 types, in order of precedence; expiry notices have none. ``investment`` is the column of ``gates.is_investment``, where there is one."""
+    b = F.lower(body) if lower is None else lower
+    investment = gates.is_investment(body, lower=b) if investment is None else investment
+    out = gates.bounded(b, "debited", "spent", "paid", "charged", "deducted", "withdrawn", "transferred", "sent", "purchase", "purchased")
+    come = gates.bounded(b, "credited", "received", "deposited", "refund", "refunded")
+    wallet = gates.bounded(b, "wallet")
     return (
-        F.when(gates.is_expiry_notice(body), None)
-        .when(gates.is_investment(body) & (out | come), "INVESTMENT")
+        F.when(gates.is_expiry_notice(body, b), None)
+        .when(investment & (out | come), "INVESTMENT")
         .when(wallet & b.rlike(r"\b(?:added|loaded|credited|top-?up|topped)\b"), "WALLET_CREDIT")
         .when(wallet & out, "WALLET_DEBIT")
-        .when(gates.is_balance_notice(body), "BALANCE_UPDATE")
-        .when(b.rlike(r"\brecharge[d]?\b") & (out | b.rlike(r"\bsuccessful\b")), "RECHARGE")
-        .when(b.rlike(r"\bsalary\b") & come, "SALARY")
-        .when(b.rlike(r"\b(?:auto-?debit(?:ed)?|autopay|e-?mandate|standing instruction|nach|ecs)\b") & out, "AUTO_DEBIT")
-        .when(b.rlike(r"\batm\b") & out, "ATM_WITHDRAWAL")
-        .when(b.rlike(r"\b(?:neft|imps|rtgs|aeps)\b") & out & ~come, "TRANSFER")
-        .when(direction(body) == "EXPENSE", "EXPENSE")
-        .when(direction(body) == "INCOME", "INCOME")
+        .when(gates.is_balance_notice(body, b), "BALANCE_UPDATE")
+        .when(gates.has(b, "recharge") & b.rlike(r"\brecharge[d]?\b") & (out | gates.bounded(b, "successful")), "RECHARGE")
+        .when(gates.bounded(b, "salary") & come, "SALARY")
+        .when(gates.has(b, *_AUTO_NEEDS) & b.rlike(_AUTO) & out, "AUTO_DEBIT")
+        .when(gates.bounded(b, "atm") & out, "ATM_WITHDRAWAL")
+        .when(gates.bounded(b, "neft", "imps", "rtgs", "aeps") & out & ~come, "TRANSFER")
+        .when(~investment, _by_verbs(body, b))
     )
 
 
@@ -264,16 +272,16 @@ SUBCATEGORIES = (
 )
 
 
-def labelled(c: Column, table: tuple[tuple[str, str], ...]) -> Column:
+def labelled(c: Column, table: tuple[tuple[str, str], ...], lower: Column | None = None) -> Column:
     """The first label whose pattern occurs."""
-    out = None
+    low, out = F.lower(c) if lower is None else lower, None
     for label, pattern in table:
-        out = F.when(F.lower(c).rlike(pattern), label) if out is None else out.when(F.lower(c).rlike(pattern), label)
+        out = F.when(low.rlike(pattern), label) if out is None else out.when(low.rlike(pattern), label)
     return out
 
 
-def subcategory(body: Column) -> Column:
-    return labelled(body, SUBCATEGORIES)
+def subcategory(body: Column, lower: Column | None = None) -> Column:
+    return labelled(body, SUBCATEGORIES, lower)
 
 
 def display_payee(brand: Column, vendor: Column, bank: Column, sender: Column) -> Column:
@@ -282,7 +290,7 @@ def display_payee(brand: Column, vendor: Column, bank: Column, sender: Column) -
 
 def address_of(body: Column) -> Column:
     """A payment address name@handle."""
-    return F.lower(F.nullif(F.regexp_extract(body, r"(?i)\b([a-z0-9][a-z0-9._-]{1,60}@[a-z][a-z0-9]{1,20})\b(?!\.)", 1), F.lit("")))
+    return F.lower(F.when(gates.has(body, "@"), F.nullif(F.regexp_extract(body, r"(?i)\b([a-z0-9][a-z0-9._-]{1,60}@[a-z][a-z0-9]{1,20})\b(?!\.)", 1), F.lit(""))))
 
 
 def address_payee(address: Column) -> Column:
@@ -312,20 +320,21 @@ CHANNELS = (
 )
 
 
-def channel_label(body: Column) -> Column:
+def channel_label(body: Column, lower: Column | None = None) -> Column:
     """What to show where no name is found; an ATM's place and a recharged number's last digits are added."""
-    label = labelled(body, CHANNELS)
+    label = labelled(body, CHANNELS, lower)
     place = F.nullif(F.regexp_extract(body, r"(?i)\batm\s+(?:at\s+)?([A-Z][A-Z0-9]{2,20})\b", 1), F.lit(""))
     phone = F.nullif(F.regexp_extract(body, r"\b\d{6}(\d{4})\b", 1), F.lit(""))
     return F.when((label == "ATM Cash") & place.isNotNull(), F.concat_ws(" ", label, place)).when((label == "Mobile Recharge") & phone.isNotNull(), F.concat(label, F.lit(" XXXXXX"), phone)).otherwise(label)
 
 
-def narration(body: Column) -> Column:
+def narration(body: Column, lower: Column | None = None) -> Column:
     """Struct (channel, reference, counterparty) of a delimited narration."""
-    slash = F.nullif(F.regexp_extract(body, r"\b((?:UPI|IMPS|NEFT|RTGS)/[^\s/]+/[^\s/]+(?:/[^./;]+)?)", 1), F.lit(""))
+    low = F.lower(body) if lower is None else lower
+    slash = F.when(gates.has(body, "UPI/", "IMPS/", "NEFT/", "RTGS/"), F.nullif(F.regexp_extract(body, r"\b((?:UPI|IMPS|NEFT|RTGS)/[^\s/]+/[^\s/]+(?:/[^./;]+)?)", 1), F.lit("")))
     parts = F.split(slash, "/")
-    phone = F.nullif(F.regexp_extract(body, r"(?i)\bmTFR/(\d{10}/[^./;]+)", 1), F.lit(""))
-    bracket = F.nullif(F.regexp_extract(body, r"\[((?:NEFT|RTGS|IMPS)-[^\]]+)\]", 1), F.lit(""))
+    phone = F.when(gates.has(low, "mtfr/"), F.nullif(F.regexp_extract(body, r"(?i)\bmTFR/(\d{10}/[^./;]+)", 1), F.lit("")))
+    bracket = F.when(gates.has(body, "[NEFT-", "[RTGS-", "[IMPS-"), F.nullif(F.regexp_extract(body, r"\[((?:NEFT|RTGS|IMPS)-[^\]]+)\]", 1), F.lit("")))
     p, b = F.split(phone, "/"), F.split(bracket, "-")
     second = F.get(parts, 1)
     is_ref = F.get(parts, 2).rlike(r"^\d+$")
@@ -335,13 +344,13 @@ def narration(body: Column) -> Column:
     return F.struct(channel.alias("channel"), ref.alias("reference"), F.trim(name).alias("counterparty"))
 
 
-def two_accounts(body: Column) -> Column:
+def two_accounts(body: Column, lower: Column | None = None) -> Column:
     """Struct (type, own, other) of "A/c x debited ... and A/c y credited": the first verb decides."""
-    b = F.lower(body)
+    b = F.lower(body) if lower is None else lower
     debited, credited = F.locate("debited", b), F.locate("credited", b)
     both = (debited > 0) & (credited > 0)
     kind = F.when(both, F.when(debited < credited, "EXPENSE").otherwise("INCOME"))
-    return F.struct(kind.alias("type"), F.when(both, account_tail(body)).alias("own"), F.when(both, other_account(body)).alias("other"))
+    return F.struct(kind.alias("type"), F.when(both, account_tail(body, b)).alias("own"), F.when(both, other_account(body, b)).alias("other"))
 
 
 #: Fields of message families: name, pattern. A family's fields are looked for in its messages alone.
@@ -356,8 +365,20 @@ PACKS = {
 }
 
 
-def pack(body: Column, family: str) -> dict[str, Column]:
+#: Parts of which one is in every lower-case text of a family.
+_PACK_NEEDS = {
+    "otp": ("otp", "password", "verification"), "travel": ("pnr", "flight", "boarding", "train no", "bus no"), "delivery": ("order", "shipment", "package", "parcel", "awb"), "bill": ("bill", "emi", "policy", "recharge", "mandate"),
+    "offer": ("offer", "cashback", "discount", "coupon", "promo"), "telecom": ("data", "pack", "balance"), "holdings": ("nav", "folio", "margin"),
+}
+
+
+def of_family(lower: Column, family: str) -> Column:
+    """Whether a lower-case text is of a family."""
+    return gates.has(lower, *_PACK_NEEDS[family]) & lower.rlike(PACKS[family][0])
+
+
+def pack(body: Column, family: str, lower: Column | None = None) -> dict[str, Column]:
     """The fields of a family, null in messages of others."""
-    gate, patterns = PACKS[family]
-    mine = F.lower(body).rlike(gate)
+    patterns = PACKS[family][1]
+    mine = of_family(F.lower(body) if lower is None else lower, family)
     return {k: F.when(mine, F.nullif(F.regexp_extract(body, p, 1), F.lit(""))) for k, p in patterns.items()}

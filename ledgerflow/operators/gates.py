@@ -43,6 +43,11 @@ def has(lower: Column, *parts: str) -> Column:
     return found
 
 
+def bounded(lower: Column, *words: str) -> Column:
+    """Whether one of the words occurs between boundaries of words, looked for where one is a part of the text."""
+    return has(lower, *_stems(words)) & lower.rlike(rf"\b(?:{'|'.join(words)})\b")
+
+
 def _stems(words: tuple[str, ...]) -> list[str]:
     """Substrings of which one is in every text that has one of the words: the longest part of each, without those that contain another."""
     longest = sorted({max(w.split(), key=len) for w in words})
@@ -119,12 +124,12 @@ def is_account_tail(body: Column, tail: Column, lower: Column | None = None) ->
     return F.coalesce(tail.isNotNull() & ~(year | (tail.rlike(r"^(?:19|20)\d\d$") & F.regexp_like(body, quoted) & ~F.regexp_like(body, F.concat(F.lit("(?i)x+"), tail)))), F.lit(False))
 
 
-def is_balance_notice(body: Column) -> Column:
+def is_balance_notice(body: Column, lower: Column | None = None) -> Column:
     """Balance words with no transaction verb, or a card statement."""
-    low = F.lower(body)
+    low = F.lower(body) if lower is None else lower
     cue = has(low, "bal") & low.rlike(r"\b(?:avl|available|closing|clear|updated|current|outstanding)\b.{0,12}\bbal(?:ance)?\b|\bbalance in\b")
     statement = has(low, "statement") & low.rlike(r"\bcard\b.{0,60}\bstatement\b.{0,60}\boutstanding\b")
-    return F.coalesce((cue & ~any_of(body, VERBS)) | statement, F.lit(False))
+    return F.coalesce((cue & ~any_of(body, VERBS, lower=low)) | statement, F.lit(False))
 
 
 def mandate_notice(body: Column) -> Column:
@@ -141,9 +146,9 @@ def mandate_notice(body: Column) -> Column:
     )
 
 
-def is_expiry_notice(body: Column) -> Column:
-    low = F.lower(body)
-    return F.coalesce(has(low, "expir", "valid") & low.rlike(r"\b(?:expires?|expiring|expired|valid (?:till|until|upto|up to))\b") & ~any_of(body, VERBS), F.lit(False))
+def is_expiry_notice(body: Column, lower: Column | None = None) -> Column:
+    low = F.lower(body) if lower is None else lower
+    return F.coalesce(has(low, "expir", "valid") & low.rlike(r"\b(?:expires?|expiring|expired|valid (?:till|until|upto|up to))\b") & ~any_of(body, VERBS, lower=low), F.lit(False))
 
 
 def recognised(df: DataFrame) -> DataFrame:

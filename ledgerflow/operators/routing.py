@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions.small import small
 from ..functions.text import containing
+from . import gates
 
 #: (prio, institution, sender pattern, forced type, kind): a fund goes before the bank whose name it shares.
 INSTITUTIONS = [
@@ -95,17 +96,26 @@ def bank_by_substring(messages: DataFrame, aliases: DataFrame, known: DataFrame)
 BANK_PATTERNS = (("Alpha Bank", r"(?i)\balpha\s*bank\b"), ("Beta Bank", r"(?i)\bbeta\s*bank\b"), ("Gamma Card", r"(?i)\bgamma\b.*\bcard\b"), ("Sigma Bank", r"(?i)\bsigma\s*bk\b"))
 
 
-def bank_by_pattern(body: Column, sender: Column) -> Column:
-    out = None
+#: A part that every lower-case text of a bank's pattern has, by bank.
+_BANK_NEEDS = {"Alpha Bank": "alpha", "Beta Bank": "beta", "Gamma Card": "gamma", "Sigma Bank": "sigma"}
+
+
+def bank_by_pattern(body: Column, sender: Column, lower: Column | None = None) -> Column:
+    low, out = F.lower(body) if lower is None else lower, None
     for bank, pattern in BANK_PATTERNS:
-        test = body.rlike(pattern) | sender.rlike(pattern)
+        test = (gates.has(low, _BANK_NEEDS[bank]) & body.rlike(pattern)) | (gates.has(F.lower(sender), _BANK_NEEDS[bank]) & sender.rlike(pattern))
         out = F.when(test, bank) if out is None else out.when(test, bank)
     return out
 
 
+def bank_of_sender(messages: DataFrame, exact: DataFrame, aliases: DataFrame, known: DataFrame) -> DataFrame:
+    """Adds bank_exact and bank_alias, which the sender alone decides."""
+    return bank_by_substring(bank_by_fragment(messages, exact), aliases, known)
+
+
 def bank_name(messages: DataFrame, exact: DataFrame, aliases: DataFrame, known: DataFrame) -> DataFrame:
     """Adds bank_exact, bank_alias, bank_pattern and their first non-null, bank_name."""
-    out = bank_by_substring(bank_by_fragment(messages, exact), aliases, known)
+    out = bank_of_sender(messages, exact, aliases, known)
     out = out.withColumn("bank_pattern", bank_by_pattern(F.col("body"), F.col("sender")))
     return out.withColumn("bank_name", F.coalesce("bank_exact", "bank_alias", "bank_pattern"))
 
@@ -144,6 +154,11 @@ def gazetteer(spans: DataFrame, phrases: DataFrame, places: DataFrame, key: str
 TOKEN_CATEGORIES = ("OTP", "TRAVEL", "DELIVERY", "OFFERS", "STOCK")
 
 
+def category_of(tags: Column, fallback: Column, default: str = "BANK") -> Column:
+    """The first of the token categories that a map has as a key, else ``fallback``, else ``default``."""
+    return F.coalesce(*[F.when(F.map_contains_key(tags, c), c) for c in TOKEN_CATEGORIES], fallback, F.lit(default))
+
+
 def category(messages: DataFrame, tokens: DataFrame, fallback: str = "sender_category", default: str = "BANK", key: str = "msg_id") -> DataFrame:
     """Adds category: the first of the token categories that ``tokens`` (key, type) has, else ``fallback``, else ``default``."""
     order = F.create_map(*[F.lit(x) for i, c in enumerate(TOKEN_CATEGORIES) for x in (c, i)])
