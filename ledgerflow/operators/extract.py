@@ -122,7 +122,7 @@ def _facts(body: Column, low: Column, investment: Column) -> list[Column]:
     """Rich type, subcategory, amount, balance, payee and mandate fields of a body."""
     mandate = fields.mandate_id(body, low)
     return [
-        F.when(gates.reject_reason(body, lower=low).isin("otp", "promo", "request", "due", "received_notice"), None).when(mandate.isNotNull(), None).otherwise(fields.rich_type(body, low, investment)).alias("rich_type"),
+        F.when(gates.stated_reason(body, lower=low).isin("otp", "promo", "request", "due", "received_notice"), None).when(mandate.isNotNull(), None).otherwise(fields.rich_type(body, low, investment)).alias("rich_type"),
         fields.subcategory(body, low).alias("subcategory"), fields.amount(body, low).alias("amount"), fields.currency(body, low).alias("currency"), fields.merchant(body, lower=low).alias("merchant"), fields.account_tail(body, low).alias("account_last4"), fields.balance(body, low).alias("balance"),
         mandate.alias("mandate_id"), fields.mandate_event(body, low).alias("mandate_event"), fields.mandate_merchant(body, low).alias("mandate_merchant"), fields.mandate_amount(body, low).alias("mandate_amount"),
     ]

@@ -64,15 +64,20 @@ def any_of(c: Column, words: tuple[str, ...], mode: str = "word", lower: Column
     return has(lower, *_stems(words)) & lower.rlike(whole)
 
 
-def reject_reason(body: Column, mode: str = "word", lower: Column | None = None) -> Column:
-    """Why a body is no transaction, null if it may be one."""
+def stated_reason(body: Column, mode: str = "word", lower: Column | None = None) -> Column:
+    """Why a body is no transaction by what it says, null if it may be one or only lacks a verb."""
     out = F.when(body.isNull() | (body == ""), "empty")
     for reason, words in REJECTS:
         test = any_of(body, (*words, *MORE_REJECTS.get(reason, ())), mode, lower)
         if reason == "due":
             test = test | (any_of(body, PAIRED_DUE[:1], mode, lower) & any_of(body, PAIRED_DUE[1:], mode, lower))
         out = out.when(test, reason)
-    return out.when(~(any_of(body, VERBS, mode, lower) | keyword_gate(body, mode, lower)), "no_verb")
+    return out
+
+
+def reject_reason(body: Column, mode: str = "word", lower: Column | None = None) -> Column:
+    """Why a body is no transaction, null if it may be one."""
+    return stated_reason(body, mode, lower).when(~(any_of(body, VERBS, mode, lower) | keyword_gate(body, mode, lower)), "no_verb")
 
 
 def is_transaction(body: Column, mode: str = "word", lower: Column | None = None) -> Column:

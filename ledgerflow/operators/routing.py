@@ -103,7 +103,7 @@ _BANK_NEEDS = {"Alpha Bank": "alpha", "Beta Bank": "beta", "Gamma Card": "gamma"
 def bank_by_pattern(body: Column, sender: Column, lower: Column | None = None) -> Column:
     low, out = F.lower(body) if lower is None else lower, None
     for bank, pattern in BANK_PATTERNS:
-        test = (gates.has(low, _BANK_NEEDS[bank]) & body.rlike(pattern)) | (gates.has(F.lower(sender), _BANK_NEEDS[bank]) & sender.rlike(pattern))
+        test = (gates.has(low, _BANK_NEEDS[bank]) & body.rlike(pattern)) | sender.rlike(pattern)
         out = F.when(test, bank) if out is None else out.when(test, bank)
     return out
 
